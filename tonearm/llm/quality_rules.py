@@ -154,11 +154,12 @@ def robust_estimates(rows: DataFrame, key: list[str], share: float = 0.75, steps
     return stored(_join(best, half.select(*key, scale.alias("scale")), key), "mcd")
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, ...] = ("lang", "source"), limit: float = CHI2_LIMIT, margin: float = 4.0) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, ...] = ("lang", "source"), limit: float = CHI2_LIMIT, margin: float = 8.0) -> DataFrame:
     """One row per row of docs: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept.
 
     base_failed: fewer than 10 words, or over a fifth of them in repeated 5-word windows. The others are judged within
-    their group: kept if d2 / scale is at most limit * margin. Estimates rest on all rows that pass the base rule.
+    their group: kept if d2 / scale is at most limit * margin; the margin is wide because clean prose has far longer tails
+    than a normal law (repeated lines above all), while damaged text lies much farther out. Estimates rest on all rows that pass the base rule.
     Nulls: a null text has no words and fails; null group columns are a group of their own. Repeated rows count one by
     one. A group of equal rows, or of one row, rejects none (every spread has a floor). An empty table gives no rows.
     """
