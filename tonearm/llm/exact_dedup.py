@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonearm.llm.shared import SPACE, stored
+from tonearm.llm.shared import SPACE, redealt, stored
 
 KEY = ["sha", "n_bytes", "check"]
 
@@ -49,9 +49,9 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Columns other than the two named are not read, so extra columns cannot clash.
     """
     rows = stored(digests(docs, id_col, text_col), "digests")
-    groups = merge_runs(rows, runs, fan_in).select(F.col("sha").alias("g_sha"), F.col("n_bytes").alias("g_bytes"), F.col("check").alias("g_check"), "keep_id", "group_size")
+    groups = merge_runs(rows, runs, fan_in).select(redealt(F.col("sha"), b"").alias("g_sha"), F.col("n_bytes").alias("g_bytes"), F.col("check").alias("g_check"), "keep_id", "group_size")
     same = rows.groupBy("id", *KEY).agg(F.count("*").alias("n"))
-    # the join is on sha alone: both sides are then exchanged for it and a hot digest can be split; the rest verifies
+    # both sides are exchanged for the join, so that a hot digest can be split
     joined = same.join(groups, (F.col("sha") == F.col("g_sha")) & (F.col("n_bytes") == F.col("g_bytes")) & (F.col("check") == F.col("g_check")))
     return joined.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k")).select(
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("k") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")

@@ -50,10 +50,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def redealt(key: Column) -> Column:
+def redealt(key: Column, nothing: str | bytes = "") -> Column:
     """key, unchanged, but no longer known to be what its rows are dealt by: a join on it then exchanges this side too,
-    which lets adaptive execution split a hot key on the other side. For small sides that were just aggregated."""
-    return F.concat(key, F.lit(""))
+    which lets adaptive execution split a hot key on the other side. For sides that were just aggregated; `nothing` is of the
+    key's kind, string or binary."""
+    return F.concat(key, F.lit(nothing))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
