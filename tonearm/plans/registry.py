@@ -1,4 +1,609 @@
-"""The registered queries over the reference tables."""
+"""The registered queries: each applies one operator to its views, whole; with SQL wherever SQL can say the same."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tonearm.functions import text
+from tonearm.operators import catalog as c
+from tonearm.operators import dedupe as d
+from tonearm.operators import pairs as p
+from tonearm.operators import quality as q
+from tonearm.operators import rules as r
+from tonearm.plans import views as v
+from tonearm.sources import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = v.SQL + sql
+        return f
+
+    return register
+
+
+# --- scans, sources -------------------------------------------------------------------------------------------------
+
+
+def _listing(spark, sf_dir):
+    names = ("root_ord", "folder_path", "folder_name", "file", "ext", "size", "file_hash")
+    return v.tracks(spark, sf_dir).select(*names).unionByName(v.doc_files(spark, sf_dir).select(*names))
+
+
+@query("SELECT folder_path, file, ext FROM (SELECT folder_path, file, ext FROM tracks UNION ALL SELECT folder_path, file, ext FROM doc_files) WHERE ext IN ('.mp3', '.flac', '.wav', '.aac', '.m4a', '.ogg')")
+def scan_audio_files(spark, sf_dir):
+    return c.audio_files(_listing(spark, sf_dir)).select("folder_path", "file", "ext")
+
+
+@query("SELECT folder_path, folder_name, count(*) AS n_files FROM (SELECT folder_path, folder_name, ext FROM tracks UNION ALL SELECT folder_path, folder_name, ext FROM doc_files) WHERE ext IN ('.mp3', '.flac', '.wav', '.aac', '.m4a', '.ogg') GROUP BY ALL HAVING count(*) > 2")
+def scan_album_folders(spark, sf_dir):
+    return c.album_folders(c.audio_files(_listing(spark, sf_dir)), roots=("/lib", "/copy"))
+
+
+@query("SELECT folder_path, min(root_ord) AS root_ord FROM (SELECT folder_path, root_ord FROM tracks UNION ALL SELECT folder_path, root_ord + 2 FROM tracks WHERE root_ord = 1) GROUP BY ALL")
+def scan_multi_root(spark, sf_dir):
+    rows = v.tracks(spark, sf_dir).select("folder_path", "root_ord")
+    return c.multi_root(rows, rows.where("root_ord = 1").withColumn("root_ord", F.col("root_ord") + 2))
+
+
+@query("SELECT md5(folder_path) AS folder_hash, folder_path FROM (SELECT DISTINCT folder_path FROM tracks) WHERE folder_path NOT IN (SELECT folder_path FROM tracks WHERE root_ord = 0)")
+def scan_incremental(spark, sf_dir):
+    t = v.tracks(spark, sf_dir)
+    known = t.where("root_ord = 0").select(F.md5("folder_path").alias("folder_hash")).distinct()
+    return c.new_folders(t.select("folder_path").distinct(), known)
+
+
+@query("SELECT lower(trim(event_type)) AS key, arg_max(trim(CAST(user_id % 7 AS VARCHAR)), event_id) AS value FROM events WHERE event_id % 3 > 0 GROUP BY ALL")
+def read_artist_alias(spark, sf_dir):
+    e = v.table(spark, sf_dir, "events")
+    two = F.array(F.concat(F.lit(" "), F.upper("event_type"), F.lit(" ")), (F.col("user_id") % 7).cast("string"))
+    lines = e.select(F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 3 > 0, two).otherwise(F.array(F.lit("x"))).alias("fields"))
+    return tables.artist_alias(lines)
+
+
+@query("SELECT DISTINCT 'merge_dir' AS action, a.name AS src, b.name AS dst, 'rename list' AS reason FROM dirs a JOIN dirs b ON substr(a.name, 2, 1) = substr(b.name, 2, 1) AND a.name <> b.name WHERE a.parent_path = '/lib' AND b.parent_path = '/lib' AND a.name < b.name")
+def rename_existing(spark, sf_dir):
+    names = c.listing(v.dirs(spark, sf_dir), "/lib")
+    own = names.select(F.col("name").alias("source"), F.substring("name", 2, 1).alias("k"))
+    pairs = own.join(names.select(F.col("name").alias("target"), F.substring("name", 2, 1).alias("k")), "k").where("source < target").select("source", "target")
+    lost = pairs.select("source", F.concat("target", F.lit("?")).alias("target"))
+    return r.existing_renames(pairs.unionByName(lost), names)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS name, md5(text) AS file_hash, sha256(text) AS sha256 FROM documents")
+def file_content_hash(spark, sf_dir):
+    return v.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.md5("text").alias("file_hash"), F.sha2("text", 256).alias("sha256"))
+
+
+@query("SELECT * FROM covers")
+def album_art_pick(spark, sf_dir):
+    return c.album_art(v.art(spark, sf_dir))
+
+
+@query("SELECT folder_path, file, title, artist, album, genre, bitrate_kbps FROM tracks")
+def project_tags(spark, sf_dir):
+    return c.project_tags(v.tracks(spark, sf_dir))
+
+
+@query("SELECT name FROM dirs WHERE parent_path = '/lib'")
+def album_name_listing(spark, sf_dir):
+    return c.listing(v.dirs(spark, sf_dir), "/lib")
+
+
+_ARTIST = """, first_artist AS (SELECT folder_path, arg_min(trim(artist), pos) AS artist FROM tracks WHERE coalesce(artist, '') <> '' GROUP BY ALL),
+first_album AS (SELECT folder_path, arg_min(trim(album), pos) AS album FROM tracks WHERE coalesce(album, '') <> '' GROUP BY ALL),
+resolved AS (
+  SELECT f.folder_path, CASE WHEN artist IS NOT NULL THEN coalesce(x.value, artist) ELSE y.value END AS artist, album
+  FROM (SELECT DISTINCT folder_path, parent_folder FROM tracks) f LEFT JOIN first_artist USING (folder_path) LEFT JOIN first_album USING (folder_path)
+  LEFT JOIN role_alias x ON x.key = lower(artist) LEFT JOIN role_alias y ON y.key = lower(parent_folder))
+"""
+
+
+@query(_ARTIST + "SELECT md5(folder_path) AS folder_hash, folder_path, folder_name, parent_folder, count(*) AS n_files, string_agg(file, '|' ORDER BY pos) AS files, any_value(artist2) AS artist, any_value(album2) AS album, any_value(album_art) AS album_art FROM (SELECT t.*, r.artist AS artist2, r.album AS album2, album_art FROM tracks t LEFT JOIN resolved r USING (folder_path) LEFT JOIN covers USING (folder_path)) GROUP BY folder_path, folder_name, parent_folder HAVING count(*) > 2")
+def scan_catalog(spark, sf_dir):
+    found = c.catalog(v.tracks(spark, sf_dir), v.art(spark, sf_dir), v.role_alias(spark, sf_dir))
+    return found.select("folder_hash", "folder_path", "folder_name", "parent_folder", "n_files", F.array_join(F.transform("files", lambda f: f["file"]), "|").alias("files"), "artist", "album", "album_art")
+
+
+@query("SELECT 'copy' AS action, path AS src, '/backup' || substr(path, 5) AS dst FROM tracks WHERE starts_with(folder_path, '/lib')")
+def backup_plan(spark, sf_dir):
+    return c.backup_plan(v.tracks(spark, sf_dir), "/lib", "/backup")
+
+
+# --- scalar functions, filters, rules -------------------------------------------------------------------------------
+
+_STEM = r"regexp_replace({0}, '(?s)\A((?:.*/)?\.*[^./][^/]*)\.[^./]*\z', '\1')"
+
+
+@query(rf"SELECT page_id, {_STEM.format('url')} AS stem, lower(substr(url, length({_STEM.format('url')}) + 1)) AS ext, regexp_extract(url, '([^/]*)$', 1) AS base, string_split(url, '/')[-2] AS parent FROM pages")
+def split_paths(spark, sf_dir):
+    u = F.col("url")
+    return v.table(spark, sf_dir, "pages").select("page_id", text.stem(u).alias("stem"), text.extension(u).alias("ext"), text.base_name(u).alias("base"), text.parent_name(u).alias("parent"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(text, '\p{Nd}', '', 'g')) AS no_digits, md5(regexp_replace(regexp_replace(text, '[^\p{L}\p{Nl}\p{No}]', '', 'g'), '[²³¹⁰-⁹₀-₉]', '', 'g')) AS letters FROM documents")
+def strip_digits(spark, sf_dir):
+    return v.table(spark, sf_dir, "documents").select("doc_id", F.md5(text.strip_digits(F.col("text"))).alias("no_digits"), F.md5(text.letters_only(F.col("text"))).alias("letters"))
+
+
+def _garbled(spark, sf_dir):
+    """Half of the document openings with their vowels put into the code page range, so that there is something to repair."""
+    start = F.translate(F.left("text", F.lit(60)), "aeiounrstlhdcm", "àáâãäåæçèéêëìí")
+    return v.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, start).when(F.col("doc_id") % 3 == 0, F.concat(F.lit("שלום "), start)).otherwise(F.left("text", F.lit(60))).alias("t"))
+
+
+_GARBLED = ", garbled AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN translate(left(text, 60), 'aeiounrstlhdcm', 'àáâãäåæçèéêëìí') WHEN doc_id % 3 = 0 THEN 'שלום ' || translate(left(text, 60), 'aeiounrstlhdcm', 'àáâãäåæçèéêëìí') ELSE left(text, 60) END AS t FROM documents), judged AS (SELECT doc_id, t, regexp_matches(t, '[֐-ת]') AS hebrew, length(regexp_replace(t, '[^à-ú]', '', 'g')) > length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AND NOT regexp_matches(t, '[֐-ת]') AS mojibake FROM garbled) "
+
+
+@query(_GARBLED + f"SELECT doc_id, hebrew, mojibake, CASE WHEN mojibake THEN translate(t, '{text.MOJIBAKE}', '{text.HEBREW}') ELSE t END AS fixed FROM judged")
+def fix_mojibake(spark, sf_dir):
+    t = F.col("t")
+    return _garbled(spark, sf_dir).select("doc_id", text.contains_hebrew(t).alias("hebrew"), text.is_mojibake(t).alias("mojibake"), text.fix_mojibake(t).alias("fixed"))
+
+
+def _track_docs(spark, sf_dir):
+    name = F.concat(F.when(F.col("doc_id") % 3 == 0, "Track ").when(F.col("doc_id") % 3 == 1, "my track ").otherwise(""), F.left("text", F.lit(12)))
+    return v.table(spark, sf_dir, "documents").select(F.concat(F.lit("/docs/"), "source").alias("folder_path"), F.concat(F.regexp_replace(name, "[/\n.]", " "), F.lit(".mp3")).alias("file"), F.create_map(F.lit("title"), name).alias("tags"))
+
+
+_TRACK = ", named AS (SELECT '/docs/' || source AS folder_path, CASE doc_id % 3 WHEN 0 THEN 'Track ' WHEN 1 THEN 'my track ' ELSE '' END || left(text, 12) AS title FROM documents), track_docs AS (SELECT folder_path, title, regexp_replace(title, '[/\\n.]', ' ', 'g') AS stem FROM named) "
+
+
+@query(_TRACK + "SELECT folder_path, stem || '.mp3' AS file, CASE WHEN contains(lower(stem), 'track') THEN replace(lower(stem), 'track', 'רצועה') ELSE stem END || '.mp3' AS new_file, CASE WHEN contains(lower(title), 'track') THEN replace(lower(title), 'track', 'רצועה') ELSE title END AS new_title FROM track_docs")
+def replace_track_word(spark, sf_dir):
+    return r.track_word(_track_docs(spark, sf_dir))
+
+
+@query(_TRACK + "SELECT folder_path, stem || '.mp3' AS file, replace(stem, 'track', 'רצועה') || '.mp3' AS new_file, replace(title, 'track', 'רצועה') AS new_title FROM track_docs")
+def replace_track_word_cased(spark, sf_dir):
+    return r.track_word(_track_docs(spark, sf_dir), keep_case=True)
+
+
+@query("SELECT folder_path, file, coalesce(nullif(title, ''), 'Unknown Title') AS title, coalesce(nullif(artist, ''), 'Unknown Artist') AS artist FROM tracks")
+def fill_unknown_tags(spark, sf_dir):
+    return r.fill_unknown(v.tracks(spark, sf_dir))
+
+
+@query("SELECT folder_path, file, CASE WHEN m THEN 'Unknown Title' ELSE title END AS title, CASE WHEN m THEN 'Unknown Artist' ELSE artist END AS artist, CASE WHEN m THEN 'Unknown Album' ELSE album END AS album, CASE WHEN m THEN 'Unknown Genre' ELSE genre END AS genre FROM (SELECT *, coalesce(title, '') = '' OR coalesce(artist, '') = '' AS m FROM tracks)")
+def apply_album_tags(spark, sf_dir):
+    return r.apply_album_tags(v.tracks(spark, sf_dir))
+
+
+@query(rf"SELECT 'rename' AS action, path AS src, folder_path || '/' || title || substr(file, length({_STEM.format('file')}) + 1) AS dst, 'title' AS reason FROM tracks WHERE coalesce(title, '') <> ''")
+def rename_from_title(spark, sf_dir):
+    return r.rename_from_title(v.tracks(spark, sf_dir))
+
+
+_REPEAT = r", named AS (SELECT '/docs/' || source AS folder_path, lang || CASE WHEN doc_id % 2 = 0 THEN ' - Track ' ELSE ' ' END || doc_id || ' ' || upper(lang) AS stem, lang, doc_id FROM documents) "
+
+
+@query(_REPEAT + r"SELECT 'rename' AS action, folder_path || '/' || stem || '.mp3' AS src, folder_path || '/' || trim(regexp_replace(stem, lang, '', 'gi'), ' -_') || '.mp3' AS dst, 'repeating name' AS reason FROM named WHERE doc_id % 2 = 0")
+def remove_repeating_pattern(spark, sf_dir):
+    name = F.concat("lang", F.when(F.col("doc_id") % 2 == 0, " - Track ").otherwise(" "), F.col("doc_id").cast("string"), F.lit(" "), F.upper("lang"))
+    files = v.table(spark, sf_dir, "documents").select(F.concat(F.lit("/docs/"), "source").alias("folder_path"), F.concat(name, F.lit(".mp3")).alias("file"))
+    return r.remove_repeating(files)
+
+
+@query("SELECT folder_path, file FROM tracks WHERE regexp_matches(file, '[A-Za-z]')")
+def english_letter_names(spark, sf_dir):
+    return r.english_names(v.tracks(spark, sf_dir))
+
+
+@query(r"SELECT DISTINCT folder_path, folder_name FROM tracks WHERE regexp_full_match(folder_name, '[\x00-\x7F]*')")
+def ascii_named_albums(spark, sf_dir):
+    return r.ascii_albums(v.tracks(spark, sf_dir))
+
+
+@query(r"SELECT folder_path, file, title FROM tracks WHERE coalesce(title, '') <> '' AND regexp_full_match(title, '[\x00-\x7F]*')")
+def ascii_titles(spark, sf_dir):
+    return r.ascii_titles(v.tracks(spark, sf_dir))
+
+
+@query("SELECT 'set_tag' AS action, path AS src, 'Unknown' AS dst, 'genre' AS reason FROM tracks WHERE regexp_matches(lower(genre), 'download|advertisement|promo')")
+def fix_genre(spark, sf_dir):
+    return r.fixed_genres(v.tracks(spark, sf_dir))
+
+
+@query("SELECT 'set_tag' AS action, path AS src, parent_folder AS dst, 'artist' AS reason FROM tracks WHERE artist <> parent_folder")
+def artist_from_parent(spark, sf_dir):
+    return r.artist_from_parent(v.tracks(spark, sf_dir))
+
+
+@query("SELECT folder_path, file, bitrate_bps FROM tracks WHERE bitrate_bps > 320000")
+def high_bitrate_files(spark, sf_dir):
+    return r.high_bitrate(v.tracks(spark, sf_dir))
+
+
+@query("SELECT folder_path, file FROM tracks WHERE NOT has_embedded_art")
+def missing_album_art(spark, sf_dir):
+    return r.missing_art(v.tracks(spark, sf_dir))
+
+
+@query("SELECT folder_path FROM tracks GROUP BY ALL HAVING NOT bool_or(has_embedded_art)")
+def albums_needing_art(spark, sf_dir):
+    t = v.tracks(spark, sf_dir)
+    return r.albums_needing_art(t)
+
+
+@query("SELECT 'set_tag' AS action, path AS src, 'Unknown' AS dst, 'genre' AS reason FROM tracks WHERE regexp_matches(lower(genre), 'download|advertisement|promo') UNION ALL SELECT 'set_tag', path, parent_folder, 'artist' FROM tracks WHERE artist <> parent_folder UNION ALL SELECT 'set_tag', path, 'translated', 'title' FROM tracks WHERE readable AND coalesce(title, '') <> '' AND regexp_full_match(title, '[\\x00-\\x7F]*')")
+def set_tag_plan(spark, sf_dir):
+    t = v.tracks(spark, sf_dir)
+    titles = r.set_tags(t, "title", F.lit("translated"), text.present(c.tag("title")).isNotNull() & c.tag("title").rlike(r"\A\p{ASCII}*\z"))
+    return r.fixed_genres(t).unionByName(r.artist_from_parent(t)).unionByName(titles)
+
+
+@query("SELECT 'rmdir' AS action, path AS src FROM dirs WHERE path <> '/lib' AND NOT EXISTS (FROM used u WHERE u.path = dirs.path OR starts_with(u.path, dirs.path || '/'))")
+def empty_folders(spark, sf_dir):
+    return c.empty_folders(v.dirs(spark, sf_dir), v.tracks(spark, sf_dir), "/lib")
+
+
+@query(r"SELECT folder_path, count(*) AS n_files FROM tracks GROUP BY ALL HAVING count(DISTINCT regexp_replace(file, '\p{Nd}', '', 'g')) > 1 AND NOT bool_or(contains(lower(file), 'track') OR contains(file, 'רצועה'))")
+def skip_generic_folders(spark, sf_dir):
+    return c.specific_folders(v.tracks(spark, sf_dir))
+
+
+@query("SELECT event_id, round(least(x / 320, 1.0), 9) AS high, round(greatest(1.0 - abs(x - 128) / 192, 0.0), 9) AS near_128, 0.0::DOUBLE AS other FROM (SELECT event_id, abs(value) AS x FROM events)")
+def bitrate_score(spark, sf_dir):
+    x = F.abs("value")
+    return v.table(spark, sf_dir, "events").select("event_id", F.round(text.bitrate_score(x), 9).alias("high"), F.round(text.bitrate_score(x, "128"), 9).alias("near_128"), text.bitrate_score(x, "").alias("other"))
+
+
+@query("SELECT folder_path, file, coalesce(title, '') <> '' AND coalesce(artist, '') <> '' AND coalesce(album, '') <> '' AS complete FROM tracks")
+def metadata_complete(spark, sf_dir):
+    return v.tracks(spark, sf_dir).select("folder_path", "file", text.tags_complete(c.tag("title"), c.tag("artist"), c.tag("album")).alias("complete"))
+
+
+@query("SELECT p_partkey, round(1.0 - length(replace(p_name, ' ', '')) * 0.01, 9)::DOUBLE AS strict, round(1.0 - length(replace(p_name, ' ', '')) * 0.02, 9)::DOUBLE AS loose FROM part")
+def required_similarity(spark, sf_dir):
+    n = F.col("p_name")
+    return v.table(spark, sf_dir, "part").select("p_partkey", F.round(text.required_similarity(n), 9).alias("strict"), F.round(text.required_similarity(n, strict=False), 9).alias("loose"))
+
+
+# --- similarity and pairs -------------------------------------------------------------------------------------------
+
+
+def _part_names(spark, sf_dir):
+    return v.table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"))
+
+
+@query()
+def seq_ratio(spark, sf_dir):
+    """Ratios of neighbouring titles within each album."""
+    from pyspark.sql import Window
+
+    from tonearm.functions import similarity
+
+    nxt = F.lead("title").over(Window.partitionBy("folder_path").orderBy("pos"))
+    rows = v.tracks(spark, sf_dir).withColumn("title", c.tag("title")).withColumn("next", nxt)
+    return similarity.scored(rows, "title", "next")
+
+
+@query()
+def nearest_name(spark, sf_dir):
+    return p.nearest(_part_names(spark, sf_dir))
+
+
+@query()
+def similar_name_sure(spark, sf_dir):
+    return p.sure_matches(p.nearest(_part_names(spark, sf_dir)))
+
+
+@query()
+def merge_chosen_pairs(spark, sf_dir):
+    found = p.sure_matches(p.nearest(_part_names(spark, sf_dir)), strict=False).where("sure")
+    return q.merge_chosen(found, found.select("a", "b", (F.length("a") % 3).alias("choice")))
+
+
+@query("SELECT * FROM pairs")
+def pair_same_count(spark, sf_dir):
+    return p.same_count(p.readable(v.tracks(spark, sf_dir))).select("f1", "f2", "n")
+
+
+@query()
+def pair_similar_name(spark, sf_dir):
+    t = v.tracks(spark, sf_dir).groupBy("folder_path", "folder_name").agg(F.struct(F.min("root_ord"), F.col("folder_path")).alias("ord"))
+    return p.similar_names(t)
+
+
+@query(", lists AS (SELECT folder_path, folder_name, list(file ORDER BY file) AS fs FROM tracks GROUP BY ALL) SELECT a.folder_path AS path, b.folder_path AS other FROM lists a JOIN lists b ON a.folder_name = b.folder_name AND a.fs = b.fs AND a.folder_path <> b.folder_path")
+def pair_same_listing(spark, sf_dir):
+    return c.same_listing(v.tracks(spark, sf_dir))
+
+
+_PLACED = ", placed AS (SELECT f1, f2, pairs.n, a.p AS pos, a.file AS file1, b.file AS file2, a.file_hash AS h1, b.file_hash AS h2, a.genre AS g1, b.genre AS g2, a.lyrics AS l1, b.lyrics AS l2, a.title AS t1, b.title AS t2, a.artist AS a1, b.artist AS a2, a.album AS b1, b.album AS b2 FROM pairs JOIN files a ON f1 = a.folder_path JOIN files b ON f2 = b.folder_path AND a.p = b.p) "
+
+
+def _placed(spark, sf_dir):
+    files = tables.written(p.readable(v.tracks(spark, sf_dir)), "files")
+    return p.positions(p.same_count(files), files)
+
+
+@query(_PLACED + "SELECT f1, f2, pos, file1, file2 FROM placed")
+def zip_positions(spark, sf_dir):
+    return _placed(spark, sf_dir).select("f1", "f2", "pos", "file1", "file2")
+
+
+@query(_PLACED + "SELECT f1, f2, any_value(n) AS n, round(avg(CAST(h1 IS NOT DISTINCT FROM h2 AS INT)), 9) AS file_hash FROM placed GROUP BY ALL")
+def hash_match_fraction(spark, sf_dir):
+    return p.hash_fraction(_placed(spark, sf_dir)).withColumn("file_hash", F.round("file_hash", 9))
+
+
+@query(_PLACED + "SELECT f1, f2, key, round(count(*) / any_value(n), 9) AS score FROM (SELECT f1, f2, n, 'genre' AS key, g1 AS a, g2 AS b FROM placed UNION ALL SELECT f1, f2, n, 'lyrics', l1, l2 FROM placed) WHERE a <> '' AND lower(a) = lower(b) GROUP BY f1, f2, key")
+def extra_tag_matches(spark, sf_dir):
+    return p.extra_tags(_placed(spark, sf_dir)).withColumn("score", F.round("score", 9))
+
+
+@query(_PLACED + "SELECT f1, f2, round(avg(CAST(t1 IS NOT DISTINCT FROM t2 AND a1 IS NOT DISTINCT FROM a2 AND b1 IS NOT DISTINCT FROM b2 AND g1 IS NOT DISTINCT FROM g2 AND l1 IS NOT DISTINCT FROM l2 AS INT)), 9) AS score FROM placed GROUP BY ALL")
+def tag_map_equality(spark, sf_dir):
+    return p.tag_equality(_placed(spark, sf_dir)).withColumn("score", F.round("score", 9))
+
+
+@query(_PLACED + "SELECT DISTINCT f1, f2, pos, list_sort(list_filter(['genre', CASE WHEN l1 IS NOT NULL AND l2 IS NOT NULL THEN 'lyrics' END], lambda x: x IS NOT NULL))::VARCHAR AS keys FROM placed")
+def common_tag_keys(spark, sf_dir):
+    keys = F.array_except(F.array_intersect(F.map_keys("tags1"), F.map_keys("tags2")), F.array(*map(F.lit, p.MAIN_TAGS)))
+    return _placed(spark, sf_dir).select("f1", "f2", "pos", F.concat(F.lit("["), F.array_join(F.array_sort(keys), ", "), F.lit("]")).alias("keys"))
+
+
+@query("SELECT event_id, round(CASE WHEN greatest(a, b) > 0.7 THEN 1 - greatest(a, b) * 0.5 ELSE 1.0 END, 9) AS adjustment FROM (SELECT event_id, user_id % 100 / 100.0::DOUBLE AS a, event_id % 90 / 100.0::DOUBLE AS b FROM events)")
+def generic_adjustment(spark, sf_dir):
+    a, b = F.col("user_id") % 100 / 100.0, F.col("event_id") % 90 / 100.0
+    return v.table(spark, sf_dir, "events").select("event_id", F.round(p.adjustment(a, b), 9).alias("adjustment"))
+
+
+@query()
+def generic_name_score(spark, sf_dir):
+    return p.generic_scores(v.tracks(spark, sf_dir).select("folder_path", "pos", F.col("file").alias("name")))
+
+
+@query()
+def folder_profile(spark, sf_dir):
+    return p.profiles(*_library(spark, sf_dir))
+
+
+def _library(spark, sf_dir):
+    """Tracks and art as written tables, as a library has them; for operators that read them many times."""
+    return tables.written(v.tracks(spark, sf_dir), "tracks"), tables.written(v.art(spark, sf_dir), "art")
+
+
+def _pairs(spark, sf_dir, at_least=p.MINIMAL):
+    return p.similar_pairs(*_library(spark, sf_dir), at_least)
+
+
+@query()
+def weighted_score(spark, sf_dir):
+    found = _pairs(spark, sf_dir)
+    return found.withColumn("additional_metadata", F.to_json("additional_metadata"))
+
+
+@query()
+def param_mean_similarity(spark, sf_dir):
+    return _pairs(spark, sf_dir).where("not identical").select("f1", "f2", "file", "title", "album", "artist", "album_art")
+
+
+@query()
+def rank_similar_pairs(spark, sf_dir):
+    return p.ranked(_pairs(spark, sf_dir).select("f1", "f2", "identical", "weighted_score"))
+
+
+@query()
+def similarity_report(spark, sf_dir):
+    return p.report(_pairs(spark, sf_dir))
+
+
+@query()
+def compare_folders_v2(spark, sf_dir):
+    return p.compare(*_library(spark, sf_dir), v.role_alias(spark, sf_dir))
+
+
+# --- artist resolution and folder aggregates ------------------------------------------------------------------------
+
+
+@query(_ARTIST + "SELECT * FROM resolved")
+def resolve_artist(spark, sf_dir):
+    return c.resolve_artist(v.tracks(spark, sf_dir), v.role_alias(spark, sf_dir))
+
+
+@query("SELECT f.folder_path, coalesce(x.value, artist) AS artist, CASE WHEN x.value IS NOT NULL THEN folder_name ELSE album END AS album FROM (SELECT folder_path, folder_name, parent_folder, arg_min(artist, pos) FILTER (artist IS NOT NULL) AS artist, arg_min(album, pos) FILTER (album IS NOT NULL) AS album FROM tracks GROUP BY ALL) f LEFT JOIN role_alias x ON x.key = parent_folder")
+def resolve_artist_album_v2(spark, sf_dir):
+    return c.resolve_artist_album(v.tracks(spark, sf_dir), v.role_alias(spark, sf_dir))
+
+
+@query("SELECT folder_path, count(DISTINCT nullif(artist, '')) = 1 AS one_artist, count(DISTINCT nullif(album, '')) = 1 AS one_album FROM tracks GROUP BY ALL")
+def consistent_tags(spark, sf_dir):
+    one = lambda t: (F.countDistinct(text.present(c.tag(t))) == 1).alias(f"one_{t}")
+    return v.tracks(spark, sf_dir).groupBy("folder_path").agg(one("artist"), one("album"))
+
+
+@query("SELECT folder_path, round(coalesce(avg(nullif(bitrate_kbps, 0)), 0), 9) AS mean_kbps FROM tracks GROUP BY ALL")
+def avg_bitrate_nonzero(spark, sf_dir):
+    return d.mean_bitrate(v.tracks(spark, sf_dir)).withColumn("mean_kbps", F.round("mean_kbps", 9))
+
+
+@query(_ARTIST + "SELECT folder_path, first_artist.artist, first_album.album FROM first_artist FULL JOIN first_album USING (folder_path)")
+def first_nonempty_tag(spark, sf_dir):
+    t = v.tracks(spark, sf_dir)
+    return c.first_tag(t, "artist").join(c.first_tag(t, "album"), "folder_path", "full")
+
+
+_ALBUMS = ", albums AS (SELECT folder_path, md5(string_agg(file_hash, '' ORDER BY file)) AS album_hash, CAST(sum(size) AS BIGINT) AS size FROM tracks GROUP BY ALL) "
+
+
+@query(_ALBUMS + "SELECT * FROM albums")
+def album_content_hash(spark, sf_dir):
+    return d.album_hashes(v.tracks(spark, sf_dir))
+
+
+@query(_ALBUMS + "SELECT * FROM (SELECT *, first_value(folder_path) OVER (PARTITION BY album_hash ORDER BY size DESC, folder_path) AS kept FROM albums) WHERE kept <> folder_path")
+def dedupe_albums_by_size(spark, sf_dir):
+    return d.albums_by_size(v.tracks(spark, sf_dir))
+
+
+@query("SELECT DISTINCT x.path, CAST(sum(size) AS BIGINT) AS size FROM (SELECT DISTINCT regexp_extract(folder_path, '^(/[^/]*)') AS path FROM tracks UNION SELECT DISTINCT regexp_extract(folder_path, '^(/[^/]*/[^/]*)') FROM tracks UNION SELECT DISTINCT folder_path FROM tracks) x JOIN tracks t ON t.folder_path = x.path OR starts_with(t.folder_path, x.path || '/') GROUP BY ALL")
+def directory_size(spark, sf_dir):
+    return d.directory_sizes(v.tracks(spark, sf_dir))
+
+
+@query("SELECT album, count(*) AS n_files, string_agg(path, '|' ORDER BY path) AS files FROM doc_files WHERE album IS NOT NULL GROUP BY ALL")
+def organize_albums(spark, sf_dir):
+    return d.by_album(v.doc_files(spark, sf_dir)).withColumn("files", F.array_join("files", "|"))
+
+
+@query("SELECT folder_path, CAST(sum(CASE WHEN readable THEN 3 + (artist IS NOT NULL)::INT + (lyrics IS NOT NULL)::INT ELSE 0 END) AS BIGINT) AS n_tags FROM tracks GROUP BY ALL")
+def tag_count(spark, sf_dir):
+    return d.tag_counts(v.tracks(spark, sf_dir))
+
+
+@query("SELECT action, count(DISTINCT src) AS n_files FROM (SELECT 'set_tag' AS action, path AS src FROM tracks WHERE regexp_matches(lower(genre), 'download|advertisement|promo') UNION ALL SELECT 'set_tag', path FROM tracks WHERE artist <> parent_folder UNION ALL SELECT 'rename', path FROM tracks WHERE coalesce(title, '') <> '') GROUP BY ALL")
+def action_summary(spark, sf_dir):
+    t = v.tracks(spark, sf_dir)
+    return r.summary(r.fixed_genres(t).unionByName(r.artist_from_parent(t)).unionByName(r.rename_from_title(t)))
+
+
+# --- keep one -------------------------------------------------------------------------------------------------------
+
+
+def _keep_one(key: str, order: str, source: str = "doc_files", where: str = "true") -> str:
+    return f"SELECT path, kept FROM (SELECT path, first_value(path) OVER (PARTITION BY {key} ORDER BY {order}) AS kept FROM {source} WHERE {where}) WHERE path <> kept"
+
+
+@query(_keep_one("folder_path, file_hash", "file"))
+def dedupe_in_folder(spark, sf_dir):
+    return d.in_folder(v.doc_files(spark, sf_dir)).select("path", "kept")
+
+
+@query(_keep_one("file_hash", "bitrate_bps DESC, root_ord, folder_path, file", where="file_hash <> ''"))
+def dedupe_global_best(spark, sf_dir):
+    return d.global_best(v.doc_files(spark, sf_dir)).select("path", "kept")
+
+
+@query(_keep_one("audio_fingerprint", "root_ord, folder_path, file", "tracks"))
+def dedupe_by_fingerprint(spark, sf_dir):
+    return d.by_fingerprint(v.tracks(spark, sf_dir)).select("path", "kept")
+
+
+@query(_keep_one("album", "bitrate_bps DESC, root_ord, folder_path, file", where="album IS NOT NULL"))
+def best_file_per_album(spark, sf_dir):
+    return d.best_per_album(v.doc_files(spark, sf_dir)).select("path", "kept")
+
+
+@query("SELECT 'recycle' AS action, path AS src, '/bin/' || file AS dst, 'duplicate' AS reason FROM (SELECT path, file, first_value(path) OVER (PARTITION BY folder_path, file_hash ORDER BY file) AS kept FROM doc_files) WHERE path <> kept")
+def recycle_plan(spark, sf_dir):
+    return r.recycle(d.in_folder(v.doc_files(spark, sf_dir)), "/bin")
+
+
+# --- quality, choice, plans -----------------------------------------------------------------------------------------
+
+
+@query()
+def folder_quality(spark, sf_dir):
+    t, art = _library(spark, sf_dir)
+    return q.scores(t, p.profiles(t, art))
+
+
+@query()
+def quality_report(spark, sf_dir):
+    return q.report(folder_quality(spark, sf_dir))
+
+
+def _rated(spark, sf_dir):
+    """Pairs of equal counts with a quality made of plain columns, so that the rules behind can be checked by SQL."""
+    t = v.tracks(spark, sf_dir)
+    files = p.readable(t)
+    quality = t.groupBy("folder_path").agg((F.sum("size") % 7).cast("double").alias("quality"))
+    return q.attach(p.same_count(files).select("f1", "f2", "n"), quality, d.mean_bitrate(t))
+
+
+_RATED = ", rate AS (SELECT folder_path, CAST(sum(size) % 7 AS DOUBLE) AS quality, coalesce(avg(nullif(bitrate_kbps, 0)), 0) AS b FROM tracks GROUP BY ALL), rated AS (SELECT f1, f2, x.quality AS q1, y.quality AS q2, x.b AS b1, y.b AS b2 FROM pairs JOIN rate x ON f1 = x.folder_path JOIN rate y ON f2 = y.folder_path) "
+
+
+@query(_RATED + "SELECT f1, f2, q1 AS quality1, q2 AS quality2, round(b1, 9) AS bitrate1, round(b2, 9) AS bitrate2 FROM rated")
+def attach_pair_quality(spark, sf_dir):
+    return _rated(spark, sf_dir).select("f1", "f2", "quality1", "quality2", F.round("bitrate1", 9).alias("bitrate1"), F.round("bitrate2", 9).alias("bitrate2"))
+
+
+@query(_RATED + "SELECT f1, f2, CASE WHEN b1 = b2 THEN CASE WHEN q1 >= q2 THEN f1 ELSE f2 END WHEN b1 > b2 THEN f1 ELSE f2 END AS high, CASE WHEN b1 = b2 THEN CASE WHEN q1 >= q2 THEN f1 ELSE f2 END WHEN b1 >= 128 AND b2 >= 128 THEN CASE WHEN b1 <= b2 THEN f1 ELSE f2 END WHEN b2 >= 128 THEN f2 ELSE f1 END AS near_128 FROM rated")
+def decide_preferred(spark, sf_dir):
+    rows = q.decided(_rated(spark, sf_dir), "high").withColumnRenamed("preferred", "high").drop("other")
+    return q.decided(rows, "128").select("f1", "f2", "high", F.col("preferred").alias("near_128"))
+
+
+@query(", counted AS (SELECT folder_path, count(*) AS n, CAST(sum(CASE WHEN readable THEN 3 + (artist IS NOT NULL)::INT + (lyrics IS NOT NULL)::INT ELSE 0 END) AS BIGINT) AS t FROM tracks GROUP BY ALL) SELECT f1, f2, CASE WHEN x.n > y.n OR (x.n = y.n AND x.t > y.t) THEN f1 ELSE f2 END AS preferred FROM pairs JOIN counted x ON f1 = x.folder_path JOIN counted y ON f2 = y.folder_path")
+def choose_preferred_v2(spark, sf_dir):
+    t = v.tracks(spark, sf_dir)
+    counts = t.groupBy("folder_path").agg(F.count("*").alias("n")).join(d.tag_counts(t), "folder_path")
+    side = lambda k: counts.select(F.col("folder_path").alias(f"f{k}"), F.col("n").alias(f"n{k}"), F.col("n_tags").alias(f"n_tags{k}"))
+    pairs = p.same_count(p.readable(t)).select("f1", "f2").join(side(1), "f1").join(side(2), "f2")
+    return q.preferred_by_counts(pairs).select("f1", "f2", "preferred")
+
+
+def _chosen(spark, sf_dir, at_least=p.MINIMAL):
+    """Kept pairs with quality, the copy to keep, and the score."""
+    t, art = _library(spark, sf_dir)
+    profiles = tables.written(p.profiles(t, art), "profiles")
+    pairs = p.similar_pairs(t, art, at_least, info=profiles).select("f1", "f2", "weighted_score")
+    return q.decided(q.attach(pairs, q.scores(t, profiles), d.mean_bitrate(t)))
+
+
+#: Copies under the second root, each with its original: what the file-level merges are checked on.
+_COPIES = ", copies AS (SELECT DISTINCT folder_path AS preferred, '/lib' || substr(folder_path, 6) AS other FROM tracks WHERE root_ord = 1) "
+
+
+def _copies(spark, sf_dir):
+    t = v.tracks(spark, sf_dir)
+    return t.where("root_ord = 1").select(F.col("folder_path").alias("preferred"), F.concat(F.lit("/lib"), F.substring("folder_path", 6, 1000)).alias("other")).distinct()
+
+
+_MATCHED = ", found AS (SELECT preferred, other, a.file, coalesce((SELECT arg_max(b.file, b.pos) FROM tracks b WHERE b.folder_path = other AND b.file_hash = a.file_hash), (SELECT min(b.file) FROM tracks b WHERE b.folder_path = other AND b.file = a.file)) AS match FROM copies JOIN tracks a ON a.folder_path = preferred) "
+
+
+@query(_COPIES + _MATCHED + "SELECT * FROM found WHERE match IS NOT NULL")
+def match_files_for_merge(spark, sf_dir):
+    return q.matched_files(_copies(spark, sf_dir), v.tracks(spark, sf_dir))
+
+
+@query(_COPIES + _MATCHED + """, sides AS (SELECT preferred, f.file, a.title AS t1, b.title AS t2, a.artist AS a1, b.artist AS a2, a.album AS b1, b.album AS b2, a.genre AS g1, b.genre AS g2, a.lyrics AS l1, b.lyrics AS l2
+FROM found f JOIN tracks a ON a.folder_path = preferred AND a.file = f.file JOIN tracks b ON b.folder_path = other AND b.file = match WHERE match IS NOT NULL AND (hash(preferred) IS NOT NULL))
+SELECT preferred, file, key, value FROM (SELECT preferred, file, 'title' AS key, t1 AS own, t2 AS value FROM sides UNION ALL SELECT preferred, file, 'artist', NULL, a2 FROM sides UNION ALL SELECT preferred, file, 'album', b1, b2 FROM sides UNION ALL SELECT preferred, file, 'genre', g1, g2 FROM sides UNION ALL SELECT preferred, file, 'lyrics', NULL, l2 FROM sides) WHERE coalesce(own, '') = '' AND value <> ''""")
+def merge_tags(spark, sf_dir):
+    t = v.tracks(spark, sf_dir)
+    poor = t.withColumn("tags", F.when(F.col("root_ord") == 1, F.map_filter("tags", lambda k, x: ~k.isin("artist", "lyrics"))).otherwise(F.col("tags")))
+    return q.merged_tags(q.matched_files(_copies(spark, sf_dir), poor), poor)
+
+
+@query(_COPIES + "SELECT 'copy' AS action, other || '/' || file AS src, preferred || '/' || file AS dst, 'cover' AS reason FROM copies JOIN (SELECT folder_path, min(file) AS file FROM art WHERE lower(file) IN ('cd cover.jpg', 'album cover.jpg', 'albumartsmall.jpg', 'cover.jpg', 'folder.jpg', 'cover.png', 'תמונה.jpg') GROUP BY ALL) ON folder_path = other WHERE preferred NOT IN (SELECT folder_path FROM art WHERE file IN ('cd cover.jpg', 'album cover.jpg', 'albumartsmall.jpg', 'cover.jpg', 'folder.jpg', 'cover.png', 'תמונה.jpg'))")
+def merge_album_art(spark, sf_dir):
+    return q.merged_covers(_copies(spark, sf_dir), v.art(spark, sf_dir))
+
+
+@query(_COPIES + "SELECT 'move' AS action, other || '/' || file AS src, preferred || '/' || file AS dst, 'missing' AS reason FROM copies JOIN tracks t ON t.folder_path = other WHERE NOT EXISTS (FROM tracks o WHERE o.folder_path = preferred AND o.file = t.file) UNION ALL SELECT 'rmtree', other, NULL, 'merged' FROM copies")
+def merge_missing_files(spark, sf_dir):
+    return q.missing_files(_copies(spark, sf_dir), v.tracks(spark, sf_dir))
+
+
+@query()
+def merge_plan(spark, sf_dir):
+    return q.merge_plan(tables.written(_chosen(spark, sf_dir, p.MERGE_FROM), "chosen"), v.tracks(spark, sf_dir), v.art(spark, sf_dir))
+
+
+@query()
+def delete_plan(spark, sf_dir):
+    return q.delete_plan(_chosen(spark, sf_dir))
+
+
+@query(_RATED + "SELECT f1, f2, CASE WHEN q1 > q2 THEN 'first' WHEN q1 < q2 THEN 'second' ELSE 'equal' END AS better FROM rated")
+def better_of_pair(spark, sf_dir):
+    return q.better(_rated(spark, sf_dir)).select("f1", "f2", "better")
+
+
+@query("SELECT * FROM (SELECT 'high bitrate' AS rule, count(*) AS n FROM tracks WHERE bitrate_bps > 320000 UNION ALL SELECT 'bad genre', count(*) FROM tracks WHERE regexp_matches(lower(genre), 'download|advertisement|promo') UNION ALL SELECT 'no cover', count(*) FROM tracks WHERE NOT has_embedded_art UNION ALL SELECT 'copies', count(*) FROM (SELECT path, first_value(path) OVER (PARTITION BY file_hash ORDER BY bitrate_bps DESC, root_ord, folder_path, file) AS kept FROM tracks) WHERE path <> kept)")
+def library_overview(spark, sf_dir):
+    t = v.tracks(spark, sf_dir)
+    return q.overview({"high bitrate": r.high_bitrate(t), "bad genre": r.fixed_genres(t), "no cover": r.missing_art(t), "copies": d.global_best(t)})
