@@ -1,5 +1,9 @@
 """A SentencePiece vocabulary read as a unigram model, and the units that its texts fall into.
 
+The score of a piece is the logarithm of a probability. A file of the unigram kind holds it (scores="file"). One of the
+merge kind holds only ranks, whose sums would favour early merges whatever their number; there (scores="rank") the
+probability follows the rank by Zipf's law, 1 / ((rank + 1) * H) with H the sum of 1 / (rank + 1) over all pieces.
+
 A segmentation's score is the sum of its pieces' scores; the best one wins. Of equal scores, the one whose last piece is
 longer wins, at every position. A character that is no piece itself costs the least score less UNKNOWN and stands for
 its UTF-8 bytes. White space: a text is marked by U+2581 in front and in place of each space, as the vocabulary's own
@@ -11,6 +15,7 @@ with what follows) whose segmentations do not depend on each other.
 
 from __future__ import annotations
 
+import math
 import re
 from functools import cache
 
@@ -19,13 +24,17 @@ _units = re.compile(f"{MARK}+[^{MARK}]*").findall
 
 
 class Vocabulary:
-    def __init__(self, path: str):
+    def __init__(self, path: str, scores: str = "rank"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         #: piece -> (score, id)
         self.pieces = {model.id_to_piece(i): (model.get_score(i), i) for i in plain}
+        if scores == "rank":
+            order = sorted(self.pieces, key=lambda p: -self.pieces[p][0])  # stable: of equal scores, the lower id first
+            total = sum(1 / (rank + 1) for rank in range(len(order)))
+            self.pieces = {p: (-math.log((rank + 1) * total), self.pieces[p][1]) for rank, p in enumerate(order)}
         self.byte_ids = {int(model.id_to_piece(i)[3:5], 16): i for i in range(model.get_piece_size()) if model.is_byte(i)}
         self.unknown_id = model.unk_id()
         self.unknown = min(s for s, _ in self.pieces.values()) - UNKNOWN
@@ -58,6 +67,6 @@ class Vocabulary:
 
 
 @cache
-def vocabulary(path: str) -> Vocabulary:
+def vocabulary(path: str, scores: str = "rank") -> Vocabulary:
     """The vocabulary of this worker process; it lives as long as the worker."""
-    return Vocabulary(path)
+    return Vocabulary(path, scores)
