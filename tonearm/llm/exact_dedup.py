@@ -34,7 +34,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def merge_runs(rows: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFrame:
     """(sha, n_bytes, check, keep_id, group_size) of digest rows, merged in rounds."""
     level = rows.select(*KEY, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.pmod(F.xxhash64("id", "check"), F.lit(runs)).alias("run"))
-    while runs > 1:
+    while "run" in level.columns:
         runs = -(-runs // fan_in)
         key = KEY if runs == 1 else [*KEY, (F.col("run") % runs).alias("run")]
         level = level.groupBy(*key).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
