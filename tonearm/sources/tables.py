@@ -23,7 +23,7 @@ ACTIONS = "seq BIGINT, action STRING, src STRING, dst STRING, reason STRING, sco
 
 def scan_files(spark: SparkSession, root: str, root_ord: int = 0, with_content: bool = False) -> DataFrame:
     """One row per file below root: folder, name, extension, size, time, and, if asked for, the MD5 of its bytes.
-    Content is read only then, and never leaves the scan."""
+    Content is read only then, and never leaves the scan. Spark's reader lists no files of zero bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", "^file:", "")
     rows = files.select(
