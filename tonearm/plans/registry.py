@@ -15,6 +15,7 @@ from tonearm.operators import quality as q
 from tonearm.operators import rules as r
 from tonearm.plans import views as v
 from tonearm.sources import tables
+from tonearm.streaming import incoming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -113,6 +114,36 @@ def scan_catalog(spark, sf_dir):
     return found.select("folder_hash", "folder_path", "folder_name", "parent_folder", "n_files", F.array_join(F.transform("files", lambda f: f["file"]), "|").alias("files"), "artist", "album", "album_art")
 
 
+CATALOG = "folder_hash string, folder_path string, folder_name string, n_files long"
+
+
+@query("SELECT md5(folder_path) AS folder_hash, folder_path, folder_name, count(*) AS n_files FROM tracks GROUP BY folder_path, folder_name HAVING count(*) > 2")
+def load_catalog(spark, sf_dir):
+    """A catalog that is saved in two parts, the second being what the first does not hold, and loaded."""
+    path = tables.shared_path(spark, "catalog")
+    found = c.album_folders(v.tracks(spark, sf_dir)).withColumn("folder_hash", F.md5("folder_path")).select("folder_hash", "folder_path", "folder_name", "n_files")
+    tables.save_catalog(found.where("folder_path like '/lib/%'"), path)
+    tables.save_catalog(c.new_folders(found.drop("folder_hash"), tables.load_catalog(spark, path, CATALOG)).select(*found.columns), path)
+    return tables.load_catalog(spark, path, CATALOG)
+
+
+@query("SELECT lower(n_name) AS source, substr(n_name, 1, 3) AS target FROM nation")
+def read_rename_list(spark, sf_dir):
+    path = tables.shared_path(spark, "renames")
+    v.table(spark, sf_dir, "nation").select(F.lower("n_name"), F.substring("n_name", 1, 3)).write.csv(path)
+    return tables.read_rename_list(spark, path)
+
+
+@query("SELECT DISTINCT md5(text) AS file_hash FROM documents")
+def stream_first_copies(spark, sf_dir):
+    """Documents as a stream, in as many batches as there are files; of equal content only the first arrives."""
+    kind = v.table(spark, sf_dir, "documents").schema
+    files = spark.readStream.schema(kind).option("maxFilesPerTrigger", 2).parquet(f"{sf_dir}/documents*.parquet").select(F.md5("text").alias("file_hash"))
+    path = tables.shared_path(spark, "arrived")
+    incoming.append(incoming.first_copies(files), path, tables.shared_path(spark, "state")).awaitTermination()
+    return spark.read.schema("file_hash string").parquet(path)
+
+
 @query("SELECT 'copy' AS action, path AS src, '/backup' || substr(path, 5) AS dst FROM tracks WHERE starts_with(folder_path, '/lib')")
 def backup_plan(spark, sf_dir):
     return c.backup_plan(v.tracks(spark, sf_dir), "/lib", "/backup")
@@ -123,15 +154,33 @@ def backup_plan(spark, sf_dir):
 _STEM = r"regexp_replace({0}, '(?s)\A((?:.*/)?\.*[^./][^/]*)\.[^./]*\z', '\1')"
 
 
-@query(rf"SELECT page_id, {_STEM.format('url')} AS stem, lower(substr(url, length({_STEM.format('url')}) + 1)) AS ext, regexp_extract(url, '([^/]*)$', 1) AS base, string_split(url, '/')[-2] AS parent FROM pages")
-def split_paths(spark, sf_dir):
-    u = F.col("url")
-    return v.table(spark, sf_dir, "pages").select("page_id", text.stem(u).alias("stem"), text.extension(u).alias("ext"), text.base_name(u).alias("base"), text.parent_name(u).alias("parent"))
+def _urls(spark, sf_dir, **columns):
+    return v.table(spark, sf_dir, "pages").select("page_id", *[f(F.col("url")).alias(k) for k, f in columns.items()])
+
 
+@query(rf"SELECT page_id, {_STEM.format('url')} AS stem, lower(substr(url, length({_STEM.format('url')}) + 1)) AS ext FROM pages")
+def split_ext(spark, sf_dir):
+    return _urls(spark, sf_dir, stem=text.stem, ext=text.extension)
 
-@query(r"SELECT doc_id, md5(regexp_replace(text, '\p{Nd}', '', 'g')) AS no_digits, md5(regexp_replace(regexp_replace(text, '[^\p{L}\p{Nl}\p{No}]', '', 'g'), '[²³¹⁰-⁹₀-₉]', '', 'g')) AS letters FROM documents")
+
+@query("SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base FROM pages")
+def base_name(spark, sf_dir):
+    return _urls(spark, sf_dir, base=text.base_name)
+
+
+@query("SELECT page_id, string_split(url, '/')[-2] AS parent FROM pages")
+def parent_name(spark, sf_dir):
+    return _urls(spark, sf_dir, parent=text.parent_name)
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(text, '\p{Nd}', '', 'g')) AS no_digits FROM documents")
 def strip_digits(spark, sf_dir):
-    return v.table(spark, sf_dir, "documents").select("doc_id", F.md5(text.strip_digits(F.col("text"))).alias("no_digits"), F.md5(text.letters_only(F.col("text"))).alias("letters"))
+    return v.table(spark, sf_dir, "documents").select("doc_id", F.md5(text.strip_digits(F.col("text"))).alias("no_digits"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[^\p{L}\p{Nl}\p{No}]', '', 'g'), '[²³¹⁰-⁹₀-₉]', '', 'g')) AS letters FROM documents")
+def remove_numbers(spark, sf_dir):
+    return v.table(spark, sf_dir, "documents").select("doc_id", F.md5(text.letters_only(F.col("text"))).alias("letters"))
 
 
 def _garbled(spark, sf_dir):
@@ -143,10 +192,19 @@ def _garbled(spark, sf_dir):
 _GARBLED = ", garbled AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN translate(left(text, 60), 'aeiounrstlhdcm', 'àáâãäåæçèéêëìí') WHEN doc_id % 3 = 0 THEN 'שלום ' || translate(left(text, 60), 'aeiounrstlhdcm', 'àáâãäåæçèéêëìí') ELSE left(text, 60) END AS t FROM documents), judged AS (SELECT doc_id, t, regexp_matches(t, '[֐-ת]') AS hebrew, length(regexp_replace(t, '[^à-ú]', '', 'g')) > length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AND NOT regexp_matches(t, '[֐-ת]') AS mojibake FROM garbled) "
 
 
-@query(_GARBLED + f"SELECT doc_id, hebrew, mojibake, CASE WHEN mojibake THEN translate(t, '{text.MOJIBAKE}', '{text.HEBREW}') ELSE t END AS fixed FROM judged")
+@query(_GARBLED + "SELECT doc_id, hebrew FROM judged")
+def contains_hebrew(spark, sf_dir):
+    return _garbled(spark, sf_dir).select("doc_id", text.contains_hebrew(F.col("t")).alias("hebrew"))
+
+
+@query(_GARBLED + "SELECT doc_id, mojibake FROM judged")
+def is_mojibake(spark, sf_dir):
+    return _garbled(spark, sf_dir).select("doc_id", text.is_mojibake(F.col("t")).alias("mojibake"))
+
+
+@query(_GARBLED + f"SELECT doc_id, CASE WHEN mojibake THEN translate(t, '{text.MOJIBAKE}', '{text.HEBREW}') ELSE t END AS fixed FROM judged")
 def fix_mojibake(spark, sf_dir):
-    t = F.col("t")
-    return _garbled(spark, sf_dir).select("doc_id", text.contains_hebrew(t).alias("hebrew"), text.is_mojibake(t).alias("mojibake"), text.fix_mojibake(t).alias("fixed"))
+    return _garbled(spark, sf_dir).select("doc_id", text.fix_mojibake(F.col("t")).alias("fixed"))
 
 
 def _track_docs(spark, sf_dir):
@@ -212,6 +270,12 @@ def fix_genre(spark, sf_dir):
     return r.fixed_genres(v.tracks(spark, sf_dir))
 
 
+@query("SELECT folder_path, file, genre FROM tracks WHERE regexp_matches(lower(genre), 'download|advertisement|promo')")
+def invalid_genre(spark, sf_dir):
+    genre = c.tag("genre")
+    return v.tracks(spark, sf_dir).where(text.is_ad_genre(genre)).select("folder_path", "file", genre.alias("genre"))
+
+
 @query("SELECT 'set_tag' AS action, path AS src, parent_folder AS dst, 'artist' AS reason FROM tracks WHERE artist <> parent_folder")
 def artist_from_parent(spark, sf_dir):
     return r.artist_from_parent(v.tracks(spark, sf_dir))
@@ -286,6 +350,18 @@ def seq_ratio(spark, sf_dir):
     return similarity.scored(rows, "title", "next")
 
 
+@query()
+def seq_ratio_list(spark, sf_dir):
+    """Ratios of the file lists of folders with equally many files."""
+    from tonearm.functions import similarity
+
+    t = v.tracks(spark, sf_dir)
+    lists = t.groupBy("folder_path").agg(F.array_sort(F.collect_list(text.letters_only(F.col("file")))).alias("names"))
+    side = lambda k: lists.select(F.col("folder_path").alias(f"f{k}"), F.col("names").alias(f"names{k}"))
+    pairs = p.same_count(p.readable(t)).select("f1", "f2").join(side(1), "f1").join(side(2), "f2")
+    return pairs.select("f1", "f2", similarity.seq_ratio("names1", "names2").alias("ratio"))
+
+
 @query()
 def nearest_name(spark, sf_dir):
     return p.nearest(_part_names(spark, sf_dir))
@@ -416,10 +492,18 @@ def resolve_artist_album_v2(spark, sf_dir):
     return c.resolve_artist_album(v.tracks(spark, sf_dir), v.role_alias(spark, sf_dir))
 
 
-@query("SELECT folder_path, count(DISTINCT nullif(artist, '')) = 1 AS one_artist, count(DISTINCT nullif(album, '')) = 1 AS one_album FROM tracks GROUP BY ALL")
-def consistent_tags(spark, sf_dir):
-    one = lambda t: (F.countDistinct(text.present(c.tag(t))) == 1).alias(f"one_{t}")
-    return v.tracks(spark, sf_dir).groupBy("folder_path").agg(one("artist"), one("album"))
+def _one(spark, sf_dir, name):
+    return v.tracks(spark, sf_dir).groupBy("folder_path").agg((F.countDistinct(text.present(c.tag(name))) == 1).alias(f"one_{name}"))
+
+
+@query("SELECT folder_path, count(DISTINCT nullif(artist, '')) = 1 AS one_artist FROM tracks GROUP BY ALL")
+def consistent_artist(spark, sf_dir):
+    return _one(spark, sf_dir, "artist")
+
+
+@query("SELECT folder_path, count(DISTINCT nullif(album, '')) = 1 AS one_album FROM tracks GROUP BY ALL")
+def consistent_album(spark, sf_dir):
+    return _one(spark, sf_dir, "album")
 
 
 @query("SELECT folder_path, round(coalesce(avg(nullif(bitrate_kbps, 0)), 0), 9) AS mean_kbps FROM tracks GROUP BY ALL")
@@ -544,9 +628,8 @@ def choose_preferred_v2(spark, sf_dir):
     return q.preferred_by_counts(pairs).select("f1", "f2", "preferred")
 
 
-def _chosen(spark, sf_dir, at_least=p.MINIMAL):
+def _chosen(t, art, at_least=p.MINIMAL):
     """Kept pairs with quality, the copy to keep, and the score."""
-    t, art = _library(spark, sf_dir)
     profiles = tables.written(p.profiles(t, art), "profiles")
     pairs = p.similar_pairs(t, art, at_least, info=profiles).select("f1", "f2", "weighted_score")
     return q.decided(q.attach(pairs, q.scores(t, profiles), d.mean_bitrate(t)))
@@ -590,12 +673,15 @@ def merge_missing_files(spark, sf_dir):
 
 @query()
 def merge_plan(spark, sf_dir):
-    return q.merge_plan(tables.written(_chosen(spark, sf_dir, p.MERGE_FROM), "chosen"), v.tracks(spark, sf_dir), v.art(spark, sf_dir))
+    """On a library whose first root has lost its genres, so that copies have something to give."""
+    t, art = _library(spark, sf_dir)
+    t = t.withColumn("tags", F.when(F.col("root_ord") == 0, F.map_filter("tags", lambda k, x: k != "genre")).otherwise(F.col("tags")))
+    return q.merge_plan(tables.written(_chosen(t, art, p.MERGE_FROM), "chosen"), t, art)
 
 
 @query()
 def delete_plan(spark, sf_dir):
-    return q.delete_plan(_chosen(spark, sf_dir))
+    return q.delete_plan(_chosen(*_library(spark, sf_dir)))
 
 
 @query(_RATED + "SELECT f1, f2, CASE WHEN q1 > q2 THEN 'first' WHEN q1 < q2 THEN 'second' ELSE 'equal' END AS better FROM rated")

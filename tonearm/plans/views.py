@@ -41,7 +41,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("nation").alias("parent_folder"), name.alias("file"), size.cast("long").alias("size"),
         F.element_at(F.array(*map(F.lit, (96000, 128000, 192000, 320000, 1411000))), 1 + size % 5).cast("long").alias("bitrate_bps"),
         F.when((F.col("conv_id") % 17 == 5) & (F.col("turn") == 2), None).otherwise(tags).alias("tags"), F.md5("text").alias("file_hash"), F.md5(F.lower("text")).alias("audio_fingerprint"),
-        (F.col("turn") % 3 == 0).alias("has_embedded_art"),
+        ((F.col("turn") % 3 == 0) & (F.col("conv_id") % 4 != 3)).alias("has_embedded_art"),
     )
     pos = F.row_number().over(Window.partitionBy("folder_path").orderBy("file"))
     return rows.withColumns({"ext": text.extension(F.col("file")), "pos": pos, "bitrate_kbps": F.expr("bitrate_bps div 1000").cast("int")})
@@ -98,7 +98,7 @@ raw AS (
     lpad(CAST(turn + 1 AS VARCHAR), 2, '0') || ' ' || regexp_replace(left(text, 24), '[/\n]', ' ', 'g') || CASE conv_id % 3 WHEN 0 THEN '.mp3' WHEN 1 THEN '.flac' ELSE '.MP3' END AS file,
     length(text) AS size, [96000, 128000, 192000, 320000, 1411000][1 + length(text) % 5] AS bitrate_bps, NOT (conv_id % 17 = 5 AND turn = 2) AS readable,
     left(text, 40) AS title0, CASE WHEN conv_id % 3 > 0 THEN role END AS artist0, 'album ' || (conv_id % 10) AS album0, CASE WHEN turn % 4 = 0 THEN 'Promo mix' ELSE 'pop' END AS genre0,
-    CASE WHEN turn % 2 = 0 THEN 'la' END AS lyrics0, md5(text) AS file_hash, md5(lower(text)) AS audio_fingerprint, turn % 3 = 0 AS has_embedded_art
+    CASE WHEN turn % 2 = 0 THEN 'la' END AS lyrics0, md5(text) AS file_hash, md5(lower(text)) AS audio_fingerprint, (turn % 3 = 0 AND conv_id % 4 <> 3) AS has_embedded_art
   FROM src),
 tracks AS (
   SELECT *, lower(substr(file, length(regexp_replace(file, '(?s)\A((?:.*/)?\.*[^./][^/]*)\.[^./]*\z', '\1')) + 1)) AS ext, row_number() OVER (PARTITION BY folder_path ORDER BY file) AS pos,

@@ -68,13 +68,17 @@ def save_catalog(catalog: DataFrame, path: str, kind: str = "parquet", mode: str
 _own_folder: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once: written to the folder that the cluster shares (spark.checkpoint.dir; a temporary one where that
-    is unset, as in tests) and read back. Cuts long plans at tables that are used several times."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir; a temporary one where that is unset, as in tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = _own_folder[0] if _own_folder else tempfile.mkdtemp(prefix="spark-")
         _own_folder[:] = [base]
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once: written to the shared folder and read back. Cuts long plans at tables that are used several times."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
