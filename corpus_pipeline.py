@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import exact_dedup, packing, secrets, simhash, toxicity
+from tonearm.llm import exact_dedup, jaccard, packing, secrets, toxicity
 from tonearm.llm.queries import vocabulary_file
 from tonearm.llm.shared import read_table, stored
 
@@ -23,7 +23,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_copies(docs)
+    return jaccard.drop_near_copies(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,72 @@
+import random
+import re
+
+import corpus_pipeline
+from tonearm.llm import jaccard as m
+from tonearm.llm.shared import read_table
+
+
+def plain_shingles(text):
+    text = re.sub("[A-Z]", lambda x: x[0].lower(), text or "")
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def plain_kept(rows):
+    """Brute force over all pairs: the ids that are the smallest of their component."""
+    sets = [plain_shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    linked = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+                linked += 1
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return sorted((d for i, (d, _) in enumerate(rows) if d is None or d == least[find(i)]), key=str), linked
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"new{rng.random()}"
+    return words
+
+
+def test_all_linked_documents_go(spark):
+    rng = random.Random(8)
+    line = "the same line stands at the head of every one of these texts"
+    rows = [(None, "lone text without an id here"), (50, None), (40, ""), (41, "  "), (60, "One two"), (59, "one TWO"), (61, "one two three")]
+    for i in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((30, 100, 400)))]
+        rows.append((i * 20 + 100 + rng.randrange(20), f"{line} {' '.join(base)}"))
+        for _ in range(rng.choice((0, 0, 1, 3))):
+            rows.append((i * 20 + 100 + rng.randrange(20), f"{line} {' '.join(edited(rng, base, rng.randrange(1 + len(base) // 25)))}"))
+    base = [f"h{i}" for i in range(120)]
+    rows += [(9000 + i, " ".join(edited(rng, base, rng.randrange(4)))) for i in range(60)]  # a large cluster, linked over steps
+    rows = list({d: (d, t) for d, t in rows}.values())
+    kept = m.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    want, linked = plain_kept(rows)
+    assert linked > 100 and kept.columns == ["doc_id", "text"]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == want
+
+
+def test_stage_equals_brute_force(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = corpus_pipeline.exact_dedup_stage(spark, read_table(spark, sf_dir, "documents"), sf_dir)
+    want, linked = plain_kept([(r.doc_id, r.text) for r in docs.collect()])
+    assert linked >= 5
+    assert sorted((r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, sf_dir).collect()), key=str) == want
+
+
+def test_empty_table(spark):
+    assert m.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0

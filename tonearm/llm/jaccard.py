@@ -1,0 +1,122 @@
+"""Near copies by the Jaccard similarity of five-word shingles, each link verified exactly.
+
+1. A text is the set of the hashes of its five-word shingles (XXH64; words as in simhash). Rows with equal sets are one node.
+2. Candidates: MinHash, 32 keys of 4 minima each. Nodes that share a key meet. Two sets of similarity 0.8 fail to meet with
+   probability (1 - 0.8^4)^32 = 5e-8, more similar ones less often still: that is the only loss.
+3. Each candidate is compared on its whole sets, by a join; only a similarity of `over` / `of` or more makes a link.
+4. First every node of a bucket is compared with the bucket's first node, then with its last, and what has linked becomes a
+   component; then all pairs of one bucket that still lie in different components. Members of a component are not compared again, so a
+   large cluster does not cost its square, and no pair that could join two components is left out.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tonearm.llm.shared import bound_batches, stored
+from tonearm.llm.simhash import components
+
+BANDS, MINIMA, SHINGLE = 32, 4, 5
+_MIX = np.random.default_rng(5).integers(0, 2**64, (2, BANDS * MINIMA), np.uint64) | np.array([[1], [0]], np.uint64)
+
+
+def grams(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted set of shingle hashes; fewer words are one shingle, no words are the set of 0 alone."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.zeros(1, np.uint64)
+    digest, n = xxhash.xxh64_intdigest, max(1, len(found) - shingle + 1)
+    return np.unique(np.fromiter((digest(b" ".join(found[i : i + shingle]), 42) for i in range(n)), np.uint64, n))
+
+
+def keys(of: np.ndarray, chunk: int = 2048) -> np.ndarray:
+    """One key for each band: a hash of its minima."""
+    low = np.full(BANDS * MINIMA, 2**64 - 1, np.uint64)
+    for at in range(0, len(of), chunk):
+        np.minimum(low, (of[at : at + chunk, None] * _MIX[0] + _MIX[1]).min(axis=0), out=low)
+    return np.array([xxhash.xxh64_intdigest(m.tobytes(), band) for band, m in enumerate(low.reshape(BANDS, MINIMA))], np.uint64)
+
+
+def _mapped(docs: DataFrame, id_col: str, text_col: str, name: str, of) -> DataFrame:
+    """(id, s, name): one row per row of docs; s is a hash of the set, name what `of` gives for it."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 200):  # a batch of sets is larger than its texts
+                part = b.slice(at, 200)
+                sets = [grams(t) for t in part.column(1).to_pylist()]
+                s = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], np.uint64).view(np.int64)
+                told = [of(x) for x in sets]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in told])].astype(np.int32)), pa.array(np.concatenate(told).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), lists], names=["id", "s", name])
+
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, f"id {source.dtypes[0][1]}, s long, {name} array<long>")
+
+
+def sets_of(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, met: DataFrame) -> DataFrame:
+    """(s, grams): the sets of the nodes that met another. Only their texts are exchanged and cut into shingles again."""
+    nodes = met.select("s").distinct()
+    ids = rows.join(nodes.select(F.expr("s ^ 0L").alias("s")), "s", "left_semi").groupBy("s").agg(F.min("id").alias("__id")).select("__id").distinct()
+    again = docs.join(stored(ids, "ids"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    return stored(_mapped(again, id_col, text_col, "grams", lambda x: x).select("s", "grams").dropDuplicates(["s"]), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, over: int, of: int) -> DataFrame:
+    """(u, v) of the pairs whose sets have a Jaccard similarity of at least over / of. Each set is read by the join."""
+    pairs = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+    def side(name):
+        return sets.select(F.expr("s ^ 0L").alias(name), F.col("grams").alias(f"g{name}"))
+
+    sizes = sets.select(F.expr("s ^ 0L").alias("s"), F.size("grams").alias("n"))
+    sized = pairs.join(sizes.select(F.col("s").alias("u"), F.col("n").alias("nu")), "u").join(sizes.select(F.col("s").alias("v"), F.col("n").alias("nv")), "v")
+    fit = stored(sized.where(of * F.least("nu", "nv") >= over * F.greatest("nu", "nv")), "pairs")  # others cannot reach it
+    common = F.size(F.array_intersect("gu", "gv"))
+    both = fit.join(side("u"), "u").join(side("v"), "v")
+    return stored(both.where((over + of) * common >= over * (F.col("nu") + F.col("nv"))).select("u", "v"), "links")
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """(b, s, low, high): the buckets with two nodes or more, their members, and the first and last of them."""
+    dealt = rows.select("s", F.explode("keys").alias("b"))
+    ends = stored(dealt.groupBy("b").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low < high"), "buckets")
+    return stored(dealt.join(ends.select(F.expr("b ^ 0L").alias("b"), "low", "high"), "b").distinct(), "met")
+
+
+def links(met: DataFrame, sets: DataFrame, over: int, of: int) -> DataFrame:
+    """(u, v) nodes: enough of the verified links to give every component."""
+    found = verified(met.select(F.col("s").alias("u"), F.col("low").alias("v")), sets, over, of)
+
+    def placed(made):
+        roots = components(made)
+        rooted = met.select("s", "b", "high").join(roots.select(F.expr("node ^ 0L").alias("s"), "root"), "s", "left").select("s", "b", "high", F.coalesce("root", "s").alias("c"))
+        mixed = rooted.groupBy("b").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first < last").select(F.expr("b ^ 0L").alias("b"))
+        return stored(rooted.join(mixed, "b", "left_semi"), "placed")
+
+    found = found.union(verified(placed(found).select(F.col("s").alias("u"), F.col("high").alias("v")), sets, over, of))
+    rest = placed(found)
+    groups = rest.select("b", "c").distinct()
+    apart = groups.alias("x").join(groups.alias("y"), F.expr("x.b = y.b and x.c < y.c")).select("x.b", F.col("x.c").alias("c"), F.col("y.c").alias("d"))
+    left = rest.select("b", "c", F.col("s").alias("u")).join(apart, ["b", "c"]).select("b", F.col("d").alias("c"), "u")
+    return found.union(verified(left.join(rest.select("b", "c", F.col("s").alias("v")), ["b", "c"]).select("u", "v"), sets, over, of))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 4, of: int = 5) -> DataFrame:
+    """docs, all columns, without those that are linked, over any number of steps, to a smaller id.
+
+    Nulls: a null text has no words, and texts without words are copies of each other; rows without an id stay and never
+    drop others. An empty table gives no rows.
+    """
+    rows = stored(_mapped(docs, id_col, text_col, "keys", keys), "keys")
+    met = meetings(rows)
+    roots = components(links(met, sets_of(docs, id_col, text_col, rows, met), over, of))
+    named = stored(rows.select("id", "s").join(roots.select(F.expr("node ^ 0L").alias("s"), "root"), "s", "left").select("id", F.coalesce("root", "s").alias("root")), "rooted")
+    least = named.groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.expr("root ^ 0L").alias("root"), "least")
+    gone = named.join(least, "root").where("id <> least").select(F.col("id").alias("__id")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
