@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from weakref import WeakKeyDictionary
@@ -56,8 +57,8 @@ def bound_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
     """Limit what one Arrow batch brings to a Python worker, by rows and by bytes, since texts can be long. The session's own
     limits stay where they are tighter."""
     for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mb << 20)):
-        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", "0").lower()
-        if not (now.isdigit() and 0 < int(now) <= most):
+        now = re.match("[0-9]*", str(spark.conf.get(f"spark.sql.execution.arrow.{name}")))[0]
+        if not now or not 0 < int(now) <= most:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
