@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonearm.llm.shared import let, stored
+from tonearm.llm.shared import column, let, stored, whole
 
 #: Second-person pronouns of the languages at hand (English, German, French, Spanish).
 SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "te", "toi", "ton", "ta", "vous", "votre", "tú", "ti", "usted", "vosotros")
@@ -29,10 +29,10 @@ FEATURES = ("f_word", "f_stem", "f_hits", "f_stem_hits", "f_near", "f_caps", "f_
 
 @dataclass
 class Limits:
-    """Bounds of what is fitted: labelled rows (the first by a hash of the id), lexicon terms, and the trees."""
+    """What is fitted: on how many labelled rows at most (the first by a hash of the id); in how many toxic texts of these a
+    term of the lexicon occurs at least, and with what odds; and the trees. All terms that meet both are taken."""
 
     rows: int = 12_000
-    terms: int = 150
     least_toxic: int = 5
     least_odds: float = 8.0
     trees: int = 15
@@ -91,21 +91,14 @@ def with_features(docs: DataFrame, lexicon: list[str], text_col: str = "text") -
 
 
 def learn_lexicon(rows: DataFrame, limits: Limits) -> list[str]:
-    """The terms whose share of toxic texts most exceeds their share of others; at most limits.terms of each kind."""
+    """The terms whose share of toxic texts exceeds their share of others by `least_odds`. Their number is bounded by the
+    sample: each stands in `least_toxic` of its toxic texts or more."""
     seen = rows.select(F.col("toxic").cast("long").alias("toxic"), F.explode(_terms(_tokens(F.coalesce("text", F.lit(""))))).alias("term"))
     both = rows.agg(F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0)).alias("bad"), F.count("*").alias("n"))
     counts = seen.groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("c")).where(F.col("t") >= limits.least_toxic)
     bad, n = both.first()
     odds = ((F.col("t") + 0.5) / (bad + 1)) / ((F.col("c") - F.col("t") + 0.5) / (n - bad + 1))
-    known = counts.withColumn("odds", odds).where(F.col("odds") >= limits.least_odds).withColumn("kind", F.substring("term", 1, 1))
-    best = F.row_number().over(_by_kind()).alias("place")
-    return [r.term for r in known.select("term", "kind", best).where(F.col("place") <= limits.terms).orderBy("kind", "place").collect()]
-
-
-def _by_kind():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("kind").orderBy(F.desc(F.col("t") * F.log("odds")), "term")
+    return sorted(r.term for r in counts.where(odds >= limits.least_odds).select("term").collect())
 
 
 def learned_from(id_col: Column) -> Column:
@@ -134,14 +127,16 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits | None = None, id_col
     """A model from the labelled rows that may be learned from: at most limits.rows of them, the first by a hash of the id.
     A fifth of these, by another hash, is left to the calibration. Rows with null ids or labels are not learned from."""
     limits = limits or Limits()
-    usable = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic")).where("__id is not null and __toxic is not null")
-    usable = usable.where(learned_from(F.col("__id"))).groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
-    chosen = usable.orderBy(F.xxhash64("__id"), "__id").limit(limits.rows)
+    usable = labels.select(F.col("doc_id").alias("of"), "toxic").where("of is not null and toxic is not null")
+    usable = usable.where(learned_from(F.col("of"))).groupBy("of").agg(F.max("toxic").alias("toxic"))
+    chosen = usable.orderBy(F.xxhash64("of"), "of").limit(limits.rows)
+    own = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
     # at most limits.rows pairs of numbers: small by construction
-    rows = stored(docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col("__id").alias("id"), F.col("__toxic").alias("toxic"), F.col(text_col).alias("text")), "labelled")
+    rows = stored(own.join(F.broadcast(chosen), F.col("id") == F.col("of")).select("id", "toxic", "text"), "labelled")
     to_trees = F.pmod(F.xxhash64(F.lit("calibration"), "id"), F.lit(5)) != 0
     lexicon = learn_lexicon(rows.where(to_trees), limits)
-    ready = stored(with_features(rows, lexicon).withColumn("label", F.col("toxic").cast("double")).coalesce(2), "features")
+    # features are made by as many tasks as the texts lie in; the trees then read a small table in few
+    ready = stored(with_features(rows, lexicon).withColumn("label", F.col("toxic").cast("double")), "features").coalesce(2)
     classes = ready.where(to_trees).agg(F.min("label"), F.max("label")).first()
     if classes[0] is None or classes[0] == classes[1] or not ready.where(~to_trees).head(1):
         return Model(lexicon, None, None)
@@ -159,14 +154,15 @@ def scores(docs: DataFrame, labels: DataFrame, limits: Limits | None = None, id_
     Without labels of both classes every score is 0. An empty table gives no rows. Other columns are not read.
     """
     model = fit(docs, labels, limits, id_col, text_col)
-    rows = with_features(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model.lexicon)
+    rows = with_features(docs.select(column(id_col).alias("id"), column(text_col).alias("text")), model.lexicon)
     held = ~F.coalesce(learned_from(F.col("id")), F.lit(False))
     return model.score(rows).select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without the rows that are predicted toxic. Rows are scored where they are: nothing is joined."""
+    """docs, all columns as they are, whatever their names, without the rows that are predicted toxic. Rows are scored where
+    they are: nothing is joined. A null text is scored as an empty one; null ids and repeated rows are rows like any other.
+    Without labels of both classes all rows stay; an empty table gives no rows."""
     model = fit(docs, labels, limits, id_col, text_col)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = with_features(docs.select(whole, F.col(text_col).alias("text")), model.lexicon)
+    rows = with_features(docs.select(whole(docs), column(text_col).alias("text")), model.lexicon)
     return model.score(rows).where("score < 0.5").select("row.*")
