@@ -130,8 +130,8 @@ tokens AS (
     AND len(list_distinct(string_split(value, ''))) >= 10 AND NOT regexp_matches(value, '{secrets.PLACEHOLDER}')
     AND NOT EXISTS (FROM base b WHERE b.doc_id = t.doc_id AND b.start < t."end" AND t.start < b."end")),
 owners AS (
-  SELECT value, count(DISTINCT source) AS owners FROM (FROM base UNION ALL FROM tokens) JOIN documents USING (doc_id) GROUP BY value),
-kept AS (FROM base UNION ALL SELECT t.* FROM tokens t JOIN owners USING (value) WHERE owners <= 1),
+  SELECT value, count(DISTINCT source) AS owners, count(DISTINCT (source, lang)) AS repos FROM (FROM base UNION ALL FROM tokens) JOIN documents USING (doc_id) GROUP BY value),
+kept AS (FROM base UNION ALL SELECT t.* FROM tokens t JOIN owners USING (value) WHERE owners <= {secrets.MOST_OWNERS} AND repos <= {secrets.MOST_REPOS}),
 told AS (SELECT *, kind || ':' || start || ':' || "end" AS span, list_position(['assign', 'access', 'hex', 'owned'], kind) AS nth FROM kept),
 by_doc AS (
   SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
