@@ -3,8 +3,9 @@
 Texts are encoded where they are read; only small rows (piece, length) go on. Each task packs its own pieces in windows
 of bounded size: best fit on falling lengths, then local search over the underfull bins: a document moves to a fuller
 bin, or changes places one for one or two for one with a shorter one there, whenever that raises the sum of squared
-fills, until bins run empty. What stays in underfull bins is dealt out once more in bounded groups and packed again, so
-that the tails of all tasks meet. No text, and no whole set of lengths, goes to one task or to the driver.
+fills, until bins run empty. The search ends when no step is left, or when no fewer bins could hold the tokens. What stays
+in underfull bins is dealt out once more in bounded groups and packed again, so that the tails of all tasks meet. No text,
+and no whole set of lengths, goes to one task or to the driver.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonearm.llm.shared import bound_batches, stored
+from tonearm.llm.shared import bound_batches, column, stored
 from tonearm.llm.wordbpe import encoder
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
+#: Columns of a packed piece behind its document's id.
+PIECES = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "fill": pa.int64()}
 
 
 class Bins:
@@ -69,27 +71,38 @@ class Bins:
             self.fill[b] += self.lengths[i]
             self._list(b)
 
-    def local_search(self, passes: int = 3, slack: int = 64, few: int = 8) -> None:
-        """At most `passes` passes over the underfull bins, emptiest first; each step raises the sum of squared fills.
-        `slack` bounds how far from an exact fit an exchange is looked for, `few` the items of a bin that pair up."""
-        for _ in range(passes):
+    def local_search(self) -> None:
+        """Passes over the underfull bins, emptiest first, until none changes anything (each step raises the sum of squared
+        fills, so they end) or as few bins are left as the items' lengths need."""
+        least = -(-sum(self.lengths) // self.capacity)
+        left = sum(map(bool, self.items))
+        changed = True
+        while changed and left > least:
             underfull = sorted((b for at in self.by_gap.values() for b in at), key=lambda b: (self.fill[b], b))
-            # takes[v]: (bin, item) such that the bin holds at most v more if the item leaves
-            self.takes: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            # takes[v]: by length, (bin, item) such that the bin holds at most v more if the item leaves; offered: the v there are
+            self.takes: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+            self.offered = 0
             for b in underfull:
                 self._offer(b)
-            changed = 0
+            changed = False
             for b in underfull:
-                changed += self._empty(b, slack, few)
-            if not changed:
-                break
+                changed |= self._empty(b)
+                left -= not self.items[b]
+                if left <= least:
+                    break
+
+    def _distinct(self, b: int) -> list[int]:
+        """An item of each length in the bin, longest first."""
+        return sorted({self.lengths[i]: i for i in self.items[b]}.values(), key=lambda i: -self.lengths[i])
 
     def _offer(self, b: int) -> None:
-        for i in self.items[b][:64]:
-            self.takes[self.capacity - self.fill[b] + self.lengths[i]].append((b, i))
+        for i in self._distinct(b):
+            v = self.capacity - self.fill[b] + self.lengths[i]
+            self.takes[v][self.lengths[i]].append((b, i))
+            self.offered |= 1 << v
 
-    def _empty(self, b: int, slack: int, few: int) -> int:
-        steps = 0
+    def _empty(self, b: int) -> bool:
+        changed = False
         for i in sorted(self.items[b], key=lambda i: -self.lengths[i]):  # moves
             self._unlist(b)
             to = self.best(self.lengths[i])
@@ -98,32 +111,47 @@ class Bins:
                 self.change(b, [i], [])
                 self.change(to, [], [i])
                 self._offer(to)
-                steps += 1
-        if not self.items[b]:
-            return steps
-        own = sorted(self.items[b], key=lambda i: -self.lengths[i])[:few]
-        swaps = [(i,) for i in own] + [(i, j) for n, i in enumerate(own) for j in own[n + 1 :]]
-        for give in swaps:  # one for one, two for one
-            if all(i in self.items[b] for i in give) and self._swap(b, give, slack):
-                steps += 1
-        return steps
-
-    def _swap(self, b: int, give: tuple[int, ...], slack: int) -> bool:
+                changed = True
+        swapped = True
+        while self.items[b] and swapped:  # one for one, two for one
+            own = self._distinct(b)
+            more = {self.lengths[i]: i for i in self.items[b] if i not in own}  # a second item of a length
+            pairs = [(i, j) for n, i in enumerate(own) for j in own[n + 1 :]] + [(i, more[self.lengths[i]]) for i in own if self.lengths[i] in more]
+            swapped = any(self._swap(b, give) for give in [(i,) for i in own] + pairs)
+            changed |= swapped
+        return changed
+
+    def _swap(self, b: int, give: tuple[int, ...]) -> bool:
+        """Exchange `give` for one shorter item of a bin that is fuller afterwards than this one is now; the tightest fit."""
         size = sum(self.lengths[i] for i in give)
-        for v in range(size, min(size + slack, 2 * self.capacity) + 1):
-            offers = self.takes.get(v)
-            while offers:
-                to, x = offers[-1]
-                if x not in self.items[to] or self.capacity - self.fill[to] + self.lengths[x] != v:
-                    offers.pop()  # out of date
-                    continue
-                gain = size - self.lengths[x]
-                if to == b or gain <= 0 or self.fill[to] + gain <= self.fill[b]:
-                    break
-                self.change(b, list(give), [x])
-                self.change(to, [x], list(give))
-                self._offer(to)
-                return True
+        end = self.capacity + size - self.fill[b]  # a bin that takes more than this stays emptier
+        m = self.offered >> size
+        while m:
+            v = size + (m & -m).bit_length() - 1
+            if v >= end:
+                return False
+            m &= m - 1
+            at = self.takes[v]
+            for length in [x for x in sorted(at) if x < size]:
+                offers, passed = at[length], []
+                while offers:
+                    to, x = offers.pop()
+                    if x not in self.items[to] or self.capacity - self.fill[to] + length != v:
+                        continue  # out of date
+                    if to == b:
+                        passed.append((to, x))
+                        continue
+                    offers.extend(passed)
+                    self.change(b, list(give), [x])
+                    self.change(to, [x], list(give))
+                    self._offer(to)
+                    self._offer(b)
+                    return True
+                offers.extend(passed)
+                if not offers:
+                    del at[length]
+            if not at:
+                self.offered &= ~(1 << v)
         return False
 
 
@@ -143,26 +171,32 @@ def pack(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[
     return where, offset, fill
 
 
-def _packed(rows: dict[str, list], capacity: int, first: int) -> pa.RecordBatch:
+def _placed(rows: dict[str, list], kind: pa.DataType, capacity: int, first: int) -> pa.RecordBatch:
     where, offset, fill = pack(rows["length"], capacity)
     placed = rows | {"sequence_id": [first + w for w in where], "offset": offset, "fill": fill}
-    names = [c.split()[0] for c in PIECES.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(placed[c], pa.int32() if c == "piece" else pa.int64()) for c in names], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(placed["doc_id"], kind), *[pa.array(placed[c], t) for c, t in PIECES.items()]], names=["doc_id", *PIECES])
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", window: int = 50_000, loose: float = 0.97) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", window: int = 50_000, rounds: tuple[float, ...] = (0.97, 1.0)) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A document is its text's ids and
     end_id; longer ones are cut every `capacity` tokens, the others stay whole.
 
-    Nulls: a null text is a document of end_id alone; a null id is packed like any other. Repeated rows are packed one by
-    one. An empty table gives no rows. Other columns are not read.
+    `rounds`: after the first round in each task, sequences that are filled less than this share are packed anew together,
+    and then those that are not quite full; rounds end early when the number of sequences is the least there can be.
+
+    Nulls: a null text is a document of end_id alone; a null id is packed like any other; ids are of any type. Repeated rows
+    are packed one by one. An empty table gives no rows. Other columns are not read. A text of any length is cut as it comes.
     """
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
     keys = ("doc_id", "piece", "start", "length", "ids_crc32")
+    source = docs.select(column(id_col).alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
+    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, " + ", ".join(f"{c} long" for c in list(PIECES)[1:])
 
     def first_round(batches):
-        enc, end, rows, n = encoder(tokenizer), end_id.to_bytes(4, "little"), {k: [] for k in keys}, 0
+        enc, end, rows, n, kind = encoder(tokenizer), end_id.to_bytes(4, "little"), {k: [] for k in keys}, 0, pa.int64()
         for b in batches:
+            kind = b.schema.field(0).type
             for i, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
@@ -170,42 +204,50 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 204
                     for k, v in zip(keys, (i, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         rows[k].append(v)
             if len(rows["piece"]) >= window:
-                yield _packed(rows, capacity, (TaskContext.get().partitionId() << 36) + n)
+                yield _placed(rows, kind, capacity, (TaskContext.get().partitionId() << 36) + n)
                 n, rows = n + len(rows["piece"]), {k: [] for k in keys}
         if rows["piece"]:
-            yield _packed(rows, capacity, (TaskContext.get().partitionId() << 36) + n)
+            yield _placed(rows, kind, capacity, (TaskContext.get().partitionId() << 36) + n)
 
-    def again(batches):
-        """Pack anew what a task got, in windows; a window that needs no fewer sequences so stays as it was."""
-        held, size, n = [], 0, 0
+    def again(number):
+        def run(batches):
+            """Pack anew what a task got, in windows; a window that needs no fewer sequences so stays as it was."""
+            held, size, n = [], 0, 0
 
-        def out():
-            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            rows = {c: t.column(c).to_pylist() for c in t.schema.names}
-            new = _packed({k: rows[k] for k in keys}, capacity, (1 << 60) + (TaskContext.get().partitionId() << 36) + n)
-            return new if len(set(new.column("sequence_id").to_pylist())) < len(set(rows["sequence_id"])) else t
+            def out():
+                t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                rows = {c: t.column(c).to_pylist() for c in t.schema.names}
+                new = _placed({k: rows[k] for k in keys}, t.schema.field(0).type, capacity, (number << 58) + (TaskContext.get().partitionId() << 36) + n)
+                return new if len(set(new.column("sequence_id").to_pylist())) < len(set(rows["sequence_id"])) else t
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            if size >= window:
-                at = b.column("sequence_id").to_pylist()
-                last = held[-1].column("sequence_id")[-1].as_py()
-                cut = next((k for k, x in enumerate(at) if x != last), len(at))  # sequences are not cut
-                if cut < len(at):
-                    held.append(b.slice(0, cut))
-                    yield out()
-                    n, held, size, b = n + size + cut, [], 0, b.slice(cut)
-            held.append(b)
-            size += b.num_rows
-        if held:
-            yield out()
-
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    once = stored(source.mapInArrow(first_round, PIECES), "packed")
-    full = F.col("fill") >= loose * capacity
-    rest = once.where(~full)
-    parts = max(1, -(-rest.count() // (2 * window)))
-    # all pieces of a sequence go to one task, which mixes the sequences of many
-    repacked = rest.repartition(parts, F.xxhash64("sequence_id")).sortWithinPartitions(F.xxhash64("sequence_id"), "sequence_id", "offset").mapInArrow(again, PIECES)
-    return once.where(full).unionByName(repacked).drop("fill")
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                if size >= window:
+                    at = b.column("sequence_id").to_pylist()
+                    last = held[-1].column("sequence_id")[-1].as_py()
+                    cut = next((k for k, x in enumerate(at) if x != last), len(at))  # sequences are not cut
+                    if cut < len(at):
+                        held.append(b.slice(0, cut))
+                        yield out()
+                        n, held, size, b = n + size + cut, [], 0, b.slice(cut)
+                held.append(b)
+                size += b.num_rows
+            if held:
+                yield out()
+
+        return run
+
+    now = stored(source.mapInArrow(first_round, schema), "packed")
+    for number, share in enumerate(rounds, 1):
+        tokens, sequences, loose = now.groupBy("sequence_id").agg(F.sum("length").alias("t"), F.count("*").alias("n")).agg(
+            F.coalesce(F.sum("t"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("t") < share * capacity, F.col("n"))), F.lit(0))
+        ).first()
+        if sequences <= -(-tokens // capacity):
+            break
+        rest = F.col("fill") < share * capacity
+        parts = max(1, -(-loose // (2 * window)))
+        # all pieces of a sequence go to one task, which mixes the sequences of many
+        mixed = now.where(rest).repartition(parts, F.xxhash64("sequence_id")).sortWithinPartitions(F.xxhash64("sequence_id"), "sequence_id", "offset").mapInArrow(again(number), schema)
+        now = stored(now.where(~rest).unionByName(mixed), "packed")
+    return now.drop("fill")
