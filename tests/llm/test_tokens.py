@@ -26,7 +26,7 @@ def direct(text):
 
 
 def test_word_encoder_equals_the_library():
-    enc = WordEncoder(WORDS, most_kept=10)
+    enc = WordEncoder(WORDS, most_bytes=2000)
     rng = random.Random(1)
     pieces = [*"aB éÉß.,!'s\n\t \u0301\xa0", "the ", "'ll", "<|endoftext|>", "ﬁ", "1", "Σ"]
     texts = TEXTS + ["".join(rng.choices(pieces, k=rng.randint(1, 40))) for _ in range(400)]
@@ -185,7 +185,7 @@ def test_codec_round_trip_and_counts(spark):
 
 def test_trie_counts_survive_its_bounds():
     vocab = vocabulary(PIECES)
-    small, large = token_counts.CountTrie(vocab, most_nodes=20, most_words=5), token_counts.CountTrie(vocab)
+    small, large = token_counts.CountTrie(vocab, most_nodes=20, most_bytes=1000), token_counts.CountTrie(vocab)
     rng = random.Random(5)
     for _ in range(50):
         t = " ".join("".join(rng.choices("abéz", k=rng.randint(1, 6))) for _ in range(9))

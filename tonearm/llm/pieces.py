@@ -39,6 +39,15 @@ class Vocabulary:
         self.unknown_id = model.unk_id()
         self.unknown = min(s for s, _ in self.pieces.values()) - UNKNOWN
         self.longest = max(map(len, self.pieces))
+        #: a trie of the pieces read backwards: [below by character or None, (score, id) or None]
+        self.endings: list = [None, None]
+        for piece, known in self.pieces.items():
+            node = self.endings
+            for char in reversed(piece):
+                if node[0] is None:
+                    node[0] = {}
+                node = node[0].setdefault(char, [None, None])
+            node[1] = known
         self.whole = not any(MARK in p.lstrip(MARK) or "\n" in p for p in self.pieces)
         #: what each id stands for; ids that stand for nothing are absent
         self.bytes_of = {i: p.replace(MARK, " ").encode() for p, (_, i) in self.pieces.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}

@@ -8,32 +8,41 @@ only the positions beyond the shared prefix are computed. Words already seen by
 from __future__ import annotations
 
 from functools import cache
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tonearm.llm.pieces import Vocabulary, vocabulary
-from tonearm.llm.shared import bound_batches
+from tonearm.llm.shared import bound_batches, column
+
+#: About what a kept word takes beside its letters and ids.
+ENTRY = 150
 
 
 def best_paths(words: list[str], vocab: Vocabulary) -> dict[str, bytes]:
     """Ids (little-endian unsigned 32-bit integers) of each word's best segmentation."""
-    pieces, longest, unknown = vocab.pieces, vocab.longest, vocab.unknown
+    pieces, endings, unknown = vocab.pieces, vocab.endings[0], vocab.unknown
     score, back = [0.0], [(0, None)]
     out, before = {}, ""
     for word in sorted(words):
-        shared = len(commonprefix((before, word)))
+        shared = 0
+        for a, b in zip(before, word, strict=False):
+            if a != b:
+                break
+            shared += 1
         del score[shared + 1 :], back[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
-            best, via = float("-inf"), None
-            for start in range(max(0, end - longest), end):
-                known = pieces.get(word[start:end])
+            best, via, below, start = float("-inf"), None, endings, end
+            while below and start:  # pieces that end here, the shortest first: of equal scores the longer one wins
+                start -= 1
+                found = below.get(word[start])
+                if found is None:
+                    break
+                below, known = found
                 if known is not None:
                     s = score[start] + known[0]
-                    if s > best:
+                    if s >= best:
                         best, via = s, (start, known[1])
             if via is None or (word[end - 1] not in pieces and score[end - 1] + unknown > best):
                 best, via = score[end - 1] + unknown, (end - 1, None)
@@ -50,13 +59,15 @@ def best_paths(words: list[str], vocab: Vocabulary) -> dict[str, bytes]:
 
 
 class Codec:
-    def __init__(self, vocab: Vocabulary, most_words: int = 400_000):
-        self.vocab, self.most_words, self.kept = vocab, most_words, {}
+    """Encodes and decodes, and keeps the ids of words met before, up to about `most_bytes`."""
+
+    def __init__(self, vocab: Vocabulary, most_bytes: int = 96 << 20):
+        self.vocab, self.most_bytes, self.kept, self.held = vocab, most_bytes, {}, 0
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         units = [self.vocab.units(t) for t in texts]
-        if len(self.kept) > self.most_words:
-            self.kept = {}
+        if self.held > self.most_bytes:
+            self.kept, self.held = {}, 0
         missing = set().union(*units).difference(self.kept)
         if missing:
             full = {self.vocab.marked(u): u for u in missing}
@@ -66,6 +77,7 @@ class Codec:
             for word, ids in best_paths(list(full), self.vocab).items():
                 for u in short[word]:
                     self.kept[u] = ids
+                    self.held += ENTRY + len(u) + len(ids)
         get = self.kept.__getitem__
         return [b"".join(map(get, u)) for u in units]
 
@@ -97,7 +109,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             ids = [None if t is None else i for t, i in zip(texts, codec(model).encode(texts), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(i or b"") // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "n_ids", "ids"])
 
-    source = docs.select(F.col(id_col), F.col(text_col).alias("text"))
+    source = docs.select(column(id_col), column(text_col).alias("text"))
     return source.mapInArrow(run, f"`{id_col}` {source.dtypes[0][1]}, n_ids long, ids binary")
 
 
@@ -107,7 +119,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", text_col: str =
     ids give a null text."""
     bound_batches(encoded.sparkSession)
     names = [c for c in encoded.columns if c != text_col]
-    kept = encoded.select(*[F.col(f"`{c}`") for c in names])
+    kept = encoded.select(*map(column, names))
     at = names.index(ids_col)
     schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes) + f", `{text_col}` string"
 

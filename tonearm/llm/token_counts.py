@@ -12,45 +12,76 @@ from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tonearm.llm.pieces import Vocabulary, vocabulary
-from tonearm.llm.shared import bound_batches
+from tonearm.llm.shared import bound_batches, column
+
+#: About what a kept count takes beside its letters.
+ENTRY = 150
 
 
 class CountTrie:
-    """Terminal counts of pre-tokens. A node is [children, forward score, tokens]. Beyond `most_nodes` nodes or
-    `most_words` kept counts it starts anew, which costs time only."""
+    """Terminal counts of pre-tokens. A node is [children or None, forward score, tokens]. Beyond `most_nodes` nodes or
+    about `most_bytes` of kept counts it starts anew, which costs time only. A pre-token of over `deepest` characters (text
+    without spaces) shares no prefix with others in practice: it is scored in plain lists and not kept."""
 
-    def __init__(self, vocab: Vocabulary, most_nodes: int = 300_000, most_words: int = 500_000):
-        self.vocab, self.most_nodes, self.most_words = vocab, most_nodes, most_words
+    def __init__(self, vocab: Vocabulary, most_nodes: int = 300_000, most_bytes: int = 96 << 20, deepest: int = 500):
+        self.vocab, self.most_nodes, self.most_bytes, self.deepest = vocab, most_nodes, most_bytes, deepest
         self.counts: dict[str, int] = {}
+        self.held = 0
         self.clear()
 
     def clear(self) -> None:
-        self.root, self.nodes = [{}, 0.0, 0], 1
+        self.root, self.nodes = [None, 0.0, 0], 1
+
+    def step(self, word: str, end: int, before: list) -> list:
+        """A node for word[:end], from those of up to `longest` prefixes before it. Of equal scores the longer last piece wins."""
+        below, at, score, tokens = self.vocab.endings[0], len(before), float("-inf"), 0
+        while below and at:
+            at -= 1
+            found = below.get(word[end - len(before) + at])
+            if found is None:
+                break
+            below, known = found
+            if known is not None:
+                s = before[at][1] + known[0]
+                if s >= score:
+                    score, tokens = s, before[at][2] + 1
+        if word[end - 1] not in self.vocab.pieces:
+            s = before[-1][1] + self.vocab.unknown
+            if s > score:
+                score, tokens = s, before[-1][2] + len(self.vocab.fallback(word[end - 1]))
+        return [None, score, tokens]
 
     def insert(self, word: str) -> int:
         """The token count of a marked pre-token."""
-        pieces, longest = self.vocab.pieces, self.vocab.longest
+        if len(word) > self.deepest:
+            before = [self.root]
+            for end in range(1, len(word) + 1):
+                before = [*before[1 - self.vocab.longest :], self.step(word, end, before)]
+            return before[-1][2]
         node, path = self.root, [self.root]
-        for end, char in enumerate(word, 1):
-            below = node[0].get(char)
-            if below is None:
-                score, tokens = float("-inf"), 0
-                for start in range(max(0, end - longest), end):
-                    known = pieces.get(word[start:end])
+        endings, pieces = self.vocab.endings[0], self.vocab.pieces
+        for end, char in enumerate(word):
+            if node[0] is None:
+                node[0] = {}
+            made = node[0].get(char)
+            if made is None:  # as in step, which costs a call more
+                below, at, score, tokens = endings, end, float("-inf"), 0
+                while at >= 0 and below:
+                    found = below.get(word[at])
+                    if found is None:
+                        break
+                    below, known = found
                     if known is not None:
-                        s, n = path[start][1] + known[0], path[start][2] + 1
-                    elif start == end - 1:
-                        s, n = path[start][1] + self.vocab.unknown, path[start][2] + len(self.vocab.fallback(char))
-                    else:
-                        continue
-                    if s > score:
-                        score, tokens = s, n
-                below = node[0][char] = [{}, score, tokens]
+                        _, s, n = path[at]
+                        s += known[0]
+                        if s >= score:
+                            score, tokens = s, n + 1
+                    at -= 1
+                made = node[0][char] = [None, score, tokens] if char in pieces else self.step(word, end + 1, path)
                 self.nodes += 1
-            node = below
+            node = made
             path.append(node)
         return node[2]
 
@@ -59,12 +90,13 @@ class CountTrie:
         units = self.vocab.units(text)
         missing = set(units).difference(self.counts)
         if missing:
-            if len(self.counts) + len(missing) > self.most_words:
-                self.counts, missing = {}, set(units)
+            if self.held > self.most_bytes:
+                self.counts, self.held, missing = {}, 0, set(units)
             for u in missing:
                 if self.nodes > self.most_nodes:
                     self.clear()
                 self.counts[u] = self.insert(self.vocab.marked(u))
+            self.held += sum(ENTRY + len(u) for u in missing)
         return len(units), sum(map(self.counts.__getitem__, units))
 
 
@@ -89,5 +121,5 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             cols = [b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_pretokens", "n_tokens"])
 
-    source = docs.select(F.col(id_col), F.col(text_col).alias("text"))
+    source = docs.select(column(id_col), column(text_col).alias("text"))
     return source.mapInArrow(run, f"`{id_col}` {source.dtypes[0][1]}, n_pretokens long, n_tokens long")
