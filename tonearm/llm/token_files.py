@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonearm.llm.shared import bound_batches
+from tonearm.llm.shared import bound_batches, column
 from tonearm.llm.wordbpe import encoder
 
 BLOCK, MAGIC, TRAILER = 4096, 0x314B4E54, struct.Struct("<IIIQQQQ")
@@ -130,9 +130,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
     Texts are exchanged once, by ranges of id, into `files` parts (default: the session's shuffle partitions). Nulls: a
     null text is empty (its document is end_id alone), a null id comes first. Rows that repeat an id are written one by
-    one, by text. An empty table writes an empty manifest. Other columns are not read.
+    one, by text. An empty table writes an empty manifest. Other columns are not read. Ids are whole numbers, which the
+    format holds in 64 bits; others are refused. A very long text is encoded and written as it comes, in blocks.
     """
     spark = docs.sparkSession
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col} must be a whole number")
     bound_batches(spark)
 
     def run(batches):
@@ -152,7 +155,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             out.close()
             yield pa.RecordBatch.from_pylist([{"file": name, "part": part, "n_docs": len(out.index), "n_tokens": out.tokens, "width": width}])
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = docs.select(column(id_col).cast("long").alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     manifest = own.repartitionByRange(n, "id").sortWithinPartitions("id", "text").mapInArrow(run, "file string, part long, n_docs long, n_tokens long, width long")
     manifest.write.parquet(f"{folder}/_manifest")

@@ -1,7 +1,7 @@
 """Ids of a word-level BPE tokenizer file (lower case, white space dropped), by the tokenizers library.
 
 White space always separates pre-tokens in such a file, and so does a letter from the punctuation after it, so a text's
-ids are the ids of its chunks in order. Each worker encodes a chunk once and keeps it, up to a bound; chunks of plain
+ids are the ids of its chunks in order. Each worker encodes a chunk once and keeps it, up to a bound in bytes; chunks of plain
 Latin letters go through the model in one call for a whole batch, all others through the full tokenizer.
 """
 
@@ -17,18 +17,20 @@ _plain = re.compile(f"[{_LETTERS}]+").fullmatch
 _before_punctuation = re.compile(f"(?<=[{_LETTERS}])([!-/:-@\\[-`{{-~]+)(?=[ \\n]|$)")
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
+#: About what a kept chunk takes beside its letters and ids.
+ENTRY = 150
 
 
 class WordEncoder:
     """encode(texts) -> one bytes object per text: its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most_kept: int = 400_000):
+    def __init__(self, path: str, most_bytes: int = 96 << 20):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a task on each core
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.full, self.most_kept, self.kept = Tokenizer.from_file(path), most_kept, {}
+        self.full, self.most_bytes, self.kept, self.held = Tokenizer.from_file(path), most_bytes, {}, 0
         self.fast = Tokenizer(self.full.model)
         self.fast.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.full.get_vocab(with_added_tokens=True)
@@ -61,11 +63,12 @@ class WordEncoder:
         rest = list(set(missing).difference(plain))
         for c, e in zip(rest, self.full.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.kept[c] = np.array(e.ids, "<u4").tobytes()
+        self.held += sum(ENTRY + len(c) + len(self.kept[c]) for c in missing)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.chunks(t) if t else [] for t in texts]
-        if len(self.kept) > self.most_kept:
-            self.kept = {}
+        if self.held > self.most_bytes:
+            self.kept, self.held = {}, 0
         missing = set().union(*cut).difference(self.kept)
         if missing:
             self.learn(list(missing))
@@ -73,8 +76,8 @@ class WordEncoder:
         return [b"".join(map(get, c)) for c in cut]
 
 
-def encoder(path: str, most_kept: int = 400_000) -> WordEncoder:
+def encoder(path: str, most_bytes: int = 96 << 20) -> WordEncoder:
     """The encoder of this worker process for a tokenizer file; it lives as long as the worker."""
-    if (path, most_kept) not in _encoders:
-        _encoders[path, most_kept] = WordEncoder(path, most_kept)
-    return _encoders[path, most_kept]
+    if (path, most_bytes) not in _encoders:
+        _encoders[path, most_bytes] = WordEncoder(path, most_bytes)
+    return _encoders[path, most_bytes]
