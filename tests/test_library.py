@@ -21,11 +21,98 @@ def test_scan_reads_files_and_hashes(spark, tmp_path):
     (tmp_path / "al.bum").mkdir()
     (tmp_path / "al.bum" / "A.MP3").write_bytes(b"y")
     (tmp_path / "al.bum" / "b.txt").write_bytes(b"x")
-    got = tables.scan_files(spark, str(tmp_path), with_content=True)
+    got = tables.scan_files(spark, str(tmp_path), kinds=("md5",))
     assert rows(got, "file", "ext", "size", "file_hash", "folder_name") == [("A.MP3", ".mp3", 1, "415290769594460e2e485922904f345d", "al.bum"), ("b.txt", ".txt", 1, "9dd4e461268c8034f5c8564e155c67a6", "al.bum")]
     assert rows(c.audio_files(got), "file") == [("A.MP3",)]
 
 
+def test_files_of_zero_bytes_and_lost_files_come_from_a_manifest(spark, tmp_path):
+    (tmp_path / "al").mkdir()
+    (tmp_path / "al" / "a.mp3").write_bytes(b"y")
+    (tmp_path / "al" / "e.mp3").write_bytes(b"")
+    paths = [(f"{tmp_path}/al/{n}", size) for n, size in (("a.mp3", 1), ("e.mp3", 0), ("lost.mp3", 7))] + [("/elsewhere/x.mp3", 0)]
+    manifest = spark.createDataFrame(paths, "path string, size long").withColumn("modified", F.lit(None).cast("timestamp"))
+    got = tables.scan_files(spark, str(tmp_path), kinds=("md5", "sha256"), manifest=manifest)
+    assert rows(got.withColumn("sha", F.left("sha256", F.lit(8))), "file", "size", "file_hash", "sha", "folder_name") == [
+        ("a.mp3", 1, "415290769594460e2e485922904f345d", "a1fce436", "al"), ("e.mp3", 0, "d41d8cd98f00b204e9800998ecf8427e", "e3b0c442", "al"), ("lost.mp3", 7, None, None, "al"),
+    ]
+
+
+def test_csv_fields_equal_the_standard_reader(spark, tmp_path):
+    import csv
+
+    lines = ["a,b", '"Smith, John",Smitty', '"say ""x""",y', ",", "a,", ",b", "x", "a,b,c", 'in"side,"tail"more', '"",""', " a , b ", '5" disc,z', '"open,1', "\ttab\t,\u00a0nb\u00a0"]
+    path = tmp_path / "t.csv"
+    path.write_text("\n".join(lines) + "\n\n", encoding="utf-8")
+    got = {r.line_no: r.fields for r in tables.csv_lines(spark, str(path)).collect()}
+    want = [next(csv.reader([x])) for x in lines]
+    assert [got[k] for k in sorted(got)] == want
+
+
+def test_alias_file_with_quotes_and_white_space(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"Smith, John",Smitty\n\tTab\u2003,\x1f v \n', encoding="utf-8")
+    assert rows(tables.read_artist_alias(spark, str(tmp_path / "a.csv")), "key", "value") == [("smith, john", "Smitty"), ("tab", "v")]
+    assert rows(tables.read_artist_alias(spark, str(tmp_path / "a.csv"), keep_case=True), "key") == [("Smith, John",), ("Tab",)]
+
+
+def test_rename_file_keeps_empty_fields(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('a,\n"b, c",d,more\nlone\n')
+    assert rows(tables.read_rename_list(spark, str(tmp_path / "r.csv")), "source", "target") == [("a", ""), ("b, c", "d")]
+
+
+def test_damaged_catalogs_are_empty(spark, tmp_path):
+    for kind, name in (("parquet", "part-1.parquet"), ("json", "part-1.json")):
+        path = tmp_path / kind
+        tables.save_catalog(spark.range(2).selectExpr("cast(id as int) a"), str(path), kind)
+        assert rows(tables.load_catalog(spark, str(path), "a int", kind), "a") == [(0,), (1,)]
+        (path / name).write_text("{broken")
+        assert tables.load_catalog(spark, str(path), "a int", kind).count() == 0
+
+
+def test_albums_hash_their_folders_below(spark):
+    import hashlib
+
+    def f(folder_path, file, h, size=1):
+        return (folder_path, file, "." + file.rsplit(".", 1)[1], h, size)
+
+    files = [f("/m/a", "2.mp3", "h2"), f("/m/a/d1", "1.mp3", "h1"), f("/m/a", "cover.jpg", "zz", 50), f("/m/b", "2.MP3", "h2"), f("/m/b/d2", "9.flac", "h1"), f("/m/b", "n.ogg", "qq"), f("/m/c", "x.mp3", None), f("/m", "top.mp3", "t"), f("/mx/a", "2.mp3", "h2"), f("/m/d/e", "y.txt", "y")]
+    t = spark.createDataFrame(files, "folder_path string, file string, ext string, file_hash string, size long")
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    assert rows(d.album_hashes(t, "/m/"), "album_path", "album_hash", "size") == [("/m/a", md5("h2h1"), 52), ("/m/b", md5("h2h1"), 3), ("/m/c", md5(""), 1), ("/m/d", md5(""), 1)]
+    assert rows(d.albums_by_size(t, "/m"), "album_path", "kept") == [("/m/b", "/m/a"), ("/m/d", "/m/c")]
+    assert rows(c.backup_plan(t, "/m", "/bak/"), "src", "dst") == [("/m/a/2.mp3", "/bak/a/2.mp3"), ("/m/a/d1/1.mp3", "/bak/a/d1/1.mp3"), ("/m/b/2.MP3", "/bak/b/2.MP3"), ("/m/b/d2/9.flac", "/bak/b/d2/9.flac"), ("/m/c/x.mp3", "/bak/c/x.mp3"), ("/m/top.mp3", "/bak/top.mp3")]
+
+
+def test_files_of_an_album_are_numbered_over_ranges(spark):
+    t = spark.createDataFrame([("/m", f"{i:03d}.mp3", {"album": "A" if i % 5 else "B"} if i != 7 else {}) for i in range(100)], "folder_path string, file string, tags map<string,string>")
+    got = rows(d.by_album(t, parts=6), "album", "place", "path", "n_files")
+    for album, own in (("A", [i for i in range(100) if i % 5 and i != 7]), ("B", list(range(0, 100, 5)))):
+        assert [x for x in got if x[0] == album] == [(album, k, f"/m/{i:03d}.mp3", len(own)) for k, i in enumerate(own, 1)]
+
+
+def test_album_records_fill_files_that_lack_tags(spark):
+    t = tracks(spark, folder("/m/x/a", [("1.mp3", "1", 1, {"title": "t"}), ("2.mp3", "2", 1, tags("t", "p", "q"))]), folder("/m/x/b", [("1.mp3", "1", 1, None)]))
+    albums = spark.createDataFrame([("/m/x/a", "T", "R", None, "G")], "folder_path string, title string, artist string, album string, genre string")
+    assert rows(r.apply_album_tags(t, albums), "folder_path", "file", "title", "artist", "album", "genre") == [
+        ("/m/x/a", "1.mp3", "T", "R", "Unknown Album", "G"), ("/m/x/a", "2.mp3", "t", "p", "q", None), ("/m/x/b", "1.mp3", "Unknown Title", "Unknown Artist", "Unknown Album", "Unknown Genre"),
+    ]
+    assert rows(r.english_names(spark.createDataFrame([("/m", "א.mp3"), ("/m", "a.mp3")], "folder_path string, file string"), stem_only=True), "file") == [("a.mp3",)]
+
+
+def test_tags_travel_over_passes(spark):
+    t = tracks(spark, folder("/m/a", [("1.mp3", "h", 1, {})]), folder("/m/b", [("1.mp3", "h", 1, {"title": "T"})]), folder("/m/c", [("1.mp3", "h", 1, {"title": "T", "genre": "G"})]))
+    chosen = spark.createDataFrame([("/m/a", "/m/b", 95.0), ("/m/b", "/m/c", 90.0)], "preferred string, other string, weighted_score double")
+    art = spark.createDataFrame([], tables.ART)
+    assert rows(q.merge_plan(chosen, t, art), "src", "dst") == [("/m/a/1.mp3", "title=T"), ("/m/b/1.mp3", "genre=G")]
+    assert rows(q.merge_plan(chosen, t, art, passes=2), "src", "dst") == [("/m/a/1.mp3", "genre=G"), ("/m/a/1.mp3", "title=T"), ("/m/b/1.mp3", "genre=G")]
+
+
+def test_chosen_pairs(spark):
+    found = spark.createDataFrame([("a", "b"), ("c", "d"), ("e", "f")], "a string, b string")
+    choices = spark.createDataFrame([("a", "b", 1), ("c", "d", 2), ("e", "f", 0)], "a string, b string, choice int")
+    assert rows(q.merge_chosen(found, choices), "action", "src", "dst") == [("merge_dir", "b", "a"), ("merge_dir", "c", "d")]
+
+
 def test_alias_file(spark, tmp_path):
     (tmp_path / "a.csv").write_text(" Artist1 , Artist One\nartist2,Artist Two\na,b,c\nARTIST2,Last\n")
     assert rows(tables.read_artist_alias(spark, str(tmp_path / "a.csv")), "key", "value") == [("artist1", "Artist One"), ("artist2", "Last")]
@@ -82,9 +169,12 @@ def test_merge_fills_what_is_lacking(spark):
 
 
 def test_rename_list(spark):
-    renames = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", "gone"), ("gone", "a")], "source string, target string")
-    names = spark.createDataFrame([("a",), ("b",)], "name string")
-    assert rows(r.existing_renames(renames, names), "src", "dst") == [("a", "b")]
+    lines = [("a", "a"), ("a", "b"), ("a", "c"), ("c", "a"), ("d", "gone"), ("gone", "b"), ("e", "d")]
+    renames = spark.createDataFrame([(n, *x) for n, x in enumerate(lines)], "line_no long, source string, target string")
+    names = spark.createDataFrame([(x,) for x in "abcde"], "name string")
+    children = spark.createDataFrame([("a", "1.mp3"), ("a", "disc"), ("e", "2.mp3"), ("b", "3.mp3")], "name string, child string")
+    want = [("merge_dir", "a/1.mp3", "b/1.mp3"), ("merge_dir", "a/disc", "b/disc"), ("merge_dir", "e/2.mp3", "d/2.mp3"), ("rename", "c", "a"), ("rmtree", "a", None), ("rmtree", "e", None)]
+    assert rows(r.existing_renames(renames, names, children), "action", "src", "dst") == want
 
 
 def test_stream_scans_once_and_keeps_first_copies(spark, tmp_path):

@@ -117,6 +117,63 @@ def test_pruning_loses_nothing(data, at_least):
     assert got == {k: pytest.approx(s) for k, s in want.items()}
 
 
+def test_profiles_hold_their_files(data):
+    got = {r.folder_path: r for r in p.profiles(*data, with_files=True).collect()}
+    mixed = got["/m/g/mixed"]
+    assert [(f.file, f.title, f.artist, f.album, f.bitrate, f.file_hash, f.extension) for f in mixed.files][-1] == ("4.mp3", fixed("ùìåí"), "p", "l", 0, "u", ".mp3")
+    assert len(got["/m/e/three"].files) == 4 and got["/m/e/three"].n_files == 4 and mixed.files[0].metadata == tags("a", "p", "k")
+
+
+def test_generic_scores_match_all_pairs(spark):
+    folders = {"/x": ["track 1.mp3", "track 2.mp3", "intro.mp3", "track 3.mp3", "outro 4.mp3"], "/one": ["a.mp3"], "/same": [f"t{i}.mp3" for i in range(9)]}
+    rows = spark.createDataFrame([(f, i, n) for f, names in folders.items() for i, n in enumerate(names)], "folder_path string, pos int, name string")
+    assert {r.folder_path: r.score for r in p.generic_scores(rows).collect()} == {f: pytest.approx(generic(names)) for f, names in folders.items()}
+
+
+def test_a_hot_key_is_cut_by_salt(spark):
+    a, b = (spark.createDataFrame([(1 if i else 2, i) for i in range(60)], f"n int, {x} int") for x in "xy")
+    got = sorted((r.n, r.x, r.y) for r in p.paired(a, b, "n", "x", per_part=7).collect())
+    assert got == sorted([(1, i, j) for i in range(1, 60) for j in range(1, 60)] + [(2, 0, 0)])
+
+
+def test_reports(data):
+    tracks, art = data
+    pairs = p.similar_pairs(tracks, art, at_least=0).where("f1 = '/m/a/one'")
+    got = {(r.f2, r.field): r.value for r in p.report(pairs).collect()}
+    assert got["/m/b/one", "weighted_score"] == "100.00" and got["/m/b/one", "file_hash"] == "1.00"
+    assert got["/m/c/One b", "file_hash"] == "0.75" and ("/m/c/One b", "tag genre") not in got
+    quality = q.scores(tracks, p.profiles(tracks, art))
+    parts = {(r.folder_path, r.part): r.percent for r in q.report(quality).collect()}
+    assert parts["/m/a/one", "hebrew"] == 100 and parts["/m/g/mixed", "one_album"] == 0 and len(parts) == 9 * quality.count()
+
+
+def test_second_comparison_matches_a_plain_version(spark, data):
+    import re
+
+    tracks, art = data
+    alias = spark.createDataFrame([], "key string, value string")
+    folders = {}
+    for x in ROWS:
+        folders.setdefault(x[1], []).append(x)
+    covers = {f: h for f, n, h in ART if n.lower() in p_covers()}
+    want = {}
+    for (f1, a), (f2, b) in combinations(sorted(folders.items()), 2):
+        n1, n2 = (f.split("/")[-1].lower() for f in (f1, f2))
+        if n1 != n2 and ratio(n1, n2) < 0.8:
+            continue
+        clean = lambda rows: sorted(re.sub(r"[\W\d_]", "", r[4]) for r in rows)
+        terms = [len(a) == len(b), ratio(clean(a), clean(b)), sum(x[10] == y[10] and x[10] is not None for x, y in zip(a, b, strict=False)) / min(len(a), len(b))]
+        if f1 in covers and f2 in covers:
+            terms.append(covers[f1] == covers[f2])
+        for key in ("artist", "album"):
+            v1, v2 = (next((r[10][key] for r in rows if r[10] and key in r[10]), None) for rows in (a, b))
+            if v1 and v2:
+                terms.append(v1.lower() == v2.lower())
+        if sum(terms) / len(terms) >= 0.8:
+            want[f1, f2] = round(sum(terms) / len(terms), 2)
+    assert {(r.f1, r.f2): r.score for r in p.compare(tracks, art, alias).collect()} == want and want
+
+
 def test_quality(data):
     tracks, art = data
     got = {r.folder_path: r for r in q.scores(tracks, p.profiles(tracks, art)).collect()}
@@ -156,3 +213,18 @@ def test_nearest_names(spark):
         want = max(((ratio(a, b), -names.index(b)), b) for b in set(names) if b != a)
         assert got[a] == (want[1], want[0][0])
     assert p.nearest(rows.where("name = 'zzz'")).count() == 0
+
+
+def test_nearest_names_go_through_all_gates(spark):
+    import random
+
+    rng = random.Random(5)
+    names = [f"{rng.choice(['red', 'blue', 'dark red'])} {rng.choice(['car', 'house', 'horse', 'mouse'])} {rng.randrange(30)}" for _ in range(60)] + ["q", "zz", "", "xylophone" * 5]
+    rows = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, ord int")
+    got = {r.a: (r.b, r.ratio) for r in p.nearest(rows).collect()}
+    assert got.keys() == set(names)
+    for a in set(names):
+        want = max(((ratio(a, b), -names.index(b)), b) for b in set(names) if b != a)
+        assert got[a] == (want[1], want[0][0])
+    sure = {r.a: r.sure for r in p.sure_matches(p.nearest(rows)).collect()}
+    assert sure == {a: x >= 1 - len(a.replace(" ", "")) * 0.01 for a, (_, x) in got.items()}

@@ -42,6 +42,15 @@ def letters_only(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{Nl}\p{No}]", ""), "[²³¹⁰-⁹₀-₉]", "")
 
 
+#: White space at either end of a text, of any kind, as a character class body.
+BLANKS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at its ends (`trim` takes blanks only)."""
+    return F.regexp_replace(text, rf"\A[{BLANKS}]+|[{BLANKS}]+\z", "")
+
+
 def contains_hebrew(text: Column) -> Column:
     return text.rlike("[֐-ת]")
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tonearm.functions import text
 
 AUDIO = (".mp3", ".flac", ".wav", ".aac", ".m4a", ".ogg")
+#: Backups and album hashes look at fewer kinds.
+ALBUM_AUDIO = (".mp3", ".flac", ".wav", ".m4a")
 IGNORED = ("cover.jpg", "folder.jpg", "thumbs.db", "desktop.ini")
 #: Fixed names of cover files, compared in lower case.
 COVERS = ("cd cover.jpg", "album cover.jpg", "albumartsmall.jpg", "cover.jpg", "folder.jpg", "cover.png")
@@ -55,7 +57,7 @@ def album_art(art: DataFrame, names: tuple[str, ...] = COVERS) -> DataFrame:
 def first_tag(tracks: DataFrame, name: str) -> DataFrame:
     """(folder_path, <name>): the first non-empty value by file order, trimmed."""
     found = tracks.withColumn("v", tag(name)).where(F.coalesce("v", F.lit("")) != "")
-    return found.groupBy("folder_path").agg(F.min_by(F.trim("v"), "pos").alias(name))
+    return found.groupBy("folder_path").agg(F.min_by(text.strip(F.col("v")), "pos").alias(name))
 
 
 def resolve_artist(tracks: DataFrame, alias: DataFrame) -> DataFrame:
@@ -99,10 +101,17 @@ def listing(dirs: DataFrame, parent: str) -> DataFrame:
     return dirs.where(F.col("parent_path") == parent).select("name")
 
 
-def backup_plan(tracks: DataFrame, root: str, backup: str) -> DataFrame:
-    """Copy every file below root to the same relative place below backup."""
+def below(root: str) -> Column:
+    """Whether folder_path is root or lies somewhere below it."""
+    root = root.rstrip("/")
+    return (F.col("folder_path") == root) | F.startswith("folder_path", F.lit(f"{root}/"))
+
+
+def backup_plan(tracks: DataFrame, root: str, backup: str, extensions: tuple[str, ...] = ALBUM_AUDIO) -> DataFrame:
+    """Copy every audio file in or below root to the same relative place below backup."""
+    root, backup = root.rstrip("/"), backup.rstrip("/")
     src = F.concat_ws("/", "folder_path", "file")
-    inside = tracks.where(F.startswith("folder_path", F.lit(root)))
+    inside = audio_files(tracks, extensions).where(below(root))
     return inside.select(F.lit("copy").alias("action"), src.alias("src"), F.concat(F.lit(backup), F.substring(src, len(root) + 1, 2**31 - 1)).alias("dst"))
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonearm.operators.catalog import ALBUM_AUDIO
+from tonearm.sources.tables import written
+
 ORDER = ("root_ord", "folder_path", "file")
 
 
@@ -39,16 +42,25 @@ def best_per_album(tracks: DataFrame, per_title: bool = False) -> DataFrame:
     return losers(tagged, ["album", "title"] if per_title else ["album"], [-F.coalesce("bitrate_bps", F.lit(0)), *map(F.col, ORDER)])
 
 
-def album_hashes(tracks: DataFrame) -> DataFrame:
-    """(folder_path, album_hash, size): MD5 of the files' MD5s in name order."""
-    listed = F.array_sort(F.collect_list(F.struct("file", "file_hash")))
-    return tracks.groupBy("folder_path").agg(F.md5(F.array_join(F.transform(listed, lambda x: x["file_hash"]), "")).alias("album_hash"), F.sum("size").alias("size"))
+def album_hashes(files: DataFrame, root: str, extensions: tuple[str, ...] = ALBUM_AUDIO) -> DataFrame:
+    """(album_path, album_hash, size) of the folders right below root, each with all that lies below it: MD5 of the audio
+    files' MD5s, by directory and then by name, and the bytes of all files. Files without a hash do not count; an album
+    without audio has the hash of nothing."""
+    root = root.rstrip("/")
+    inside = files.where(F.startswith("folder_path", F.lit(f"{root}/")))
+    album = F.concat(F.lit(f"{root}/"), F.substring_index(F.substring("folder_path", len(root) + 2, 2**31 - 1), "/", 1))
+    audio = F.when(F.lower("ext").isin(*extensions) & F.col("file_hash").isNotNull(), F.struct("folder_path", "file", "file_hash"))
+    listed = F.array_sort(F.collect_list(audio))
+    return inside.groupBy(album.alias("album_path")).agg(F.md5(F.array_join(F.transform(listed, lambda x: x["file_hash"]), "")).alias("album_hash"), F.sum("size").alias("size"))
 
 
-def albums_by_size(tracks: DataFrame) -> DataFrame:
-    """Albums of equal content: the largest stays, then the first path."""
-    first = Window.partitionBy("album_hash").orderBy(F.desc("size"), "folder_path")
-    return album_hashes(tracks).withColumn("kept", F.first("folder_path").over(first)).where("folder_path <> kept")
+def albums_by_size(files: DataFrame, root: str, extensions: tuple[str, ...] = ALBUM_AUDIO) -> DataFrame:
+    """Albums right below root with equal content: the largest stays, then the first path. Very many copies (all albums
+    without audio are copies) are combined before they are exchanged."""
+    albums = album_hashes(files, root, extensions)
+    best = albums.groupBy("album_hash").agg(F.min_by("album_path", F.struct(-F.col("size"), "album_path")).alias("kept"))
+    found = albums.join(best.select(F.concat("album_hash", F.lit("")).alias("h"), "kept"), F.col("album_hash") == F.col("h"))
+    return found.where("album_path <> kept").select("album_path", "album_hash", "size", "kept")
 
 
 def directory_sizes(files: DataFrame) -> DataFrame:
@@ -59,10 +71,25 @@ def directory_sizes(files: DataFrame) -> DataFrame:
     return folders.select(F.explode(above).alias("path"), "size").groupBy("path").agg(F.sum("size").alias("size"))
 
 
-def by_album(tracks: DataFrame) -> DataFrame:
-    """(album, n_files, files): paths under each album tag, in order."""
-    tagged = tracks.withColumn("album", F.try_element_at("tags", F.lit("album"))).where("album is not null")
-    return tagged.groupBy("album").agg(F.count("*").alias("n_files"), F.array_sort(F.collect_list(F.concat_ws("/", "folder_path", "file"))).alias("files"))
+def by_album(tracks: DataFrame, parts: int | None = None) -> DataFrame:
+    """(album, place, path, n_files): every file under its album tag, numbered by path. An album of any size is spread:
+    files are sorted by ranges of (album, path), numbered within a range, and moved on by what earlier ranges hold."""
+    tagged = tracks.select(F.try_element_at("tags", F.lit("album")).alias("album"), F.concat_ws("/", "folder_path", "file").alias("path")).where("album is not null")
+    n = parts or int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(tagged.repartitionByRange(n, "album", "path").select("album", "path", F.spark_partition_id().alias("part")), "by-album")
+    held = ranged.groupBy("album", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("album").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    whole = Window.partitionBy("album")
+    placed = held.select(F.col("album").alias("a"), F.col("part").alias("r"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("n_files"))
+    own = F.row_number().over(Window.partitionBy("part", "album").orderBy("path"))
+    numbered = ranged.withColumn("own", own).join(placed, (F.col("album") == F.col("a")) & (F.col("part") == F.col("r")))
+    return numbered.select("album", (F.col("own") + F.col("before")).alias("place"), "path", "n_files")
+
+
+def consistent(tracks: DataFrame, name: str) -> DataFrame:
+    """(folder_path, one): whether a folder has exactly one value of a tag; empty ones do not count."""
+    value = F.nullif(F.try_element_at("tags", F.lit(name)), F.lit(""))
+    return tracks.groupBy("folder_path").agg((F.countDistinct(value) == 1).alias("one"))
 
 
 def tag_counts(tracks: DataFrame) -> DataFrame:

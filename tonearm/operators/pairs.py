@@ -38,18 +38,32 @@ def readable(tracks: DataFrame, more_than: int = 2) -> DataFrame:
     )
 
 
+#: Rows of one key that a task pairs with all of the key's rows; keys with more are cut by salt.
+PER_PART = 2000
+
+
+def paired(a: DataFrame, b: DataFrame, key: str, own: str, per_part: int = PER_PART) -> DataFrame:
+    """a joined with b on `key`. A key with many rows of a is cut into parts by a hash of their column `own`; each part meets all
+    of the key's rows of b."""
+    parts = a.groupBy(key).agg(F.ceil(F.count("*") / per_part).cast("int").alias("parts")).select(F.col(key).alias("k"), "parts")
+    same = F.col(key).eqNullSafe(F.col("k"))
+    cut = a.join(parts, same).drop("k").withColumn("salt", F.pmod(F.xxhash64(own), F.col("parts")).cast("int")).drop("parts")
+    spread = b.join(parts, same).drop("k").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return cut.join(spread, [key, "salt"]).drop("salt")
+
+
 def same_count(files: DataFrame, *kept: str) -> DataFrame:
     """(f1, f2, n): pairs of folders with equally many files, each once, in folder order. `kept` columns of either side
     come along with 1 and 2 at their end."""
     folders = files.groupBy("folder_path").agg(F.first("ord").alias("ord"), F.count("*").cast("int").alias("n"), *[F.first(c).alias(c) for c in kept])
     a = folders.select("n", F.col("ord").alias("ord1"), F.col("folder_path").alias("f1"), *[F.col(c).alias(f"{c}1") for c in kept])
     b = folders.select("n", F.col("ord").alias("ord2"), F.col("folder_path").alias("f2"), *[F.col(c).alias(f"{c}2") for c in kept])
-    return a.join(b, "n").where("ord1 < ord2")
+    return paired(a, b, "n", "f1").where("ord1 < ord2")
 
 
-def positions(pairs: DataFrame, files: DataFrame) -> DataFrame:
-    """One row per pair and position, both files' columns with 1 and 2 at their end."""
-    side = lambda k: files.select(F.col("folder_path").alias(f"f{k}"), "pos", *[F.col(c).alias(f"{c}{k}") for c in ("file", "title", "album", "artist", "file_hash", "tags")])
+def positions(pairs: DataFrame, files: DataFrame, *kept: str) -> DataFrame:
+    """One row per pair and position, the `kept` columns of both files with 1 and 2 at their end."""
+    side = lambda k: files.select(F.col("folder_path").alias(f"f{k}"), "pos", *[F.col(c).alias(f"{c}{k}") for c in kept])
     return pairs.join(side(1), "f1").join(side(2), ["f2", "pos"])
 
 
@@ -58,28 +72,36 @@ def hash_fraction(placed: DataFrame) -> DataFrame:
     return placed.groupBy("f1", "f2").agg(F.first("n").alias("n"), F.avg(F.col("file_hash1").eqNullSafe(F.col("file_hash2")).cast("int")).alias("file_hash"))
 
 
+def common_keys(tags1: Column, tags2: Column) -> Column:
+    """Further tags that both files have."""
+    return F.array_except(F.array_intersect(F.map_keys(tags1), F.map_keys(tags2)), F.array(*map(F.lit, MAIN_TAGS)))
+
+
 def extra_tags(placed: DataFrame) -> DataFrame:
     """(f1, f2, key, score): share of positions where a further tag is there on both sides, not empty, and equal in any case."""
-    keys = F.array_except(F.array_intersect(F.map_keys("tags1"), F.map_keys("tags2")), F.array(*map(F.lit, MAIN_TAGS)))
-    rows = placed.select("f1", "f2", "n", F.explode(keys).alias("key"), "tags1", "tags2")
+    rows = placed.select("f1", "f2", "n", F.explode(common_keys(F.col("tags1"), F.col("tags2"))).alias("key"), "tags1", "tags2")
     a, b = F.try_element_at("tags1", F.col("key")), F.try_element_at("tags2", F.col("key"))
     return rows.where((a != "") & (F.lower(a) == F.lower(b))).groupBy("f1", "f2", "key").agg((F.count("*") / F.first("n")).alias("score"))
 
 
 def generic_scores(names: DataFrame) -> DataFrame:
     """(folder_path, score): mean ratio over all pairs of names in a folder, numbers and extensions left out; under two
-    names 0. names: folder_path, pos, name. Equal pairs of strings are scored once for the whole library."""
+    names 0. names: folder_path, pos, name. Names that are equal then are counted, not paired; a folder of very many names is
+    cut by salt; equal pairs of strings are scored once for the whole library."""
     plain = names.select("folder_path", "pos", text.strip_digits(text.stem(F.col("name"))).alias("s"))
-    a, b = plain.alias("a"), plain.alias("b")
-    pairs = a.join(b, (F.col("a.folder_path") == F.col("b.folder_path")) & (F.col("a.pos") < F.col("b.pos"))).select("a.folder_path", F.col("a.s").alias("a"), F.col("b.s").alias("b"))
-    found = similarity.scored(pairs)
-    means = pairs.join(found, ["a", "b"]).groupBy("folder_path").agg(F.avg("ratio").alias("score"))
-    return names.select("folder_path").distinct().join(means, "folder_path", "left").select("folder_path", F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
-def profiles(tracks: DataFrame, art: DataFrame, more_than: int = 2) -> DataFrame:
-    """(folder_path, n_files, file_similarity, title_similarity, album_art). All listed files count for the names; titles
-    only of files that can be read and have one."""
+    alike = plain.groupBy("folder_path", "s").agg(F.count("*").alias("c")).groupBy("folder_path").agg(F.sum("c").alias("n"), F.sum(F.expr("c * (c - 1) div 2")).alias("same"))
+    a = plain.select("folder_path", F.col("pos").alias("p1"), F.col("s").alias("a"))
+    b = plain.select("folder_path", F.col("pos").alias("p2"), F.col("s").alias("b"))
+    pairs = paired(a, b, "folder_path", "p1").where("p1 < p2 and a <> b").groupBy("folder_path", "a", "b").agg(F.count("*").alias("c"))
+    sums = pairs.join(similarity.scored(pairs), ["a", "b"]).groupBy("folder_path").agg(F.sum(F.col("c") * F.col("ratio")).alias("unlike"))
+    score = (F.coalesce("unlike", F.lit(0.0)) + F.col("same")) / F.expr("n * (n - 1) div 2")
+    return alike.join(sums, "folder_path", "left").select("folder_path", F.when(F.col("n") > 1, score).otherwise(0.0).alias("score"))
+
+
+def profiles(tracks: DataFrame, art: DataFrame, more_than: int = 2, with_files: bool = False) -> DataFrame:
+    """(folder_path, n_files, file_similarity, title_similarity, album_art), and `files` if asked for: those that can be read,
+    in order, with repaired artist, album and title, bitrate, tags, hash and extension. All listed files count for the
+    names; titles only of files that can be read and have one."""
     from tonearm.operators.catalog import album_art
 
     listed = tracks.groupBy("folder_path").agg(F.count("*").alias("n_listed"), F.count("tags").alias("n_files")).where(F.col("n_listed") > more_than)
@@ -88,7 +110,15 @@ def profiles(tracks: DataFrame, art: DataFrame, more_than: int = 2) -> DataFrame
     titled = own.withColumn("name", text.fix_mojibake(tag("title"))).where(text.present(F.col("name")).isNotNull())
     by_title = generic_scores(titled.select("folder_path", "pos", "name")).withColumnRenamed("score", "title_similarity")
     full = listed.join(by_file, "folder_path", "left").join(by_title, "folder_path", "left").join(album_art(art), "folder_path", "left")
-    return full.select("folder_path", "n_files", F.coalesce("file_similarity", F.lit(0.0)).alias("file_similarity"), F.coalesce("title_similarity", F.lit(0.0)).alias("title_similarity"), "album_art")
+    fields = [F.coalesce("file_similarity", F.lit(0.0)).alias("file_similarity"), F.coalesce("title_similarity", F.lit(0.0)).alias("title_similarity"), "album_art"]
+    if with_files:
+        told = F.struct("pos", "file", *[text.fix_mojibake(tag(f)).alias(f) for f in ("artist", "album", "title")], F.col("bitrate_kbps").alias("bitrate"), F.col("tags").alias("metadata"), "file_hash", F.lower("ext").alias("extension"))
+        # rows of one folder; ordered by place alone, since tags are maps
+        in_order = F.array_sort(F.collect_list(told), lambda a, b: a["pos"] - b["pos"])
+        files = tracks.where("tags is not null").groupBy("folder_path").agg(in_order.alias("files"))
+        full = full.join(files, "folder_path", "left")
+        fields.append(F.coalesce("files", F.array().cast(files.schema["files"].dataType)).alias("files"))
+    return full.select("folder_path", "n_files", *fields)
 
 
 def adjustment(a: Column, b: Column) -> Column:
@@ -107,31 +137,43 @@ def similar_pairs(tracks: DataFrame, art: DataFrame, at_least: float = MINIMAL,
     identical, the seven terms, additional_metadata (map), weighted_score. Identical pairs have 100 and no terms.
 
     Tables that are used several times are written once: the files, the profiles (or those given as info), the pairs that
-    pass the bound. Positions are joined anew from the files each time, since they are many."""
-    files = written(readable(tracks, more_than), "files")
+    pass the bound. Only these have their strings joined and scored."""
     info = written(profiles(tracks, art, more_than), "profiles") if info is None else info
+    fields = ("file", "title", "album", "artist")
+    low = {f"{c}{k}": F.coalesce(F.lower(f"{c}{k}"), F.lit("")) for c in fields for k in (1, 2)}
+    further = F.filter(F.map_entries("tags"), lambda e: ~e["key"].isin(*MAIN_TAGS) & (e["value"] != ""))
+    files = readable(tracks, more_than).withColumns({
+        "further": F.transform(further, lambda e: F.struct(e["key"].alias("key"), F.lower(e["value"]).alias("value"))),
+        "file_bag": similarity.bag(F.lower("file")), "title_bag": similarity.bag(F.lower("title")),
+    })
+    files = written(files.drop("tags"), "files")
+    pairs = same_count(files)
     names = files.groupBy("folder_path").agg(F.first("folder_name").alias("folder_name"))
     side = lambda k: info.join(names, "folder_path").select(F.col("folder_path").alias(f"f{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("file_similarity", "title_similarity", "album_art", "folder_name")])
-    placed = positions(same_count(files), files)
-    hashes = hash_fraction(placed)
-    identical = hashes.where("file_hash = 1.0")
 
-    extras = extra_tags(placed).groupBy("f1", "f2").agg(F.sum("score").alias("x"), F.count("*").alias("xn"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "score")))).alias("additional_metadata"))
-    known = hashes.where("file_hash < 1.0").join(side(1), "f1").join(side(2), "f2").join(extras, ["f1", "f2"], "left").withColumns({
+    # all positions of all pairs, once: hashes, further tags, and what the ratios can be at most
+    placed = positions(pairs, files, *fields, "file_hash", "further", "file_bag", "title_bag")
+    both = lambda c: (low[f"{c}1"] != "") & (low[f"{c}2"] != "")
+    most = {c: similarity.length_bound(low[f"{c}1"], low[f"{c}2"]) for c in ("album", "artist")} | {c: similarity.bag_bound(low[f"{c}1"], low[f"{c}2"], F.col(f"{c}_bag1"), F.col(f"{c}_bag2")) for c in ("file", "title")}
+    alike = F.transform(F.array_intersect("further1", "further2"), lambda e: e["key"])
+    compared = placed.groupBy("f1", "f2").agg(
+        F.first("n").alias("n"), F.avg(F.col("file_hash1").eqNullSafe(F.col("file_hash2")).cast("int")).alias("file_hash"), F.flatten(F.collect_list(alike)).alias("keys"),
+        *[F.avg(F.when(both(c), most[c]).otherwise(0.0)).alias(f"b_{c}") for c in fields],
+    )
+    score = lambda k: F.struct(k.alias("key"), (F.size(F.filter("keys", lambda x: x == k)) / F.col("n")).alias("score"))
+    compared = compared.withColumn("additional_metadata", F.map_from_entries(F.transform(F.array_sort(F.array_distinct("keys")), score)))
+    known = compared.join(side(1), "f1").join(side(2), "f2").withColumns({
         "album_art": F.when(F.col("album_art1") == F.col("album_art2"), 1.0).otherwise(0.0),
         "adjust_file": adjustment(F.col("file_similarity1"), F.col("file_similarity2")), "adjust_title": adjustment(F.col("title_similarity1"), F.col("title_similarity2")),
-        "x": F.coalesce("x", F.lit(0.0)), "xn": F.coalesce("xn", F.lit(0)),
+        "x": F.size("keys") / F.col("n"), "xn": F.size("additional_metadata"),
     })
-    fields = ("file", "title", "album", "artist")
-    low = {f"{c}{k}": F.lower(f"{c}{k}") for c in fields for k in (1, 2)}
-    both = lambda c: (F.coalesce(low[f"{c}1"], F.lit("")) != "") & (F.coalesce(low[f"{c}2"], F.lit("")) != "")
-    bounds = placed.groupBy("f1", "f2").agg(*[F.avg(F.when(both(c), similarity.length_bound(low[f"{c}1"], low[f"{c}2"])).otherwise(0.0)).alias(f"b_{c}") for c in fields])
-    most = {"file_hash": F.col("file_hash"), "file": F.col("b_file") * F.col("adjust_file"), "title": F.col("b_title") * F.col("adjust_title"), "album": F.col("b_album"), "artist": F.col("b_artist"), "folder_name": similarity.length_bound(F.col("folder_name1"), F.col("folder_name2")), "album_art": F.col("album_art")}
-    left = known.join(bounds, ["f1", "f2"]).where(_weighted(most, F.col("x"), F.col("xn")) >= at_least - 1e-9).drop(*[f"b_{c}" for c in fields])
-    left = written(left, "pairs")
+    bounds = {"file_hash": F.col("file_hash"), "file": F.col("b_file") * F.col("adjust_file"), "title": F.col("b_title") * F.col("adjust_title"), "album": F.col("b_album"), "artist": F.col("b_artist"), "folder_name": similarity.length_bound(F.col("folder_name1"), F.col("folder_name2")), "album_art": F.col("album_art")}
+    reaches = (F.col("file_hash") == 1.0) | (_weighted(bounds, F.col("x"), F.col("xn")) >= at_least - 1e-9)
+    passed = written(known.where(reaches).drop("keys", *[f"b_{c}" for c in fields]), "pairs")
+    identical, left = passed.where("file_hash = 1.0"), passed.where("file_hash < 1.0")
 
     # the strings of the pairs that are left, each distinct pair once
-    asked = placed.join(left.select("f1", "f2"), ["f1", "f2"], "left_semi")
+    asked = positions(left.select("f1", "f2"), files, *fields)
     strings = asked.select("f1", "f2", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), low[f"{c}1"].alias("a"), low[f"{c}2"].alias("b")) for c in fields])).alias("s")).select("f1", "f2", "s.*").where("a <> '' and b <> ''")
     named = left.select("f1", "f2", F.lit("folder_name").alias("field"), F.lower("folder_name1").alias("a"), F.lower("folder_name2").alias("b"))
     strings = strings.unionByName(named)
@@ -186,7 +228,7 @@ def compare(tracks: DataFrame, art: DataFrame, alias: DataFrame, gate: float = N
     lists = tracks.groupBy("folder_path", "folder_name").agg(F.struct(F.min("root_ord"), F.col("folder_path")).alias("ord"), F.count("*").alias("n"), F.array_sort(F.collect_list(text.letters_only(F.col("file")))).alias("names"))
     info = lists.join(resolve_artist_album(tracks, alias), "folder_path", "left").join(album_art(art), "folder_path", "left")
     pairs = similar_names(lists.select("folder_path", "folder_name", "ord"), gate).select("f1", "f2")
-    placed = positions(pairs, tracks.select("folder_path", "pos", "file", tag("title").alias("title"), tag("album").alias("album"), tag("artist").alias("artist"), "file_hash", "tags"))
+    placed = positions(pairs, tracks, "tags")
     side = lambda k: info.select(F.col("folder_path").alias(f"f{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("n", "names", "artist", "album", "album_art")])
     full = pairs.join(side(1), "f1").join(side(2), "f2").join(tag_equality(placed), ["f1", "f2"], "left").withColumn("ratio", similarity.seq_ratio("names1", "names2"))
     score, total = (F.col("n1") == F.col("n2")).cast("int") + F.col("ratio") + F.coalesce("score", F.lit(0.0)), F.lit(3)
@@ -198,16 +240,34 @@ def compare(tracks: DataFrame, art: DataFrame, alias: DataFrame, gate: float = N
     return full.select("f1", "f2", (score / total).alias("s")).where(F.col("s") >= at_least).select("f1", "f2", F.round("s", 2).alias("score"))
 
 
-def nearest(names: DataFrame, others: DataFrame | None = None) -> DataFrame:
+def nearest(names: DataFrame, others: DataFrame | None = None, gates: tuple[float, ...] = (0.8, 0.6, 0.4)) -> DataFrame:
     """(a, b, ratio): for each name the most similar other name; ties go to the first in order. names, others: one
-    column name, and ord. Every pair of distinct names is scored, which is what this operator computes: for long lists
-    use it block by block."""
-    own = names.select(F.col("name").alias("a")).distinct()
-    list_ = (others if others is not None else names).groupBy("name").agg(F.min("ord").alias("ord")).select(F.col("name").alias("b"), "ord")
-    pairs = own.join(list_, F.col("a") != F.col("b"))
-    scored = pairs.repartition("b").sortWithinPartitions("b").withColumn("ratio", similarity.seq_ratio("a", "b"))
-    best = scored.groupBy("a").agg(F.max_by(F.struct("b", "ratio"), F.struct(F.col("ratio"), -F.col("ord"))).alias("m"))
-    return best.select("a", "m.b", "m.ratio")
+    column name, and ord.
+
+    Names meet by length, as far as lengths and characters let a ratio reach a gate. A name whose best ratio reaches the
+    gate has its nearest name; the others go on to the next, lower one, and only what is left after the last gate meets
+    all lengths. So no result is lost, and like names cost few ratios."""
+    own = written(names.select(F.col("name").alias("a")).distinct(), "names")
+    list_ = (others if others is not None else names).groupBy("name").agg(F.min("ord").alias("ord")).select(F.col("name").alias("b"), "ord", F.length("name").alias("len"))
+    list_ = written(list_, "others")
+    found, best_of = None, F.max_by(F.struct("b", "ratio"), F.struct(F.col("ratio"), -F.col("ord"))).alias("m")
+    for gate in (*gates, 0.0):
+        least = gate / (2 - gate)  # of the longer name's length
+        n = F.length("a")
+        if gate:
+            reach = own.select("a", F.explode(F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int"))).alias("len"))
+        else:
+            low, high = list_.agg(F.coalesce(F.min("len"), F.lit(0)), F.coalesce(F.max("len"), F.lit(0))).first()
+            reach = own.select("a", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("len"))
+        close = paired(reach, list_, "len", "a").where("a <> b")
+        close = close.where(similarity.multiset_bound(F.col("a"), F.col("b")) >= gate - 1e-9) if gate else close
+        scored = close.join(similarity.scored(close), ["a", "b"])
+        best = written(scored.groupBy("a").agg(best_of).select("a", "m.b", "m.ratio").where(F.col("ratio") >= gate), "nearest")
+        found = best if found is None else found.unionByName(best)
+        own = written(own.join(best.select("a"), "a", "left_anti"), "names")
+        if own.isEmpty():
+            break
+    return found
 
 
 def sure_matches(found: DataFrame, strict: bool = True) -> DataFrame:

@@ -124,16 +124,34 @@ def merged_covers(chosen: DataFrame, art: DataFrame) -> DataFrame:
     return rows.select(*action("copy", F.concat_ws("/", "other", "file"), F.concat_ws("/", "preferred", "file"), "cover"))
 
 
-def merge_plan(chosen: DataFrame, tracks: DataFrame, art: DataFrame, at_least: float = MERGE_FROM) -> DataFrame:
-    """Tag and cover merges of all pairs that score at least `at_least`, in one pass. For tags that travel over several
-    folders, apply the plan and run again."""
+def with_tags(tracks: DataFrame, merged: DataFrame) -> DataFrame:
+    """tracks after a merge (preferred, file, key, value): what was lacking is filled in."""
+    given = merged.groupBy("preferred", "file").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("given")).select(F.col("preferred").alias("p"), F.col("file").alias("f"), "given")
+    own = F.map_filter("tags", lambda k, v: ~F.map_contains_key("given", k))
+    full = F.when(F.col("given").isNull(), F.col("tags")).otherwise(F.map_concat(F.coalesce(own, F.expr("cast(map() as map<string,string>)")), "given"))
+    joined = tracks.join(given, (F.col("folder_path") == F.col("p")) & (F.col("file") == F.col("f")), "left")
+    return joined.withColumn("tags", full).select(*tracks.columns)
+
+
+def merge_plan(chosen: DataFrame, tracks: DataFrame, art: DataFrame, at_least: float = MERGE_FROM, passes: int = 1) -> DataFrame:
+    """Tag and cover merges of all pairs that score at least `at_least`. In one pass every tag comes from a folder as it was;
+    with more, each pass starts from the tags that the one before it filled in, so that a tag can travel over as many
+    folders. A pass costs two joins of the chosen folders' files; its result is written."""
     from pyspark.sql import Window
 
+    from tonearm.sources.tables import written
+
     good = chosen.where(F.col("weighted_score") >= at_least)
     # rank within a preferred folder is all that the choice of a donor needs
     order = good.select("preferred", "other", F.row_number().over(Window.partitionBy("preferred").orderBy(F.desc("weighted_score"), "other")).alias("rank"))
     matches = matched_files(order, tracks).join(order, ["preferred", "other"])
-    tags = merged_tags(matches, tracks).select(*action("set_tag", F.concat_ws("/", "preferred", "file"), F.concat_ws("=", "key", "value"), "merge"))
+    if passes > 1:
+        matches = written(matches, "matches")
+    merged = merged_tags(matches, tracks)
+    for _ in range(passes - 1):
+        merged = written(merged, "merged")
+        merged = merged.unionByName(merged_tags(matches, with_tags(tracks, merged)))
+    tags = merged.select(*action("set_tag", F.concat_ws("/", "preferred", "file"), F.concat_ws("=", "key", "value"), "merge"))
     return tags.unionByName(merged_covers(order, art))
 
 

@@ -93,11 +93,20 @@ def albums_needing_art(tracks: DataFrame) -> DataFrame:
     return tracks.groupBy("folder_path").agg(F.coalesce(F.bool_or("has_embedded_art"), F.lit(False)).alias("any")).where("not any").select("folder_path")
 
 
-def existing_renames(renames: DataFrame, names: DataFrame) -> DataFrame:
-    """Renames whose two names differ and are both there: their contents are to be merged."""
+def existing_renames(renames: DataFrame, names: DataFrame, children: DataFrame) -> DataFrame:
+    """What a rename list (line_no, source, target) asks for among `names` (name), with what lies in them (`children`: name,
+    child): lines whose two names differ and are both listed. The first line of a source counts, since it is gone then.
+    Where the target is still there each child is moved (`merge_dir`) and the source dropped (`rmtree`); where an earlier
+    line has taken it away the source is renamed. Names that come back by a rename take part when the plan is run again."""
     there = names.select("name").distinct()
-    some = renames.where("source <> target").join(there, F.col("source") == F.col("name"), "left_semi").join(there.withColumnRenamed("name", "n2"), F.col("target") == F.col("n2"), "left_semi")
-    return some.select(*action("merge_dir", F.col("source"), F.col("target"), "rename list")).distinct()
+    both = renames.where("source <> target").join(there, F.col("source") == F.col("name"), "left_semi").join(there.withColumnRenamed("name", "n2"), F.col("target") == F.col("n2"), "left_semi")
+    lines = both.groupBy("source").agg(F.min(F.struct("line_no", "target")).alias("l")).select("source", "l.*")
+    taken = lines.select(F.col("source").alias("gone"), F.col("line_no").alias("since"))
+    judged = lines.join(taken, F.col("target") == F.col("gone"), "left").withColumn("renamed", F.coalesce(F.col("since") < F.col("line_no"), F.lit(False)))
+    merged = judged.where("not renamed")
+    moves = merged.join(children, F.col("source") == F.col("name")).select(*action("merge_dir", F.concat_ws("/", "source", "child"), F.concat_ws("/", "target", "child"), "rename list"))
+    drops = merged.select(*action("rmtree", F.col("source"), reason="rename list"))
+    return judged.where("renamed").select(*action("rename", F.col("source"), F.col("target"), "rename list")).unionByName(moves).unionByName(drops)
 
 
 def summary(actions: DataFrame) -> DataFrame:

@@ -62,21 +62,41 @@ def scan_incremental(spark, sf_dir):
     return c.new_folders(t.select("folder_path").distinct(), known)
 
 
-@query("SELECT lower(trim(event_type)) AS key, arg_max(trim(CAST(user_id % 7 AS VARCHAR)), event_id) AS value FROM events WHERE event_id % 3 > 0 GROUP BY ALL")
+@query("SELECT lower(CASE c_custkey % 4 WHEN 0 THEN c_name || ', \"x\"' ELSE c_name END) AS key, c_mktsegment AS value FROM customer WHERE c_custkey % 4 < 2")
 def read_artist_alias(spark, sf_dir):
-    e = v.table(spark, sf_dir, "events")
-    two = F.array(F.concat(F.lit(" "), F.upper("event_type"), F.lit(" ")), (F.col("user_id") % 7).cast("string"))
-    lines = e.select(F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 3 > 0, two).otherwise(F.array(F.lit("x"))).alias("fields"))
-    return tables.artist_alias(lines)
+    """A file with quoted fields, blanks and tabs at both ends, and lines of one and of three fields."""
+    k, name, to = F.col("c_custkey") % 4, F.col("c_name"), F.col("c_mktsegment")
+    quoted = F.concat(F.lit('"'), name, F.lit(', ""x""","'), to, F.lit('"'))
+    padded = F.concat(F.lit(" "), F.upper(name), F.lit("\t,\t"), to, F.lit(" "))
+    line = F.when(k == 0, quoted).when(k == 1, padded).when(k == 2, name).otherwise(F.concat(name, F.lit(",a,b")))
+    path = tables.shared_path(spark, "aliases")
+    v.table(spark, sf_dir, "customer").select(line.alias("value")).write.text(path)
+    return tables.read_artist_alias(spark, path)
 
 
-@query("SELECT DISTINCT 'merge_dir' AS action, a.name AS src, b.name AS dst, 'rename list' AS reason FROM dirs a JOIN dirs b ON substr(a.name, 2, 1) = substr(b.name, 2, 1) AND a.name <> b.name WHERE a.parent_path = '/lib' AND b.parent_path = '/lib' AND a.name < b.name")
+_ALBUM_NAMES = ", album_names AS (SELECT DISTINCT k || conv_id AS name FROM album_talks) "
+
+
+def _album_names(spark, sf_dir):
+    folder = F.regexp_extract("folder_path", "^(/albums/[^/]*)", 1)
+    paths = v.album_files(spark, sf_dir).select(folder.alias("path")).distinct()
+    return c.listing(paths.select("path", text.base_name(F.col("path")).alias("name"), F.lit("/albums").alias("parent_path")).unionByName(v.dirs(spark, sf_dir).select("path", "name", "parent_path")), "/albums")
+
+
+@query(_ALBUM_NAMES + """, children AS (SELECT DISTINCT k || conv_id AS name, CASE turn % 3 WHEN 0 THEN lpad(CAST(turn + 1 AS VARCHAR), 2, '0') || CASE turn % 4 WHEN 3 THEN '.txt' ELSE '.mp3' END ELSE 'disc' || (turn % 3) END AS child FROM album_talks UNION SELECT k || conv_id, 'cover.jpg' FROM album_talks WHERE turn = 0),
+lines AS (SELECT conv_id AS line_no, 'c' || conv_id AS source, CASE conv_id % 3 WHEN 0 THEN 'x' || conv_id WHEN 1 THEN 'c' || (conv_id - 1) ELSE 'c' || conv_id END AS target FROM (SELECT DISTINCT conv_id FROM talks)),
+good AS (SELECT * FROM lines WHERE source <> target AND source IN (FROM album_names) AND target IN (FROM album_names)),
+judged AS (SELECT o.*, coalesce(t.line_no < o.line_no, false) AS renamed FROM good o LEFT JOIN good t ON t.source = o.target)
+SELECT 'rename' AS action, source AS src, target AS dst, 'rename list' AS reason FROM judged WHERE renamed UNION ALL SELECT 'rmtree', source, NULL, 'rename list' FROM judged WHERE NOT renamed
+UNION ALL SELECT 'merge_dir', source || '/' || child, target || '/' || child, 'rename list' FROM judged JOIN children ON name = source WHERE NOT renamed""")
 def rename_existing(spark, sf_dir):
-    names = c.listing(v.dirs(spark, sf_dir), "/lib")
-    own = names.select(F.col("name").alias("source"), F.substring("name", 2, 1).alias("k"))
-    pairs = own.join(names.select(F.col("name").alias("target"), F.substring("name", 2, 1).alias("k")), "k").where("source < target").select("source", "target")
-    lost = pairs.select("source", F.concat("target", F.lit("?")).alias("target"))
-    return r.existing_renames(pairs.unionByName(lost), names)
+    n = F.col("conv_id")
+    name = lambda k, x: F.concat(F.lit(k), x.cast("string"))
+    target = F.when(n % 3 == 0, name("x", n)).when(n % 3 == 1, name("c", n - 1)).otherwise(name("c", n))
+    lines = v.table(spark, sf_dir, "conversations").select("conv_id").distinct().select(n.alias("line_no"), name("c", n).alias("source"), target.alias("target"))
+    rest = F.split(F.concat_ws("/", "folder_path", "file"), "/")
+    children = v.album_files(spark, sf_dir).select(rest[2].alias("name"), rest[3].alias("child")).distinct()
+    return r.existing_renames(lines, _album_names(spark, sf_dir), children)
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS name, md5(text) AS file_hash, sha256(text) AS sha256 FROM documents")
@@ -94,9 +114,9 @@ def project_tags(spark, sf_dir):
     return c.project_tags(v.tracks(spark, sf_dir))
 
 
-@query("SELECT name FROM dirs WHERE parent_path = '/lib'")
+@query(_ALBUM_NAMES + "SELECT name FROM album_names")
 def album_name_listing(spark, sf_dir):
-    return c.listing(v.dirs(spark, sf_dir), "/lib")
+    return _album_names(spark, sf_dir)
 
 
 _ARTIST = """, first_artist AS (SELECT folder_path, arg_min(trim(artist), pos) AS artist FROM tracks WHERE coalesce(artist, '') <> '' GROUP BY ALL),
@@ -127,26 +147,54 @@ def load_catalog(spark, sf_dir):
     return tables.load_catalog(spark, path, CATALOG)
 
 
-@query("SELECT lower(n_name) AS source, substr(n_name, 1, 3) AS target FROM nation")
+@query("SELECT c_name || CASE c_custkey % 2 WHEN 0 THEN ', \"b\"' ELSE '' END AS source, CASE c_custkey % 3 WHEN 0 THEN '' ELSE c_mktsegment END AS target FROM customer")
 def read_rename_list(spark, sf_dir):
+    """A list with quoted sources and empty targets."""
+    k = F.col("c_custkey")
+    source = F.when(k % 2 == 0, F.concat(F.lit('"'), "c_name", F.lit(', ""b"""'))).otherwise(F.col("c_name"))
     path = tables.shared_path(spark, "renames")
-    v.table(spark, sf_dir, "nation").select(F.lower("n_name"), F.substring("n_name", 1, 3)).write.csv(path)
-    return tables.read_rename_list(spark, path)
+    v.table(spark, sf_dir, "customer").select(F.concat(source, F.lit(","), F.when(k % 3 == 0, "").otherwise(F.col("c_mktsegment"))).alias("value")).write.text(path)
+    return tables.read_rename_list(spark, path).select("source", "target")
 
 
 @query("SELECT DISTINCT md5(text) AS file_hash FROM documents")
 def stream_first_copies(spark, sf_dir):
-    """Documents as a stream, in as many batches as there are files; of equal content only the first arrives."""
-    kind = v.table(spark, sf_dir, "documents").schema
-    files = spark.readStream.schema(kind).option("maxFilesPerTrigger", 2).parquet(f"{sf_dir}/documents*.parquet").select(F.md5("text").alias("file_hash"))
-    path = tables.shared_path(spark, "arrived")
+    """Documents arriving in eight files, two a batch; of equal content only the first arrives."""
+    came, path = tables.shared_path(spark, "incoming"), tables.shared_path(spark, "arrived")
+    docs = v.table(spark, sf_dir, "documents").select("text")
+    docs.repartition(8).write.parquet(came)
+    files = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(came).select(F.md5("text").alias("file_hash"))
     incoming.append(incoming.first_copies(files), path, tables.shared_path(spark, "state")).awaitTermination()
     return spark.read.schema("file_hash string").parquet(path)
 
 
-@query("SELECT 'copy' AS action, path AS src, '/backup' || substr(path, 5) AS dst FROM tracks WHERE starts_with(folder_path, '/lib')")
+@query("SELECT DISTINCT md5(event_type || '/' || user_id) AS file_hash FROM events")
+def stream_first_copies_within(spark, sf_dir):
+    """The same with a watermark, over events in their order; the delay is longer than the table lasts, so that no copy passes."""
+    came, path = tables.shared_path(spark, "incoming"), tables.shared_path(spark, "arrived")
+    events = v.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("modified"), F.md5(F.concat_ws("/", "event_type", F.col("user_id").cast("string"))).alias("file_hash"))
+    events.repartitionByRange(4, "modified").write.parquet(came)
+    files = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(came)
+    incoming.append(incoming.first_copies(files, "3650 days"), path, tables.shared_path(spark, "state")).awaitTermination()
+    return spark.read.schema("modified timestamp, file_hash string").parquet(path).select("file_hash")
+
+
+@query()
+def stream_incoming_files(spark, sf_dir):
+    """Files of documents below a folder, each scanned once with the hash of its bytes."""
+    root, path = tables.shared_path(spark, "library"), tables.shared_path(spark, "scanned")
+    v.table(spark, sf_dir, "documents").select(F.regexp_replace("text", "\n", " ").alias("value"), "source").write.partitionBy("source").text(root)
+    incoming.append(incoming.incoming_files(spark, root), path, tables.shared_path(spark, "state")).awaitTermination()
+    found = spark.read.schema("path string, modified timestamp, size long, file_hash string").parquet(path)
+    return found.select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), text.extension(F.col("path")).alias("ext"), "size", "file_hash")
+
+
+@query("SELECT 'copy' AS action, path AS src, '/backup' || substr(path, 5) AS dst FROM (SELECT path FROM tracks WHERE starts_with(folder_path, '/lib/') UNION ALL SELECT '/lib' || folder_path || '/' || file FROM album_files WHERE ext = '.mp3') t(path)")
 def backup_plan(spark, sf_dir):
-    return c.backup_plan(v.tracks(spark, sf_dir), "/lib", "/backup")
+    """A library with files that are not audio, beside one whose name only begins alike."""
+    names = ("folder_path", "file", "ext")
+    more = v.album_files(spark, sf_dir, "/lib/albums").select(*names).unionByName(v.album_files(spark, sf_dir, "/library").select(*names))
+    return c.backup_plan(v.tracks(spark, sf_dir).select(*names).unionByName(more), "/lib", "/backup")
 
 
 # --- scalar functions, filters, rules -------------------------------------------------------------------------------
@@ -184,12 +232,12 @@ def remove_numbers(spark, sf_dir):
 
 
 def _garbled(spark, sf_dir):
-    """Half of the document openings with their vowels put into the code page range, so that there is something to repair."""
-    start = F.translate(F.left("text", F.lit(60)), "aeiounrstlhdcm", "àáâãäåæçèéêëìí")
-    return v.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, start).when(F.col("doc_id") % 3 == 0, F.concat(F.lit("שלום "), start)).otherwise(F.left("text", F.lit(60))).alias("t"))
+    """Half of the documents with letters put into the code page range, so that there is something to repair."""
+    odd = F.translate("text", "aeiounrstlhdcm", "àáâãäåæçèéêëìí")
+    return v.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, odd).when(F.col("doc_id") % 3 == 0, F.concat(odd, F.lit(" שלום"))).otherwise(F.col("text")).alias("t"))
 
 
-_GARBLED = ", garbled AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN translate(left(text, 60), 'aeiounrstlhdcm', 'àáâãäåæçèéêëìí') WHEN doc_id % 3 = 0 THEN 'שלום ' || translate(left(text, 60), 'aeiounrstlhdcm', 'àáâãäåæçèéêëìí') ELSE left(text, 60) END AS t FROM documents), judged AS (SELECT doc_id, t, regexp_matches(t, '[֐-ת]') AS hebrew, length(regexp_replace(t, '[^à-ú]', '', 'g')) > length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AND NOT regexp_matches(t, '[֐-ת]') AS mojibake FROM garbled) "
+_GARBLED = ", garbled AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN translate(text, 'aeiounrstlhdcm', 'àáâãäåæçèéêëìí') WHEN doc_id % 3 = 0 THEN translate(text, 'aeiounrstlhdcm', 'àáâãäåæçèéêëìí') || ' שלום' ELSE text END AS t FROM documents), judged AS (SELECT doc_id, t, regexp_matches(t, '[֐-ת]') AS hebrew, length(regexp_replace(t, '[^à-ú]', '', 'g')) > length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AND NOT regexp_matches(t, '[֐-ת]') AS mojibake FROM garbled) "
 
 
 @query(_GARBLED + "SELECT doc_id, hebrew FROM judged")
@@ -202,27 +250,40 @@ def is_mojibake(spark, sf_dir):
     return _garbled(spark, sf_dir).select("doc_id", text.is_mojibake(F.col("t")).alias("mojibake"))
 
 
-@query(_GARBLED + f"SELECT doc_id, CASE WHEN mojibake THEN translate(t, '{text.MOJIBAKE}', '{text.HEBREW}') ELSE t END AS fixed FROM judged")
+@query(_GARBLED + f"SELECT doc_id, md5(CASE WHEN mojibake THEN translate(t, '{text.MOJIBAKE}', '{text.HEBREW}') ELSE t END) AS fixed FROM judged")
 def fix_mojibake(spark, sf_dir):
-    return _garbled(spark, sf_dir).select("doc_id", text.fix_mojibake(F.col("t")).alias("fixed"))
+    return _garbled(spark, sf_dir).select("doc_id", F.md5(text.fix_mojibake(F.col("t"))).alias("fixed"))
+
+
+@query(_GARBLED + f", five AS (SELECT doc_id, CASE WHEN mojibake THEN translate(t, '{text.MOJIBAKE}', '{text.HEBREW}') ELSE t END AS fixed FROM judged) SELECT '/docs/' || lang AS folder_path, CAST(doc_id AS VARCHAR) AS file, md5(fixed) AS album, md5(fixed) AS title, source AS artist, NULL::VARCHAR AS albumartist, md5(fixed) AS genre FROM five JOIN documents USING (doc_id)")
+def fix_mojibake_tags(spark, sf_dir):
+    """The five-field form, over tag maps."""
+    t = _garbled(spark, sf_dir).join(v.table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    tags = F.create_map(F.lit("album"), "t", F.lit("title"), "t", F.lit("artist"), "source", F.lit("genre"), "t")
+    found = r.repaired(t.select(F.concat(F.lit("/docs/"), "lang").alias("folder_path"), F.col("doc_id").cast("string").alias("file"), tags.alias("tags")), ("album", "title", "artist", "albumartist", "genre"))
+    return found.withColumns({k: F.md5(k) for k in ("album", "title", "genre")})
 
 
 def _track_docs(spark, sf_dir):
-    name = F.concat(F.when(F.col("doc_id") % 3 == 0, "Track ").when(F.col("doc_id") % 3 == 1, "my track ").otherwise(""), F.left("text", F.lit(12)))
+    name = F.concat(F.when(F.col("doc_id") % 3 == 0, "Track ").when(F.col("doc_id") % 3 == 1, "my track ").otherwise(""), "text", F.when(F.col("doc_id") % 5 == 0, " last track").otherwise(""))
     return v.table(spark, sf_dir, "documents").select(F.concat(F.lit("/docs/"), "source").alias("folder_path"), F.concat(F.regexp_replace(name, "[/\n.]", " "), F.lit(".mp3")).alias("file"), F.create_map(F.lit("title"), name).alias("tags"))
 
 
-_TRACK = ", named AS (SELECT '/docs/' || source AS folder_path, CASE doc_id % 3 WHEN 0 THEN 'Track ' WHEN 1 THEN 'my track ' ELSE '' END || left(text, 12) AS title FROM documents), track_docs AS (SELECT folder_path, title, regexp_replace(title, '[/\\n.]', ' ', 'g') AS stem FROM named) "
+_TRACK = ", named AS (SELECT '/docs/' || source AS folder_path, CASE doc_id % 3 WHEN 0 THEN 'Track ' WHEN 1 THEN 'my track ' ELSE '' END || text || CASE doc_id % 5 WHEN 0 THEN ' last track' ELSE '' END AS title FROM documents), track_docs AS (SELECT folder_path, title, regexp_replace(title, '[/\\n.]', ' ', 'g') AS stem FROM named) "
+
 
+def _digested(found):
+    return found.withColumns({k: F.md5(k) for k in ("file", "new_file", "new_title")})
 
-@query(_TRACK + "SELECT folder_path, stem || '.mp3' AS file, CASE WHEN contains(lower(stem), 'track') THEN replace(lower(stem), 'track', 'רצועה') ELSE stem END || '.mp3' AS new_file, CASE WHEN contains(lower(title), 'track') THEN replace(lower(title), 'track', 'רצועה') ELSE title END AS new_title FROM track_docs")
+
+@query(_TRACK + "SELECT folder_path, md5(stem || '.mp3') AS file, md5(CASE WHEN contains(lower(stem), 'track') THEN replace(lower(stem), 'track', 'רצועה') ELSE stem END || '.mp3') AS new_file, md5(CASE WHEN contains(lower(title), 'track') THEN replace(lower(title), 'track', 'רצועה') ELSE title END) AS new_title FROM track_docs")
 def replace_track_word(spark, sf_dir):
-    return r.track_word(_track_docs(spark, sf_dir))
+    return _digested(r.track_word(_track_docs(spark, sf_dir)))
 
 
-@query(_TRACK + "SELECT folder_path, stem || '.mp3' AS file, replace(stem, 'track', 'רצועה') || '.mp3' AS new_file, replace(title, 'track', 'רצועה') AS new_title FROM track_docs")
+@query(_TRACK + "SELECT folder_path, md5(stem || '.mp3') AS file, md5(replace(stem, 'track', 'רצועה') || '.mp3') AS new_file, md5(replace(title, 'track', 'רצועה')) AS new_title FROM track_docs")
 def replace_track_word_cased(spark, sf_dir):
-    return r.track_word(_track_docs(spark, sf_dir), keep_case=True)
+    return _digested(r.track_word(_track_docs(spark, sf_dir), keep_case=True))
 
 
 @query("SELECT folder_path, file, coalesce(nullif(title, ''), 'Unknown Title') AS title, coalesce(nullif(artist, ''), 'Unknown Artist') AS artist FROM tracks")
@@ -399,7 +460,7 @@ _PLACED = ", placed AS (SELECT f1, f2, pairs.n, a.p AS pos, a.file AS file1, b.f
 
 def _placed(spark, sf_dir):
     files = tables.written(p.readable(v.tracks(spark, sf_dir)), "files")
-    return p.positions(p.same_count(files), files)
+    return p.positions(p.same_count(files), files, "file", "title", "album", "artist", "file_hash", "tags")
 
 
 @query(_PLACED + "SELECT f1, f2, pos, file1, file2 FROM placed")
@@ -424,7 +485,7 @@ def tag_map_equality(spark, sf_dir):
 
 @query(_PLACED + "SELECT DISTINCT f1, f2, pos, list_sort(list_filter(['genre', CASE WHEN l1 IS NOT NULL AND l2 IS NOT NULL THEN 'lyrics' END], lambda x: x IS NOT NULL))::VARCHAR AS keys FROM placed")
 def common_tag_keys(spark, sf_dir):
-    keys = F.array_except(F.array_intersect(F.map_keys("tags1"), F.map_keys("tags2")), F.array(*map(F.lit, p.MAIN_TAGS)))
+    keys = p.common_keys(F.col("tags1"), F.col("tags2"))
     return _placed(spark, sf_dir).select("f1", "f2", "pos", F.concat(F.lit("["), F.array_join(F.array_sort(keys), ", "), F.lit("]")).alias("keys"))
 
 
@@ -441,7 +502,9 @@ def generic_name_score(spark, sf_dir):
 
 @query()
 def folder_profile(spark, sf_dir):
-    return p.profiles(*_library(spark, sf_dir))
+    """A row for each file of a profile."""
+    found = p.profiles(*_library(spark, sf_dir), with_files=True).select("*", F.explode_outer("files").alias("f")).drop("files")
+    return found.select("folder_path", "n_files", "file_similarity", "title_similarity", "album_art", "f.*").withColumn("metadata", F.to_json("metadata"))
 
 
 def _library(spark, sf_dir):
@@ -455,13 +518,13 @@ def _pairs(spark, sf_dir, at_least=p.MINIMAL):
 
 @query()
 def weighted_score(spark, sf_dir):
-    found = _pairs(spark, sf_dir)
+    found = _pairs(spark, sf_dir, at_least=0.0)
     return found.withColumn("additional_metadata", F.to_json("additional_metadata"))
 
 
 @query()
 def param_mean_similarity(spark, sf_dir):
-    return _pairs(spark, sf_dir).where("not identical").select("f1", "f2", "file", "title", "album", "artist", "album_art")
+    return _pairs(spark, sf_dir, at_least=0.0).select("f1", "f2", "file", "title", "album", "artist", "album_art")
 
 
 @query()
@@ -492,18 +555,14 @@ def resolve_artist_album_v2(spark, sf_dir):
     return c.resolve_artist_album(v.tracks(spark, sf_dir), v.role_alias(spark, sf_dir))
 
 
-def _one(spark, sf_dir, name):
-    return v.tracks(spark, sf_dir).groupBy("folder_path").agg((F.countDistinct(text.present(c.tag(name))) == 1).alias(f"one_{name}"))
-
-
 @query("SELECT folder_path, count(DISTINCT nullif(artist, '')) = 1 AS one_artist FROM tracks GROUP BY ALL")
 def consistent_artist(spark, sf_dir):
-    return _one(spark, sf_dir, "artist")
+    return d.consistent(v.tracks(spark, sf_dir), "artist").withColumnRenamed("one", "one_artist")
 
 
 @query("SELECT folder_path, count(DISTINCT nullif(album, '')) = 1 AS one_album FROM tracks GROUP BY ALL")
 def consistent_album(spark, sf_dir):
-    return _one(spark, sf_dir, "album")
+    return d.consistent(v.tracks(spark, sf_dir), "album").withColumnRenamed("one", "one_album")
 
 
 @query("SELECT folder_path, round(coalesce(avg(nullif(bitrate_kbps, 0)), 0), 9) AS mean_kbps FROM tracks GROUP BY ALL")
@@ -517,17 +576,17 @@ def first_nonempty_tag(spark, sf_dir):
     return c.first_tag(t, "artist").join(c.first_tag(t, "album"), "folder_path", "full")
 
 
-_ALBUMS = ", albums AS (SELECT folder_path, md5(string_agg(file_hash, '' ORDER BY file)) AS album_hash, CAST(sum(size) AS BIGINT) AS size FROM tracks GROUP BY ALL) "
+_ALBUMS = ", albums AS (SELECT regexp_extract(folder_path, '^/albums/[^/]*') AS album_path, md5(coalesce(string_agg(file_hash, '' ORDER BY folder_path, file) FILTER (ext = '.mp3'), '')) AS album_hash, CAST(sum(size) AS BIGINT) AS size FROM album_files GROUP BY ALL) "
 
 
 @query(_ALBUMS + "SELECT * FROM albums")
 def album_content_hash(spark, sf_dir):
-    return d.album_hashes(v.tracks(spark, sf_dir))
+    return d.album_hashes(v.album_files(spark, sf_dir), "/albums")
 
 
-@query(_ALBUMS + "SELECT * FROM (SELECT *, first_value(folder_path) OVER (PARTITION BY album_hash ORDER BY size DESC, folder_path) AS kept FROM albums) WHERE kept <> folder_path")
+@query(_ALBUMS + "SELECT * FROM (SELECT *, first_value(album_path) OVER (PARTITION BY album_hash ORDER BY size DESC, album_path) AS kept FROM albums) WHERE kept <> album_path")
 def dedupe_albums_by_size(spark, sf_dir):
-    return d.albums_by_size(v.tracks(spark, sf_dir))
+    return d.albums_by_size(v.album_files(spark, sf_dir), "/albums")
 
 
 @query("SELECT DISTINCT x.path, CAST(sum(size) AS BIGINT) AS size FROM (SELECT DISTINCT regexp_extract(folder_path, '^(/[^/]*)') AS path FROM tracks UNION SELECT DISTINCT regexp_extract(folder_path, '^(/[^/]*/[^/]*)') FROM tracks UNION SELECT DISTINCT folder_path FROM tracks) x JOIN tracks t ON t.folder_path = x.path OR starts_with(t.folder_path, x.path || '/') GROUP BY ALL")
@@ -535,9 +594,9 @@ def directory_size(spark, sf_dir):
     return d.directory_sizes(v.tracks(spark, sf_dir))
 
 
-@query("SELECT album, count(*) AS n_files, string_agg(path, '|' ORDER BY path) AS files FROM doc_files WHERE album IS NOT NULL GROUP BY ALL")
+@query("SELECT album, row_number() OVER (PARTITION BY album ORDER BY path) AS place, path, count(*) OVER (PARTITION BY album) AS n_files FROM doc_files WHERE album IS NOT NULL")
 def organize_albums(spark, sf_dir):
-    return d.by_album(v.doc_files(spark, sf_dir)).withColumn("files", F.array_join("files", "|"))
+    return d.by_album(v.doc_files(spark, sf_dir))
 
 
 @query("SELECT folder_path, CAST(sum(CASE WHEN readable THEN 3 + (artist IS NOT NULL)::INT + (lyrics IS NOT NULL)::INT ELSE 0 END) AS BIGINT) AS n_tags FROM tracks GROUP BY ALL")
@@ -598,14 +657,22 @@ def quality_report(spark, sf_dir):
 
 
 def _rated(spark, sf_dir):
-    """Pairs of equal counts with a quality made of plain columns, so that the rules behind can be checked by SQL."""
+    """Pairs of equal counts with the quality of each side, but for the term of repetitive names, which SQL cannot say."""
     t = v.tracks(spark, sf_dir)
-    files = p.readable(t)
-    quality = t.groupBy("folder_path").agg((F.sum("size") % 7).cast("double").alias("quality"))
-    return q.attach(p.same_count(files).select("f1", "f2", "n"), quality, d.mean_bitrate(t))
+    listed = t.groupBy("folder_path").agg(F.count("*").alias("n")).where("n > 2").drop("n").join(c.album_art(v.art(spark, sf_dir)), "folder_path", "left")
+    quality = q.scores(t, listed.withColumns({"file_similarity": F.lit(0.0), "title_similarity": F.lit(0.0)})).withColumn("quality", F.round("quality", 6))
+    return q.attach(p.same_count(p.readable(t)).select("f1", "f2", "n"), quality, d.mean_bitrate(t))
 
 
-_RATED = ", rate AS (SELECT folder_path, CAST(sum(size) % 7 AS DOUBLE) AS quality, coalesce(avg(nullif(bitrate_kbps, 0)), 0) AS b FROM tracks GROUP BY ALL), rated AS (SELECT f1, f2, x.quality AS q1, y.quality AS q2, x.b AS b1, y.b AS b2 FROM pairs JOIN rate x ON f1 = x.folder_path JOIN rate y ON f2 = y.folder_path) "
+_RATED = """, terms AS (
+  SELECT folder_path, avg(CAST(regexp_matches(coalesce(title, '') || coalesce(artist, '') || coalesce(album, ''), '[֐-ת]') AS INT)) AS hebrew,
+    avg(CAST(coalesce(title, '') <> '' AND coalesce(artist, '') <> '' AND coalesce(album, '') <> '' AS INT)) AS complete, sum(bitrate_kbps) / count(*) AS mean,
+    CAST(count(DISTINCT nullif(artist, '')) = 1 AS INT) AS one_artist, CAST(count(DISTINCT nullif(album, '')) = 1 AS INT) AS one_album,
+    avg(CAST(ext IN ('.flac', '.wav') AS INT)) AS lossless, avg(CAST(coalesce(lyrics, '') <> '' AS INT)) AS lyrics FROM files GROUP BY ALL),
+rate AS (
+  SELECT folder_path, round(100 * (2 * hebrew + 2 * complete + CAST(coalesce(album_art, '') <> '' AS INT) + 2 * least(mean / 320, 1.0) + 1 + 1.5 * one_artist + 1.5 * one_album + 2 * lossless + lyrics) / 14, 6) AS quality, b
+  FROM terms LEFT JOIN covers USING (folder_path) JOIN (SELECT folder_path, coalesce(avg(nullif(bitrate_kbps, 0)), 0) AS b FROM tracks GROUP BY ALL) USING (folder_path)),
+rated AS (SELECT f1, f2, x.quality AS q1, y.quality AS q2, x.b AS b1, y.b AS b2 FROM pairs JOIN rate x ON f1 = x.folder_path JOIN rate y ON f2 = y.folder_path) """
 
 
 @query(_RATED + "SELECT f1, f2, q1 AS quality1, q2 AS quality2, round(b1, 9) AS bitrate1, round(b2, 9) AS bitrate2 FROM rated")
@@ -641,7 +708,7 @@ _COPIES = ", copies AS (SELECT DISTINCT folder_path AS preferred, '/lib' || subs
 
 def _copies(spark, sf_dir):
     t = v.tracks(spark, sf_dir)
-    return t.where("root_ord = 1").select(F.col("folder_path").alias("preferred"), F.concat(F.lit("/lib"), F.substring("folder_path", 6, 1000)).alias("other")).distinct()
+    return t.where("root_ord = 1").select(F.col("folder_path").alias("preferred"), F.concat(F.lit("/lib"), F.substring("folder_path", 6, 2**31 - 1)).alias("other")).distinct()
 
 
 _MATCHED = ", found AS (SELECT preferred, other, a.file, coalesce((SELECT arg_max(b.file, b.pos) FROM tracks b WHERE b.folder_path = other AND b.file_hash = a.file_hash), (SELECT min(b.file) FROM tracks b WHERE b.folder_path = other AND b.file = a.file)) AS match FROM copies JOIN tracks a ON a.folder_path = preferred) "
@@ -653,7 +720,7 @@ def match_files_for_merge(spark, sf_dir):
 
 
 @query(_COPIES + _MATCHED + """, sides AS (SELECT preferred, f.file, a.title AS t1, b.title AS t2, a.artist AS a1, b.artist AS a2, a.album AS b1, b.album AS b2, a.genre AS g1, b.genre AS g2, a.lyrics AS l1, b.lyrics AS l2
-FROM found f JOIN tracks a ON a.folder_path = preferred AND a.file = f.file JOIN tracks b ON b.folder_path = other AND b.file = match WHERE match IS NOT NULL AND (hash(preferred) IS NOT NULL))
+FROM found f JOIN tracks a ON a.folder_path = preferred AND a.file = f.file JOIN tracks b ON b.folder_path = other AND b.file = match WHERE match IS NOT NULL)
 SELECT preferred, file, key, value FROM (SELECT preferred, file, 'title' AS key, t1 AS own, t2 AS value FROM sides UNION ALL SELECT preferred, file, 'artist', NULL, a2 FROM sides UNION ALL SELECT preferred, file, 'album', b1, b2 FROM sides UNION ALL SELECT preferred, file, 'genre', g1, g2 FROM sides UNION ALL SELECT preferred, file, 'lyrics', NULL, l2 FROM sides) WHERE coalesce(own, '') = '' AND value <> ''""")
 def merge_tags(spark, sf_dir):
     t = v.tracks(spark, sf_dir)

@@ -64,6 +64,17 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("ext", text.extension(F.col("file")))
 
 
+def album_files(spark: SparkSession, sf_dir: str, root: str = "/albums") -> DataFrame:
+    """Albums with sub-folders, files that are not audio, and copies with another cover: a conversation is an album."""
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.lit("c"))
+    both = talks.unionByName(talks.where("conv_id % 10 = 0").withColumn("k", F.lit("x")))
+    album = F.concat(F.lit(f"{root}/"), "k", F.col("conv_id").cast("string"))
+    disc = F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit("/disc"), (F.col("turn") % 3).cast("string")))
+    tracks_ = both.select(F.concat(album, disc).alias("folder_path"), F.concat(F.lpad((F.col("turn") + 1).cast("string"), 2, "0"), F.when(F.col("turn") % 4 == 3, ".txt").otherwise(".mp3")).alias("file"), F.length("text").cast("long").alias("size"), F.md5("text").alias("file_hash"))
+    covers = both.where("turn = 0").select(album.alias("folder_path"), F.lit("cover.jpg").alias("file"), F.when(F.col("k") == "c", F.col("conv_id") % 7).otherwise(F.lit(3)).cast("long").alias("size"), F.md5("k").alias("file_hash"))
+    return tracks_.unionByName(covers).withColumn("ext", text.extension(F.col("file")))
+
+
 def dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directories: those of the albums, and nests of empty ones from the suppliers."""
     used = tracks(spark, sf_dir).select(F.col("folder_path").alias("path")).distinct()
@@ -111,6 +122,11 @@ doc_files AS (
   SELECT 0 AS root_ord, '/docs/' || source AS folder_path, source AS folder_name, 'docs' AS parent_folder, doc_id || CASE WHEN doc_id % 5 = 0 THEN '.wav' ELSE '.txt' END AS file, n_chars AS size, n_chars % 400 * 1000 AS bitrate_bps,
     lang AS album, source AS artist, md5(text) AS file_hash, md5(lower(text)) AS audio_fingerprint, CASE WHEN doc_id % 5 = 0 THEN '.wav' ELSE '.txt' END AS ext,
     '/docs/' || source || '/' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.wav' ELSE '.txt' END AS path FROM documents),
+album_talks AS (SELECT *, 'c' AS k FROM talks UNION ALL SELECT *, 'x' FROM talks WHERE conv_id % 10 = 0),
+album_files AS (
+  SELECT '/albums/' || k || conv_id || CASE turn % 3 WHEN 0 THEN '' ELSE '/disc' || (turn % 3) END AS folder_path, lpad(CAST(turn + 1 AS VARCHAR), 2, '0') || CASE turn % 4 WHEN 3 THEN '.txt' ELSE '.mp3' END AS file,
+    length(text) AS size, md5(text) AS file_hash, CASE turn % 4 WHEN 3 THEN '.txt' ELSE '.mp3' END AS ext FROM album_talks
+  UNION ALL SELECT '/albums/' || k || conv_id, 'cover.jpg', CASE k WHEN 'c' THEN conv_id % 7 ELSE 3 END, md5(k), '.jpg' FROM album_talks WHERE turn = 0),
 used AS (SELECT DISTINCT folder_path AS path FROM tracks),
 all_dirs AS (
   SELECT path FROM used UNION SELECT '/' || split_part(path, '/', 2) FROM used UNION SELECT regexp_replace(path, '/[^/]*$', '') FROM used UNION

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.functions import text
@@ -18,46 +19,80 @@ TRACKS = (
 ART = "folder_path STRING, file STRING, art_hash STRING"
 DIRS = "path STRING, name STRING, parent_path STRING, n_entries BIGINT"
 ARTIST_ALIAS = "key STRING, value STRING"
-ACTIONS = "seq BIGINT, action STRING, src STRING, dst STRING, reason STRING, score DOUBLE"
 
 
-def scan_files(spark: SparkSession, root: str, root_ord: int = 0, with_content: bool = False) -> DataFrame:
-    """One row per file below root: folder, name, extension, size, time, and, if asked for, the MD5 of its bytes.
-    Content is read only then, and never leaves the scan. Spark's reader lists no files of zero bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace("path", "^file:", "")
-    rows = files.select(
-        F.lit(root_ord).alias("root_ord"), F.regexp_replace(path, r"/[^/]*\z", "").alias("folder_path"), text.base_name(path).alias("file"), text.extension(path).alias("ext"),
-        F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *([F.md5("content").alias("file_hash")] if with_content else []),
-    )
-    return rows.withColumns({"folder_name": text.base_name(F.col("folder_path")), "parent_folder": text.parent_name(F.col("folder_path"))})
+def hashes(content: Column, kinds: tuple[str, ...]) -> list[Column]:
+    """The hashes asked for, of md5 (as file_hash) and sha256."""
+    known = {"md5": F.md5(content).alias("file_hash"), "sha256": F.sha2(content, 256).alias("sha256")}
+    return [known[k] for k in kinds]
+
+
+def scan_files(spark: SparkSession, root: str, root_ord: int = 0, kinds: tuple[str, ...] = (), manifest: DataFrame | None = None) -> DataFrame:
+    """One row per file below root: folder, name, extension, size, time, and the hashes of its bytes that `kinds` asks for
+    (md5, sha256). Content is read only then, and never leaves the scan.
+
+    Spark's reader lists no files of zero bytes. A manifest (path, size, modified) of all files brings them in, with the
+    hashes of nothing; other files that the reader does not find, or cannot read, have null hashes then."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    plain = lambda p: F.regexp_replace(p, "^file:/*", "/")
+    rows = found.select(plain("path").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *hashes(F.col("content"), kinds))
+    if manifest is not None:
+        names = [c for c in rows.columns if c not in ("path", "size", "modified")]
+        nothing = spark.range(1).select(*hashes(F.lit(b""), kinds)) if kinds else None
+        listed = manifest.select(plain("path").alias("path"), "size", "modified").where(F.startswith("path", F.lit(root.removeprefix("file:").rstrip("/") + "/")))
+        rows = listed.join(rows.select(F.col("path").alias("p"), *names), F.col("path") == F.col("p"), "left").drop("p")
+        if nothing is not None:
+            empty = nothing.first()  # one row of constants
+            rows = rows.withColumns({c: F.when(F.col("size") == 0, F.lit(empty[c])).otherwise(F.col(c)) for c in names})
+    at = F.regexp_replace("path", r"/[^/]*\z", "")
+    own = rows.select(F.lit(root_ord).alias("root_ord"), at.alias("folder_path"), text.base_name(F.col("path")).alias("file"), text.extension(F.col("path")).alias("ext"), *[c for c in rows.columns if c != "path"])
+    return own.withColumns({"folder_name": text.base_name(F.col("folder_path")), "parent_folder": text.parent_name(F.col("folder_path"))})
+
+
+def csv_fields(line: Column) -> Column:
+    """The fields of a CSV line: a field that begins with a quote ends at the next single one, and two stand for one; quotes
+    elsewhere are characters. Empty fields are empty texts. A field holds no line break."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]++|"")*+(?:"[^,]*|\z)|[^,]*)'), F.lit(1))
+    quoted = lambda f: F.regexp_replace(f, r'(?s)\A"((?:[^"]++|"")*+)"?(.*)\z', "$1$2")
+    return F.transform(raw, lambda f: F.when(F.startswith(f, F.lit('"')), F.replace(quoted(f), F.lit('""'), F.lit('"'))).otherwise(f))
+
+
+def csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, fields) of CSV files without a header, in order; lines without any character are none."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", r"\r\z", "").alias("line"))
+    return lines.where("line <> ''").select("line_no", csv_fields(F.col("line")).alias("fields"))
 
 
 def artist_alias(lines: DataFrame, keep_case: bool = False) -> DataFrame:
     """(key, value) from rows (line_no, fields): exactly two fields count; of equal keys the last line wins."""
     two = lines.where(F.size("fields") == 2)
-    key = F.trim(F.col("fields")[0])
-    pairs = two.select((key if keep_case else F.lower(key)).alias("key"), F.trim(F.col("fields")[1]).alias("value"), "line_no")
+    key = text.strip(F.col("fields")[0])
+    pairs = two.select((key if keep_case else F.lower(key)).alias("key"), text.strip(F.col("fields")[1]).alias("value"), "line_no")
     return pairs.groupBy("key").agg(F.max_by("value", "line_no").alias("value"))
 
 
 def read_artist_alias(spark: SparkSession, path: str, keep_case: bool = False) -> DataFrame:
     """A two-column CSV file without a header."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.split("value", ",").alias("fields"))
-    return artist_alias(lines, keep_case)
+    return artist_alias(csv_lines(spark, path), keep_case)
 
 
 def read_rename_list(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("source STRING, target STRING").csv(path)
+    """(line_no, source, target): the first two fields of each line; empty ones are empty texts."""
+    fields = F.col("fields")
+    return csv_lines(spark, path).where(F.size("fields") >= 2).select("line_no", fields[0].alias("source"), fields[1].alias("target"))
 
 
 def load_catalog(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
-    """A saved catalog; one that is missing or cannot be read is empty."""
+    """A saved catalog; one that is missing, or of which any file is damaged, is empty. Parquet is checked by its footers,
+    JSON by reading it once, since any line of it may be broken."""
     try:
-        found = spark.read.schema(schema).format(kind).load(path)
-        found.take(1)
+        found = spark.read.schema(schema).option("mode", "FAILFAST").format(kind).load(path)
+        if kind == "json":
+            found.agg(*[F.count(f"`{c}`") for c in found.columns]).collect()
+        else:
+            found.count()
         return found
-    except AnalysisException:
+    except (PySparkException, Py4JJavaError):
         return spark.createDataFrame([], schema)
 
 
@@ -69,9 +104,12 @@ _own_folder: list[str] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir; a temporary one where that is unset, as in tests)."""
+    """A new path in the folder that the cluster shares: spark.checkpoint.dir. Where that is unset, a local master (tests, one
+    machine) gets a temporary folder; a cluster gets an error, since no folder of the driver's would do."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _own_folder[0] if _own_folder else tempfile.mkdtemp(prefix="spark-")
         _own_folder[:] = [base]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
