@@ -1,8 +1,10 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline
-from tonearm.llm import jaccard as m
+from tonearm.llm import near_texts as m
 from tonearm.llm.shared import read_table
 
 
@@ -68,5 +70,34 @@ def test_stage_equals_brute_force(spark):
     assert sorted((r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, sf_dir).collect()), key=str) == want
 
 
+def test_blocks_and_reach():
+    assert m.reach(4, 5) == 59 and m.blocks(1000, 4, 5) == (8, 17)
+    for n in (10, 10**5, 10**7, 10**10):
+        width, tables = m.blocks(n, 4, 5)
+        assert (1 - (1 - m.differing(4, 5)) ** width) ** tables <= 1 - m.RECALL and n >> width <= m.BY_CHANCE
+
+
+def test_recall_at_the_limit():
+    """Pairs of similarity 0.8 exactly: nearly all share a block and lie within reach."""
+    rng, (width, tables) = np.random.default_rng(3), m.blocks(10**5, 4, 5)
+    seeds = rng.integers(0, 2**64, max(4, -(-tables // (64 // width))), np.uint64)
+    met = 0
+    for _ in range(400):
+        x = rng.integers(0, 2**64, 1000, np.uint64)
+        a, b = m.fingerprints(x[:900], seeds), m.fingerprints(x[100:], seeds)
+        d = a ^ b
+        each = 64 // width
+        blocks = [(int(d[t // each]) >> (t % each * width)) & ((1 << width) - 1) for t in range(tables)]
+        met += 0 in blocks and np.bitwise_count(d[:4]).sum() <= m.reach(4, 5)
+    assert met >= 0.97 * 400
+
+
+def test_columns_that_clash(spark):
+    names = ["__id", "row", "at", "gone", "id", "s", "f", "root"]
+    docs = spark.createDataFrame([(i, t, *range(i, i + len(names))) for i, t in ((5, "a b"), (4, "A  b"), (9, "c"))], "doc_id long, text string, " + ", ".join(f"`{x}` int" for x in names))
+    got = m.drop_near_copies(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(4, "A  b", *range(4, 12)), (9, "c", *range(9, 17))]
+
+
 def test_empty_table(spark):
     assert m.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonearm.llm.shared import bound_batches, stored
+from tonearm.llm.shared import bound_batches, column, discard, stored, whole
 
 LEAF, FAN_OUT, FRONTIER = 16, 8, 100_000
 
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
     return source.mapInArrow(run, f"id {source.dtypes[0][1]}, fp long")
 
 
@@ -66,31 +66,36 @@ def gray_rank(fps: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """A hierarchical index over fingerprints that are sorted by (bucket, Gray rank). levels[0] are the leaves' parents."""
-
-    def __init__(self, bucket: np.ndarray, fps: np.ndarray):
-        order = np.lexsort((gray_rank(fps), bucket))
-        self.order, self.fps = order, fps[order]
+    """A hierarchical index over fingerprints of one or more words each, sorted by bucket and then by the Gray rank of each
+    word. levels[0] are the leaves' parents. Pairs of one `group` are not asked for: the nodes hold their common group too."""
+
+    def __init__(self, bucket: np.ndarray, fps: np.ndarray, group: np.ndarray | None = None):
+        fps = fps.reshape(len(bucket), -1)
+        group = np.arange(len(bucket)) if group is None else group
+        order = np.lexsort((*[gray_rank(fps[:, k]) for k in reversed(range(fps.shape[1]))], bucket))
+        self.order, self.fps, self.group = order, fps[order], group[order]
         owner, low, high, width = bucket[order], self.fps, self.fps, LEAF
-        self.levels = []  # (first child, end child, shared mask, pattern)
+        first_group = last_group = self.group
+        self.levels = []  # (first child, end child, shared mask, pattern, common group or -1)
         while True:
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             place = np.arange(len(owner)) - np.repeat(starts, np.diff(np.r_[starts, len(owner)]))
             first = np.flatnonzero(place % width == 0)
             low, high = np.bitwise_and.reduceat(low, first), np.bitwise_or.reduceat(high, first)
-            self.levels.append((first, np.r_[first[1:], len(owner)], ~(low ^ high), low))
+            first_group, last_group = np.minimum.reduceat(first_group, first), np.maximum.reduceat(last_group, first)
+            self.levels.append((first, np.r_[first[1:], len(owner)], ~(low ^ high), low, np.where(first_group == last_group, first_group, -1)))
             owner, width = owner[first], FAN_OUT
             if len(starts) == len(first):
                 break
 
     def pairs(self, bits: int):
-        """Batches of (i, j), i < j in index order: all pairs of one bucket that differ in at most `bits` bits."""
+        """Batches of (i, j), i < j in index order: all pairs of one bucket and different groups that differ in at most `bits` bits."""
         top = len(self.levels) - 1
         roots = np.arange(len(self.levels[top][0]))
         stack = [(top, roots[at : at + FRONTIER], roots[at : at + FRONTIER]) for at in range(0, len(roots), FRONTIER)]
         while stack:
             level, a, b = stack.pop()
-            first, end, _, _ = self.levels[level]
+            first, end = self.levels[level][:2]
             sizes = (end[a] - first[a]) * (end[b] - first[b])
             if sizes.sum() > 8 * FRONTIER and len(a) > 1:
                 half = len(a) // 2
@@ -100,15 +105,17 @@ class GrayIndex:
             k = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             wide = (end[b] - first[b])[at]
             i, j = first[a][at] + k // wide, first[b][at] + k % wide
-            ordered = i <= j if level else i < j
-            i, j = i[ordered], j[ordered]
             if level:
-                _, _, shared, pattern = self.levels[level - 1]
-                near = np.bitwise_count((pattern[i] ^ pattern[j]) & shared[i] & shared[j]) <= bits
+                _, _, shared, pattern, group = self.levels[level - 1]
+                asked = (i <= j) & ((group[i] != group[j]) | (group[i] < 0))
+                i, j = i[asked], j[asked]
+                near = np.bitwise_count((pattern[i] ^ pattern[j]) & shared[i] & shared[j]).sum(axis=1) <= bits
                 if near.any():
                     stack.append((level - 1, i[near], j[near]))
             else:
-                near = np.bitwise_count(self.fps[i] ^ self.fps[j]) <= bits
+                asked = (i < j) & (self.group[i] != self.group[j])
+                i, j = i[asked], j[asked]
+                near = np.bitwise_count(self.fps[i] ^ self.fps[j]).sum(axis=1) <= bits
                 if near.any():
                     yield i[near], j[near]
 
@@ -116,8 +123,7 @@ class GrayIndex:
 def local_links(bucket: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, smallest fingerprint of its component) for what links inside the buckets given."""
     index = GrayIndex(bucket, fps)
-    label = np.unique(index.fps, return_inverse=True)[1]  # by value, so that copies under several masks agree
-    values = np.unique(index.fps)
+    values, label = np.unique(index.fps[:, 0], return_inverse=True)  # by value, so that copies under several masks agree
     parent = np.arange(len(values))
     for i, j in index.pairs(bits):
         a, b = label[i], label[j]
@@ -144,6 +150,32 @@ def masks(n: int, bits: int, share: int) -> list[int]:
     return [sum(c) for c in combinations(part, blocks - bits)]
 
 
+def whole_buckets(batches, by: tuple[str, ...], least: int):
+    """(table, bucket number of each row) of at least `least` rows each, cut between buckets; the batches come sorted by the
+    columns that tell buckets apart."""
+
+    def told(rows):
+        t = pa.Table.from_batches(rows)
+        key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in by])
+        return t, np.cumsum(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+
+    held, size = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if size >= least:  # go on to the end of the bucket
+            last = [held[-1].column(c)[-1].as_py() for c in by]
+            same = np.logical_and.reduce([b.column(c).to_numpy() == x for c, x in zip(by, last, strict=True)])
+            cut = int(b.num_rows if same.all() else np.argmin(same))
+            if cut < b.num_rows:
+                yield told([*held, b.slice(0, cut)])
+                held, size, b = [], 0, b.slice(cut)
+        held.append(b)
+        size += b.num_rows
+    if held:
+        yield told(held)
+
+
 def links(nodes: DataFrame, bits: int = 4, share: int = 4096, cell: int = 50_000) -> DataFrame:
     """(u, v) fingerprints as signed longs, u <> v: within each meeting place, a star for every local component.
     nodes: one row per distinct fingerprint, column fp."""
@@ -157,28 +189,9 @@ def links(nodes: DataFrame, bits: int = 4, share: int = 4096, cell: int = 50_000
     dealt = keyed.join(large, ["mask", "part"], "left").select("fp", "mask", "part", F.explode(cells).alias("cell"))
 
     def run(batches):
-        def linked(rows):
-            t = pa.Table.from_batches(rows)
-            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("mask", "part", "cell")])
-            new = np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]
-            u, v = local_links(np.cumsum(new), t.column("fp").to_numpy().view(np.uint64).copy(), bits)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-        held, size = [], 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            if size >= 4 * cell:  # go on to the end of the bucket, then join what is held
-                last = [held[-1].column(c)[-1].as_py() for c in ("mask", "part", "cell")]
-                same = np.logical_and.reduce([b.column(c).to_numpy() == x for c, x in zip(("mask", "part", "cell"), last, strict=True)])
-                cut = int(b.num_rows if same.all() else np.argmin(same))
-                if cut < b.num_rows:
-                    yield linked([*held, b.slice(0, cut)])
-                    held, size, b = [], 0, b.slice(cut)
-            held.append(b)
-            size += b.num_rows
-        if held:
-            yield linked(held)
+        for t, bucket in whole_buckets(batches, ("mask", "part", "cell"), 4 * cell):
+            u, v = local_links(bucket, t.column("fp").to_numpy().view(np.uint64).copy(), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     parts = ["mask", "part", "cell"]
     return dealt.repartition(*parts).sortWithinPartitions(*parts).mapInArrow(run, "u long, v long").where("u <> v")
@@ -202,7 +215,8 @@ def components(edges: DataFrame, name: str = "star") -> DataFrame:
         lower = smallest(large.groupBy("u").agg(F.min("v").alias("m")))
         ends = F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")
         small = large.join(lower, F.col("u") == F.col("w")).select(ends).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        edges = stored(small, name)
+        old, edges = edges, stored(small, name)
+        discard(old)
         before, state = state, signature(edges)
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -223,8 +237,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(named, rows.fp == named.node).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """docs, all columns as they are, without the rows whose id is in `gone` (one column, distinct)."""
+    left = docs.select(whole(docs), column(id_col).alias("at")).join(gone.toDF("gone"), F.col("at") == F.col("gone"), "left_anti")
+    return left.select("row.*")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs, all columns, without those that are linked to a smaller id. Rows without an id stay."""
+    """docs, all columns as they are, whatever their names, without those that are linked to a smaller id by their
+    fingerprints. Rows without an id stay, and rows that repeat an id stay or go together. An empty table gives no rows."""
     found = near_copies(docs, id_col, text_col, **how)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    return without(docs, found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), id_col)
