@@ -104,6 +104,15 @@ def file_content_hash(spark, sf_dir):
     return v.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.md5("text").alias("file_hash"), F.sha2("text", 256).alias("sha256"))
 
 
+@query("SELECT 'b=' || (doc_id // 50) AS folder_name, '.txt' AS ext, CAST(sum(strlen(text) + 1) AS BIGINT) AS size, md5(string_agg(text || chr(10), '' ORDER BY doc_id)) AS file_hash, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents WHERE text IS NOT NULL GROUP BY ALL")
+def scan_files_hashes(spark, sf_dir):
+    """Documents written as text files of fifty, and these scanned with the hashes of their bytes."""
+    root = tables.shared_path(spark, "library")
+    docs = v.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.floor(F.col("doc_id") / 50).alias("b"))
+    docs.repartition("b").sortWithinPartitions("b", "doc_id").select("text", "b").write.partitionBy("b").text(root)
+    return tables.scan_files(spark, root, kinds=("md5", "sha256")).select("folder_name", "ext", "size", "file_hash", "sha256")
+
+
 @query("SELECT * FROM covers")
 def album_art_pick(spark, sf_dir):
     return c.album_art(v.art(spark, sf_dir))
