@@ -56,10 +56,11 @@ def test_all_linked_documents_go(spark):
     base = [f"h{i}" for i in range(120)]
     rows += [(9000 + i, " ".join(edited(rng, base, rng.randrange(4)))) for i in range(60)]  # a large cluster, linked over steps
     rows = list({d: (d, t) for d, t in rows}.values())
-    kept = m.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     want, linked = plain_kept(rows)
-    assert linked > 100 and kept.columns == ["doc_id", "text"]
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == want
+    for cell in (50_000, 8):  # buckets whole, and cut into many cells
+        kept = m.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), cell=cell)
+        assert linked > 100 and kept.columns == ["doc_id", "text"]
+        assert sorted((r.doc_id for r in kept.collect()), key=str) == want
 
 
 def test_stage_equals_brute_force(spark):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonearm.llm.shared import bound_batches, column, stored
+from tonearm.llm.shared import bound_batches, column, discard, stored
 from tonearm.llm.simhash import GrayIndex, components, whole_buckets, without
 
 SHINGLE, COMPARED = 5, 4
@@ -122,14 +122,36 @@ def nearest(i: np.ndarray, to: np.ndarray, j: np.ndarray, far: np.ndarray) -> tu
     return i[kept], to[kept], j[kept], far[kept]
 
 
-def near_pairs(rows: DataFrame, bits: int, every: bool = False, least: int = 200_000) -> DataFrame:
+def in_cells(rows: DataFrame, cell: int) -> DataFrame:
+    """rows with a cell of their bucket; a bucket of over `cell` rows has many, so that no task holds it whole.
+
+    Without components (c) a row goes to one cell by a hash of its node. With them the bucket's largest component is cut
+    apart from its other nodes: each part of the others meets each part of either, and parts of the largest component
+    do not meet each other."""
+    by = ["block", "part"]
+    own = F.xxhash64("s")
+    if "c" not in rows.columns:
+        large = rows.groupBy(*by).count().where(F.col("count") > cell).select("block", hidden("part", "part"), F.ceil(F.col("count") * 2 / cell).cast("int").alias("n"))
+        return rows.join(large, by, "left").withColumn("cell", F.coalesce(F.pmod(own, F.col("n")).cast("int"), F.lit(0))).drop("n")
+    sizes = rows.groupBy(*by, "c").count().groupBy(*by).agg(F.sum("count").alias("n"), F.max("count").alias("n_top"), F.max_by("c", F.struct("count", "c")).alias("top")).where(F.col("n") > cell)
+    parts = lambda n: F.greatest(F.ceil(n * 2 / cell), F.lit(1)).cast("int")
+    large = sizes.select("block", hidden("part", "part"), "top", parts(F.col("n_top")).alias("tops"), parts(F.col("n") - F.col("n_top")).alias("rests"))
+    rest, top = F.pmod(own, F.col("rests")).cast("int"), F.pmod(own, F.col("tops")).cast("int")
+    mixed = lambda r, t: F.col("rests") * F.col("rests") + r * F.col("tops") + t
+    with_top = F.transform(F.sequence(F.lit(0), F.col("tops") - 1), lambda t: mixed(rest, t))
+    with_rest = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: F.least(r, rest) * F.col("rests") + F.greatest(r, rest))
+    cells = F.when(F.col("top").isNull(), F.array(F.lit(0))).when(F.col("c") == F.col("top"), F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: mixed(r, top))).otherwise(F.concat(with_top, with_rest))
+    return rows.join(large, by, "left").withColumn("cell", F.explode(cells)).drop("top", "tops", "rests")
+
+
+def near_pairs(rows: DataFrame, bits: int, every: bool = False, cell: int = 50_000) -> DataFrame:
     """(u, v): pairs of nodes of one bucket within `bits` bits and of different components (column c of rows), each node with
-    the nearest of every other component, or all of them. Without c: each node with its leader, and with the nearest node of
-    other leaders' groups."""
-    labelled = "c" in rows.columns
+    the nearest of every other component in its cell, or all of them. Without c: each node with its leader, and with the
+    nearest node of other leaders' groups."""
+    labelled, by = "c" in rows.columns, ["block", "part", "cell"]
 
     def run(batches):
-        for t, bucket in whole_buckets(batches, ("block", "part"), least):
+        for t, bucket in whole_buckets(batches, tuple(by), 4 * cell):
             s = t.column("s").to_numpy()
             fps = np.stack([t.column(f"f{k}").to_numpy().view(np.uint64) for k in range(COMPARED)], axis=1)
             out = []
@@ -153,8 +175,7 @@ def near_pairs(rows: DataFrame, bits: int, every: bool = False, least: int = 200
                     a, b = u[at : at + (1 << 20)], v[at : at + (1 << 20)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[a != b]), pa.array(np.maximum(a, b)[a != b])], names=["u", "v"])
 
-    by = ["block", "part"]
-    return rows.repartition(*by).sortWithinPartitions(*by, "s").mapInArrow(run, "u long, v long").distinct()
+    return in_cells(rows, cell).repartition(*by).sortWithinPartitions(*by, "s").mapInArrow(run, "u long, v long").distinct()
 
 
 def hidden(name: str, alias: str):
@@ -179,36 +200,47 @@ def verified(pairs: DataFrame, sets: DataFrame, over: int, of: int) -> DataFrame
     return stored(both.where((over + of) * F.size(F.array_intersect("gu", "gv")) >= over * (F.col("nu") + F.col("nv"))).select("u", "v"), "links")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 4, of: int = 5) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 4, of: int = 5, cell: int = 50_000) -> DataFrame:
     """(id, s, root), stored: one row per row of docs; root names the component of its node."""
     width, tables = blocks(docs.count(), over, of)
     bits = reach(over, of)
     rows = stored(sketches(docs, id_col, text_col, max(COMPARED, -(-tables // (64 // width)))), "sketches")
     nodes = stored(rows.groupBy("s").agg(F.min("f").alias("f")), "nodes")
-    found = stored(near_pairs(dealt(nodes, width, tables), bits), "candidates")
+    found = stored(near_pairs(dealt(nodes, width, tables), bits, cell=cell), "candidates")
     met = stored(found.select(F.explode(F.array("u", "v")).alias("s")).distinct(), "met")
     sets = sets_of(docs, id_col, text_col, rows, met)
     links = verified(found, sets, over, of)
     asked = nodes.join(met.select(hidden("s", "s")), "s", "left_semi")
-    for every in (False, True):
+    for step in ("first", "nearest", "every"):
         roots = components(links)
         labelled = asked.join(roots.select(hidden("node", "s"), "root"), "s", "left").select("s", "f", F.coalesce("root", "s").alias("c"))
         placed = stored(dealt(labelled, width, tables), "placed")
-        mixed = placed.groupBy("block", "part").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first < last")
-        again = near_pairs(placed.join(mixed.select("block", hidden("part", "part")), ["block", "part"], "left_semi"), bits, every)
+        mixed = placed.groupBy("block", "part").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high")
+        if step == "first":  # of cells that did not meet, the first node of each component stands for it
+            mixed = stored(mixed.where(F.col("n") > cell), "mixed")
+            if mixed.isEmpty():
+                discard(placed, mixed)
+                continue
+        own = placed.join(mixed.select("block", hidden("part", "part")), ["block", "part"], "left_semi")
+        if step == "first":
+            kept = [f"f{k}" for k in range(COMPARED)]
+            own = own.groupBy("block", "part", "c").agg(F.min(F.struct("s", *kept)).alias("first")).select("block", "part", "first.s", "c", *[F.col("first")[k].alias(k) for k in kept])
+        again = near_pairs(own, bits, step == "every", cell)
         fresh = stored(again.join(found, ["u", "v"], "left_anti"), "candidates")
+        discard(placed)
         links, found = links.union(verified(fresh, sets, over, of)), found.union(fresh)
     roots = components(links)
     return stored(rows.select("id", "s").join(roots.select(hidden("node", "s"), "root"), "s", "left").select("id", "s", F.coalesce("root", "s").alias("root")), "rooted")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 4, of: int = 5) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 4, of: int = 5, cell: int = 50_000) -> DataFrame:
     """docs, all columns as they are, whatever their names, without those that are linked, over any number of steps, to a
     smaller id.
 
     Nulls: a null text has no words, and texts without words are copies of each other; rows without an id stay and never
-    drop others; rows that repeat an id stay or go together. An empty table gives no rows. Long texts are whole sets.
+    drop others; rows that repeat an id stay or go together. An empty table gives no rows. Long texts are whole sets. `cell`
+    bounds the nodes that a task compares at once.
     """
-    named = near_components(docs, id_col, text_col, over, of)
+    named = near_components(docs, id_col, text_col, over, of, cell)
     least = named.groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select(hidden("root", "root"), "least")
     return without(docs, stored(named.join(least, "root").where("id <> least").select("id").distinct(), "gone"), id_col)
