@@ -12,9 +12,10 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages(spark):
-    # the smallest table holds no credential, so one document is added
+    # the smallest table holds no credential, so some texts, backwards, are added with one each
     docs = read_table(spark, SF, "documents")
-    docs = source = stored(docs.unionByName(spark.createDataFrame([(10**9, "the pump house log says password=q8w7e6r5t4y3 and the gate stays shut", "en", "s", 70)], docs.schema)), "test-documents")
+    more = [(10**9 + r.doc_id, r.text[::-1] + f" password=q8w7e6r5t4y{r.doc_id:04d}", r.lang, r.source, r.n_chars) for r in docs.orderBy("doc_id").limit(8).collect()]
+    docs = source = stored(docs.unionByName(spark.createDataFrame(more, docs.schema)), "test-documents")
     columns, before = docs.columns, {r.doc_id: r for r in docs.collect()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "secret_scan", "best_fit_packing"]
     tables = []

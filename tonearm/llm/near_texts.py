@@ -211,8 +211,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = sets_of(docs, id_col, text_col, rows, met)
     links = verified(found, sets, over, of)
     asked = nodes.join(met.select(hidden("s", "s")), "s", "left_semi")
+    roots = components(links)
     for step in ("first", "nearest", "every"):
-        roots = components(links)
         labelled = asked.join(roots.select(hidden("node", "s"), "root"), "s", "left").select("s", "f", F.coalesce("root", "s").alias("c"))
         placed = stored(dealt(labelled, width, tables), "placed")
         mixed = placed.groupBy("block", "part").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high")
@@ -228,8 +228,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         again = near_pairs(own, bits, step == "every", cell)
         fresh = stored(again.join(found, ["u", "v"], "left_anti"), "candidates")
         discard(placed)
-        links, found = links.union(verified(fresh, sets, over, of)), found.union(fresh)
-    roots = components(links)
+        more, found = verified(fresh, sets, over, of), found.union(fresh)
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = components(links)
     return stored(rows.select("id", "s").join(roots.select(hidden("node", "s"), "root"), "s", "left").select("id", "s", F.coalesce("root", "s").alias("root")), "rooted")
 
 
