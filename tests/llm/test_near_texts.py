@@ -57,8 +57,8 @@ def test_all_linked_documents_go(spark):
     rows += [(9000 + i, " ".join(edited(rng, base, rng.randrange(4)))) for i in range(60)]  # a large cluster, linked over steps
     rows = list({d: (d, t) for d, t in rows}.values())
     want, linked = plain_kept(rows)
-    for cell in (50_000, 8):  # buckets whole, and cut into many cells
-        kept = m.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), cell=cell)
+    for cell, sets in ((50_000, 2000), (8, 5)):  # buckets and clumps whole, and cut into many cells
+        kept = m.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), cell=cell, sets_in_cell=sets)
         assert linked > 100 and kept.columns == ["doc_id", "text"]
         assert sorted((r.doc_id for r in kept.collect()), key=str) == want
 
@@ -78,6 +78,20 @@ def test_blocks_and_reach():
         assert (1 - (1 - m.differing(4, 5)) ** width) ** tables <= 1 - m.RECALL and n >> width <= m.BY_CHANCE
 
 
+def test_links_of_a_clump_equal_all_pairs():
+    rng = np.random.default_rng(4)
+    for wide in (3, 4096):
+        base = rng.integers(0, 2**63, 60)
+        sets = [np.unique(np.r_[rng.choice(base, rng.integers(40, 61), replace=False), rng.integers(0, 2**63, rng.integers(0, 6))]) for _ in range(30)] + [rng.integers(0, 2**63, 5), np.zeros(1, np.int64)]
+        label = np.arange(len(sets))
+        for i in range(len(sets)):
+            for j in range(i):
+                k = len(np.intersect1d(sets[i], sets[j]))
+                if 9 * k >= 4 * (len(sets[i]) + len(sets[j])):
+                    m.joined(label, np.array([i]), np.array([j]))
+        assert m.links_of(sets, 4, 5, wide).tolist() == label.tolist() and len(set(label)) < 30
+
+
 def test_recall_at_the_limit():
     """Pairs of similarity 0.8 exactly: nearly all share a block and lie within reach."""
     rng, (width, tables) = np.random.default_rng(3), m.blocks(10**5, 4, 5)

@@ -5,11 +5,11 @@
    of all bits. Nodes are dealt out by blocks of bits, `tables` of them; the blocks grow with the number of nodes, so that
    chance meetings stay few, and their number with the blocks, so that a pair at 0.8 meets under at least one of them with
    probability RECALL. Under a block the Gray-order index finds the pairs that differ in at most REACH of the first 256 bits.
-3. Candidates are compared on their whole sets, by a join; only a similarity of `over` / `of` or more makes a link.
-4. No task gives all pairs of a cluster. First each node of a bucket goes with the first node near to it, and with the
-   nearest node of every other group so made. What these links join is a component; then the nearest pairs, and last all
-   pairs, of different components follow. A pair within one component is not asked for, so a large cluster does not cost
-   its square, and no pair that could join two components is left out.
+3. First each node goes with the first near node of its bucket (its leader); these pairs are compared on their whole sets,
+   by a join, and only a similarity of `over` / `of` or more makes a link. What the links join is a component.
+4. Nodes of different components that are near, over any number of steps, form a clump. The sets of a clump are brought
+   together once for each node and compared there, all with all, by a product of matrices; a large clump is cut into cells.
+   So rows grow with the nodes, not with the pairs of a cluster, and no pair that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -114,12 +114,17 @@ def leaders(bucket: np.ndarray, fps: np.ndarray, bits: int, rounds: int = 3) ->
     return group
 
 
-def nearest(i: np.ndarray, to: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the rows (i, to, j, far), the least far j of each (i, to)."""
-    order = np.lexsort((j, far, to, i))
-    i, to, j, far = i[order], to[order], j[order], far[order]
-    kept = np.r_[True, (i[1:] != i[:-1]) | (to[1:] != to[:-1])] if len(i) else np.zeros(0, bool)
-    return i[kept], to[kept], j[kept], far[kept]
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the components of the rows a and b, in place; a component is labelled by its least row."""
+    while True:
+        ra, rb = label[a], label[b]
+        differs = ra != rb
+        if not differs.any():
+            return
+        a, b = a[differs], b[differs]
+        np.minimum.at(label, np.maximum(ra, rb)[differs], np.minimum(ra, rb)[differs])
+        while (label[label] != label).any():
+            label[:] = label[label]
 
 
 def in_cells(rows: DataFrame, cell: int) -> DataFrame:
@@ -144,38 +149,70 @@ def in_cells(rows: DataFrame, cell: int) -> DataFrame:
     return rows.join(large, by, "left").withColumn("cell", F.explode(cells)).drop("top", "tops", "rests")
 
 
-def near_pairs(rows: DataFrame, bits: int, every: bool = False, cell: int = 50_000) -> DataFrame:
-    """(u, v): pairs of nodes of one bucket within `bits` bits and of different components (column c of rows), each node with
-    the nearest of every other component in its cell, or all of them. Without c: each node with its leader, and with the
-    nearest node of other leaders' groups."""
+def clumps(rows: DataFrame, bits: int, cell: int = 50_000) -> DataFrame:
+    """(clump, s, c, leader): the nodes of a cell that lie within `bits` bits of a node of another component (column c of rows),
+    over any number of steps, under a common number. Without c every node is a component, leader is the first node near to
+    it, and c is null. A node is told once for each of its cells, however many others are near."""
     labelled, by = "c" in rows.columns, ["block", "part", "cell"]
 
     def run(batches):
         for t, bucket in whole_buckets(batches, tuple(by), 4 * cell):
             s = t.column("s").to_numpy()
             fps = np.stack([t.column(f"f{k}").to_numpy().view(np.uint64) for k in range(COMPARED)], axis=1)
-            out = []
-            if labelled:
-                group = np.unique(t.column("c").to_numpy(), return_inverse=True)[1]
-            else:
-                group = leaders(bucket, fps, bits)
-                out.append((s, s[group]))
+            group = np.unique(t.column("c").to_numpy(), return_inverse=True)[1] if labelled else leaders(bucket, fps, bits)
             index = GrayIndex(bucket, fps, group)
-            ids, best = s[index.order], tuple(np.zeros(0, np.int64) for _ in range(4))
+            label = np.arange(len(s))
+            if not labelled:
+                joined(label, np.arange(len(s)), group)
             for i, j in index.pairs(bits):
-                if every:
-                    out.append((ids[i], ids[j]))
-                else:
-                    far = np.bitwise_count(index.fps[i] ^ index.fps[j]).sum(axis=1).astype(np.int64)
-                    both = (np.r_[i, j], np.r_[index.group[j], index.group[i]], np.r_[j, i], np.r_[far, far])
-                    best = nearest(*[np.r_[x, y] for x, y in zip(best, both, strict=True)])
-            out.append((ids[best[0]], ids[best[2]]))
-            for u, v in out:
-                for at in range(0, len(u), 1 << 20):
-                    a, b = u[at : at + (1 << 20)], v[at : at + (1 << 20)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[a != b]), pa.array(np.maximum(a, b)[a != b])], names=["u", "v"])
+                joined(label, index.order[i], index.order[j])
+            many = np.bincount(label, minlength=len(s))[label] > 1
+            c = pa.array(t.column("c").to_numpy()[many]) if labelled else pa.nulls(int(many.sum()), pa.int64())
+            leader = s[many] if labelled else s[group][many]
+            yield pa.RecordBatch.from_arrays([pa.array(s[label][many]), pa.array(s[many]), c, pa.array(leader)], names=["clump", "s", "c", "leader"])
+
+    return in_cells(rows, cell).repartition(*by).sortWithinPartitions(*by, "s").mapInArrow(run, "clump long, s long, c long, leader long").distinct()
+
+
+def links_of(sets: list[np.ndarray], over: int, of: int, wide: int = 4096) -> np.ndarray:
+    """For each set the first one that it is linked with, over any number of steps. Common hashes are counted for all pairs at
+    once, as a product of matrices over the hashes that more than one set has."""
+    n = np.array([len(x) for x in sets])
+    who, what = np.repeat(np.arange(len(sets)), n), np.unique(np.concatenate(sets), return_inverse=True)[1]
+    shared = np.bincount(what)[what] > 1
+    who, what = who[shared], np.unique(what[shared], return_inverse=True)[1]
+    order = np.argsort(what, kind="stable")
+    who, what = who[order], what[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(what[-1]) + 1 if len(what) else 0, wide):
+        first, end = np.searchsorted(what, (at, at + wide))
+        x = np.zeros((len(sets), wide), np.float32)
+        x[who[first:end], what[first:end] - at] = 1
+        common += x @ x.T
+    i, j = np.nonzero(np.triu((over + of) * common >= over * (n[:, None] + n[None, :]), 1))
+    label = np.arange(len(sets))
+    joined(label, i, j)
+    return label
+
+
+def verified_clumps(members: DataFrame, sets: DataFrame, over: int, of: int, cell: int) -> DataFrame:
+    """(u, v), stored: enough links to give the components of every clump (clump, s, c). The sets of a clump meet in cells, and
+    are compared there on the whole; a row is one node, never a pair."""
+    by = ["block", "part", "cell"]
+    placed = in_cells(members.select(F.lit(0).alias("block"), F.col("clump").alias("part"), "s", "c"), cell)
+    rows = placed.join(sets.select(hidden("s", "s"), "grams"), "s").select(*by, "s", "grams")
 
-    return in_cells(rows, cell).repartition(*by).sortWithinPartitions(*by, "s").mapInArrow(run, "u long, v long").distinct()
+    def run(batches):
+        for t, bucket in whole_buckets(batches, tuple(by), 1):
+            s, grams_ = t.column("s").to_numpy(), t.column("grams").combine_chunks()
+            ends, flat = grams_.offsets.to_numpy(), grams_.values.to_numpy()
+            for k in np.unique(bucket):
+                own = np.flatnonzero(bucket == k)
+                root = links_of([flat[ends[i] : ends[i + 1]] for i in own], over, of)
+                linked = root != np.arange(len(own))
+                yield pa.RecordBatch.from_arrays([pa.array(s[own][linked]), pa.array(s[own][root[linked]])], names=["u", "v"])
+
+    return stored(rows.repartition(*by).sortWithinPartitions(*by, "s").mapInArrow(run, "u long, v long").distinct(), "links")
 
 
 def hidden(name: str, alias: str):
@@ -200,19 +237,18 @@ def verified(pairs: DataFrame, sets: DataFrame, over: int, of: int) -> DataFrame
     return stored(both.where((over + of) * F.size(F.array_intersect("gu", "gv")) >= over * (F.col("nu") + F.col("nv"))).select("u", "v"), "links")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 4, of: int = 5, cell: int = 50_000) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 4, of: int = 5, cell: int = 50_000, sets_in_cell: int = 2000) -> DataFrame:
     """(id, s, root), stored: one row per row of docs; root names the component of its node."""
     width, tables = blocks(docs.count(), over, of)
     bits = reach(over, of)
     rows = stored(sketches(docs, id_col, text_col, max(COMPARED, -(-tables // (64 // width)))), "sketches")
     nodes = stored(rows.groupBy("s").agg(F.min("f").alias("f")), "nodes")
-    found = stored(near_pairs(dealt(nodes, width, tables), bits, cell=cell), "candidates")
-    met = stored(found.select(F.explode(F.array("u", "v")).alias("s")).distinct(), "met")
+    first = stored(clumps(dealt(nodes, width, tables), bits, cell), "clumps")
+    met = stored(first.select("s").distinct(), "met")
     sets = sets_of(docs, id_col, text_col, rows, met)
-    links = verified(found, sets, over, of)
-    asked = nodes.join(met.select(hidden("s", "s")), "s", "left_semi")
-    roots = components(links)
-    for step in ("first", "nearest", "every"):
+    links = verified(first.select(F.col("s").alias("u"), F.col("leader").alias("v")).where("u <> v").distinct(), sets, over, of)
+    asked, roots = nodes.join(met.select(hidden("s", "s")), "s", "left_semi"), components(links)
+    for step in ("first", "every"):
         labelled = asked.join(roots.select(hidden("node", "s"), "root"), "s", "left").select("s", "f", F.coalesce("root", "s").alias("c"))
         placed = stored(dealt(labelled, width, tables), "placed")
         mixed = placed.groupBy("block", "part").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high")
@@ -225,24 +261,23 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if step == "first":
             kept = [f"f{k}" for k in range(COMPARED)]
             own = own.groupBy("block", "part", "c").agg(F.min(F.struct("s", *kept)).alias("first")).select("block", "part", "first.s", "c", *[F.col("first")[k].alias(k) for k in kept])
-        again = near_pairs(own, bits, step == "every", cell)
-        fresh = stored(again.join(found, ["u", "v"], "left_anti"), "candidates")
+        again = stored(clumps(own, bits, cell), "clumps")
+        more = verified_clumps(again, sets, over, of, sets_in_cell)
         discard(placed)
-        more, found = verified(fresh, sets, over, of), found.union(fresh)
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links)
     return stored(rows.select("id", "s").join(roots.select(hidden("node", "s"), "root"), "s", "left").select("id", "s", F.coalesce("root", "s").alias("root")), "rooted")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 4, of: int = 5, cell: int = 50_000) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 4, of: int = 5, cell: int = 50_000, sets_in_cell: int = 2000) -> DataFrame:
     """docs, all columns as they are, whatever their names, without those that are linked, over any number of steps, to a
     smaller id.
 
     Nulls: a null text has no words, and texts without words are copies of each other; rows without an id stay and never
     drop others; rows that repeat an id stay or go together. An empty table gives no rows. Long texts are whole sets. `cell`
-    bounds the nodes that a task compares at once.
+    and `sets_in_cell` bound the fingerprints and the whole sets that a task compares at once.
     """
-    named = near_components(docs, id_col, text_col, over, of, cell)
+    named = near_components(docs, id_col, text_col, over, of, cell, sets_in_cell)
     least = named.groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select(hidden("root", "root"), "least")
     return without(docs, stored(named.join(least, "root").where("id <> least").select("id").distinct(), "gone"), id_col)
