@@ -61,7 +61,7 @@ def best_paths(words: list[str], vocab: Vocabulary) -> dict[str, bytes]:
 class Codec:
     """Encodes and decodes, and keeps the ids of words met before, up to about `most_bytes`."""
 
-    def __init__(self, vocab: Vocabulary, most_bytes: int = 96 << 20):
+    def __init__(self, vocab: Vocabulary, most_bytes: int = 64 << 20):
         self.vocab, self.most_bytes, self.kept, self.held = vocab, most_bytes, {}, 0
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

@@ -90,14 +90,14 @@ class GrayIndex:
 
     def pairs(self, bits: int):
         """Batches of (i, j), i < j in index order: all pairs of one bucket and different groups that differ in at most `bits` bits."""
-        top = len(self.levels) - 1
+        top, most = len(self.levels) - 1, 8 * FRONTIER // self.fps.shape[1]
         roots = np.arange(len(self.levels[top][0]))
         stack = [(top, roots[at : at + FRONTIER], roots[at : at + FRONTIER]) for at in range(0, len(roots), FRONTIER)]
         while stack:
             level, a, b = stack.pop()
             first, end = self.levels[level][:2]
             sizes = (end[a] - first[a]) * (end[b] - first[b])
-            if sizes.sum() > 8 * FRONTIER and len(a) > 1:
+            if sizes.sum() > most and len(a) > 1:
                 half = len(a) // 2
                 stack += [(level, a[:half], b[:half]), (level, a[half:], b[half:])]
                 continue

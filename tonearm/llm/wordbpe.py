@@ -24,7 +24,7 @@ ENTRY = 150
 class WordEncoder:
     """encode(texts) -> one bytes object per text: its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most_bytes: int = 96 << 20):
+    def __init__(self, path: str, most_bytes: int = 64 << 20):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a task on each core
@@ -76,7 +76,7 @@ class WordEncoder:
         return [b"".join(map(get, c)) for c in cut]
 
 
-def encoder(path: str, most_bytes: int = 96 << 20) -> WordEncoder:
+def encoder(path: str, most_bytes: int = 64 << 20) -> WordEncoder:
     """The encoder of this worker process for a tokenizer file; it lives as long as the worker."""
     if (path, most_bytes) not in _encoders:
         _encoders[path, most_bytes] = WordEncoder(path, most_bytes)
