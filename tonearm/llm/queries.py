@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import exact_dedup, packing, quality_rules, secrets, sentencepiece_codec, simhash, token_counts, token_files, toxicity, url_rules
+from tonearm.llm import alignment, byte_bpe, exact_dedup, packing, quality_rules, secrets, sentencepiece_codec, simhash, token_counts, token_files, toxicity, url_rules
 from tonearm.llm.shared import fresh_path, read_table
 
 #: Where the public vocabulary files are, unless their package is installed.
@@ -86,9 +86,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode, decode, and give digests of both."""
+    path = vocabulary_file("byte_bpe_multi_50k.tiktoken")
+    read = byte_bpe.decode(byte_bpe.encode(read_table(spark, sf_dir, "documents"), path), path)
+    ids = F.coalesce(F.array_join(F.col("ids").cast("array<string>"), ","), F.lit(""))
+    return read.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.coalesce("bytes", F.lit(b"")), 256).alias("decoded_sha256"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(read_table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), vocabulary_file("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_token_files, op3_url_rules, op4_quality_rules, op5_toxicity, op6_exact_dedup, op7_secret_scan, op8_sentencepiece, op9_best_fit_packing, op10_simhash)
+    for f in (op1_token_counts, op2_token_files, op3_url_rules, op4_quality_rules, op5_toxicity, op6_exact_dedup, op7_secret_scan, op8_sentencepiece, op9_best_fit_packing, op10_simhash, op11_byte_bpe, op12_alignment)
 }
 
 _OP3 = r"""
