@@ -1,9 +1,9 @@
 """Alignment of two tokenizers by the hash-set intersection of their cumulative ends.
 
 1. Each task takes blocks of texts, cuts them into units that both tokenizers encode apart from each other (a unit ends where a
-   token of either ends) and aligns each distinct unit of a block once: a dictionary leads from each cumulative end to the
-   token's index, for either tokenizer; the sorted common keys of the two slice both id lists into groups; each slice is
-   expanded into its links, the pairs of tokens whose byte ranges overlap.
+   token of either ends) and aligns each distinct unit of a block once, many in one run: a dictionary leads from each
+   cumulative end to the token's index, for either tokenizer; the sorted common keys of the two slice both id lists into
+   groups; the slices are expanded into links, the pairs of tokens whose byte ranges overlap.
 2. A block tells each pair of ids once, with the number of its links there. Sums over all blocks give the corpus-wide
    counts, and the largest of each second id. The counts go back to the blocks that hold the pair.
 3. Block by block, units get the sums of their links and texts those of their units.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from tonearm.llm.byte_bpe import blocks
 from tonearm.llm.shared import bound_batches, column, stored
@@ -41,64 +41,72 @@ def byte_letters() -> dict[str, int]:
 
 
 class Aligner:
-    """Aligns units; keeps those met before, up to about `most` of them."""
-
-    def __init__(self, path_a: str, path_b: str, most: int = 300_000):
+    def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a task on each core
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a, self.b, self.most, self.kept = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b), most, {}
+        self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
-        letters = byte_letters()
-        self.bytes_a = {i: bytes(map(letters.__getitem__, t)) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
-        b = self.b
-        self.bytes_b = {i: bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.get_piece_size())}
-        self.apart = not any("▁" in p.lstrip("▁") or "\n" in p for p in map(b.id_to_piece, range(b.get_piece_size())))
-
-    def cut(self, text: str) -> list[str]:
-        return units(text) if self.apart else [" " + text]
-
-    def learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 10_000):
-            own = new[at : at + 10_000]
-            texts = [full(u) for u in own]
-            ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-            ids_b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
-            for u, t, a, b in zip(own, texts, ids_a, ids_b, strict=True):
-                self.kept[u] = self.aligned(t.encode(), a, b if t[0] == " " else b[1:])
-
-    def aligned(self, text: bytes, a: list[int], b: list[int]) -> tuple[str, bytes, int, int, int] | None:
-        """(groups, links as pairs of ids, tokens of either, number of groups), or None if the tokens are not the text's bytes."""
-        own_a, own_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(own_a) != text or b"".join(own_b) != text:
+        letters, b, vocab = byte_letters(), self.b, self.a.get_vocab(with_added_tokens=True)
+        if not letters.keys() <= vocab.keys():
+            raise ValueError(f"{path_a} is not of the byte-level kind")
+        bytes_a = {i: bytes(map(letters.__getitem__, t)) if all(c in letters for c in t) else t.encode() for t, i in vocab.items()}
+        self.bytes_a = [bytes_a.get(i, b"") for i in range(max(bytes_a) + 1)]
+        pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.apart = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
+        self.characters = None if sum(map(b.is_byte, range(len(pieces)))) == 256 else {p for p in pieces if len(p) == 1}
+
+    def cut(self, text: str | None) -> list[str] | None:
+        """The units of a text; None if it is empty or its pieces do not give back its bytes."""
+        if not text or "▁" in text or self.b.normalize(text) != "▁" + text.replace(" ", "▁"):
+            return None
+        if self.characters is not None and not {"▁", *text} <= self.characters | {" "}:
             return None
-        ends_a, ends_b, end = {}, {}, 0
-        for k, x in enumerate(own_a):
-            end += len(x)
-            ends_a[end] = k
-        end = 0
-        for k, x in enumerate(own_b):
-            end += len(x)
-            ends_b[end] = k
-        groups, links, i, j = [], [], 0, 0
-        list_a, list_b = list(ends_a), list(ends_b)
-        for end in sorted(ends_a.keys() & ends_b.keys()):
-            to_i, to_j = ends_a[end] + 1, ends_b[end] + 1
-            groups.append(f"{','.join(map(str, a[i:to_i]))}|{','.join(map(str, b[j:to_j]))}")
-            while i < to_i and j < to_j:  # tokens of a slice overlap in a chain: the one that ends first goes on
-                links.append(a[i] << 32 | b[j])
-                ea, eb = list_a[i], list_b[j]
-                i += ea <= eb
-                j += eb <= ea
-        return ";".join(groups), np.array(links, np.int64).tobytes(), len(a), len(b), len(groups)
-
-    def known(self, new: set[str]) -> dict[str, tuple[str, bytes, int, int, int] | None]:
-        missing = new.difference(self.kept)
-        if len(self.kept) + len(missing) > self.most:
-            self.kept, missing = {}, new
-        self.learn(list(missing))
-        return self.kept
+        return units(text) if self.apart else [text if text[0] not in " \n" else " " + text]
+
+    def runs(self, own: list[str], most: int):
+        """own in order, cut into lists that can be encoded in one run each: of about `most` characters, or one odd unit alone."""
+        run, size = [], 0
+        for u in own:
+            odd = u[0].isspace() or u[-1].isspace()
+            if run and (odd or size > most):
+                yield run
+                run, size = [], 0
+            if odd:
+                yield [u]
+            else:
+                run.append(u)
+                size += len(u)
+        if run:
+            yield run
+
+    def aligned(self, own: list[str], most: int = 50_000):
+        """(groups of each unit, pairs of ids of all links, for each unit its links, tokens of either, and groups)."""
+        told, pairs, numbers = [], [], []
+        for run in self.runs(own, most):
+            whole = [full(u) for u in run]
+            text, begins = "".join(whole), whole[0][0] == " "
+            a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            b = self.b.encode(text[1:]) if begins else self.b.encode(text)[1:]
+            own_a, own_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
+            if not b"".join(own_a) == b"".join(own_b) == text.encode():
+                raise ValueError(f"tokens are not the bytes of {text[:200]!r}")
+            ends_a, ends_b = np.cumsum(list(map(len, own_a))), np.cumsum(list(map(len, own_b)))
+            index_a, index_b = {e: k for k, e in enumerate(ends_a.tolist(), 1)}, {e: k for k, e in enumerate(ends_b.tolist(), 1)}
+            common = sorted(index_a.keys() & index_b.keys())
+            to_a, to_b = list(map(index_a.__getitem__, common)), list(map(index_b.__getitem__, common))
+            name_a, name_b = list(map(str, a)), list(map(str, b))
+            groups = [f"{name_a[i]}|{name_b[j]}" if x - i == 1 == y - j else f"{','.join(name_a[i:x])}|{','.join(name_b[j:y])}" for i, x, j, y in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)]
+            every = np.union1d(ends_a, ends_b)  # the tokens that hold what ends here overlap in it, so that each end is a link
+            pairs.append(np.array(a, np.int64)[np.searchsorted(ends_a, every)] << 32 | np.array(b, np.int64)[np.searchsorted(ends_b, every)])
+            ends = np.cumsum([len(u.encode()) for u in whole])
+            four = np.column_stack([np.searchsorted(x, ends, "right") for x in (every, ends_a, ends_b, common)])
+            numbers.append(np.diff(four, axis=0, prepend=np.zeros((1, 4), np.int64)))
+            cuts = four[:, 3].tolist()
+            told += [";".join(groups[x:y]) for x, y in zip([0, *cuts], cuts, strict=False)]
+        return told, np.concatenate(pairs or [np.empty(0, np.int64)]), np.concatenate(numbers or [np.empty((0, 4), np.int64)])
 
 
 @cache
@@ -107,52 +115,59 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def lists(sizes, values, kind=None) -> pa.ListArray:
+class Numbered(dict):
+    """Keys numbered in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def lists(sizes, values) -> pa.ListArray:
     """A list array; a size of None is a null list."""
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([s or 0 for s in sizes])].astype(np.int32)), pa.array(values, kind), mask=pa.array([s is None for s in sizes], pa.bool_()))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([s or 0 for s in sizes])].astype(np.int32)), pa.array(values), mask=pa.array([s is None for s in sizes], pa.bool_()))
 
 
 def in_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str, block: int) -> DataFrame:
-    """The rows of all blocks: PAIRS (pairs, n), UNITS (groups, links in pairs, four numbers a unit in n), TEXT (id, units)."""
+    """The rows of all blocks. PAIRS: pairs, n, numbered from `at`; UNITS: groups, numbers (three a unit: links, tokens of a,
+    groups), links (numbers of pairs); TEXT: id, units as two planes of bytes, the low 16 bits and the rest."""
     source = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
-    schema = StructType([StructField("block", LongType()), StructField("kind", IntegerType()), StructField("at", LongType()), StructField("id", source.schema[0].dataType), StructField("units", ArrayType(IntegerType())), StructField("pairs", ArrayType(LongType())), StructField("n", ArrayType(LongType())), StructField("groups", StringType())])
-
-    def table(number, kind, at, size, **given):
-        columns = {"block": pa.array(np.full(size, number, np.int64)), "kind": pa.array(np.full(size, kind, np.int32)), "at": pa.array(at, pa.int64())}
-        return columns | given
+    schema = StructType([StructField("block", LongType()), StructField("kind", IntegerType()), StructField("at", IntegerType()), StructField("id", source.schema[0].dataType), StructField("low", BinaryType()), StructField("high", BinaryType()), StructField("pairs", ArrayType(LongType())), StructField("n", ArrayType(LongType())), StructField("numbers", ArrayType(IntegerType())), StructField("links", ArrayType(IntegerType())), StructField("groups", StringType())])
 
     def run(batches):
-        number, own, types = TaskContext.get().partitionId() << 32, aligner(path_a, path_b), {}
+        number, own = TaskContext.get().partitionId() << 32, aligner(path_a, path_b)
+        types = {"block": pa.int64(), "kind": pa.int32(), "at": pa.int32(), "id": None, "low": pa.binary(), "high": pa.binary(), "pairs": pa.list_(pa.int64()), "n": pa.list_(pa.int64()), "numbers": pa.list_(pa.int32()), "links": pa.list_(pa.int32()), "groups": pa.string()}
 
-        def told(columns):
-            size = len(columns["block"])
-            return pa.RecordBatch.from_arrays([columns[f] if f in columns else pa.nulls(size, types[f]) for f in types], names=list(types))
+        def told(kind, at, **given):
+            given |= {"block": pa.array(np.full(len(at), number)), "kind": pa.array(np.full(len(at), kind, np.int32)), "at": pa.array(at, pa.int32())}
+            return pa.RecordBatch.from_arrays([given[f] if f in given else pa.nulls(len(at), types[f]) for f in types], names=list(types))
 
         for held in blocks(batches, 1, block):
-            types |= {"block": pa.int64(), "kind": pa.int32(), "at": pa.int64(), "id": held[0].column(0).type, "units": pa.list_(pa.int32()), "pairs": pa.list_(pa.int64()), "n": pa.list_(pa.int64()), "groups": pa.string()}
-            cut = [own.cut(t) if t else None for b in held for t in b.column(1).to_pylist()]
-            known = own.known(set().union(*[u for u in cut if u]))
-            cut = [u if u and all(map(known.__getitem__, u)) else None for u in cut]
-            place = {u: k for k, u in enumerate(set().union(*[u for u in cut if u]))}
-            texts, seen = [None if u is None else np.fromiter(map(place.__getitem__, u), np.int32, len(u)) for u in cut], [known[u] for u in place]
-            uses = np.bincount(np.concatenate([x for x in texts if x is not None] or [np.empty(0, np.int32)]), minlength=len(place))
-            sizes = np.fromiter((len(s[1]) // 8 for s in seen), np.int64, len(seen))
-            links = np.frombuffer(b"".join(s[1] for s in seen), np.int64)
-            pairs, which = np.unique(links, return_inverse=True)
-            counts = np.bincount(which, np.repeat(uses, sizes), len(pairs)).astype(np.int64)
+            types["id"], place = held[0].column(0).type, Numbered()
+            texts = [None if (u := own.cut(t.as_py())) is None else np.fromiter(map(place.__getitem__, u), np.int32, len(u)) for b in held for t in b.column(1)]
+            held = [b.column(0) for b in held]
+            uses = np.bincount(np.concatenate([np.empty(0, np.int32), *[x for x in texts if x is not None]]), minlength=len(place))
+            order = np.argsort(-uses, kind="stable")  # frequent ones get small numbers
+            renumbered = np.empty_like(order)
+            renumbered[order] = np.arange(len(order))
+            names = list(place)
+            groups, pairs, numbers = own.aligned([names[k] for k in order])
+            del place, names
+            pairs, links = np.unique(pairs, return_inverse=True)
+            counts = np.bincount(links, np.repeat(uses[order], numbers[:, 0]), len(pairs)).astype(np.int64)
             for at in range(0, len(pairs), CHUNK):
-                yield told(table(number, PAIRS, [at], 1, pairs=lists([len(pairs[at : at + CHUNK])], pairs[at : at + CHUNK]), n=lists([len(pairs[at : at + CHUNK])], counts[at : at + CHUNK])))
-            ends = np.r_[0, np.cumsum(sizes)]
-            for at in range(0, len(seen), CHUNK):
-                part = seen[at : at + CHUNK]
-                numbers = np.array([(len(p) // 8, a, b, g) for _, p, a, b, g in part], np.int64).ravel()
-                flat = links[ends[at] : ends[at + len(part)]]
-                yield told(table(number, UNITS, [at], 1, pairs=lists([len(flat)], flat), n=lists([len(numbers)], numbers), groups=pa.array(["\n".join([s[0] for s in part])])))
+                part = pairs[at : at + CHUNK]
+                yield told(PAIRS, [at], pairs=lists([len(part)], part), n=lists([len(part)], counts[at : at + CHUNK]))
+            ends = np.r_[0, np.cumsum(numbers[:, 0])]
+            for at in range(0, len(groups), CHUNK):
+                part = numbers[at : at + CHUNK]
+                flat = links[ends[at] : ends[at + len(part)]].astype(np.int32)
+                yield told(UNITS, [at], groups=pa.array(["\n".join(groups[at : at + CHUNK])]), numbers=lists([3 * len(part)], part[:, [0, 1, 3]].astype(np.int32).ravel()), links=lists([len(flat)], flat))
             at = 0
-            for b in held:
-                part = texts[at : at + b.num_rows]
-                yield told(table(number, TEXT, np.arange(at, at + b.num_rows), b.num_rows, id=b.column(0), units=lists([None if x is None else len(x) for x in part], np.concatenate([np.empty(0, np.int32), *[x for x in part if x is not None]]))))
-                at += b.num_rows
+            for ids in held:
+                part = [None if x is None else renumbered[x].astype("<u4") for x in texts[at : at + len(ids)]]
+                yield told(TEXT, np.arange(at, at + len(ids)), id=ids, low=pa.array([None if x is None else x.astype("<u2").tobytes() for x in part], pa.binary()), high=pa.array([None if x is None else (x >> 16).astype("<u2").tobytes() for x in part], pa.binary()))
+                at += len(ids)
             number += 1
 
     return source.mapInArrow(run, schema)
@@ -167,7 +182,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     return totals.join(most.select(F.expr("second ^ 0L").alias("second"), "most"), second == F.col("second")).select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block: int = 16 << 20) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block: int = 32 << 20) -> DataFrame:
     """One row per row of docs: id, n_a, n_b (tokens), n_groups, n_links, n_best (links whose pair no other pair with the same b
     outnumbers), count_sum (corpus-wide counts of all links), groups (`a1,a2|b1;a3|b2,b3`, ids in order).
 
@@ -178,52 +193,45 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     """
     bound_batches(docs.sparkSession)
     rows = stored(in_blocks(docs, path_a, path_b, id_col, text_col, block), "aligned")
-    asked = rows.where(F.col("kind") == PAIRS).select("block", F.explode("pairs").alias("pair"))
-    counted = asked.join(pair_counts(rows).select(F.expr("pair ^ 0L").alias("pair"), "count", "best"), "pair")
-    parts = rows.where(F.col("kind") != PAIRS).withColumns({"pair": F.lit(None).cast("long"), "count": F.lit(None).cast("long"), "best": F.lit(None).cast("boolean")})
-    both = parts.unionByName(counted.withColumns({"kind": F.lit(PAIRS), "at": F.lit(0).cast("long")}), allowMissingColumns=True)
+    asked = rows.where(F.col("kind") == PAIRS).select("block", "at", F.posexplode("pairs").alias("k", "pair")).select("block", (F.col("at") + F.col("k")).alias("at"), "pair")
+    counted = asked.join(pair_counts(rows).select(F.expr("pair ^ 0L").alias("pair"), "count", "best"), "pair").select("block", F.lit(PAIRS).alias("kind"), "at", "count", "best")
+    both = rows.where(F.col("kind") != PAIRS).drop("pairs", "n").unionByName(counted, allowMissingColumns=True)
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
     def run(batches):
-        block, place = None, {}
-
-        def begin(number):
-            nonlocal block, pairs, units, sums, groups
-            block, pairs, units, sums, groups = number, [], [], None, []
-
-        pairs, units, sums, groups = [], [], None, []
+        block, counts, units, sums, groups = None, [], [], None, []
         for whole in batches:
-            place = place or {n: k for k, n in enumerate(whole.schema.names)}
-            key = whole.column(place["block"]).to_numpy() * 4 + whole.column(place["kind"]).to_numpy()
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else []
+            if not whole.num_rows:
+                continue
+            column_of = dict(zip(whole.schema.names, whole.columns, strict=True))
+            key = column_of["block"].to_numpy() * 4 + column_of["kind"].to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
             for first, end in zip(cuts, cuts[1:], strict=False):
-                b, number, kind = whole.slice(first, end - first), int(key[first]) >> 2, int(key[first]) & 3
-                of = lambda name: b.column(place[name])  # noqa: B023, E731
+                own, number, kind = {n: c.slice(first, end - first) for n, c in column_of.items()}, int(key[first]) >> 2, int(key[first]) & 3
                 if number != block:
-                    begin(number)
+                    block, counts, units, sums, groups = number, [], [], None, []
                 if kind == PAIRS:
-                    pairs.append((of("pair").to_numpy(), of("count").to_numpy(), of("best").to_numpy(zero_copy_only=False)))
+                    counts.append((own["count"].to_numpy(), own["best"].to_numpy(zero_copy_only=False)))
                 elif kind == UNITS:
-                    if isinstance(pairs, list):
-                        pair, count, best = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                        order = np.argsort(pair)
-                        pairs = pair[order], count[order], best[order]
-                    links, four = of("pairs").flatten().to_numpy(), of("n").flatten().to_numpy().reshape(-1, 4)
-                    found = np.searchsorted(pairs[0], links)
-                    to = np.cumsum(four[:, 0])
-                    total = [np.r_[0, np.cumsum(x[found].astype(np.int64))] for x in pairs[1:]]
-                    units.append(np.column_stack([four[:, 1:], four[:, 0], total[1][to] - total[1][to - four[:, 0]], total[0][to] - total[0][to - four[:, 0]]]))
-                    groups += [g for text in of("groups").to_pylist() for g in text.split("\n")]
+                    if isinstance(counts, list):  # all pairs are there, in the order of their numbers
+                        counts = np.column_stack([np.concatenate(x).astype(np.int64) for x in zip(*counts, strict=True)])
+                    links, three = own["links"].flatten().to_numpy(), own["numbers"].flatten().to_numpy().reshape(-1, 3).astype(np.int64)
+                    total = np.vstack([np.zeros((1, 2), np.int64), np.cumsum(counts[links], axis=0)])
+                    to = np.cumsum(three[:, 0])
+                    sum_, best = (total[to] - total[to - three[:, 0]]).T
+                    n_links, n_a, n_groups = three.T
+                    units.append(np.column_stack([n_a, n_links + n_groups - n_a, n_groups, n_links, best, sum_]))
+                    groups += [g for text in own["groups"].to_pylist() for g in text.split("\n")]
                 else:
                     if sums is None:
-                        sums, units = np.concatenate(units) if units else np.zeros((0, 6), np.int64), []
-                    own = of("units")
-                    sizes, flat = own.value_lengths().fill_null(0).to_numpy(), own.flatten().to_numpy()
-                    ends = np.r_[0, np.cumsum(sizes)]
+                        sums, units = np.concatenate([np.zeros((0, 6), np.int64), *units]), []
+                    low, high = ([x or b"" for x in own[c].to_pylist()] for c in ("low", "high"))
+                    flat = np.frombuffer(b"".join(low), "<u2").astype(np.int64) | np.frombuffer(b"".join(high), "<u2").astype(np.int64) << 16
+                    ends = np.r_[0, np.cumsum([len(x) // 2 for x in low])]
                     total = np.vstack([np.zeros((1, 6), np.int64), np.cumsum(sums[flat], axis=0)])
-                    out = total[ends[1:]] - total[ends[:-1]]
                     found = [groups[k] for k in flat.tolist()]
-                    yield pa.RecordBatch.from_arrays([of("id"), *map(pa.array, out.T), pa.array([";".join(found[x:y]) for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False)], pa.string())], names=[id_col, *names, "groups"])
+                    joined = [";".join(found[x:y]) for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+                    yield pa.RecordBatch.from_arrays([own["id"], *map(pa.array, (total[ends[1:]] - total[ends[:-1]]).T), pa.array(joined, pa.string())], names=[id_col, *names, "groups"])
 
     schema = StructType([StructField(id_col, rows.schema["id"].dataType), *[StructField(n, LongType()) for n in names], StructField("groups", StringType())])
     return both.repartition("block").sortWithinPartitions("block", "kind", "at").mapInArrow(run, schema)
