@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import alignment, byte_bpe, exact_dedup, packing, quality_rules, secrets, sentencepiece_codec, simhash, token_counts, token_files, toxicity, url_rules
+from tonearm.llm import alignment, byte_bpe, collocations, exact_dedup, packing, quality_rules, secrets, sentencepiece_codec, simhash, token_counts, token_files, toxicity, url_rules
 from tonearm.llm.shared import fresh_path, read_table
 
 #: Where the public vocabulary files are, unless their package is installed.
@@ -99,9 +99,13 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_token_files, op3_url_rules, op4_quality_rules, op5_toxicity, op6_exact_dedup, op7_secret_scan, op8_sentencepiece, op9_best_fit_packing, op10_simhash, op11_byte_bpe, op12_alignment)
+    for f in (op1_token_counts, op2_token_files, op3_url_rules, op4_quality_rules, op5_toxicity, op6_exact_dedup, op7_secret_scan, op8_sentencepiece, op9_best_fit_packing, op10_simhash, op11_byte_bpe, op12_alignment, op13_collocations)
 }
 
 _OP3 = r"""
@@ -155,4 +159,26 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM documents LEFT JOIN by_doc USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_url_rules": _OP3, "op6_exact_dedup": _OP6, "op7_secret_scan": _OP7}
+_OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+cut AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+phrases AS (
+  SELECT lang, size, phrase, count(*) AS f FROM (
+    SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+    FROM cut, range(1, 6) sizes(size) WHERE len(w) >= size) GROUP BY ALL HAVING size = 1 OR count(*) >= 100),
+totals AS (SELECT lang, sum(f) AS n FROM phrases WHERE size = 1 GROUP BY lang),
+longer AS (SELECT p.lang, unnest([array_to_string(string_split(p.phrase, ' ')[1:p.size - 1], ' '), array_to_string(string_split(p.phrase, ' ')[2:p.size], ' ')]) AS phrase, f FROM phrases p WHERE size > 2),
+kept AS (SELECT p.* FROM phrases p WHERE size > 1 AND NOT EXISTS (FROM longer l WHERE l.lang = p.lang AND l.phrase = p.phrase AND l.f >= p.f)),
+cuts AS (
+  SELECT lang, phrase, f, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:size], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM kept)),
+scored AS (
+  SELECT c.lang, c.phrase, c.f AS a, c.k, h.f AS l, r.f AS r, n, (1000::HUGEINT * c.f::HUGEINT * n::HUGEINT) // (h.f::HUGEINT * r.f::HUGEINT) AS score
+  FROM cuts c JOIN phrases h ON h.lang = c.lang AND h.phrase = c.head JOIN phrases r ON r.lang = c.lang AND r.phrase = c.rest JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM lowest QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_url_rules": _OP3, "op6_exact_dedup": _OP6, "op7_secret_scan": _OP7, "op13_collocations": _OP13}
