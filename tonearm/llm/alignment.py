@@ -70,7 +70,7 @@ class Aligner:
         """own in order, cut into lists that can be encoded in one run each: of about `most` characters, or one odd unit alone."""
         run, size = [], 0
         for u in own:
-            odd = u[0].isspace() or u[-1].isspace()
+            odd = u[-1].isspace() or (u[0].isspace() and u[0] != "\n")
             if run and (odd or size > most):
                 yield run
                 run, size = [], 0
@@ -182,7 +182,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     return totals.join(most.select(F.expr("second ^ 0L").alias("second"), "most"), second == F.col("second")).select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block: int = 32 << 20) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block: int = 12 << 20) -> DataFrame:
     """One row per row of docs: id, n_a, n_b (tokens), n_groups, n_links, n_best (links whose pair no other pair with the same b
     outnumbers), count_sum (corpus-wide counts of all links), groups (`a1,a2|b1;a3|b2,b3`, ids in order).
 
