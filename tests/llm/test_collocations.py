@@ -89,10 +89,16 @@ def test_tally_dense_and_sparse(high, weighted):
     assert (np.diff(tile) != 0).sum() == len(set(tile.tolist())) - 1  # a tile's pairs lie together
 
 
+def test_steps_of_cells():
+    cell, ends = np.array([5, 6, 70_000, 0, 2**40, 2**40 + 65_535, 7]), np.array([0, 3, 6, 6, 7])
+    found, size = c.unpacked(*c.packed(cell, ends))
+    assert np.array_equal(found, cell) and size.tolist() == [3, 3, 0, 1]
+
+
 def test_sums_of_a_large_tile(spark, monkeypatch):
     """A tile is summed up in between, and pairs below the limit go only at the end."""
     made = [(int(c.placed(np.array([5]), np.array([9]))[0][0]), [0], [1]) for _ in range(50)] + [(int(c.placed(np.array([600]), np.array([9]))[0][0]), [k], [49]) for k in (3, 4, 4, 5)]
-    tiles = spark.createDataFrame(made, "tile long, cells array<long>, n array<int>")
+    tiles = spark.createDataFrame([(t, k, [0], n) for t, k, n in made], "tile long, low array<smallint>, high array<long>, n array<int>")
     found = c.sums(tiles, 50, at_once=4).collect()
     far = int(c.ranks_at(np.array([made[-1][0]]), np.array([4]))[0][0])
     assert sorted((r.i, r.j, r.n) for r in found) == [(5, 9, 50), (far, 9, 98)]

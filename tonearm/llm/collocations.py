@@ -107,6 +107,21 @@ def lists(ends: np.ndarray, values) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
 
+def packed(cell: np.ndarray, ends: np.ndarray) -> list[pa.ListArray]:
+    """Cells of tiles, sorted within each, as steps: their low 16 bits and the rest, which is mostly zeros."""
+    step = np.diff(cell, prepend=0)
+    step[ends[:-1]] = cell[ends[:-1]]
+    return [lists(ends, (step & 0xFFFF).astype(np.uint16).view(np.int16)), lists(ends, step >> 16)]
+
+
+def unpacked(low: pa.ListArray, high: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, number of each row's)."""
+    size = low.value_lengths().to_numpy().astype(np.int64)
+    total = np.cumsum(low.flatten().to_numpy().view(np.uint16).astype(np.int64) | high.flatten().to_numpy() << 16)
+    before = np.r_[0, total][np.cumsum(size) - size]
+    return total - np.repeat(before, size), size
+
+
 def first_blocks(docs: DataFrame, text_col: str, lang_col: str, block: int) -> DataFrame:
     """(block, kind, lang, word, n, at, numbers): the distinct words of each block and language, numbered, and its sequence."""
     source = docs.select(column(text_col).alias("text"), F.coalesce(column(lang_col).cast("string"), F.lit("und")).alias("lang"))
@@ -147,10 +162,10 @@ def numbered(items: DataFrame, order: list) -> DataFrame:
 
 def paired(sequences: DataFrame, ranks: DataFrame) -> DataFrame:
     """The blocks of phrases one word longer. sequences: (block, at, numbers), numbers of a block's items, 0 for a gap;
-    ranks: (block, at, rank), the rank of each item that is frequent. Gives SEQUENCE rows in numbers of pairs, and TILE rows:
-    (block, at, tile, cells, n), the pairs of a tile, numbered from `at` on."""
+    ranks: (block, at, rank), the rank of each item, none or 0 if it is rare. Gives SEQUENCE rows in numbers of pairs, and TILE rows:
+    (block, at, tile, low, high, n), the pairs of a tile, numbered from `at` on."""
     merged = sequences.select("block", F.lit(SEQUENCE).alias("kind"), "at", "numbers", F.lit(None).cast("long").alias("rank")).unionByName(ranks.select("block", F.lit(ITEMS).alias("kind"), "at", F.lit(None).cast("array<int>").alias("numbers"), "rank"))
-    names = ["block", "kind", "at", "numbers", "tile", "cells", "n"]
+    names = ["block", "kind", "at", "numbers", "tile", "low", "high", "n"]
 
     def told(block, at, ranks, parts):
         if not ranks or not parts:
@@ -169,13 +184,13 @@ def paired(sequences: DataFrame, ranks: DataFrame) -> DataFrame:
         new = new[kept]
         for k in range(0, len(new), CHUNK):
             part = new[k : k + CHUNK]
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([SEQUENCE], pa.int32()), pa.array([k]), lists(np.array([0, len(part)]), part), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int32()))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([SEQUENCE], pa.int32()), pa.array([k]), lists(np.array([0, len(part)]), part), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int16())), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int32()))], names=names)
         begins = np.flatnonzero(np.diff(tile, prepend=-1))
         for k in range(0, len(begins), 2000):
             first = begins[k : k + 2000]
             ends = np.r_[first, begins[k + 2000] if k + 2000 < len(begins) else len(tile)]
             own, size = slice(ends[0], ends[-1]), len(first)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, block)), pa.array(np.full(size, TILE, np.int32)), pa.array(first + 1), pa.nulls(size, pa.list_(pa.int32())), pa.array(tile[first]), lists(ends - ends[0], cell[own]), lists(ends - ends[0], n[own].astype(np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, block)), pa.array(np.full(size, TILE, np.int32)), pa.array(first + 1), pa.nulls(size, pa.list_(pa.int32())), pa.array(tile[first]), *packed(cell[own], ends - ends[0]), lists(ends - ends[0], n[own].astype(np.int32))], names=names)
 
     def run(batches):
         block, at, ranks, parts = None, [], [], []
@@ -194,7 +209,7 @@ def paired(sequences: DataFrame, ranks: DataFrame) -> DataFrame:
                     parts.append(own.column(3).flatten().to_numpy())
         yield from told(block, at, ranks, parts)
 
-    return merged.repartition("block").sortWithinPartitions("block", "kind", "at").mapInArrow(run, "block long, kind int, at long, numbers array<int>, tile long, cells array<long>, n array<int>")
+    return merged.repartition("block").sortWithinPartitions("block", "kind", "at").mapInArrow(run, "block long, kind int, at long, numbers array<int>, tile long, low array<smallint>, high array<long>, n array<int>")
 
 
 def sums(tiles: DataFrame, least: int, at_once: int = AT_ONCE) -> DataFrame:
@@ -224,19 +239,20 @@ def sums(tiles: DataFrame, least: int, at_once: int = AT_ONCE) -> DataFrame:
                     held = [added()]
                     size = len(held[0][0])
                     most = max(4 * at_once, 2 * size)
-                cells, n = (b.column(k).slice(first, end - first).flatten().to_numpy() for k in (1, 2))
+                low, high, n = (b.column(k).slice(first, end - first) for k in (1, 2, 3))
+                cells, n = unpacked(low, high)[0], n.flatten().to_numpy()
                 held.append((np.full(len(cells), tile[first]), cells, n.astype(np.int64)))
                 size, last = size + len(cells), tile[first]
         if held:
             yield told()
 
-    return tiles.select("tile", "cells", "n").repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "tile long, i long, j long, n long")
+    return tiles.select("tile", "low", "high", "n").repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "tile long, i long, j long, n long")
 
 
 def met(tiles: DataFrame, frequent: DataFrame) -> DataFrame:
     """(block, at, rank): which items of each block are frequent. The frequent pairs of a tile come before the blocks' rows."""
-    told = frequent.select("tile", F.lit(0).alias("kind"), F.col("i").alias("block"), F.col("j").alias("at"), F.array("rank").alias("cells"))
-    rows = told.unionByName(tiles.select("tile", F.lit(1).alias("kind"), "block", "at", "cells"))
+    told = frequent.select("tile", F.lit(0).alias("kind"), F.col("i").alias("block"), F.col("j").alias("at"), F.lit(None).cast("array<smallint>").alias("low"), F.array("rank").alias("high"))
+    rows = told.unionByName(tiles.select("tile", F.lit(1).alias("kind"), "block", "at", "low", "high"))
 
     def run(batches):
         last, known, cell, rank = None, [], None, None
@@ -244,12 +260,12 @@ def met(tiles: DataFrame, frequent: DataFrame) -> DataFrame:
             tile, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
             cuts = np.flatnonzero((np.diff(tile, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0)).tolist()
             for first, end in zip(cuts, [*cuts[1:], len(tile)], strict=True):
-                _, _, block, at, cells = b.slice(first, end - first).columns
-                block, at, found = block.to_numpy(), at.to_numpy(), cells.flatten().to_numpy()
+                _, _, block, at, low, high = b.slice(first, end - first).columns
+                block, at = block.to_numpy(), at.to_numpy()
                 if tile[first] != last:
                     last, known, cell = tile[first], [], None
                 if not kind[first]:
-                    known.append((placed(block, at)[1], found))
+                    known.append((placed(block, at)[1], high.flatten().to_numpy()))
                     continue
                 if not known:
                     continue
@@ -257,7 +273,7 @@ def met(tiles: DataFrame, frequent: DataFrame) -> DataFrame:
                     cell, rank = (np.concatenate(x) for x in zip(*known, strict=True))
                     order = np.argsort(cell)
                     cell, rank = cell[order], rank[order]
-                size = cells.value_lengths().to_numpy().astype(np.int64)
+                found, size = unpacked(low, high)
                 at = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(len(found))
                 k = np.minimum(np.searchsorted(cell, found), len(cell) - 1)
                 hit = cell[k] == found
@@ -279,7 +295,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     ranked = numbered(counts.where(F.col("n") >= least), [F.desc("n"), "lang", "word"])
     found = [stored(ranked.select("rank", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "lang", F.col("word").alias("phrase"), "n", nothing.alias("before"), nothing.alias("after")), "phrases")]
     own = found[0].select(F.concat("lang", F.lit("")).alias("lang"), F.col("phrase").alias("word"), "rank")
-    ranks, sequences = items.select("block", "at", "lang", "word").join(own, ["lang", "word"]).select("block", "at", "rank"), rows.where(F.col("kind") == SEQUENCE)
+    ranks, sequences = items.select("block", "at", "lang", "word").join(own, ["lang", "word"], "left").select("block", "at", F.coalesce("rank", F.lit(0)).alias("rank")), rows.where(F.col("kind") == SEQUENCE)
     for _ in range(longest - 1):
         old, rows = rows, stored(paired(sequences.select("block", "at", "numbers"), ranks), "pair-blocks")
         discard(old)
