@@ -92,6 +92,28 @@ def test_links_of_a_clump_equal_all_pairs():
         assert m.links_of(sets, 4, 5, wide).tolist() == label.tolist() and len(set(label)) < 30
 
 
+def test_long_near_copies_are_cut_by_size(spark):
+    """300 near copies of 20,000 words, and small ones: cells hold about as many hashes as asked for, and one of the long
+    texts stays. The memory of a cell follows from its hashes."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 20_000)]
+    rows = [(k, " ".join(base[:-1] + [f"end{k}"] if k % 2 else base[: 19_000 + k])) for k in range(300)] + [(1000 + k, f"only text {k} of its own kind here") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = sorted(r.doc_id for r in m.drop_near_copies(docs, hashes_in_cell=400_000).select("doc_id").collect())
+    assert kept == [0, *range(1000, 1020)]
+    members = spark.createDataFrame([(0, 0, k, k % 7, 20_000 if k < 100 else 200) for k in range(3000)], "block int, part long, s long, c long, w int")
+    for labelled in (members, members.drop("c")):
+        held = labelled.transform(lambda df: m.in_cells(df, 400_000)).groupBy("cell").sum("w").collect()
+        assert max(r[1] for r in held) < 1_000_000 and len(held) > 1
+    sets = [np.unique(rng.integers(0, 2**63, 20_000)) for _ in range(50)]
+    tracemalloc.start()
+    m.links_of(sets, 4, 5, 512)
+    assert tracemalloc.get_traced_memory()[1] < 80 * sum(map(len, sets))
+    tracemalloc.stop()
+
+
 def test_recall_at_the_limit():
     """Pairs of similarity 0.8 exactly: nearly all share a block and lie within reach."""
     rng, (width, tables) = np.random.default_rng(3), m.blocks(10**5, 4, 5)

@@ -128,17 +128,18 @@ def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def in_cells(rows: DataFrame, cell: int) -> DataFrame:
-    """rows with a cell of their bucket; a bucket of over `cell` rows has many, so that no task holds it whole.
+    """rows with a cell of their bucket; a bucket that weighs over `cell` has many, so that no task holds it whole. A row weighs
+    what its column w says, else 1.
 
     Without components (c) a row goes to one cell by a hash of its node. With them the bucket's largest component is cut
     apart from its other nodes: each part of the others meets each part of either, and parts of the largest component
     do not meet each other."""
     by = ["block", "part"]
-    own = F.xxhash64("s")
+    own, weight = F.xxhash64("s"), F.sum("w" if "w" in rows.columns else F.lit(1)).alias("count")
     if "c" not in rows.columns:
-        large = rows.groupBy(*by).count().where(F.col("count") > cell).select("block", hidden("part", "part"), F.ceil(F.col("count") * 2 / cell).cast("int").alias("n"))
+        large = rows.groupBy(*by).agg(weight).where(F.col("count") > cell).select("block", hidden("part", "part"), F.ceil(F.col("count") * 2 / cell).cast("int").alias("n"))
         return rows.join(large, by, "left").withColumn("cell", F.coalesce(F.pmod(own, F.col("n")).cast("int"), F.lit(0))).drop("n")
-    sizes = rows.groupBy(*by, "c").count().groupBy(*by).agg(F.sum("count").alias("n"), F.max("count").alias("n_top"), F.max_by("c", F.struct("count", "c")).alias("top")).where(F.col("n") > cell)
+    sizes = rows.groupBy(*by, "c").agg(weight).groupBy(*by).agg(F.sum("count").alias("n"), F.max("count").alias("n_top"), F.max_by("c", F.struct("count", "c")).alias("top")).where(F.col("n") > cell)
     parts = lambda n: F.greatest(F.ceil(n * 2 / cell), F.lit(1)).cast("int")
     large = sizes.select("block", hidden("part", "part"), "top", parts(F.col("n_top")).alias("tops"), parts(F.col("n") - F.col("n_top")).alias("rests"))
     rest, top = F.pmod(own, F.col("rests")).cast("int"), F.pmod(own, F.col("tops")).cast("int")
@@ -178,11 +179,13 @@ def links_of(sets: list[np.ndarray], over: int, of: int, wide: int = 4096) -> np
     """For each set the first one that it is linked with, over any number of steps. Common hashes are counted for all pairs at
     once, as a product of matrices over the hashes that more than one set has."""
     n = np.array([len(x) for x in sets])
-    who, what = np.repeat(np.arange(len(sets)), n), np.unique(np.concatenate(sets), return_inverse=True)[1]
-    shared = np.bincount(what)[what] > 1
-    who, what = who[shared], np.unique(what[shared], return_inverse=True)[1]
-    order = np.argsort(what, kind="stable")
-    who, what = who[order], what[order]
+    what = np.concatenate(sets)
+    order = np.argsort(what)
+    what, who = what[order], np.repeat(np.arange(len(sets), dtype=np.int32), n)[order]
+    del order
+    run = np.cumsum(np.r_[False, what[1:] != what[:-1]])
+    often = np.bincount(run) > 1
+    who, what = who[often[run]], (np.cumsum(often) - 1)[run[often[run]]]
     common = np.zeros((len(sets), len(sets)), np.float32)
     for at in range(0, int(what[-1]) + 1 if len(what) else 0, wide):
         first, end = np.searchsorted(what, (at, at + wide))
@@ -195,11 +198,14 @@ def links_of(sets: list[np.ndarray], over: int, of: int, wide: int = 4096) -> np
     return label
 
 
-def verified_clumps(members: DataFrame, sets: DataFrame, over: int, of: int, cell: int) -> DataFrame:
+def verified_clumps(members: DataFrame, sets: DataFrame, over: int, of: int, cell: int, hashes: int) -> DataFrame:
     """(u, v), stored: enough links to give the components of every clump (clump, s, c). The sets of a clump meet in cells, and
-    are compared there on the whole; a row is one node, never a pair."""
+    are compared there on the whole; a row is one node, never a pair. A cell holds about `hashes` hashes at most, and `cell`
+    sets: a set weighs its size, and no less than their quotient."""
     by = ["block", "part", "cell"]
-    placed = in_cells(members.select(F.lit(0).alias("block"), F.col("clump").alias("part"), "s", "c"), cell)
+    sizes = sets.select(hidden("s", "s"), F.greatest("n", F.lit(max(hashes // cell, 1))).alias("w"))
+    weighed = members.join(sizes, "s").select(F.lit(0).alias("block"), F.col("clump").alias("part"), "s", "c", "w")
+    placed = in_cells(weighed, hashes)
     rows = placed.join(sets.select(hidden("s", "s"), "grams"), "s").select(*by, "s", "grams")
 
     def run(batches):
@@ -221,23 +227,23 @@ def hidden(name: str, alias: str):
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, met: DataFrame) -> DataFrame:
-    """(s, grams): the sets of the nodes that met another, read again from one text of each."""
+    """(s, grams, n): the sets and their sizes of the nodes that met another, read again from one text of each."""
     ids = rows.join(met.select(hidden("s", "s")), "s", "left_semi").groupBy("s").agg(F.min("id").alias("of")).select("of").distinct()
     own = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
     again = own.join(stored(ids, "ids"), F.col("id").eqNullSafe(F.col("of")), "left_semi")
-    return stored(mapped(again, "id", "text", "grams", lambda x: x).select("s", "grams").dropDuplicates(["s"]), "sets")
+    return stored(mapped(again, "id", "text", "grams", lambda x: x).select("s", "grams", F.size("grams").alias("n")).dropDuplicates(["s"]), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, over: int, of: int) -> DataFrame:
     """(u, v) of the pairs whose sets have a Jaccard similarity of at least over / of. Each set is read by the join."""
     side = lambda name: sets.select(hidden("s", name), F.col("grams").alias(f"g{name}"))
-    sizes = lambda name: sets.select(hidden("s", name), F.size("grams").alias(f"n{name}"))
+    sizes = lambda name: sets.select(hidden("s", name), F.col("n").alias(f"n{name}"))
     fit = pairs.join(sizes("u"), "u").join(sizes("v"), "v").where(of * F.least("nu", "nv") >= over * F.greatest("nu", "nv"))  # others cannot reach it
     both = stored(fit, "pairs").join(side("u"), "u").join(side("v"), "v")
     return stored(both.where((over + of) * F.size(F.array_intersect("gu", "gv")) >= over * (F.col("nu") + F.col("nv"))).select("u", "v"), "links")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 4, of: int = 5, cell: int = 50_000, sets_in_cell: int = 2000) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 4, of: int = 5, cell: int = 50_000, sets_in_cell: int = 2000, hashes_in_cell: int = 2_000_000) -> DataFrame:
     """(id, s, root), stored: one row per row of docs; root names the component of its node."""
     width, tables = blocks(docs.count(), over, of)
     bits = reach(over, of)
@@ -262,7 +268,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             kept = [f"f{k}" for k in range(COMPARED)]
             own = own.groupBy("block", "part", "c").agg(F.min(F.struct("s", *kept)).alias("first")).select("block", "part", "first.s", "c", *[F.col("first")[k].alias(k) for k in kept])
         again = stored(clumps(own, bits, cell), "clumps")
-        more = verified_clumps(again, sets, over, of, sets_in_cell)
+        more = verified_clumps(again, sets, over, of, sets_in_cell, hashes_in_cell)
         discard(placed)
         if not more.isEmpty():
             links = links.union(more)
@@ -270,14 +276,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return stored(rows.select("id", "s").join(roots.select(hidden("node", "s"), "root"), "s", "left").select("id", "s", F.coalesce("root", "s").alias("root")), "rooted")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 4, of: int = 5, cell: int = 50_000, sets_in_cell: int = 2000) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 4, of: int = 5, cell: int = 50_000, sets_in_cell: int = 2000, hashes_in_cell: int = 2_000_000) -> DataFrame:
     """docs, all columns as they are, whatever their names, without those that are linked, over any number of steps, to a
     smaller id.
 
     Nulls: a null text has no words, and texts without words are copies of each other; rows without an id stay and never
     drop others; rows that repeat an id stay or go together. An empty table gives no rows. Long texts are whole sets. `cell`
-    and `sets_in_cell` bound the fingerprints and the whole sets that a task compares at once.
+    bounds the fingerprints, `sets_in_cell` and `hashes_in_cell` the whole sets and their hashes that a task compares at once.
     """
-    named = near_components(docs, id_col, text_col, over, of, cell, sets_in_cell)
+    named = near_components(docs, id_col, text_col, over, of, cell, sets_in_cell, hashes_in_cell)
     least = named.groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select(hidden("root", "root"), "least")
     return without(docs, stored(named.join(least, "root").where("id <> least").select("id").distinct(), "gone"), id_col)
