@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
 from tests.test_pairs import TRACKS, folder, tags
+import pytest
+
 from tonearm.operators import catalog as c
 from tonearm.operators import dedupe as d
 from tonearm.operators import quality as q
@@ -55,6 +57,27 @@ def test_alias_file_with_quotes_and_white_space(spark, tmp_path):
     assert rows(tables.read_artist_alias(spark, str(tmp_path / "a.csv"), keep_case=True), "key") == [("Smith, John",), ("Tab",)]
 
 
+def test_the_last_line_wins_whatever_the_size_of_its_file(spark, tmp_path):
+    for n, (small, large) in enumerate((("a", "b"), ("b", "a"))):
+        folder_ = tmp_path / str(n)
+        folder_.mkdir()
+        (folder_ / f"{small}.csv").write_text("k,small\n")
+        (folder_ / f"{large}.csv").write_text("k,early\n" + "".join(f"x{i},y\n" for i in range(5000)) + "k,large\n")
+        got = {r.key: r.value for r in tables.read_artist_alias(spark, str(folder_)).where("key = 'k'").collect()}
+        assert got == {"k": "large" if large == "b" else "small"}
+    with_parts = {r.key: r.value for r in tables.read_artist_alias(spark, str(tmp_path / "0")).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # a file is read in parts by several tasks
+    try:
+        assert {r.key: r.value for r in tables.read_artist_alias(spark, str(tmp_path / "0")).collect()} == with_parts
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_catalog_out_of_reach_is_not_empty(spark, tmp_path):
+    with pytest.raises(Exception, match="nostore"):
+        tables.load_catalog(spark, "nostore://somewhere/catalog", "a int")
+
+
 def test_rename_file_keeps_empty_fields(spark, tmp_path):
     (tmp_path / "r.csv").write_text('a,\n"b, c",d,more\nlone\n')
     assert rows(tables.read_rename_list(spark, str(tmp_path / "r.csv")), "source", "target") == [("a", ""), ("b, c", "d")]

@@ -5,6 +5,8 @@ from itertools import combinations
 
 import pytest
 
+from tonearm.functions import similarity
+from tonearm.operators import names as nm
 from tonearm.operators import pairs as p
 from tonearm.operators import quality as q
 
@@ -130,10 +132,61 @@ def test_generic_scores_match_all_pairs(spark):
     assert {r.folder_path: r.score for r in p.generic_scores(rows).collect()} == {f: pytest.approx(generic(names)) for f, names in folders.items()}
 
 
-def test_a_hot_key_is_cut_by_salt(spark):
-    a, b = (spark.createDataFrame([(1 if i else 2, i) for i in range(60)], f"n int, {x} int") for x in "xy")
-    got = sorted((r.n, r.x, r.y) for r in p.paired(a, b, "n", "x", per_part=7).collect())
+def test_a_hot_key_meets_in_a_grid(spark):
+    a, b = (spark.createDataFrame([(1 if i else 2, i) for i in range(60)] + [(3 if x == "x" else 4, 99)], f"n int, {x} int") for x in "xy")
+    got = sorted((r.n, r.x, r.y) for r in nm.paired(a, b, "n", "x", "y", per_part=2).collect())
     assert got == sorted([(1, i, j) for i in range(1, 60) for j in range(1, 60)] + [(2, 0, 0)])
+    plan = nm.paired(a, b, "n", "x", "y", per_part=2)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_scores_of_a_hot_second_string(spark):
+    pairs = spark.createDataFrame([(f"name {i}", "name x") for i in range(50)] + [("a", "a"), (None, "b"), ("ab", "b"), ("ab", "b")], "a string, b string")
+    got = {(r.a, r.b): r.ratio for r in similarity.scored(pairs, per_part=9).collect()}
+    assert got == {(a, b): ratio(a, b) for a, b in [*[(f"name {i}", "name x") for i in range(50)], ("a", "a"), ("ab", "b")]}
+
+
+def test_generic_scores_of_many_files_with_few_names(spark):
+    """Pairs of files are never rows: 20,000 files with four names make 12."""
+    import random
+
+    rng = random.Random(3)
+    names = [f"{rng.choice(['track', 'song', 'long name', 'x'])} {i}.mp3" for i in range(20_000)]
+    rows = spark.createDataFrame([("/f", i, n) for i, n in enumerate(names)], "folder_path string, pos int, name string")
+    plain, seen, total = [n.rsplit(".", 1)[0].rstrip("0123456789") for n in names], {}, 0.0
+    for b in plain:
+        total += sum(k * (1.0 if a == b else ratio(a, b)) for a, k in seen.items())
+        seen[b] = seen.get(b, 0) + 1
+    assert p.generic_scores(rows).first().score == pytest.approx(total / (20_000 * 19_999 / 2))
+
+
+def test_index_keeps_ratios_few(spark):
+    """Candidates of all turns are few, and hold every pair that reaches the gate."""
+    import random
+
+    rng = random.Random(7)
+    parts = [["".join(rng.choice("abcdefghijklmnoprstuvwyz") for _ in range(rng.randint(3, 8))) for _ in range(60)] for _ in range(3)]
+    names = sorted({" ".join(rng.choice(x) for x in parts) for _ in range(700)})
+    own, _ = nm.bags(spark.createDataFrame([(n,) for n in names], "s string"))
+    from pyspark.sql import functions as F
+
+    got = {(r.a, r.b) for r in nm.candidates(own.withColumn("g", F.lit(0.8)), own, 0.8).collect()}
+    assert {(a, b) for a in names[::7] for b in names if a != b and ratio(a, b) >= 0.8} <= got
+    assert len(got) < len(names) ** 2 / 10
+
+
+def test_nearest_of_another_list(spark):
+    names = spark.createDataFrame([("abc", 0), ("", 1), ("qqq", 2), (None, 3)], "name string, ord int")
+    others = spark.createDataFrame([("zz", 5), ("abd", 2), ("abc", 9), ("cab", 2), (None, 0)], "name string, ord int")
+    got = {r.a: (r.b, r.ratio) for r in nm.nearest(names, others).collect()}
+    assert got == {"abc": ("abd", ratio("abc", "abd")), "": ("abd", 0.0), "qqq": ("abd", 0.0)}
+
+
+def test_a_hot_name_is_spread(spark):
+    rows = spark.createDataFrame([(f"/{i}", "Hot" if i % 3 else f"name {i}", i) for i in range(90)], "folder_path string, folder_name string, ord int")
+    names = {i: "hot" if i % 3 else f"name {i}" for i in range(90)}
+    want = {(f"/{i}", f"/{j}") for i, j in combinations(range(90), 2) if ratio(names[i], names[j]) >= 0.8}
+    assert {(r.f1, r.f2) for r in nm.similar_names(rows, per_part=3).collect()} == want
 
 
 def test_reports(data):
@@ -202,17 +255,17 @@ def test_similar_names_match_all_pairs(spark):
     rows = spark.createDataFrame([(f"/{i}", n, i) for i, n in enumerate(names)], "folder_path string, folder_name string, ord int")
     low = [n.lower() for n in names]
     want = {(f"/{i}", f"/{j}") for i, j in combinations(range(len(names)), 2) if low[i] == low[j] or ratio(low[i], low[j]) >= 0.8}
-    assert {(r.f1, r.f2) for r in p.similar_names(rows).collect()} == want
+    assert {(r.f1, r.f2) for r in nm.similar_names(rows).collect()} == want
 
 
 def test_nearest_names(spark):
     names = ["abc", "abd", "abe", "zzz", "abc"]
     rows = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, ord int")
-    got = {r.a: (r.b, r.ratio) for r in p.nearest(rows).collect()}
+    got = {r.a: (r.b, r.ratio) for r in nm.nearest(rows).collect()}
     for a in set(names):
         want = max(((ratio(a, b), -names.index(b)), b) for b in set(names) if b != a)
         assert got[a] == (want[1], want[0][0])
-    assert p.nearest(rows.where("name = 'zzz'")).count() == 0
+    assert nm.nearest(rows.where("name = 'zzz'")).count() == 0
 
 
 def test_nearest_names_go_through_all_gates(spark):
@@ -221,10 +274,10 @@ def test_nearest_names_go_through_all_gates(spark):
     rng = random.Random(5)
     names = [f"{rng.choice(['red', 'blue', 'dark red'])} {rng.choice(['car', 'house', 'horse', 'mouse'])} {rng.randrange(30)}" for _ in range(60)] + ["q", "zz", "", "xylophone" * 5]
     rows = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, ord int")
-    got = {r.a: (r.b, r.ratio) for r in p.nearest(rows).collect()}
+    got = {r.a: (r.b, r.ratio) for r in nm.nearest(rows).collect()}
     assert got.keys() == set(names)
     for a in set(names):
         want = max(((ratio(a, b), -names.index(b)), b) for b in set(names) if b != a)
         assert got[a] == (want[1], want[0][0])
-    sure = {r.a: r.sure for r in p.sure_matches(p.nearest(rows)).collect()}
+    sure = {r.a: r.sure for r in nm.sure_matches(nm.nearest(rows)).collect()}
     assert sure == {a: x >= 1 - len(a.replace(" ", "")) * 0.01 for a, (_, x) in got.items()}

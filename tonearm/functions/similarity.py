@@ -42,27 +42,17 @@ def length_bound(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(F.lit(2.0) * F.least(F.length(a), F.length(b)) / total)
 
 
-def bag(text: Column) -> Column:
-    """The characters of a text, each numbered among its equals, as an array of hashes; null is empty."""
-    chars = F.array_sort(F.array_remove(F.split(F.coalesce(text, F.lit("")), ""), ""))
-    return F.transform(F.array(chars), lambda x: F.transform(x, lambda c, i: F.xxhash64(c, i - F.array_position(x, c))))[0]
+#: Distinct first strings of one second string that a task scores; a second string with more is cut.
+PER_PART = 20_000
 
 
-def bag_bound(a: Column, b: Column, bag_a: Column, bag_b: Column) -> Column:
-    """Nor above this: shared characters, counted with repeats. Tighter, and dearer; bags are made once for each text."""
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(F.lit(2.0) * F.size(F.array_intersect(bag_a, bag_b)) / total)
-
-
-def multiset_bound(a: Column, b: Column) -> Column:
-    """bag_bound of two texts that have no bags yet."""
-    return bag_bound(a, b, bag(a), bag(b))
-
-
-def scored(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(a, b, ratio) for the distinct pairs given: each is scored once, however often it occurs; equal ones not at all."""
+def scored(pairs: DataFrame, a: str = "a", b: str = "b", per_part: int = PER_PART) -> DataFrame:
+    """(a, b, ratio) for the distinct pairs given: each is scored once, however often it occurs; equal ones not at all. Pairs are
+    dealt by b and come sorted by it, so that the matcher indexes a second argument once; a b with very many is dealt by a too."""
     own = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct()
     same = own.where("a = b").withColumn("ratio", F.lit(1.0))
-    # sorted, so that the matcher indexes a second argument once for its run of pairs
-    other = own.where("a <> b").repartition("b", "a").sortWithinPartitions("b", "a")
+    other = own.where("a <> b")
+    hot = other.groupBy("b").agg(F.ceil(F.count("*") / per_part).cast("int").alias("parts")).where("parts > 1").select(F.concat("b", F.lit("")).alias("hot"), "parts")
+    part = F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"), F.lit(0))
+    other = other.join(hot, F.col("b") == F.col("hot"), "left").select("a", "b", part.alias("part")).repartition("b", "part").sortWithinPartitions("b", "a").drop("part")
     return same.unionByName(other.withColumn("ratio", seq_ratio("a", "b")))

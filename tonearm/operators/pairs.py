@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from tonearm.functions import similarity, text
 from tonearm.operators.catalog import tag
+from tonearm.operators.names import NAME_GATE, paired, similar_names
 from tonearm.sources.tables import written
 
 #: Fixed weights of the score.
 WEIGHTS = {"file_hash": 5.0, "file": 3.0, "title": 2.5, "album": 2.5, "artist": 1.5, "folder_name": 1.5, "album_art": 1.0}
 EXTRA_WEIGHT, GENERIC, REDUCTION = 0.5, 0.7, 0.5
-MINIMAL, MERGE_FROM, NAME_GATE = 30.0, 85.0, 0.8
+MINIMAL, MERGE_FROM = 30.0, 85.0
 #: Tags that are compared on their own, not as extra tags.
 MAIN_TAGS = ("artist", "album", "title", "bitrate")
 
@@ -38,27 +39,13 @@ def readable(tracks: DataFrame, more_than: int = 2) -> DataFrame:
     )
 
 
-#: Rows of one key that a task pairs with all of the key's rows; keys with more are cut by salt.
-PER_PART = 2000
-
-
-def paired(a: DataFrame, b: DataFrame, key: str, own: str, per_part: int = PER_PART) -> DataFrame:
-    """a joined with b on `key`. A key with many rows of a is cut into parts by a hash of their column `own`; each part meets all
-    of the key's rows of b."""
-    parts = a.groupBy(key).agg(F.ceil(F.count("*") / per_part).cast("int").alias("parts")).select(F.col(key).alias("k"), "parts")
-    same = F.col(key).eqNullSafe(F.col("k"))
-    cut = a.join(parts, same).drop("k").withColumn("salt", F.pmod(F.xxhash64(own), F.col("parts")).cast("int")).drop("parts")
-    spread = b.join(parts, same).drop("k").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return cut.join(spread, [key, "salt"]).drop("salt")
-
-
 def same_count(files: DataFrame, *kept: str) -> DataFrame:
     """(f1, f2, n): pairs of folders with equally many files, each once, in folder order. `kept` columns of either side
     come along with 1 and 2 at their end."""
     folders = files.groupBy("folder_path").agg(F.first("ord").alias("ord"), F.count("*").cast("int").alias("n"), *[F.first(c).alias(c) for c in kept])
     a = folders.select("n", F.col("ord").alias("ord1"), F.col("folder_path").alias("f1"), *[F.col(c).alias(f"{c}1") for c in kept])
     b = folders.select("n", F.col("ord").alias("ord2"), F.col("folder_path").alias("f2"), *[F.col(c).alias(f"{c}2") for c in kept])
-    return paired(a, b, "n", "f1").where("ord1 < ord2")
+    return paired(a, b, "n", "f1", "f2").where("ord1 < ord2")
 
 
 def positions(pairs: DataFrame, files: DataFrame, *kept: str) -> DataFrame:
@@ -86,13 +73,20 @@ def extra_tags(placed: DataFrame) -> DataFrame:
 
 def generic_scores(names: DataFrame) -> DataFrame:
     """(folder_path, score): mean ratio over all pairs of names in a folder, numbers and extensions left out; under two
-    names 0. names: folder_path, pos, name. Names that are equal then are counted, not paired; a folder of very many names is
-    cut by salt; equal pairs of strings are scored once for the whole library."""
-    plain = names.select("folder_path", "pos", text.strip_digits(text.stem(F.col("name"))).alias("s"))
-    alike = plain.groupBy("folder_path", "s").agg(F.count("*").alias("c")).groupBy("folder_path").agg(F.sum("c").alias("n"), F.sum(F.expr("c * (c - 1) div 2")).alias("same"))
-    a = plain.select("folder_path", F.col("pos").alias("p1"), F.col("s").alias("a"))
-    b = plain.select("folder_path", F.col("pos").alias("p2"), F.col("s").alias("b"))
-    pairs = paired(a, b, "folder_path", "p1").where("p1 < p2 and a <> b").groupBy("folder_path", "a", "b").agg(F.count("*").alias("c"))
+    names 0. names: folder_path, pos, name.
+
+    Only the distinct names of a folder are paired, each with the places of its files. How often one name stands before
+    another follows from the order of both names' places together: the sum of the second one's ranks there, less its ranks
+    among its own. So n files with d names make d * d rows. A folder of very many names is cut in a grid; equal pairs of
+    strings are scored once for the whole library."""
+    plain = names.select("folder_path", F.col("pos").cast("long").alias("pos"), text.strip_digits(text.stem(F.col("name"))).alias("s"))
+    own = plain.groupBy("folder_path", "s").agg(F.count("*").alias("c"), F.collect_list("pos").alias("places"))
+    alike = own.groupBy("folder_path").agg(F.sum("c").alias("n"), F.sum(F.expr("c * (c - 1) div 2")).alias("same"))
+    a = own.select("folder_path", F.col("s").alias("a"), F.transform("places", lambda x: 2 * x).alias("first"))
+    b = own.select("folder_path", F.col("s").alias("b"), F.transform("places", lambda x: 2 * x + 1).alias("second"))
+    both = F.transform(F.array_sort(F.concat("first", "second")), lambda x, i: F.when(x % 2 == 1, i).otherwise(0).cast("long"))
+    before = F.aggregate(both, F.lit(0).cast("long"), lambda total, x: total + x) - F.expr("size(second) * (size(second) - 1L) div 2")
+    pairs = paired(a, b, "folder_path", "a", "b").where("a <> b").select("folder_path", "a", "b", before.alias("c")).where("c > 0")
     sums = pairs.join(similarity.scored(pairs), ["a", "b"]).groupBy("folder_path").agg(F.sum(F.col("c") * F.col("ratio")).alias("unlike"))
     score = (F.coalesce("unlike", F.lit(0.0)) + F.col("same")) / F.expr("n * (n - 1) div 2")
     return alike.join(sums, "folder_path", "left").select("folder_path", F.when(F.col("n") > 1, score).otherwise(0.0).alias("score"))
@@ -144,7 +138,6 @@ def similar_pairs(tracks: DataFrame, art: DataFrame, at_least: float = MINIMAL,
     further = F.filter(F.map_entries("tags"), lambda e: ~e["key"].isin(*MAIN_TAGS) & (e["value"] != ""))
     files = readable(tracks, more_than).withColumns({
         "further": F.transform(further, lambda e: F.struct(e["key"].alias("key"), F.lower(e["value"]).alias("value"))),
-        "file_bag": similarity.bag(F.lower("file")), "title_bag": similarity.bag(F.lower("title")),
     })
     files = written(files.drop("tags"), "files")
     pairs = same_count(files)
@@ -152,9 +145,9 @@ def similar_pairs(tracks: DataFrame, art: DataFrame, at_least: float = MINIMAL,
     side = lambda k: info.join(names, "folder_path").select(F.col("folder_path").alias(f"f{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("file_similarity", "title_similarity", "album_art", "folder_name")])
 
     # all positions of all pairs, once: hashes, further tags, and what the ratios can be at most
-    placed = positions(pairs, files, *fields, "file_hash", "further", "file_bag", "title_bag")
+    placed = positions(pairs, files, *fields, "file_hash", "further")
     both = lambda c: (low[f"{c}1"] != "") & (low[f"{c}2"] != "")
-    most = {c: similarity.length_bound(low[f"{c}1"], low[f"{c}2"]) for c in ("album", "artist")} | {c: similarity.bag_bound(low[f"{c}1"], low[f"{c}2"], F.col(f"{c}_bag1"), F.col(f"{c}_bag2")) for c in ("file", "title")}
+    most = {c: similarity.length_bound(low[f"{c}1"], low[f"{c}2"]) for c in fields}
     alike = F.transform(F.array_intersect("further1", "further2"), lambda e: e["key"])
     compared = placed.groupBy("f1", "f2").agg(
         F.first("n").alias("n"), F.avg(F.col("file_hash1").eqNullSafe(F.col("file_hash2")).cast("int")).alias("file_hash"), F.flatten(F.collect_list(alike)).alias("keys"),
@@ -206,21 +199,6 @@ def tag_equality(placed: DataFrame) -> DataFrame:
     return placed.groupBy("f1", "f2").agg(F.avg(F.coalesce(same, F.lit(False)).cast("int")).alias("score"))
 
 
-def similar_names(folders: DataFrame, gate: float = NAME_GATE) -> DataFrame:
-    """(f1, f2, name1, name2): pairs in folder order whose lower-case names are equal or have a ratio of at least `gate`.
-    folders: folder_path, folder_name, ord. Only names of lengths that can reach the gate meet, and each distinct pair of
-    names is scored once."""
-    names = folders.select(F.lower("folder_name").alias("s")).distinct()
-    least = gate / (2 - gate)  # of the longer name's length
-    reach = names.select("s", F.explode(F.sequence(F.ceil(F.length("s") * least - 1e-9).cast("int"), F.floor(F.length("s") / least + 1e-9).cast("int"))).alias("len"))
-    other = names.select(F.col("s").alias("t"), F.length("s").alias("len"))
-    close = reach.join(other, "len").where("s <> t").where(similarity.multiset_bound(F.col("s"), F.col("t")) >= gate - 1e-9).select(F.col("s").alias("a"), F.col("t").alias("b"))
-    good = similarity.scored(close).where(F.col("ratio") >= gate).select("a", "b").unionByName(names.select(F.col("s").alias("a"), F.col("s").alias("b")))
-    a = folders.select(F.col("folder_path").alias("f1"), F.lower("folder_name").alias("a"), F.col("ord").alias("ord1"))
-    b = folders.select(F.col("folder_path").alias("f2"), F.lower("folder_name").alias("b"), F.col("ord").alias("ord2"))
-    return good.join(a, "a").join(b, "b").where("ord1 < ord2").select("f1", "f2", F.col("a").alias("name1"), F.col("b").alias("name2"))
-
-
 def compare(tracks: DataFrame, art: DataFrame, alias: DataFrame, gate: float = NAME_GATE, at_least: float = 0.8) -> DataFrame:
     """(f1, f2, score): the second comparison, a mean of equal terms over pairs of like names, kept from `at_least` on."""
     from tonearm.operators.catalog import album_art, resolve_artist_album
@@ -238,38 +216,3 @@ def compare(tracks: DataFrame, art: DataFrame, alias: DataFrame, gate: float = N
         score = score + (there & ((F.lower(a) == F.lower(b)) if low else (a == b))).cast("int")
         total = total + there.cast("int")
     return full.select("f1", "f2", (score / total).alias("s")).where(F.col("s") >= at_least).select("f1", "f2", F.round("s", 2).alias("score"))
-
-
-def nearest(names: DataFrame, others: DataFrame | None = None, gates: tuple[float, ...] = (0.8, 0.6, 0.4)) -> DataFrame:
-    """(a, b, ratio): for each name the most similar other name; ties go to the first in order. names, others: one
-    column name, and ord.
-
-    Names meet by length, as far as lengths and characters let a ratio reach a gate. A name whose best ratio reaches the
-    gate has its nearest name; the others go on to the next, lower one, and only what is left after the last gate meets
-    all lengths. So no result is lost, and like names cost few ratios."""
-    own = written(names.select(F.col("name").alias("a")).distinct(), "names")
-    list_ = (others if others is not None else names).groupBy("name").agg(F.min("ord").alias("ord")).select(F.col("name").alias("b"), "ord", F.length("name").alias("len"))
-    list_ = written(list_, "others")
-    found, best_of = None, F.max_by(F.struct("b", "ratio"), F.struct(F.col("ratio"), -F.col("ord"))).alias("m")
-    for gate in (*gates, 0.0):
-        least = gate / (2 - gate)  # of the longer name's length
-        n = F.length("a")
-        if gate:
-            reach = own.select("a", F.explode(F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int"))).alias("len"))
-        else:
-            low, high = list_.agg(F.coalesce(F.min("len"), F.lit(0)), F.coalesce(F.max("len"), F.lit(0))).first()
-            reach = own.select("a", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("len"))
-        close = paired(reach, list_, "len", "a").where("a <> b")
-        close = close.where(similarity.multiset_bound(F.col("a"), F.col("b")) >= gate - 1e-9) if gate else close
-        scored = close.join(similarity.scored(close), ["a", "b"])
-        best = written(scored.groupBy("a").agg(best_of).select("a", "m.b", "m.ratio").where(F.col("ratio") >= gate), "nearest")
-        found = best if found is None else found.unionByName(best)
-        own = written(own.join(best.select("a"), "a", "left_anti"), "names")
-        if own.isEmpty():
-            break
-    return found
-
-
-def sure_matches(found: DataFrame, strict: bool = True) -> DataFrame:
-    """Nearest names that agree as much as their length asks for."""
-    return found.withColumn("sure", F.col("ratio") >= text.required_similarity(F.col("a"), strict))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tonearm.functions import text
 from tonearm.operators import catalog as c
 from tonearm.operators import dedupe as d
+from tonearm.operators import names as nm
 from tonearm.operators import pairs as p
 from tonearm.operators import quality as q
 from tonearm.operators import rules as r
@@ -62,16 +63,21 @@ def scan_incremental(spark, sf_dir):
     return c.new_folders(t.select("folder_path").distinct(), known)
 
 
-@query("SELECT lower(CASE c_custkey % 4 WHEN 0 THEN c_name || ', \"x\"' ELSE c_name END) AS key, c_mktsegment AS value FROM customer WHERE c_custkey % 4 < 2")
+@query("SELECT lower(CASE c_custkey % 4 WHEN 0 THEN c_name || ', \"x\"' ELSE c_name END) AS key, CASE c_custkey % 8 WHEN 4 THEN 'new' ELSE c_mktsegment END AS value FROM customer WHERE c_custkey % 4 < 2")
 def read_artist_alias(spark, sf_dir):
-    """A file with quoted fields, blanks and tabs at both ends, and lines of one and of three fields."""
+    """Quoted fields, blanks and tabs at both ends, lines of one and of three fields, in three lists of unlike size: some keys
+    stand in the short first one too, others in the short last one; the last line counts."""
     k, name, to = F.col("c_custkey") % 4, F.col("c_name"), F.col("c_mktsegment")
-    quoted = F.concat(F.lit('"'), name, F.lit(', ""x""","'), to, F.lit('"'))
+    key = F.concat(F.lit('"'), name, F.lit(', ""x""","'))
+    quoted = F.concat(key, to, F.lit('"'))
     padded = F.concat(F.lit(" "), F.upper(name), F.lit("\t,\t"), to, F.lit(" "))
     line = F.when(k == 0, quoted).when(k == 1, padded).when(k == 2, name).otherwise(F.concat(name, F.lit(",a,b")))
     path = tables.shared_path(spark, "aliases")
-    v.table(spark, sf_dir, "customer").select(line.alias("value")).write.text(path)
-    return tables.read_artist_alias(spark, path)
+    customers = v.table(spark, sf_dir, "customer")
+    customers.where("c_custkey % 8 = 0").select(F.concat(key, F.lit('old"')).alias("value")).write.text(f"{path}/list-1")
+    customers.select(line.alias("value")).write.text(f"{path}/list-2")
+    customers.where("c_custkey % 8 = 4").select(F.concat(key, F.lit('new"')).alias("value")).write.text(f"{path}/list-3")
+    return tables.read_artist_alias(spark, f"{path}/*")
 
 
 _ALBUM_NAMES = ", album_names AS (SELECT DISTINCT k || conv_id AS name FROM album_talks) "
@@ -434,17 +440,17 @@ def seq_ratio_list(spark, sf_dir):
 
 @query()
 def nearest_name(spark, sf_dir):
-    return p.nearest(_part_names(spark, sf_dir))
+    return nm.nearest(_part_names(spark, sf_dir))
 
 
 @query()
 def similar_name_sure(spark, sf_dir):
-    return p.sure_matches(p.nearest(_part_names(spark, sf_dir)))
+    return nm.sure_matches(nm.nearest(_part_names(spark, sf_dir)))
 
 
 @query()
 def merge_chosen_pairs(spark, sf_dir):
-    found = p.sure_matches(p.nearest(_part_names(spark, sf_dir)), strict=False).where("sure")
+    found = nm.sure_matches(nm.nearest(_part_names(spark, sf_dir)), strict=False).where("sure")
     return q.merge_chosen(found, found.select("a", "b", (F.length("a") % 3).alias("choice")))
 
 
@@ -456,7 +462,7 @@ def pair_same_count(spark, sf_dir):
 @query()
 def pair_similar_name(spark, sf_dir):
     t = v.tracks(spark, sf_dir).groupBy("folder_path", "folder_name").agg(F.struct(F.min("root_ord"), F.col("folder_path")).alias("ord"))
-    return p.similar_names(t)
+    return nm.similar_names(t)
 
 
 @query(", lists AS (SELECT folder_path, folder_name, list(file ORDER BY file) AS fs FROM tracks GROUP BY ALL) SELECT a.folder_path AS path, b.folder_path AS other FROM lists a JOIN lists b ON a.folder_name = b.folder_name AND a.fs = b.fs AND a.folder_path <> b.folder_path")

@@ -58,8 +58,10 @@ def csv_fields(line: Column) -> Column:
 
 
 def csv_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, fields) of CSV files without a header, in order; lines without any character are none."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", r"\r\z", "").alias("line"))
+    """(line_no, fields) of CSV files without a header; lines without any character are none. line_no orders all lines: by the
+    file's path, the place of its part, and the line within it, whichever task reads the part."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(place.alias("line_no"), F.regexp_replace("value", r"\r\z", "").alias("line"))
     return lines.where("line <> ''").select("line_no", csv_fields(F.col("line")).alias("fields"))
 
 
@@ -82,17 +84,31 @@ def read_rename_list(spark: SparkSession, path: str) -> DataFrame:
     return csv_lines(spark, path).where(F.size("fields") >= 2).select("line_no", fields[0].alias("source"), fields[1].alias("target"))
 
 
+#: What tells a file that is damaged, or no longer there, from a store that does not answer.
+DAMAGED = ("FAILED_READ_FILE", "CANNOT_READ_FILE", "MALFORMED_RECORD", "MALFORMED_JSON", "CANNOT_PARSE", "PARQUET_CONVERSION", "UNABLE_TO_INFER", "not a Parquet file", "Could not read footer")
+UNREACHABLE = ("Permission denied", "AccessControlException", "ConnectException", "UnknownHostException", "No route to host", "ExecutorLostFailure", "No space left", "OutOfMemory", "TimeoutException")
+
+
+def absent(spark: SparkSession, path: str) -> bool:
+    """Whether nothing is saved at path; a store that does not answer raises."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def load_catalog(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
-    """A saved catalog; one that is missing, or of which any file is damaged, is empty. Parquet is checked by its footers,
-    JSON by reading it once, since any line of it may be broken."""
+    """A saved catalog; one that is missing, or of which any file is damaged, is empty. All its rows are read once to know that
+    they can be. Anything else that goes wrong (no permission, no connection, a lost executor) raises: what cannot be reached
+    is not empty."""
+    if absent(spark, path):
+        return spark.createDataFrame([], schema)
     try:
         found = spark.read.schema(schema).option("mode", "FAILFAST").format(kind).load(path)
-        if kind == "json":
-            found.agg(*[F.count(f"`{c}`") for c in found.columns]).collect()
-        else:
-            found.count()
+        found.agg(*[F.count(f"`{c}`") for c in found.columns]).collect()
         return found
-    except (PySparkException, Py4JJavaError):
+    except (PySparkException, Py4JJavaError) as e:
+        told = str(e)
+        if any(x in told for x in UNREACHABLE) or not any(x in told for x in DAMAGED):
+            raise
         return spark.createDataFrame([], schema)
 
 
