@@ -192,7 +192,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     one by one. Long texts are whole: a block is at least one text. An empty table gives no rows. Other columns are not read.
     """
     bound_batches(docs.sparkSession)
-    rows = stored(in_blocks(docs, path_a, path_b, id_col, text_col, block), "aligned")
+    rows = stored(in_blocks(docs, path_a, path_b, id_col, text_col, block), "aligned", "zstd")
     asked = rows.where(F.col("kind") == PAIRS).select("block", "at", F.posexplode("pairs").alias("k", "pair")).select("block", (F.col("at") + F.col("k")).alias("at"), "pair")
     counted = asked.join(pair_counts(rows).select(F.expr("pair ^ 0L").alias("pair"), "count", "best"), "pair").select("block", F.lit(PAIRS).alias("kind"), "at", "count", "best")
     both = rows.where(F.col("kind") != PAIRS).drop("pairs", "n").unionByName(counted, allowMissingColumns=True)
@@ -229,9 +229,11 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
                     flat = np.frombuffer(b"".join(low), "<u2").astype(np.int64) | np.frombuffer(b"".join(high), "<u2").astype(np.int64) << 16
                     ends = np.r_[0, np.cumsum([len(x) // 2 for x in low])]
                     total = np.vstack([np.zeros((1, 6), np.int64), np.cumsum(sums[flat], axis=0)])
-                    found = [groups[k] for k in flat.tolist()]
-                    joined = [";".join(found[x:y]) for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
-                    yield pa.RecordBatch.from_arrays([own["id"], *map(pa.array, (total[ends[1:]] - total[ends[:-1]]).T), pa.array(joined, pa.string())], names=[id_col, *names, "groups"])
+                    out = total[ends[1:]] - total[ends[:-1]]
+                    for at in range(0, len(out), 100):  # groups take more room than texts
+                        part = out[at : at + 100]
+                        joined = [";".join([groups[k] for k in flat[x:y].tolist()]) for x, y in zip(ends[at:], ends[at + 1 : at + 101], strict=False)]
+                        yield pa.RecordBatch.from_arrays([own["id"].slice(at, len(part)), *map(pa.array, part.T), pa.array(joined, pa.string())], names=[id_col, *names, "groups"])
 
     schema = StructType([StructField(id_col, rows.schema["id"].dataType), *[StructField(n, LongType()) for n in names], StructField("groups", StringType())])
     return both.repartition("block").sortWithinPartitions("block", "kind", "at").mapInArrow(run, schema)
