@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from tonearm.llm.byte_bpe import blocks
+from tonearm.llm.byte_bpe import Numbered, blocks
 from tonearm.llm.shared import bound_batches, column, stored
 from tonearm.llm.units import full, units
 
@@ -115,14 +115,6 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-class Numbered(dict):
-    """Keys numbered in the order in which they are first asked for."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 def lists(sizes, values) -> pa.ListArray:
     """A list array; a size of None is a null list."""
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([s or 0 for s in sizes])].astype(np.int32)), pa.array(values), mask=pa.array([s is None for s in sizes], pa.bool_()))

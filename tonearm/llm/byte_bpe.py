@@ -173,7 +173,7 @@ class Ranks:
 class ByteCodec:
     """Encodes and decodes; keeps the ids of the units met before, up to about `most_bytes`."""
 
-    def __init__(self, path: str, most_bytes: int = 128 << 20):
+    def __init__(self, path: str, most_bytes: int = 48 << 20):
         import regex
 
         self.ranks, self.most_bytes = Ranks(path), most_bytes
@@ -205,17 +205,23 @@ class ByteCodec:
             self.held += ENTRY + len(u) + 4 * n
             at += n
 
-    def encode(self, texts: list[str | None]) -> list[bytes | None]:
-        """The ids of each text as little-endian unsigned 32-bit integers; those of null are null."""
-        cut = [units(t) if t else [] for t in texts]
+    def encode(self, texts) -> list[bytes | None]:
+        """The ids of each text as little-endian unsigned 32-bit integers; those of null are null. texts: any iterable; of a
+        text only the numbers of its units are held until all units are known."""
+        place, cut = Numbered(), []
+        for t in texts:
+            if t:
+                first, *rest = units(t)
+                cut.append((first, np.fromiter(map(place.__getitem__, rest), np.int32, len(rest))))
+            else:
+                cut.append(t)
         if self.held > self.most_bytes:
             self.clear()
-        opening = [u.pop(0) if u else None for u in cut]
-        rest, first = set().union(*cut).difference(self.kept), set(opening).difference(self.opening, [None])
+        rest, first = {u for u in place if u not in self.kept}, {c[0] for c in cut if c and c[0] not in self.opening}
         if rest or first:
             self.learn(rest, first)
-        get = self.kept.__getitem__
-        return [None if t is None else b"" if o is None else self.opening[o] + b"".join(map(get, u)) for t, o, u in zip(texts, opening, cut, strict=True)]
+        ids = [self.kept[u] for u in place]
+        return [self.opening[c[0]] + b"".join([ids[k] for k in c[1].tolist()]) if c else None if c is None else b"" for c in cut]
 
     def decode(self, ids: list[int] | None) -> bytes | None:
         """The bytes of the tokens; an id without a token stands for nothing."""
@@ -228,6 +234,14 @@ def codec(path: str) -> ByteCodec:
     return ByteCodec(path)
 
 
+class Numbered(dict):
+    """Keys numbered in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 def blocks(batches, of: int, size: int):
     """Lists of batches of about `size` bytes in column `of`, so that what a block's texts share is done once."""
     held, n = [], 0
@@ -241,7 +255,7 @@ def blocks(batches, of: int, size: int):
         yield held
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block: int = 32 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block: int = 12 << 20) -> DataFrame:
     """One row per row of docs: id, n_tokens (long), ids (array of int).
 
     Nulls: a null text has null ids and no tokens, an empty one has no ids; row ids pass as they are. Long texts are encoded
@@ -251,7 +265,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         for held in blocks(batches, 1, block):
-            ids = codec(path).encode([t for b in held for t in b.column(1).to_pylist()])
+            ids = codec(path).encode(t.as_py() for b in held for t in b.column(1))
             at = 0
             for b in held:
                 own, at = ids[at : at + b.num_rows], at + b.num_rows

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tonearm.llm.byte_bpe import blocks
+from tonearm.llm.byte_bpe import Numbered, blocks
 from tonearm.llm.shared import bound_batches, column, discard, stored
 
 #: Bands to a doubling of ranks; numbers and pairs told in one row; pairs that a task sums at once.
@@ -31,14 +31,6 @@ ITEMS, SEQUENCE, TILE = 0, 1, 2
 _table = bytes(10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-class Numbered(dict):
-    """Keys numbered in the order in which they are first asked for."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 def words(text: str) -> list[bytes]:
     """The words of a text, and a line feed after each piece."""
     return [w for w in text.encode().translate(_table).replace(b"\n", b" \n ").split(b" ") if w]
