@@ -26,6 +26,10 @@ def library(codec):
     return tiktoken.Encoding("own", pat_str=byte_bpe.PATTERN, mergeable_ranks=codec.ranks.tokens, special_tokens={})
 
 
+def decoded(ids):
+    return b"".join(map(byte_bpe.token_bytes(FILE).__getitem__, ids))
+
+
 def ids_of(found):
     return None if found is None else np.frombuffer(found, "<u4").tolist()
 
@@ -40,8 +44,8 @@ def test_ids_are_those_of_the_library():
     texts, own = [*random_texts(5000), *LONG, "aaaa", "aaaa"], library(codec)
     for text, ids in zip(texts, codec.encode(texts), strict=True):
         assert ids_of(ids) == own.encode_ordinary(text)
-        assert codec.decode(ids_of(ids)) == text.encode()
-    assert codec.decode(ids_of(*codec.encode(["xyx" * 100_000]))) == b"xyx" * 100_000
+        assert decoded(ids_of(ids)) == text.encode()
+    assert decoded(ids_of(*codec.encode(["xyx" * 100_000]))) == b"xyx" * 100_000
 
 
 @pytest.mark.parametrize("seed", range(6))

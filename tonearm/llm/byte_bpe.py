@@ -171,7 +171,7 @@ class Ranks:
 
 
 class ByteCodec:
-    """Encodes and decodes; keeps the ids of the units met before, up to about `most_bytes`."""
+    """Encodes; keeps the ids of the units met before, up to about `most_bytes`."""
 
     def __init__(self, path: str, most_bytes: int = 48 << 20):
         import regex
@@ -183,11 +183,24 @@ class ByteCodec:
     def clear(self) -> None:
         self.kept, self.opening, self.held = {}, {}, 0
 
+    def pretokens(self, unit: str) -> list[str]:
+        """The pre-tokens of a unit; plain words, with a sign at their end or without, need no pattern."""
+        if unit.isascii():
+            if unit.isalpha():
+                return [" " + unit]
+            if unit[-1] in ".,;:!?" and unit[:-1].isalpha():
+                return [" " + unit[:-1], unit[-1]]
+        return self.cut(full(unit))
+
     def learn(self, rest: set[str], first: set[str]) -> None:
         """Encode units by one replay of all their distinct pre-tokens."""
         flat, sizes = [], []
-        for u in (*map(full, rest), *[full(u)[1:] for u in first]):
-            found = self.cut(u)
+        for u in rest:
+            found = self.pretokens(u)
+            flat += found
+            sizes.append(len(found))
+        for u in first:
+            found = self.cut(full(u)[1:])
             flat += found
             sizes.append(len(found))
         known, new = {}, []
@@ -223,9 +236,13 @@ class ByteCodec:
         ids = [self.kept[u] for u in place]
         return [self.opening[c[0]] + b"".join([ids[k] for k in c[1].tolist()]) if c else None if c is None else b"" for c in cut]
 
-    def decode(self, ids: list[int] | None) -> bytes | None:
-        """The bytes of the tokens; an id without a token stands for nothing."""
-        return None if ids is None else b"".join([self.ranks.bytes_of.get(i, b"") for i in ids])
+
+@cache
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id; the last entry, of no bytes, is for ids without a token."""
+    with open(path, "rb") as f:
+        known = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    return [known.get(i, b"") for i in range(max(known) + 2)]
 
 
 @cache
@@ -287,7 +304,12 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", bytes_col: str =
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([codec(path).decode(i) for i in b.column(at).to_pylist()], pa.binary())], names=[*names, bytes_col])
+            table, ids = token_bytes(path), b.column(at)
+            flat = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            flat = np.where((flat >= 0) & (flat < len(table)), flat, len(table) - 1).tolist()
+            ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy()).tolist()
+            texts = [b"".join([table[i] for i in flat[x:y]]) if there else None for x, y, there in zip([0, *ends], ends, ids.is_valid().to_pylist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], names=[*names, bytes_col])
 
     numbered = kept.toDF(*[f"c{k}" for k in range(len(names))])  # mapInArrow takes no name with a backtick
     return numbered.mapInArrow(run, StructType([*kept.schema.fields, StructField(bytes_col, BinaryType())]))
