@@ -173,7 +173,7 @@ class Ranks:
 class ByteCodec:
     """Encodes; keeps the ids of the units met before, up to about `most_bytes`."""
 
-    def __init__(self, path: str, most_bytes: int = 48 << 20):
+    def __init__(self, path: str, most_bytes: int = 24 << 20):
         import regex
 
         self.ranks, self.most_bytes = Ranks(path), most_bytes
@@ -272,7 +272,7 @@ def blocks(batches, of: int, size: int):
         yield held
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block: int = 12 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block: int = 6 << 20) -> DataFrame:
     """One row per row of docs: id, n_tokens (long), ids (array of int).
 
     Nulls: a null text has null ids and no tokens, an empty one has no ids; row ids pass as they are. Long texts are encoded
