@@ -210,3 +210,35 @@ def test_stream_scans_once_and_keeps_first_copies(spark, tmp_path):
             (src / f"{more!r}.bin").write_bytes(more)
         incoming.append(incoming.first_copies(incoming.incoming_files(spark, str(src))), str(out), str(state)).awaitTermination()
     assert spark.read.parquet(str(out)).count() == 2
+
+
+def test_a_streamed_catalog_takes_each_folder_once(spark, tmp_path):
+    path = str(tmp_path / "catalog")
+    made = lambda *names: spark.createDataFrame([(n, n[1:]) for n in names], "folder_path string, folder_name string")
+    told = lambda: rows(spark.read.schema(incoming.catalog_schema(made("/x"))).parquet(path), "folder_path", "batch")
+    incoming.add_folders(made("/a", "/b", "/a"), 0, path)
+    assert told() == [("/a", 0), ("/b", 0)]
+    for _ in range(2):  # a batch that runs twice
+        incoming.add_folders(made("/b", "/c"), 1, path)
+        assert told() == [("/a", 0), ("/b", 0), ("/c", 1)]
+    incoming.add_folders(made("/a", "/c"), 2, path)
+    assert told() == [("/a", 0), ("/b", 0), ("/c", 1)]
+    incoming.add_folders(made("/b", "/c", "/c"), 1, path)  # again, though a later one is there
+    assert told() == [("/a", 0), ("/b", 0), ("/c", 1)]
+
+
+def test_listings_of_a_large_class(spark):
+    t = spark.createDataFrame([(f"/{i:03d}", "n" if i < 90 else "m", f) for i in range(100) for f in ("b", "a" if i % 30 else "c")], "folder_path string, folder_name string, file string")
+    classes = {r.path: (r.class_path, r.n_folders) for r in c.listing_classes(t).collect()}
+    assert classes == {f"/{i:03d}": ("/000", 3) if i in (0, 30, 60) else ("/001", 87) if i < 90 else ("/090", 1) if i == 90 else ("/091", 9) for i in range(100)}
+    assert c.same_listing(t).count() == 3 * 2 + 87 * 86 + 9 * 8
+    plan = c.listing_classes(t)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_names_in_a_bin_are_numbered_over_ranges(spark):
+    losers = spark.createDataFrame([(f"/{i:03d}", "same.mp3" if i % 4 else f"{i}.mp3") for i in range(80)], "folder_path string, file string")
+    got = {x.src: x.dst for x in r.recycle(losers, "/bin", suffix=True).collect()}
+    same = [i for i in range(80) if i % 4]
+    want = {f"/{i:03d}/same.mp3": "/bin/same.mp3" + (f".{k}" if k else "") for k, i in enumerate(same)} | {f"/{i:03d}/{i}.mp3": f"/bin/{i}.mp3" for i in range(0, 80, 4)}
+    assert got == want

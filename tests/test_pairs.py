@@ -281,3 +281,16 @@ def test_nearest_names_go_through_all_gates(spark):
         assert got[a] == (want[1], want[0][0])
     sure = {r.a: r.sure for r in nm.sure_matches(nm.nearest(rows)).collect()}
     assert sure == {a: x >= 1 - len(a.replace(" ", "")) * 0.01 for a, (_, x) in got.items()}
+
+
+def test_pairs_and_positions_are_not_exchanged(data):
+    """Whatever lies above the join of two folder rows runs in its tasks."""
+    plan = p.similar_pairs(*data)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("SortMergeJoin")]
+    assert "Exchange" not in above and "HashAggregate" not in above and "ArrowEvalPython" in above
+
+
+def test_sums_of_ratios(spark):
+    rows = [(["abc", "x", "", None, "abcd"], ["abd", "x", "", "y", "bcda"]), (None, ["a"]), ([], []), (["ab" * 150], ["ba" * 140])]
+    got = [r.s for r in spark.createDataFrame(rows, "a array<string>, b array<string>").select(similarity.ratio_sum("a", "b").alias("s")).collect()]
+    assert got == [ratio("abc", "abd") + 1.0 + ratio("abcd", "bcda"), None, 0.0, ratio("ab" * 150, "ba" * 140)]

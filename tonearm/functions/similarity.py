@@ -36,6 +36,21 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return _ratios(a, b)
 
 
+@F.pandas_udf(DoubleType())
+def ratio_sum(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Sum of the ratios of two arrays of strings, place by place; a place where either is null or empty counts 0, and equal ones
+    are not asked for. Of a batch each distinct pair is scored once, in the order of the second strings."""
+    places = [None if x is None or y is None else list(zip(y, x, strict=False)) for x, y in zip(a, b, strict=True)]
+    matcher, last, known = SequenceMatcher(None), None, {}
+    for y, x in sorted({p for row in places if row for p in row if p[0] and p[1] and p[0] != p[1]}):
+        if y != last:
+            matcher.set_seq2(y)
+            last = y
+        matcher.set_seq1(x)
+        known[y, x] = matcher.ratio()
+    return pd.Series([None if row is None else float(sum((1.0 if p[0] == p[1] else known[p]) if p[0] and p[1] else 0.0 for p in row)) for row in places], dtype="float64")
+
+
 def length_bound(a: Column, b: Column) -> Column:
     """The ratio of two strings is never above this."""
     total = F.length(a) + F.length(b)

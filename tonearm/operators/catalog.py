@@ -130,11 +130,20 @@ def specific_folders(files: DataFrame) -> DataFrame:
     return seen.where((F.col("a") != F.col("b")) & ~F.col("generic")).select("folder_path", "n_files")
 
 
+def listing_classes(files: DataFrame) -> DataFrame:
+    """(path, class_path, n_folders): folders of the same name with the same files are a class, named by its smallest path. One
+    row per folder, however many a class has; a large class is combined before it is exchanged."""
+    folders = files.groupBy("folder_path", "folder_name").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    keyed = folders.select(F.col("folder_path").alias("path"), F.sha2(F.to_json(F.struct("folder_name", "files")), 256).alias("listing"))
+    classes = keyed.groupBy("listing").agg(F.min("path").alias("class_path"), F.count("*").alias("n_folders"))
+    # exchanged again, so that a large class can be split
+    return keyed.join(classes.select(F.concat("listing", F.lit("")).alias("l"), "class_path", "n_folders"), F.col("listing") == F.col("l")).select("path", "class_path", "n_folders")
+
+
 def same_listing(files: DataFrame) -> DataFrame:
-    """(path, other): folders of the same name with the same files, both ways round. Folders are matched by a hash of
-    their sorted names, then by the names."""
-    names = F.array_sort(F.collect_list("file")).alias("files")
-    folders = files.groupBy("folder_path", "folder_name").agg(names).withColumn("h", F.xxhash64("files"))
-    a, b = folders.alias("a"), folders.alias("b")
-    same = (F.col("a.h") == F.col("b.h")) & (F.col("a.folder_name") == F.col("b.folder_name")) & (F.col("a.files") == F.col("b.files")) & (F.col("a.folder_path") != F.col("b.folder_path"))
-    return a.join(b, same).select(F.col("a.folder_path").alias("path"), F.col("b.folder_path").alias("other"))
+    """(path, other): folders of the same name with the same files, both ways round: the classes, with all pairs told. Members of a
+    large class meet in a grid."""
+    from tonearm.operators.names import paired
+
+    shared = listing_classes(files).where("n_folders > 1").select("path", "class_path")
+    return paired(shared, shared.select(F.col("path").alias("other"), "class_path"), "class_path", "path", "other").where("path <> other").select("path", "other")

@@ -71,19 +71,24 @@ def directory_sizes(files: DataFrame) -> DataFrame:
     return folders.select(F.explode(above).alias("path"), "size").groupBy("path").agg(F.sum("size").alias("size"))
 
 
+def numbered(rows: DataFrame, key: str, *by: str, parts: int | None = None) -> DataFrame:
+    """rows with place (from 1) among those of the same key in the order of `by`, and n_files, how many there are. Rows without a
+    key are left out. A key with any number of rows is spread: rows are sorted by ranges of (key, by), numbered within a range,
+    and moved on by what earlier ranges hold."""
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.where(F.col(key).isNotNull()).repartitionByRange(n, key, *by).withColumn("part", F.spark_partition_id()), "numbered")
+    held = ranged.groupBy(key, "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    placed = held.select(F.col(key).alias("k"), F.col("part").alias("r"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy(key)).alias("n_files"))
+    own = F.row_number().over(Window.partitionBy("part", key).orderBy(*by))
+    found = ranged.withColumn("own", own).join(placed, (F.col(key) == F.col("k")) & (F.col("part") == F.col("r")))
+    return found.select(*rows.columns, (F.col("own") + F.col("before")).alias("place"), "n_files")
+
+
 def by_album(tracks: DataFrame, parts: int | None = None) -> DataFrame:
-    """(album, place, path, n_files): every file under its album tag, numbered by path. An album of any size is spread:
-    files are sorted by ranges of (album, path), numbered within a range, and moved on by what earlier ranges hold."""
-    tagged = tracks.select(F.try_element_at("tags", F.lit("album")).alias("album"), F.concat_ws("/", "folder_path", "file").alias("path")).where("album is not null")
-    n = parts or int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(tagged.repartitionByRange(n, "album", "path").select("album", "path", F.spark_partition_id().alias("part")), "by-album")
-    held = ranged.groupBy("album", "part").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("album").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    whole = Window.partitionBy("album")
-    placed = held.select(F.col("album").alias("a"), F.col("part").alias("r"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("n_files"))
-    own = F.row_number().over(Window.partitionBy("part", "album").orderBy("path"))
-    numbered = ranged.withColumn("own", own).join(placed, (F.col("album") == F.col("a")) & (F.col("part") == F.col("r")))
-    return numbered.select("album", (F.col("own") + F.col("before")).alias("place"), "path", "n_files")
+    """(album, place, path, n_files): every file under its album tag, numbered by path; an album of any size is spread."""
+    tagged = tracks.select(F.try_element_at("tags", F.lit("album")).alias("album"), F.concat_ws("/", "folder_path", "file").alias("path"))
+    return numbered(tagged, "album", "path", parts=parts).select("album", "place", "path", "n_files")
 
 
 def consistent(tracks: DataFrame, name: str) -> DataFrame:

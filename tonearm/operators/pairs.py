@@ -1,8 +1,7 @@
 """Comparing folders: candidate pairs, position-wise similarity, the weighted score, ranks and reports.
 
 Folders are compared only with folders of as many files. Every string term has an exact upper bound, so a pair whose
-bounded score stays under the threshold never reaches the ratio; what is left is scored once per distinct pair of
-strings and joined back.
+bounded score stays under the threshold never reaches the ratio; the strings of what is left are scored where the pair met.
 """
 
 from __future__ import annotations
@@ -77,8 +76,8 @@ def generic_scores(names: DataFrame) -> DataFrame:
 
     Only the distinct names of a folder are paired, each with the places of its files. How often one name stands before
     another follows from the order of both names' places together: the sum of the second one's ranks there, less its ranks
-    among its own. So n files with d names make d * d rows. A folder of very many names is cut in a grid; equal pairs of
-    strings are scored once for the whole library."""
+    among its own. So n files with d names make d * d rows. A folder of very many names is cut in a grid; pairs are scored where
+    they meet, each distinct one once a batch."""
     plain = names.select("folder_path", F.col("pos").cast("long").alias("pos"), text.strip_digits(text.stem(F.col("name"))).alias("s"))
     own = plain.groupBy("folder_path", "s").agg(F.count("*").alias("c"), F.collect_list("pos").alias("places"))
     alike = own.groupBy("folder_path").agg(F.sum("c").alias("n"), F.sum(F.expr("c * (c - 1) div 2")).alias("same"))
@@ -86,8 +85,9 @@ def generic_scores(names: DataFrame) -> DataFrame:
     b = own.select("folder_path", F.col("s").alias("b"), F.transform("places", lambda x: 2 * x + 1).alias("second"))
     both = F.transform(F.array_sort(F.concat("first", "second")), lambda x, i: F.when(x % 2 == 1, i).otherwise(0).cast("long"))
     before = F.aggregate(both, F.lit(0).cast("long"), lambda total, x: total + x) - F.expr("size(second) * (size(second) - 1L) div 2")
-    pairs = paired(a, b, "folder_path", "a", "b").where("a <> b").select("folder_path", "a", "b", before.alias("c")).where("c > 0")
-    sums = pairs.join(similarity.scored(pairs), ["a", "b"]).groupBy("folder_path").agg(F.sum(F.col("c") * F.col("ratio")).alias("unlike"))
+    pairs = paired(a, b, "folder_path", "a", "b", dealt=True).where("a <> b").select("folder_path", "a", "b", before.alias("c")).where("c > 0")
+    scored = pairs.select("folder_path", "c", similarity.ratio_sum(F.array("a"), F.array("b")).alias("ratio"))
+    sums = scored.groupBy("folder_path").agg(F.sum(F.col("c") * F.col("ratio")).alias("unlike"))
     score = (F.coalesce("unlike", F.lit(0.0)) + F.col("same")) / F.expr("n * (n - 1) div 2")
     return alike.join(sums, "folder_path", "left").select("folder_path", F.when(F.col("n") > 1, score).otherwise(0.0).alias("score"))
 
@@ -126,59 +126,69 @@ def _weighted(terms: dict[str, Column], extra_sum: Column, extra_n: Column) -> C
     return 100 * (total + EXTRA_WEIGHT * extra_sum) / (sum(WEIGHTS.values()) + EXTRA_WEIGHT * extra_n)
 
 
+#: Folders of one count that a cell of the grid holds are about the square root of their number times this.
+PAIRS_PER_PART = 50
+
+
+def folder_rows(tracks: DataFrame, more_than: int = 2) -> DataFrame:
+    """One row per album folder: n, ord, folder_name, and arrays with an entry for each readable file, in order: file, title,
+    album and artist in lower case (empty where there is none), their lengths (l_file, ...), file_hash, and the further tags."""
+    fields = ("file", "title", "album", "artist")
+    further = F.filter(F.map_entries("tags"), lambda e: ~e["key"].isin(*MAIN_TAGS) & (e["value"] != ""))
+    files = readable(tracks, more_than).withColumns({c: F.coalesce(F.lower(c), F.lit("")) for c in fields})
+    told = F.struct("pos", *fields, "file_hash", F.transform(further, lambda e: F.struct(e["key"].alias("key"), F.lower(e["value"]).alias("value"))).alias("further"))
+    rows = files.groupBy("folder_path").agg(F.first("ord").alias("ord"), F.count("*").cast("int").alias("n"), F.first("folder_name").alias("folder_name"), F.array_sort(F.collect_list(told)).alias("files"))
+    rows = rows.select("folder_path", "ord", "n", "folder_name", *[F.col(f"files.{c}").alias(c) for c in (*fields, "file_hash", "further")])
+    return rows.withColumns({f"l_{c}": F.transform(c, F.length) for c in fields})
+
+
+def _total(a: str, b: str, term) -> Column:
+    """Sum of term(x, y) over the entries of two arrays of equal length."""
+    return F.aggregate(F.zip_with(a, b, term), F.lit(0.0), lambda total, x: total + x)
+
+
 def similar_pairs(tracks: DataFrame, art: DataFrame, at_least: float = MINIMAL, more_than: int = 2, info: DataFrame | None = None) -> DataFrame:
     """The similarity record of every pair of folders that scores at least `at_least` (0: of every pair): f1, f2, n,
     identical, the seven terms, additional_metadata (map), weighted_score. Identical pairs have 100 and no terms.
 
-    Tables that are used several times are written once: the files, the profiles (or those given as info), the pairs that
-    pass the bound. Only these have their strings joined and scored."""
+    A folder is one row with its files in arrays, written once. Rows of equally many files meet in a grid of cells; there the
+    positions are compared within the row: hashes, further tags and what the ratios can be at most by the lengths of the strings.
+    Pairs that stay under the threshold end there; the others have their strings scored in the same task. Neither pairs nor
+    positions are exchanged."""
     info = written(profiles(tracks, art, more_than), "profiles") if info is None else info
     fields = ("file", "title", "album", "artist")
-    low = {f"{c}{k}": F.coalesce(F.lower(f"{c}{k}"), F.lit("")) for c in fields for k in (1, 2)}
-    further = F.filter(F.map_entries("tags"), lambda e: ~e["key"].isin(*MAIN_TAGS) & (e["value"] != ""))
-    files = readable(tracks, more_than).withColumns({
-        "further": F.transform(further, lambda e: F.struct(e["key"].alias("key"), F.lower(e["value"]).alias("value"))),
-    })
-    files = written(files.drop("tags"), "files")
-    pairs = same_count(files)
-    names = files.groupBy("folder_path").agg(F.first("folder_name").alias("folder_name"))
-    side = lambda k: info.join(names, "folder_path").select(F.col("folder_path").alias(f"f{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("file_similarity", "title_similarity", "album_art", "folder_name")])
-
-    # all positions of all pairs, once: hashes, further tags, and what the ratios can be at most
-    placed = positions(pairs, files, *fields, "file_hash", "further")
-    both = lambda c: (low[f"{c}1"] != "") & (low[f"{c}2"] != "")
-    most = {c: similarity.length_bound(low[f"{c}1"], low[f"{c}2"]) for c in fields}
-    alike = F.transform(F.array_intersect("further1", "further2"), lambda e: e["key"])
-    compared = placed.groupBy("f1", "f2").agg(
-        F.first("n").alias("n"), F.avg(F.col("file_hash1").eqNullSafe(F.col("file_hash2")).cast("int")).alias("file_hash"), F.flatten(F.collect_list(alike)).alias("keys"),
-        *[F.avg(F.when(both(c), most[c]).otherwise(0.0)).alias(f"b_{c}") for c in fields],
-    )
-    score = lambda k: F.struct(k.alias("key"), (F.size(F.filter("keys", lambda x: x == k)) / F.col("n")).alias("score"))
-    compared = compared.withColumn("additional_metadata", F.map_from_entries(F.transform(F.array_sort(F.array_distinct("keys")), score)))
-    known = compared.join(side(1), "f1").join(side(2), "f2").withColumns({
+    known = info.select("folder_path", "file_similarity", "title_similarity", "album_art")
+    folders = written(folder_rows(tracks, more_than).join(known, "folder_path"), "folders")
+    side = lambda k: folders.select("n", F.col("folder_path").alias(f"f{k}"), *[F.col(c).alias(f"{c}{k}") for c in folders.columns if c not in ("n", "folder_path")])
+    pairs = paired(side(1), side(2), "n", "f1", "f2", per_part=PAIRS_PER_PART, dealt=True).where("ord1 < ord2")
+
+    hashes = F.aggregate(F.zip_with("file_hash1", "file_hash2", lambda x, y: x.eqNullSafe(y).cast("int")), F.lit(0), lambda total, x: total + x)
+    most = lambda c: _total(f"l_{c}1", f"l_{c}2", lambda x, y: F.when((x > 0) & (y > 0), 2.0 * F.least(x, y) / (x + y)).otherwise(0.0)) / F.col("n")
+    keys = F.flatten(F.zip_with("further1", "further2", lambda x, y: F.transform(F.array_intersect(x, y), lambda e: e["key"])))
+    pairs = pairs.withColumns({"file_hash": hashes / F.col("n"), "keys": keys}).withColumns({
         "album_art": F.when(F.col("album_art1") == F.col("album_art2"), 1.0).otherwise(0.0),
         "adjust_file": adjustment(F.col("file_similarity1"), F.col("file_similarity2")), "adjust_title": adjustment(F.col("title_similarity1"), F.col("title_similarity2")),
-        "x": F.size("keys") / F.col("n"), "xn": F.size("additional_metadata"),
+        "x": F.size("keys") / F.col("n"), "xn": F.size(F.array_distinct("keys")),
+    })
+    if at_least > 0:
+        bounds = {"file_hash": F.col("file_hash"), "file": most("file") * F.col("adjust_file"), "title": most("title") * F.col("adjust_title"), "album": most("album"), "artist": most("artist"), "folder_name": similarity.length_bound(F.lower("folder_name1"), F.lower("folder_name2")), "album_art": F.col("album_art")}
+        bounds["folder_name"] = F.coalesce(bounds["folder_name"], F.lit(0.0))
+        pairs = pairs.where((F.col("file_hash") == 1.0) | (_weighted(bounds, F.col("x"), F.col("xn")) >= at_least - 1e-9))
+
+    same = F.col("file_hash") == 1.0
+    mean = lambda c: similarity.ratio_sum(F.when(~same, F.col(f"{c}1")), F.when(~same, F.col(f"{c}2"))) / F.col("n")
+    name1, name2 = F.lower("folder_name1"), F.lower("folder_name2")
+    named = similarity.ratio_sum(F.when(~same, F.array(name1)), F.when(~same, F.array(name2)))
+    scored = pairs.withColumns({**{c: mean(c) for c in fields}, "folder_name": named}).withColumns({
+        "file": F.col("file") * F.col("adjust_file"), "title": F.col("title") * F.col("adjust_title"),
+        "folder_name": F.when(~same & (name1 == "") & (name2 == ""), 1.0).otherwise(F.col("folder_name")), "album_art": F.when(~same, F.col("album_art")),
+    })
+    score = lambda k: F.struct(k.alias("key"), (F.size(F.filter("keys", lambda x: x == k)) / F.col("n")).alias("score"))
+    full = scored.withColumns({
+        "identical": same, "additional_metadata": F.when(~same, F.map_from_entries(F.transform(F.array_sort(F.array_distinct("keys")), score))),
+        "weighted_score": F.when(same, 100.0).otherwise(_weighted({k: F.col(k) for k in WEIGHTS}, F.col("x"), F.col("xn"))),
     })
-    bounds = {"file_hash": F.col("file_hash"), "file": F.col("b_file") * F.col("adjust_file"), "title": F.col("b_title") * F.col("adjust_title"), "album": F.col("b_album"), "artist": F.col("b_artist"), "folder_name": similarity.length_bound(F.col("folder_name1"), F.col("folder_name2")), "album_art": F.col("album_art")}
-    reaches = (F.col("file_hash") == 1.0) | (_weighted(bounds, F.col("x"), F.col("xn")) >= at_least - 1e-9)
-    passed = written(known.where(reaches).drop("keys", *[f"b_{c}" for c in fields]), "pairs")
-    identical, left = passed.where("file_hash = 1.0"), passed.where("file_hash < 1.0")
-
-    # the strings of the pairs that are left, each distinct pair once
-    asked = positions(left.select("f1", "f2"), files, *fields)
-    strings = asked.select("f1", "f2", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), low[f"{c}1"].alias("a"), low[f"{c}2"].alias("b")) for c in fields])).alias("s")).select("f1", "f2", "s.*").where("a <> '' and b <> ''")
-    named = left.select("f1", "f2", F.lit("folder_name").alias("field"), F.lower("folder_name1").alias("a"), F.lower("folder_name2").alias("b"))
-    strings = strings.unionByName(named)
-    summed = strings.join(similarity.scored(strings), ["a", "b"]).groupBy("f1", "f2").agg(*[F.coalesce(F.sum(F.when(F.col("field") == c, F.col("ratio"))), F.lit(0.0)).alias(f"s_{c}") for c in (*fields, "folder_name")])
-    terms = {c: F.col(f"s_{c}") / F.col("n") for c in fields}
-    full = left.join(summed, ["f1", "f2"]).withColumns({"file": terms["file"] * F.col("adjust_file"), "title": terms["title"] * F.col("adjust_title"), "album": terms["album"], "artist": terms["artist"], "folder_name": F.col("s_folder_name")})
-    full = full.withColumn("weighted_score", _weighted({k: F.col(k) for k in WEIGHTS}, F.col("x"), F.col("xn"))).where(F.col("weighted_score") >= at_least)
-
-    columns = ["f1", "f2", "n", "identical", *WEIGHTS, "additional_metadata", "weighted_score"]
-    none = {k: F.lit(None).cast("double") for k in WEIGHTS if k != "file_hash"}
-    same = identical.withColumns(none | {"identical": F.lit(True), "additional_metadata": F.lit(None).cast("map<string,double>"), "weighted_score": F.lit(100.0)})
-    return same.select(*columns).unionByName(full.withColumn("identical", F.lit(False)).select(*columns))
+    return full.where(F.col("weighted_score") >= at_least).select("f1", "f2", "n", "identical", *WEIGHTS, "additional_metadata", "weighted_score")
 
 
 def ranked(pairs: DataFrame, at_least: float = MINIMAL) -> DataFrame:

@@ -114,12 +114,12 @@ def summary(actions: DataFrame) -> DataFrame:
 
 
 def recycle(losers: DataFrame, bin_path: str, suffix: bool = False) -> DataFrame:
-    """Losing copies go to a bin under their base name; suffix numbers equal names instead of letting them collide."""
+    """Losing copies go to a bin under their base name; suffix numbers equal names, by path, instead of letting them collide. A
+    name of very many files is numbered over ranges."""
     name = F.col("file")
     if suffix:
-        from pyspark.sql import Window
+        from tonearm.operators.dedupe import numbered
 
-        nth = F.row_number().over(Window.partitionBy("file").orderBy("folder_path")) - 1
-        losers = losers.withColumn("nth", nth)
-        name = F.when(F.col("nth") > 0, F.concat_ws(".", "file", F.col("nth").cast("string"))).otherwise(F.col("file"))
+        losers = numbered(losers.select("folder_path", "file"), "file", "folder_path")
+        name = F.when(F.col("place") > 1, F.concat_ws(".", "file", (F.col("place") - 1).cast("string"))).otherwise(F.col("file"))
     return losers.select(*action("recycle", path(), F.concat_ws("/", F.lit(bin_path), name), "duplicate"))

@@ -194,14 +194,26 @@ def stream_first_copies_within(spark, sf_dir):
     return spark.read.schema("modified timestamp, file_hash string").parquet(path).select("file_hash")
 
 
-@query()
+@query("SELECT 'b=' || (doc_id // 50) AS folder, '.txt' AS ext, CAST(sum(strlen(text) + 1) AS BIGINT) AS size, md5(string_agg(text || chr(10), '' ORDER BY doc_id)) AS file_hash FROM documents WHERE text IS NOT NULL GROUP BY ALL")
 def stream_incoming_files(spark, sf_dir):
-    """Files of documents below a folder, each scanned once with the hash of its bytes."""
+    """Documents written as text files of fifty, each scanned once, as it arrives, with the hash of its bytes."""
     root, path = tables.shared_path(spark, "library"), tables.shared_path(spark, "scanned")
-    v.table(spark, sf_dir, "documents").select(F.regexp_replace("text", "\n", " ").alias("value"), "source").write.partitionBy("source").text(root)
+    docs = v.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.floor(F.col("doc_id") / 50).alias("b"))
+    docs.repartition("b").sortWithinPartitions("b", "doc_id").select("text", "b").write.partitionBy("b").text(root)
     incoming.append(incoming.incoming_files(spark, root), path, tables.shared_path(spark, "state")).awaitTermination()
     found = spark.read.schema("path string, modified timestamp, size long, file_hash string").parquet(path)
-    return found.select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), text.extension(F.col("path")).alias("ext"), "size", "file_hash")
+    return found.select(F.regexp_extract("path", "/(b=[^/]*)/", 1).alias("folder"), text.extension(F.col("path")).alias("ext"), "size", "file_hash")
+
+
+@query("SELECT folder_path, any_value(folder_name) AS folder_name, any_value(parent_folder) AS parent_folder FROM tracks GROUP BY ALL")
+def stream_catalog(spark, sf_dir):
+    """Folders of files that arrive in six parts, two a batch; most folders come again in later ones."""
+    came, path = tables.shared_path(spark, "incoming"), tables.shared_path(spark, "catalog")
+    rows = v.tracks(spark, sf_dir).select("folder_path", "folder_name", "parent_folder", "file")
+    rows.repartition(6, "file").drop("file").write.parquet(came)
+    folders = spark.readStream.schema("folder_path string, folder_name string, parent_folder string").option("maxFilesPerTrigger", 2).parquet(came)
+    incoming.keep_catalog(folders, path, tables.shared_path(spark, "state")).awaitTermination()
+    return spark.read.schema(incoming.catalog_schema(folders)).parquet(path).drop("batch")
 
 
 @query("SELECT 'copy' AS action, path AS src, '/backup' || substr(path, 5) AS dst FROM (SELECT path FROM tracks WHERE starts_with(folder_path, '/lib/') UNION ALL SELECT '/lib' || folder_path || '/' || file FROM album_files WHERE ext = '.mp3') t(path)")
@@ -470,6 +482,11 @@ def pair_same_listing(spark, sf_dir):
     return c.same_listing(v.tracks(spark, sf_dir))
 
 
+@query(", lists AS (SELECT folder_path, folder_name, list(file ORDER BY file) AS fs FROM tracks GROUP BY ALL) SELECT folder_path AS path, min(folder_path) OVER (PARTITION BY folder_name, fs) AS class_path, count(*) OVER (PARTITION BY folder_name, fs) AS n_folders FROM lists")
+def listing_classes(spark, sf_dir):
+    return c.listing_classes(v.tracks(spark, sf_dir))
+
+
 _PLACED = ", placed AS (SELECT f1, f2, pairs.n, a.p AS pos, a.file AS file1, b.file AS file2, a.file_hash AS h1, b.file_hash AS h2, a.genre AS g1, b.genre AS g2, a.lyrics AS l1, b.lyrics AS l2, a.title AS t1, b.title AS t2, a.artist AS a1, b.artist AS a2, a.album AS b1, b.album AS b2 FROM pairs JOIN files a ON f1 = a.folder_path JOIN files b ON f2 = b.folder_path AND a.p = b.p) "
 
 
@@ -657,6 +674,11 @@ def recycle_plan(spark, sf_dir):
     return r.recycle(d.in_folder(v.doc_files(spark, sf_dir)), "/bin")
 
 
+@query("SELECT 'recycle' AS action, path AS src, '/bin/' || file || CASE nth WHEN 1 THEN '' ELSE '.' || (nth - 1) END AS dst, 'duplicate' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY folder_path) AS nth FROM (SELECT path, folder_path, file, first_value(path) OVER (PARTITION BY audio_fingerprint ORDER BY root_ord, folder_path, file) AS kept FROM tracks) WHERE path <> kept)")
+def recycle_plan_numbered(spark, sf_dir):
+    return r.recycle(d.by_fingerprint(v.tracks(spark, sf_dir)), "/bin", suffix=True)
+
+
 # --- quality, choice, plans -----------------------------------------------------------------------------------------
 
 
