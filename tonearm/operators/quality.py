@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions import text
 from tonearm.operators.catalog import MERGE_COVERS, tag
+from tonearm.operators.dedupe import numbered
 from tonearm.operators.pairs import MERGE_FROM
 from tonearm.operators.rules import action
+from tonearm.sources.tables import written
 
 LOSSLESS = (".flac", ".wav")
 #: Fixed weights of the nine scores.
@@ -137,10 +139,6 @@ def merge_plan(chosen: DataFrame, tracks: DataFrame, art: DataFrame, at_least: f
     """Tag and cover merges of all pairs that score at least `at_least`. In one pass every tag comes from a folder as it was;
     with more, each pass starts from the tags that the one before it filled in, so that a tag can travel over as many
     folders. A pass costs two joins of the chosen folders' files; its result is written."""
-    from pyspark.sql import Window
-
-    from tonearm.sources.tables import written
-
     good = chosen.where(F.col("weighted_score") >= at_least)
     # rank within a preferred folder is all that the choice of a donor needs
     order = good.select("preferred", "other", F.row_number().over(Window.partitionBy("preferred").orderBy(F.desc("weighted_score"), "other")).alias("rank"))
@@ -155,6 +153,82 @@ def merge_plan(chosen: DataFrame, tracks: DataFrame, art: DataFrame, at_least: f
     return tags.unionByName(merged_covers(order, art))
 
 
+def ordered(chosen: DataFrame) -> DataFrame:
+    """(preferred, other, rank): the pairs, numbered from 1 by falling score over all folders; of equal scores by path. A pair that
+    is there twice counts once, with its best score. Numbers are dealt by ranges."""
+    best = chosen.groupBy("preferred", "other").agg(F.min(-F.col("weighted_score")).alias("minus"), F.lit(0).alias("all"))
+    return numbered(best, "all", "minus", "preferred", "other").select("preferred", "other", F.col("place").alias("rank"))
+
+
+def tags_in_order(matches: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(preferred, file, key, value, rank): the tags that files end up with when pairs are merged one after the other by rank,
+    each from tags as the ones before it left them. matches: (preferred, other, file, match, rank), a rank for each pair.
+
+    A tag that a file lacks comes from the first pair whose match has it by then: of all ranks r at which a match got the tag
+    before r, the least. Such earliest arrivals are found for all tags at once: what became known, or known earlier, in one round is
+    offered along later pairs in the next, so that rounds follow the longest way of a tag and not the number of pairs. A file
+    whose tags cannot be read (null) takes and gives none; one without tags takes all."""
+    readable = tracks.where("tags is not null").select("folder_path", "file", "tags")
+    able = readable.select(F.col("folder_path").alias("preferred"), "file")
+    ways = written(matches.select("preferred", "other", "file", "match", "rank").join(able, ["preferred", "file"], "left_semi"), "ways")
+    ends = ways.select(F.col("preferred").alias("folder_path"), "file").unionByName(ways.select(F.col("other").alias("folder_path"), F.col("match").alias("file"))).distinct()
+    cells = readable.join(ends, ["folder_path", "file"], "left_semi").select("folder_path", "file", F.explode("tags").alias("key", "value"))
+    own = written(cells.where("value <> ''").withColumn("rank", F.lit(0).cast("long")), "own-tags")
+    given = own.limit(0)
+    news = own
+    while True:
+        a, b = news.alias("a"), ways.alias("b")
+        along = a.join(b, (F.col("a.folder_path") == F.col("b.other")) & (F.col("a.file") == F.col("b.match")) & (F.col("b.rank") > F.col("a.rank")))
+        offers = along.select(F.col("b.preferred").alias("folder_path"), "b.file", "a.key", F.struct("b.rank", "a.value").alias("offer"))
+        first = offers.groupBy("folder_path", "file", "key").agg(F.min("offer").alias("offer"))
+        held = given.select("folder_path", "file", "key", F.struct("rank", "value").alias("held"))
+        lacking = first.join(own, ["folder_path", "file", "key"], "left_anti").join(held, ["folder_path", "file", "key"], "left")
+        # the same rank with another value is the same way, whose beginning has changed
+        changed = (F.col("offer.rank") < F.col("held.rank")) | ((F.col("offer.rank") == F.col("held.rank")) & (F.col("offer.value") != F.col("held.value")))
+        news = written(lacking.where(F.col("held").isNull() | changed).select("folder_path", "file", "key", "offer.value", "offer.rank"), "new-tags")
+        if news.isEmpty():
+            break
+        given = written(given.join(news, ["folder_path", "file", "key"], "left_anti").unionByName(news), "given-tags")
+    return given.select(F.col("folder_path").alias("preferred"), "file", "key", "value", "rank")
+
+
+def covers_in_order(order: DataFrame, art: DataFrame) -> DataFrame:
+    """(preferred, other, file, rank): the covers copied when pairs are merged one after the other by rank: the first cover that the
+    other folder has by then, if the preferred one has no cover-named file by then. Its own names are compared as they are, the
+    other's in lower case, so that a copied `FOLDER.jpg` does not end its folder's wants.
+
+    All pairs are judged at once from what the last round says that folders got, until nothing changes; since a pair
+    depends on earlier ones alone, that is the result of the sequence. Of a folder's gifts only the first of each name is kept."""
+    named = art.where(F.lower("file").isin(*MERGE_COVERS))
+    exact = lambda c: c.isin(*MERGE_COVERS)
+    has = named.where(exact(F.col("file"))).select(F.col("folder_path").alias("preferred")).distinct()
+    own = named.groupBy(F.col("folder_path").alias("other")).agg(F.min("file").alias("own"))
+    base = written(order.join(has, "preferred", "left_anti").join(own, "other", "left").select("preferred", "other", "rank", "own"), "cover-pairs")
+    gifts, same = base.withColumn("gift", F.col("own")), False
+    while not same:
+        names = gifts.where("gift is not null").groupBy("preferred", "gift").agg(F.min("rank").alias("at")).groupBy("preferred").agg(F.collect_list(F.struct("gift", "at")).alias("got"))
+        since = F.array_min(F.transform(F.filter("got", lambda g: exact(g["gift"])), lambda g: g["at"]))
+        taken, theirs = names.select("preferred", since.alias("since")), names.select(F.col("preferred").alias("other"), "got")
+        by_then = F.array_min(F.transform(F.filter("got", lambda g: g["at"] < F.col("rank")), lambda g: g["gift"]))
+        gift = F.when(F.col("since") < F.col("rank"), F.lit(None)).otherwise(F.least("own", by_then))
+        judged = base.join(taken, "preferred", "left").join(theirs, "other", "left").select("preferred", "other", "rank", "own", gift.alias("gift"))
+        last = gifts.select("rank", F.col("gift").alias("last"))
+        gifts = written(judged.join(last, "rank"), "covers")
+        same = gifts.where(~F.col("gift").eqNullSafe(F.col("last"))).isEmpty()
+    return gifts.where("gift is not null").select("preferred", "other", F.col("gift").alias("file"), "rank")
+
+
+def merge_plan_in_order(chosen: DataFrame, tracks: DataFrame, art: DataFrame, at_least: float = MERGE_FROM) -> DataFrame:
+    """Tag and cover merges of all pairs that score at least `at_least`, one after the other from the best score down: a pair
+    sees tags and covers as earlier pairs left them. Files are matched by the hashes and names of the scan. Pairs of equal
+    scores go by path; repeated pairs count once; without pairs there are no rows. rank tells the pair."""
+    order = written(ordered(chosen.where(F.col("weighted_score") >= at_least)), "order")
+    matches = matched_files(order, tracks).join(order, ["preferred", "other"])
+    tags = tags_in_order(matches, tracks).select("rank", *action("set_tag", F.concat_ws("/", "preferred", "file"), F.concat_ws("=", "key", "value"), "merge"))
+    covers = covers_in_order(order, art).select("rank", *action("copy", F.concat_ws("/", "other", "file"), F.concat_ws("/", "preferred", "file"), "cover"))
+    return tags.unionByName(covers)
+
+
 def missing_files(chosen: DataFrame, tracks: DataFrame) -> DataFrame:
     """Move the other folder's files whose names the preferred one lacks, then drop the other folder."""
     pairs = chosen.select("preferred", "other").distinct()
