@@ -783,6 +783,31 @@ def merge_plan(spark, sf_dir):
     return q.merge_plan(tables.written(_chosen(t, art, p.MERGE_FROM), "chosen"), t, art)
 
 
+#: Earliest arrivals in SQL: all ranks at which a file can get a tag, the least of them, and the value down that way. A cover is
+#: a tag of its folder here, since all cover names are in lower case.
+_IN_ORDER = """SELECT * FROM (WITH RECURSIVE
+many AS (SELECT conv_id, turn, text, m FROM talks, (SELECT unnest(range(5)) AS m)),
+said AS (SELECT '/m' || m || '/c' || conv_id AS folder, lpad(CAST(turn + 1 AS VARCHAR), 3, '0') || '.mp3' AS file, md5(text || turn) AS h, turn, (conv_id + turn + m) % 11 <> 3 AS readable, conv_id + turn * 3 + m * 2 AS n, 'm' || m || ' ' || left(text, 20) AS value FROM many),
+art AS (SELECT DISTINCT '/m' || m || '/c' || conv_id AS folder, CASE m % 2 WHEN 0 THEN 'cover.jpg' ELSE 'cover.png' END AS file FROM many WHERE (conv_id + m * 3) % 4 = 0),
+own AS (SELECT folder, file, key, value FROM said, (SELECT unnest(range(4)) AS k, unnest(['title', 'artist', 'album', 'genre']) AS key) WHERE readable AND (n + k) % 7 = 0
+  UNION ALL SELECT folder, '', 'cover', file FROM art),
+two AS (SELECT DISTINCT conv_id, i, j FROM talks, (SELECT unnest(range(5)) AS i), (SELECT unnest(range(5)) AS j) WHERE i <> j AND (i * 5 + j + conv_id) % 3 <> 0 AND 80 + (conv_id * 7 + i * 5 + j * 11) % 19 >= 85),
+pairs AS (SELECT '/m' || i || '/c' || conv_id AS preferred, '/m' || j || '/c' || conv_id AS other, row_number() OVER (ORDER BY (conv_id * 7 + i * 5 + j * 11) % 19 DESC, '/m' || i || '/c' || conv_id, '/m' || j || '/c' || conv_id) AS rank FROM two),
+ways AS (SELECT preferred, other, a.file, coalesce((SELECT arg_max(b.file, b.turn) FROM said b WHERE b.folder = other AND b.h = a.h), (SELECT min(b.file) FROM said b WHERE b.folder = other AND b.file = a.file)) AS match, rank FROM pairs JOIN said a ON a.folder = preferred WHERE readable
+  UNION ALL SELECT preferred, other, '', '', rank FROM pairs),
+reach AS (SELECT folder, file, key, CAST(0 AS BIGINT) AS rank FROM own
+  UNION SELECT preferred, w.file, key, w.rank FROM reach r JOIN ways w ON w.other = folder AND w.match = r.file AND w.rank > r.rank WHERE NOT EXISTS (FROM own o WHERE o.folder = preferred AND o.file = w.file AND o.key = r.key)),
+firsts AS (SELECT folder, file, key, min(rank) AS rank FROM reach WHERE rank > 0 GROUP BY ALL),
+found AS (SELECT folder, file, key, value, CAST(0 AS BIGINT) AS rank, '' AS other FROM own
+  UNION ALL SELECT f.folder, f.file, f.key, value, f.rank, w.other FROM found d JOIN ways w ON w.other = d.folder AND w.match = d.file JOIN firsts f ON f.folder = w.preferred AND f.file = w.file AND f.key = d.key AND f.rank = w.rank)
+SELECT rank, CASE key WHEN 'cover' THEN 'copy' ELSE 'set_tag' END AS action, CASE key WHEN 'cover' THEN other || '/' || value ELSE folder || '/' || file END AS src, CASE key WHEN 'cover' THEN folder || '/' || value ELSE key || '=' || value END AS dst, CASE key WHEN 'cover' THEN 'cover' ELSE 'merge' END AS reason FROM found WHERE rank > 0)"""
+
+
+@query(_IN_ORDER)
+def merge_plan_in_order(spark, sf_dir):
+    return q.merge_plan_in_order(v.mirror_pairs(spark, sf_dir), v.mirrors(spark, sf_dir), v.mirror_art(spark, sf_dir))
+
+
 @query()
 def delete_plan(spark, sf_dir):
     return q.delete_plan(_chosen(*_library(spark, sf_dir)))

@@ -86,6 +86,32 @@ def dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("path", text.base_name(F.col("path")).alias("name"), F.regexp_replace("path", r"/[^/]*\z", "").alias("parent_path"))
 
 
+def mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five copies of each album (a conversation) under roots of their own, each with some of its tags: what merges in order are checked on."""
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("m"))
+    keys = ("title", "artist", "album", "genre")
+    said = F.concat(F.lit("m"), F.col("m").cast("string"), F.lit(" "), F.left("text", F.lit(20)))
+    every = F.create_map(*[x for k, name in enumerate(keys) for x in (F.lit(name), F.when((F.col("conv_id") + F.col("turn") * 3 + F.col("m") * 2 + k) % 7 == 0, said))])
+    folder = F.concat(F.lit("/m"), F.col("m").cast("string"), F.lit("/c"), F.col("conv_id").cast("string"))
+    return talks.select(
+        folder.alias("folder_path"), F.concat(F.lpad((F.col("turn") + 1).cast("string"), 3, "0"), F.lit(".mp3")).alias("file"), (F.col("turn") + 1).cast("int").alias("pos"), F.md5(F.concat("text", (F.col("turn")).cast("string"))).alias("file_hash"),
+        F.when((F.col("conv_id") + F.col("turn") + F.col("m")) % 11 != 3, F.map_filter(every, lambda k, x: x.isNotNull())).alias("tags"),
+    )
+
+
+def mirror_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(preferred, other, weighted_score): two thirds of the pairs of an album's mirrors, in an order that differs by album."""
+    albums = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    two = albums.select("conv_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).select("conv_id", "i", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j")).where("i <> j and (i * 5 + j + conv_id) % 3 <> 0")
+    path = lambda k: F.concat(F.lit("/m"), F.col(k).cast("string"), F.lit("/c"), F.col("conv_id").cast("string"))
+    return two.select(path("i").alias("preferred"), path("j").alias("other"), (80 + (F.col("conv_id") * 7 + F.col("i") * 5 + F.col("j") * 11) % 19).cast("double").alias("weighted_score"))
+
+
+def mirror_art(spark: SparkSession, sf_dir: str) -> DataFrame:
+    albums = table(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("m")).where("(conv_id + m * 3) % 4 = 0")
+    return albums.select(F.concat(F.lit("/m"), F.col("m").cast("string"), F.lit("/c"), F.col("conv_id").cast("string")).alias("folder_path"), F.concat(F.lit("cover."), F.when(F.col("m") % 2 == 0, "jpg").otherwise("png")).alias("file"), F.lit("a").alias("art_hash"))
+
+
 def alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.lower("n_name").alias("key"), F.col("n_name").alias("value"))
 
