@@ -7,7 +7,7 @@ import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions import text
@@ -51,18 +51,58 @@ def scan_files(spark: SparkSession, root: str, root_ord: int = 0, kinds: tuple[s
 
 def csv_fields(line: Column) -> Column:
     """The fields of a CSV line: a field that begins with a quote ends at the next single one, and two stand for one; quotes
-    elsewhere are characters. Empty fields are empty texts. A field holds no line break."""
+    elsewhere are characters. Empty fields are empty texts."""
     raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]++|"")*+(?:"[^,]*|\z)|[^,]*)'), F.lit(1))
-    quoted = lambda f: F.regexp_replace(f, r'(?s)\A"((?:[^"]++|"")*+)"?(.*)\z', "$1$2")
-    return F.transform(raw, lambda f: F.when(F.startswith(f, F.lit('"')), F.replace(quoted(f), F.lit('""'), F.lit('"'))).otherwise(f))
+    part = lambda f, k: F.regexp_extract(f, r'(?s)\A"((?:[^"]++|"")*+)"?(.*)\z', k)
+    return F.transform(raw, lambda f: F.when(F.startswith(f, F.lit('"')), F.concat(F.replace(part(f, 1), F.lit('""'), F.lit('"')), part(f, 2))).otherwise(f))
+
+
+def left_open(line: Column) -> Column:
+    """Whether a line that begins outside a quoted field ends within one."""
+    return F.rlike(line, F.lit(r'\A(?:(?:"(?:[^"]++|"")*+"[^,]*+|[^",][^,]*+|),)*+"(?:[^"]++|"")*+\z'))
+
+
+def carried(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """rows (outside, inside), whether a row leaves a field open if none, or one, is open before it, with before_outside and
+    before_inside: whether one is open before the row, if none, or one, is before the first row of its group. A row that always
+    leaves the same sets what follows, one that changes it is counted: a running sum and a running last value tell the rest."""
+    own = Window.partitionBy(*by).orderBy(order)
+    swaps = (F.col("outside") & ~F.col("inside")).cast("long")
+    counted = rows.withColumn("swaps", F.sum(swaps).over(own))
+    fixed = F.when(F.col("outside") == F.col("inside"), F.struct("outside", "swaps"))
+    last = counted.withColumn("fixed", F.last(fixed, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    odd = lambda n: n % 2 == 1
+    since = F.col("swaps") - swaps
+    before = lambda first: F.when(F.col("fixed").isNull(), odd(since) != F.lit(first)).otherwise(odd(since - F.col("fixed.swaps")) != F.col("fixed.outside"))
+    return last.withColumns({"before_outside": before(False), "before_inside": before(True)}).drop("swaps", "fixed")
 
 
 def csv_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, fields) of CSV files without a header; lines without any character are none. line_no orders all lines: by the
-    file's path, the place of its part, and the line within it, whichever task reads the part."""
-    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
-    lines = spark.read.text(path).select(place.alias("line_no"), F.regexp_replace("value", r"\r\z", "").alias("line"))
-    return lines.where("line <> ''").select("line_no", csv_fields(F.col("line")).alias("fields"))
+    """(line_no, fields) of the records of CSV files without a header; lines without any character, outside quotes, are none.
+    A quoted field may hold line breaks (each told as a line feed); a quote that is never closed takes the rest of its file, and
+    no other file. line_no orders all records by the file's path and the place of their first line, whichever task reads it.
+
+    Files of any size are read in parts. What a line leaves open depends on what is open before it, which is carried over
+    the lines of a part, then over parts (one row each), and joined back."""
+    text_ = F.regexp_replace("value", r"\r\z", "")
+    ends = {"outside": left_open(F.col("text")), "inside": left_open(F.concat(F.lit('"'), "text"))}
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line"), text_.alias("text"))
+    lines = written(read.withColumns(ends), "lines")
+    held = carried(lines, ["file", "part"], "line")
+    left = lambda before: F.max_by(F.when(F.col(before), F.col("inside")).otherwise(F.col("outside")), "line")
+    parts = held.groupBy("file", "part").agg(left("before_outside").alias("outside"), left("before_inside").alias("inside"))
+    entered = carried(parts, ["file"], "part").select(F.col("file").alias("f"), F.col("part").alias("p"), F.col("before_outside").alias("entered"))
+    same = (F.col("file") == F.col("f")) & (F.col("part") == F.col("p"))
+    begins = ~F.when(F.col("entered"), F.col("before_inside")).otherwise(F.col("before_outside"))
+    marked = written(held.join(entered, same).select("file", "part", "line", "text", F.when(begins, F.struct("part", "line")).alias("begin")), "marked")
+    # a line belongs to the record that began last, in its part or an earlier one of the file
+    latest = marked.groupBy("file", "part").agg(F.max("begin").alias("begin"))
+    earlier = F.last("begin", ignorenulls=True).over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    entered = latest.select(F.col("file").alias("f"), F.col("part").alias("p"), earlier.alias("earlier"))
+    begun = marked.withColumn("begin", F.last("begin", ignorenulls=True).over(Window.partitionBy("file", "part").orderBy("line"))).join(entered, same)
+    record = begun.groupBy("file", F.coalesce("begin", "earlier").alias("begin")).agg(F.array_sort(F.collect_list(F.struct("part", "line", "text"))).alias("own"))
+    whole = record.select(F.struct(F.col("file").alias("file_path"), F.col("begin.part").alias("file_block_start"), "begin.line").alias("line_no"), F.array_join(F.col("own.text"), "\n").alias("text"))
+    return whole.where("text <> ''").select("line_no", csv_fields(F.col("text")).alias("fields"))
 
 
 def artist_alias(lines: DataFrame, keep_case: bool = False) -> DataFrame:
