@@ -172,6 +172,26 @@ def read_rename_list(spark, sf_dir):
     return tables.read_rename_list(spark, path).select("source", "target")
 
 
+@query("SELECT md5(regexp_replace(coalesce(text, ''), '\\r\\n?', '\\n', 'g')) AS source_md5, CAST(doc_id AS VARCHAR) AS target FROM documents")
+def read_rename_list_multiline(spark, sf_dir):
+    """A list whose sources are whole documents in quotes, line breaks included."""
+    path = tables.shared_path(spark, "renames")
+    text_ = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('",'), F.col("doc_id").cast("string"))
+    v.table(spark, sf_dir, "documents").select(text_.alias("value")).write.text(path)
+    return tables.read_rename_list(spark, path).select(F.md5("source").alias("source_md5"), "target")
+
+
+@query("SELECT md5(folder_path) AS folder_hash, folder_path, folder_name, count(*) AS n_files FROM tracks GROUP BY folder_path, folder_name HAVING count(*) > 2")
+def catalog_snapshot(spark, sf_dir):
+    """A catalog replaced as a whole by the rows of the one before it and of folders that are new."""
+    path = tables.shared_path(spark, "catalog")
+    found = c.album_folders(v.tracks(spark, sf_dir)).withColumn("folder_hash", F.md5("folder_path")).select("folder_hash", "folder_path", "folder_name", "n_files")
+    tables.save_snapshot(found.where("folder_path like '/lib/%'"), path)
+    known = tables.load_snapshot(spark, path, CATALOG)[1]
+    tables.save_snapshot(known.unionByName(c.new_folders(found.drop("folder_hash"), known).select(*known.columns)), path)
+    return tables.load_snapshot(spark, path, CATALOG)[1]
+
+
 @query("SELECT DISTINCT md5(text) AS file_hash FROM documents")
 def stream_first_copies(spark, sf_dir):
     """Documents arriving in eight files, two a batch; of equal content only the first arrives."""

@@ -129,18 +129,20 @@ DAMAGED = ("FAILED_READ_FILE", "CANNOT_READ_FILE", "MALFORMED_RECORD", "MALFORME
 UNREACHABLE = ("Permission denied", "AccessControlException", "ConnectException", "UnknownHostException", "No route to host", "ExecutorLostFailure", "No space left", "OutOfMemory", "TimeoutException")
 
 
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) as the store's client knows them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def absent(spark: SparkSession, path: str) -> bool:
     """Whether nothing is saved at path; a store that does not answer raises."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    store, place = file_system(spark, path)
+    return not store.exists(place)
 
 
-def load_catalog(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
-    """A saved catalog; one that is missing, or of which any file is damaged, is empty. All its rows are read once to know that
-    they can be. Anything else that goes wrong (no permission, no connection, a lost executor) raises: what cannot be reached
-    is not empty."""
-    if absent(spark, path):
-        return spark.createDataFrame([], schema)
+def opened(spark: SparkSession, path: str, schema: str, kind: str) -> DataFrame | None:
+    """A table, read once to know that it can be; None if a file of it is damaged. All else that goes wrong raises."""
     try:
         found = spark.read.schema(schema).option("mode", "FAILFAST").format(kind).load(path)
         found.agg(*[F.count(f"`{c}`") for c in found.columns]).collect()
@@ -149,13 +151,57 @@ def load_catalog(spark: SparkSession, path: str, schema: str, kind: str = "parqu
         told = str(e)
         if any(x in told for x in UNREACHABLE) or not any(x in told for x in DAMAGED):
             raise
-        return spark.createDataFrame([], schema)
+        return None
+
+
+def load_catalog(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
+    """A saved catalog; one that is missing, or of which any file is damaged, is empty. All its rows are read once to know that
+    they can be. Anything else that goes wrong (no permission, no connection, a lost executor) raises: what cannot be reached
+    is not empty."""
+    found = None if absent(spark, path) else opened(spark, path, schema, kind)
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 def save_catalog(catalog: DataFrame, path: str, kind: str = "parquet", mode: str = "append") -> None:
     catalog.write.mode(mode).format(kind).save(path)
 
 
+def snapshots(spark: SparkSession, path: str) -> list[str]:
+    """The folders of the snapshots at path, oldest first. Each is named by an empty file in `manifest`, `number-folder`: such
+    a file is there or not, and never half there."""
+    if absent(spark, f"{path}/manifest"):
+        return []
+    store, place = file_system(spark, f"{path}/manifest")
+    return sorted(x.getPath().getName() for x in store.listStatus(place))
+
+
+def save_snapshot(catalog: DataFrame, path: str, keep: int = 2, kind: str = "parquet") -> None:
+    """Replaces the catalog at path as a whole. The table is written to a folder of its own first, and named when it is
+    complete, so that a job that stops half way leaves the old one in force; `catalog` may have been read from it. The last `keep`
+    are kept (for readers that are under way), older ones deleted. Of two that are saved at once one is in force."""
+    spark, name = catalog.sparkSession, uuid.uuid4().hex
+    catalog.write.format(kind).save(f"{path}/{name}")
+    earlier = snapshots(spark, path)
+    number = int(earlier[-1].split("-")[0]) + 1 if earlier else 1
+    store, place = file_system(spark, f"{path}/manifest/{number:012d}-{name}")
+    store.create(place, False).close()
+    for old in snapshots(spark, path)[:-keep]:
+        store.delete(file_system(spark, f"{path}/manifest/{old}")[1], False)  # no longer named before it goes
+        store.delete(file_system(spark, f"{path}/{old.split('-')[1]}")[1], True)
+
+
+def load_snapshot(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> tuple[str, DataFrame]:
+    """(state, catalog): `whole`; `older` if the last snapshot is damaged or gone and one before it is not; `damaged` and no rows
+    if none can be read; `missing` and no rows if none was ever saved. A store that cannot be reached raises."""
+    named = snapshots(spark, path)
+    for back, name in enumerate(reversed(named)):
+        folder = f"{path}/{name.split('-')[1]}"
+        found = None if absent(spark, folder) else opened(spark, folder, schema, kind)
+        if found is not None:
+            return "older" if back else "whole", found
+    return "damaged" if named else "missing", spark.createDataFrame([], schema)
+
+
 _own_folder: list[str] = []
 
 
