@@ -172,7 +172,7 @@ def read_rename_list(spark, sf_dir):
     return tables.read_rename_list(spark, path).select("source", "target")
 
 
-@query("SELECT md5(regexp_replace(coalesce(text, ''), '\\r\\n?', '\\n', 'g')) AS source_md5, CAST(doc_id AS VARCHAR) AS target FROM documents")
+@query("SELECT md5(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g')) AS source_md5, CAST(doc_id AS VARCHAR) AS target FROM documents")
 def read_rename_list_multiline(spark, sf_dir):
     """A list whose sources are whole documents in quotes, line breaks included."""
     path = tables.shared_path(spark, "renames")
