@@ -40,13 +40,12 @@ def test_files_of_zero_bytes_and_lost_files_come_from_a_manifest(spark, tmp_path
     ]
 
 
-def test_csv_fields_equal_the_standard_reader(spark, tmp_path):
+def test_csv_fields_equal_the_standard_reader(spark):
     import csv
 
     lines = ["a,b", '"Smith, John",Smitty', '"say ""x""",y', ",", "a,", ",b", "x", "a,b,c", 'in"side,"tail"more', '"",""', " a , b ", '5" disc,z', '"open,1', "\ttab\t,\u00a0nb\u00a0"]
-    path = tmp_path / "t.csv"
-    path.write_text("\n".join(lines) + "\n\n", encoding="utf-8")
-    got = {r.line_no: r.fields for r in tables.csv_lines(spark, str(path)).collect()}
+    own = spark.createDataFrame(list(enumerate(lines)), "line_no int, line string").select("line_no", tables.csv_fields(F.col("line")).alias("fields"))
+    got = {r.line_no: r.fields for r in own.collect()}  # each line for itself; tests/test_lists.py reads files
     want = [next(csv.reader([x])) for x in lines]
     assert [got[k] for k in sorted(got)] == want
 
