@@ -19,6 +19,8 @@ NAME_GATE = 0.8
 PER_PART = 2000
 #: Tasks for each core where small rows make many pairs.
 TASKS_PER_CORE = 8
+#: Texts that a name is shortened to, for names of one length, at most.
+SHORTENINGS = 500
 #: For rounding: no bound is drawn tighter than this.
 SLACK = 1e-9
 
@@ -121,11 +123,43 @@ def sure_matches(found: DataFrame, strict: bool = True) -> DataFrame:
     return found.withColumn("sure", F.col("ratio") >= text.required_similarity(F.col("a"), strict))
 
 
+def shared(a: str, b: str, gate: float) -> Column:
+    """How many characters names of lengths a and b have in common, in order, at a ratio of at least `gate`."""
+    return F.greatest(F.ceil(gate * (F.col(a) + F.col(b)) / 2 - SLACK), F.lit(1)).cast("int")
+
+
+def shortenings(a: str, m: Column) -> Column:
+    """How many ways there are to leave m of a characters."""
+    k = F.col(a) - m
+    return F.when(k == 0, 1.0).otherwise(F.aggregate(F.sequence(F.lit(1), k), F.lit(1.0), lambda total, i: total * (F.col(a) - k + i) / i))
+
+
+def shortened(s: str, k: str) -> Column:
+    """The distinct texts that are left of s without any k characters."""
+    without = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    step = lambda xs: F.array_distinct(F.flatten(F.transform(xs, without)))
+    return F.when(F.col(k) == 0, F.array(s)).otherwise(F.aggregate(F.sequence(F.lit(1), k), F.array(s), lambda xs, _: step(xs)))
+
+
 def like_names(names: DataFrame, gate: float = NAME_GATE) -> DataFrame:
-    """(a, b): ordered pairs of different names (column s, distinct) whose ratio is at least `gate`."""
-    own, _ = bags(names)
-    close = candidates(own.withColumn("g", F.lit(gate)), own, gate)
-    return similarity.scored(close).where(F.col("ratio") >= gate).select("a", "b")
+    """(a, b): ordered pairs of different names (column s, distinct) whose ratio is at least `gate`.
+
+    The matcher pairs characters in order, so such names leave the same text when each loses the characters that it has too many.
+    Pairs of lengths with at most SHORTENINGS such texts a name meet under them: who meets shares enough, whatever the alphabet. (In
+    names of digits every bag holds the same few characters.) The others, long names, meet by the index."""
+    sized = written(names.select("s", F.length("s").alias("len")).where("len > 0"), "sized")
+    lengths = sized.select("len").distinct()
+    both = lengths.select(F.col("len").alias("l1")).crossJoin(lengths.select(F.col("len").alias("l2"))).withColumn("m", shared("l1", "l2", gate)).where("m <= l1 and m <= l2")
+    ways = written(both.withColumn("short", F.greatest(shortenings("l1", F.col("m")), shortenings("l2", F.col("m"))) <= SHORTENINGS), "lengths")  # a row for two lengths
+    short = ways.where("short")
+    side = lambda name, own: sized.join(short, F.col("len") == F.col(own)).select(F.col("s").alias(name), "l1", "l2", (F.col(own) - F.col("m")).alias("k")).select(name, "l1", "l2", F.explode(shortened(name, "k")).alias("t"))
+    close = side("a", "l1").join(side("b", "l2"), ["l1", "l2", "t"]).where("a <> b").select("a", "b")
+    long = ways.where(~F.col("short")).select("l1", "l2")
+    if not long.isEmpty():
+        own, _ = bags(sized.join(long, F.col("len") == F.col("l1"), "left_semi").select("s"))
+        met = candidates(own.withColumn("g", F.lit(gate)), own, gate)
+        close = close.unionByName(met.join(long, (F.length("a") == F.col("l1")) & (F.length("b") == F.col("l2")), "left_semi"))
+    return similarity.scored(written(close.distinct(), "close")).where(F.col("ratio") >= gate).select("a", "b")
 
 
 def similar_names(folders: DataFrame, gate: float = NAME_GATE, per_part: int = PER_PART) -> DataFrame:
