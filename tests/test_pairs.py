@@ -294,3 +294,28 @@ def test_sums_of_ratios(spark):
     rows = [(["abc", "x", "", None, "abcd"], ["abd", "x", "", "y", "bcda"]), (None, ["a"]), ([], []), (["ab" * 150], ["ba" * 140])]
     got = [r.s for r in spark.createDataFrame(rows, "a array<string>, b array<string>").select(similarity.ratio_sum("a", "b").alias("s")).collect()]
     assert got == [ratio("abc", "abd") + 1.0 + ratio("abcd", "bcda"), None, 0.0, ratio("ab" * 150, "ba" * 140)]
+
+
+def test_high_thresholds_look_only_at_pairs_with_equal_hashes(spark):
+    import random
+
+    rng, rows, art = random.Random(4), [], []
+    for i in range(60):
+        more = {f"k{j}": "v" for j in range(40)} if i % 4 == 0 else {"lyrics": "la"}  # of 40 further tags hashes do not matter
+        base = i // 12
+        rows += folder(f"/m/{i}/same", [(f"{j} {base}.mp3", rng.choice([None, "hot", f"h{base}{j}", f"h{base}{j}", f"u{i}{j}"]), 128, tags(f"t{base}", **more)) for j in range(3 + base % 2)])
+        art.append((f"/m/{i}/same", "cover.jpg", "A"))
+    for c in "xy":
+        rows += folder(f"/m/{c}/rich", [(f"{name}.mp3", f"{c}{name}", 128, tags(name, **{f"k{j}": "v" for j in range(60)})) for name in ("alpha", "quick", "zzz")])
+        art.append((f"/m/{c}/rich", "cover.jpg", "A"))
+    t, covers = spark.createDataFrame(rows, TRACKS), spark.createDataFrame(art, "folder_path string, file string, art_hash string")
+    info = p.written(p.profiles(t, covers), "profiles")
+    told = lambda df: sorted((r.f1, r.f2, r.n, r.identical, round(r.weighted_score, 9)) for r in df.collect())
+    every = told(p.similar_pairs(t, covers, at_least=0.0, info=info))
+    assert any(f1 == "/m/x/rich" and f2 == "/m/y/rich" and 85 < score < 90 for f1, f2, *_, score in every)
+    for least in (85.0, 100.0):
+        want = [x for x in every if x[-1] >= least]
+        found = p.similar_pairs(t, covers, at_least=least, info=info)
+        assert want and told(found) == want
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].split("\n") if "Join [" in x]
+    assert joins and not any("Join [n#" in x for x in joins)  # not by count alone

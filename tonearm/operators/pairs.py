@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tonearm.functions import similarity, text
 from tonearm.operators.catalog import tag
-from tonearm.operators.names import NAME_GATE, paired, similar_names
+from tonearm.operators.names import NAME_GATE, SLACK, paired, similar_names, tasks
 from tonearm.sources.tables import written
 
 #: Fixed weights of the score.
@@ -178,6 +178,35 @@ def folder_rows(tracks: DataFrame, more_than: int = 2) -> DataFrame:
     return rows.withColumns({**{f"l_{c}": F.transform(c, F.length) for c in fields}, "further": F.flatten("further")})
 
 
+def least_equal(keys: Column, n: Column, at_least: float) -> Column:
+    """At how many of n positions hashes must be equal in a pair that scores `at_least`, all else being 1 and `keys` further tags in
+    common: further tags in common raise the score, so this falls with keys; 0 or less where hashes do not matter."""
+    rest = sum(WEIGHTS.values()) - WEIGHTS["file_hash"]
+    share = (at_least / 100 * sum(WEIGHTS.values()) - rest - EXTRA_WEIGHT * (1 - at_least / 100) * keys) / WEIGHTS["file_hash"]
+    return F.least(F.ceil(share * n - SLACK), n.cast("long"))
+
+
+def sharing(folders: DataFrame, at_least: float) -> DataFrame:
+    """(f1, f2): pairs of folders of equally many files, in folder order, that can score `at_least` by the hashes they share.
+
+    Who needs m of n equal hashes has one of them among any n - m + 1 of its own. Folders meet under the rarest ones, so a hash that
+    many folders have at a place hardly ever leads to a pair. A folder has at most as many further tags in common as it has; those with
+    so many that hashes do not matter meet each other in a grid, and the rest under all their hashes."""
+    keys = F.size(F.array_distinct(shared_keys(F.col("further"), F.col("further"))))
+    rows = written(folders.select("folder_path", "ord", "n", "file_hash", least_equal(keys, F.col("n"), at_least).alias("m")), "hashed")
+    tokens = rows.select("folder_path", "n", "m", F.posexplode("file_hash").alias("at", "h")).select("folder_path", "n", "m", F.xxhash64("n", "at", "h").alias("t"))
+    counts = tokens.groupBy("t").agg(F.count("*").alias("c")).select(F.expr("t ^ 0L").alias("t"), "c")
+    rare = tokens.join(counts, "t").groupBy("folder_path").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("own"), F.first("n").alias("n"), F.first("m").alias("m"))
+    first = rare.select("folder_path", "n", F.explode(F.slice("own", F.lit(1), (F.col("n") - F.greatest("m", F.lit(1)) + 1).cast("int"))).alias("e")).select("folder_path", "n", "e.t")
+    first = written(first.join(rows.select(F.concat("folder_path", F.lit("")).alias("folder_path"), "ord"), "folder_path"), "prefixes")
+    side = lambda df, k: df.select(*[F.col(c).alias(f"{c}{k}" if c != "t" else c) for c in df.columns]).withColumnRenamed(f"folder_path{k}", f"f{k}")
+    met = paired(side(first, 1), side(first, 2), "t", "f1", "f2").where("n1 = n2 and ord1 < ord2").select("f1", "f2")
+    free = rows.where("m <= 0").select("folder_path", "ord", F.col("n").alias("t"))
+    if not free.isEmpty():
+        met = met.unionByName(paired(side(free, 1), side(free, 2), "t", "f1", "f2").where("ord1 < ord2").select("f1", "f2"))
+    return met.distinct()
+
+
 def _total(a: str, b: str, term) -> Column:
     """Sum of term(x, y) over the entries of two arrays of equal length."""
     return F.aggregate(F.zip_with(a, b, term), F.lit(0.0), lambda total, x: total + x)
@@ -191,7 +220,8 @@ def similar_pairs(tracks: DataFrame, art: DataFrame, at_least: float = MINIMAL,
     A folder is one row with its files in arrays, written once. Rows of equally many files meet in a grid of cells; there the
     positions are compared within the row: hashes, further tags and what the ratios can be at most by the lengths of the strings.
     Pairs that stay under the threshold end there; the others have their strings scored in the same task. Neither pairs nor
-    positions are exchanged."""
+    positions are exchanged. If the threshold is not to be reached without equal hashes, only folders that share enough of them meet:
+    then these pairs are exchanged, and no others are looked at."""
     info = written(profiles(tracks, art, more_than), "profiles") if info is None else info
     fields = ("file", "title", "album", "artist")
     known = info.select("folder_path", "file_similarity", "title_similarity", "album_art")
@@ -199,7 +229,10 @@ def similar_pairs(tracks: DataFrame, art: DataFrame, at_least: float = MINIMAL,
     folders = written(rows if facts is None else rows.join(facts, "folder_path", "left"), "folders")
     more = [] if facts is None else [f"{c}{k}" for k in (1, 2) for c in facts.columns if c != "folder_path"]
     side = lambda k: folders.select("n", F.col("folder_path").alias(f"f{k}"), *[F.col(c).alias(f"{c}{k}") for c in folders.columns if c not in ("n", "folder_path")])
-    pairs = paired(side(1), side(2), "n", "f1", "f2", per_part=PAIRS_PER_PART, dealt=True).where("ord1 < ord2")
+    if at_least / 100 * sum(WEIGHTS.values()) > sum(WEIGHTS.values()) - WEIGHTS["file_hash"]:
+        pairs = sharing(folders, at_least).join(side(1), "f1").join(side(2).drop("n"), "f2").repartition(tasks(folders), "f1", "f2")
+    else:
+        pairs = paired(side(1), side(2), "n", "f1", "f2", per_part=PAIRS_PER_PART, dealt=True).where("ord1 < ord2")
 
     most = lambda c: _total(f"l_{c}1", f"l_{c}2", lambda x, y: F.when((x > 0) & (y > 0), 2.0 * F.least(x, y) / (x + y)).otherwise(0.0)) / F.col("n")
     # told by a generator, so that a filter above does not find them again in the join's condition
