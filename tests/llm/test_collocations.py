@@ -102,3 +102,24 @@ def test_sums_of_a_large_tile(spark, monkeypatch):
     found = c.sums(tiles, 50, at_once=4).collect()
     far = int(c.ranks_at(np.array([made[-1][0]]), np.array([4]))[0][0])
     assert sorted((r.i, r.j, r.n) for r in found) == [(5, 9, 50), (far, 9, 98)]
+
+
+def test_frequent_pairs_come_back_a_row_for_a_block_and_a_task(spark):
+    """Not a row for each; whatever their order and number, the same items have the same ranks."""
+    rng = np.random.default_rng(3)
+    found = [(rng.integers(0, 4, n), rng.permutation(n).astype(np.int64) + 7 * k * 1000, rng.integers(1, 2**31 - 1, n)) for k, n in enumerate((0, 500, 900))]
+    want = sorted(zip(*(np.concatenate(x).tolist() for x in zip(*found)), strict=True))
+    for at_once in (1, 10**6):
+        rows = [r for b in c.gathered(iter(found), at_once) for r in b.to_pylist()]
+        assert len(rows) <= (8 if at_once == 1 else 4)
+        assert sorted((r["block"], at, rank) for r in rows for at, rank in zip(np.cumsum(r["steps"]).tolist(), r["ranks"], strict=True)) == want
+    assert not list(c.gathered(iter([(np.zeros(0, np.int64),) * 3])))
+    i, j = np.repeat(np.arange(1, 41), 40), np.tile(np.arange(1, 41), 40)
+    tile, cell, n, _ = c.tally(*c.placed(i, j))
+    tiles = [(b, 1 + int(first), int(tile[first]), *(x.to_pylist()[0] for x in c.packed(cell[tile == tile[first]], np.array([0, (tile == tile[first]).sum()])))) for b in (5, 6) for first in np.flatnonzero(np.diff(tile, prepend=-1))]
+    df = spark.createDataFrame(tiles, "block long, at long, tile long, low array<smallint>, high array<long>")
+    left, right = c.ranks_at(tile, cell)
+    frequent = spark.createDataFrame([(int(t), int(a), int(b), k) for k, (t, a, b) in enumerate(zip(tile, left, right), 1)], "tile long, i long, j long, rank long")
+    back = c.met(df, frequent).collect()
+    assert len(back) <= 2 * spark.sparkContext.defaultParallelism
+    assert sorted((r.block, at, rank) for r in back for at, rank in zip(np.cumsum(r.steps).tolist(), r.ranks, strict=True)) == [(b, k, k) for b in (5, 6) for k in range(1, len(tile) + 1)]

@@ -106,12 +106,57 @@ def packed(cell: np.ndarray, ends: np.ndarray) -> list[pa.ListArray]:
     return [lists(ends, (step & 0xFFFF).astype(np.uint16).view(np.int16)), lists(ends, step >> 16)]
 
 
+def summed(step: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Running sums of steps, for each row of the sizes given anew."""
+    total = np.cumsum(step, dtype=np.int64)
+    return total - np.repeat(np.r_[0, total][np.cumsum(size) - size], size)
+
+
 def unpacked(low: pa.ListArray, high: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """(cells, number of each row's)."""
     size = low.value_lengths().to_numpy().astype(np.int64)
-    total = np.cumsum(low.flatten().to_numpy().view(np.uint16).astype(np.int64) | high.flatten().to_numpy() << 16)
-    before = np.r_[0, total][np.cumsum(size) - size]
-    return total - np.repeat(before, size), size
+    return summed(low.flatten().to_numpy().view(np.uint16).astype(np.int64) | high.flatten().to_numpy() << 16, size), size
+
+
+def gathered(found, at_once: int = AT_ONCE):
+    """Rows (block, steps, ranks) from arrays (block, at, rank): of `at_once` items or what a task has, those of a block together, in order."""
+
+    def told():
+        block, at, rank = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((at, block))
+        block, at, rank = block[order], at[order], rank[order]
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(block)])
+        step = np.diff(at, prepend=0)
+        step[first] = at[first]
+        ends = np.r_[first, len(block)]
+        return pa.RecordBatch.from_arrays([pa.array(block[first]), lists(ends, step.astype(np.int32)), lists(ends, rank.astype(np.int32))], names=["block", "steps", "ranks"])
+
+    held, size = [], 0
+    for part in found:
+        held.append(part)
+        size += len(part[0])
+        if size >= at_once:
+            yield told()
+            held, size = [], 0
+    if size:
+        yield told()
+
+
+RANKS = "block long, steps array<int>, ranks array<int>"
+
+
+def frequent_items(items: DataFrame) -> DataFrame:
+    """Items (block, at, rank), rank 0 for rare ones, as rows of RANKS without these."""
+
+    def run(batches):
+        def often():
+            for b in batches:
+                block, at, rank = (x.to_numpy() for x in b.columns)
+                yield block[rank > 0], at[rank > 0], rank[rank > 0]
+
+        yield from gathered(often())
+
+    return items.select("block", "at", "rank").mapInArrow(run, RANKS)
 
 
 def first_blocks(docs: DataFrame, text_col: str, lang_col: str, block: int) -> DataFrame:
@@ -154,9 +199,9 @@ def numbered(items: DataFrame, order: list) -> DataFrame:
 
 def paired(sequences: DataFrame, ranks: DataFrame) -> DataFrame:
     """The blocks of phrases one word longer. sequences: (block, at, numbers), numbers of a block's items, 0 for a gap;
-    ranks: (block, at, rank), the rank of each item, none or 0 if it is rare. Gives SEQUENCE rows in numbers of pairs, and TILE rows:
+    ranks: rows of RANKS, the ranks of its frequent items. Gives SEQUENCE rows in numbers of pairs, and TILE rows:
     (block, at, tile, low, high, n), the pairs of a tile, numbered from `at` on."""
-    merged = sequences.select("block", F.lit(SEQUENCE).alias("kind"), "at", "numbers", F.lit(None).cast("long").alias("rank")).unionByName(ranks.select("block", F.lit(ITEMS).alias("kind"), "at", F.lit(None).cast("array<int>").alias("numbers"), "rank"))
+    merged = sequences.select("block", F.lit(SEQUENCE).alias("kind"), "at", "numbers", F.lit(None).cast("array<int>").alias("ranks")).unionByName(ranks.select("block", F.lit(ITEMS).alias("kind"), F.lit(0).cast("long").alias("at"), F.col("steps").alias("numbers"), "ranks"))
     names = ["block", "kind", "at", "numbers", "tile", "low", "high", "n"]
 
     def told(block, at, ranks, parts):
@@ -195,8 +240,9 @@ def paired(sequences: DataFrame, ranks: DataFrame) -> DataFrame:
                     block, at, ranks, parts = number[first], [], [], []
                 own = b.slice(first, end - first)
                 if kind[first] == ITEMS:
-                    at.append(own.column(2).to_numpy())
-                    ranks.append(own.column(4).to_numpy())
+                    steps = own.column(3)
+                    at.append(summed(steps.flatten().to_numpy(), steps.value_lengths().to_numpy().astype(np.int64)))
+                    ranks.append(own.column(4).flatten().to_numpy())
                 else:
                     parts.append(own.column(3).flatten().to_numpy())
         yield from told(block, at, ranks, parts)
@@ -242,11 +288,12 @@ def sums(tiles: DataFrame, least: int, at_once: int = AT_ONCE) -> DataFrame:
 
 
 def met(tiles: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(block, at, rank): which items of each block are frequent. The frequent pairs of a tile come before the blocks' rows."""
+    """Rows of RANKS: which items of each block are frequent, a row for a block and a task. The frequent pairs of a tile come before the
+    blocks' rows."""
     told = frequent.select("tile", F.lit(0).alias("kind"), F.col("i").alias("block"), F.col("j").alias("at"), F.lit(None).cast("array<smallint>").alias("low"), F.array("rank").alias("high"))
     rows = told.unionByName(tiles.select("tile", F.lit(1).alias("kind"), "block", "at", "low", "high"))
 
-    def run(batches):
+    def found(batches):
         last, known, cell, rank = None, [], None, None
         for b in batches:
             tile, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -265,13 +312,13 @@ def met(tiles: DataFrame, frequent: DataFrame) -> DataFrame:
                     cell, rank = (np.concatenate(x) for x in zip(*known, strict=True))
                     order = np.argsort(cell)
                     cell, rank = cell[order], rank[order]
-                found, size = unpacked(low, high)
-                at = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(len(found))
-                k = np.minimum(np.searchsorted(cell, found), len(cell) - 1)
-                hit = cell[k] == found
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block, size)[hit]), pa.array(at[hit]), pa.array(rank[k[hit]])], names=["block", "at", "rank"])
+                own, size = unpacked(low, high)
+                at = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(len(own))
+                k = np.minimum(np.searchsorted(cell, own), len(cell) - 1)
+                hit = cell[k] == own
+                yield np.repeat(block, size)[hit], at[hit], rank[k[hit]]
 
-    return rows.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(run, "block long, at long, rank long")
+    return rows.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(lambda batches: gathered(found(batches)), RANKS)
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = 5, block: int = 32 << 20) -> tuple[DataFrame, list[DataFrame]]:
@@ -287,7 +334,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     ranked = numbered(counts.where(F.col("n") >= least), [F.desc("n"), "lang", "word"])
     found = [stored(ranked.select("rank", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "lang", F.col("word").alias("phrase"), "n", nothing.alias("before"), nothing.alias("after")), "phrases")]
     own = found[0].select(F.concat("lang", F.lit("")).alias("lang"), F.col("phrase").alias("word"), "rank")
-    ranks, sequences = items.select("block", "at", "lang", "word").join(own, ["lang", "word"], "left").select("block", "at", F.coalesce("rank", F.lit(0)).alias("rank")), rows.where(F.col("kind") == SEQUENCE)
+    ranks, sequences = frequent_items(items.select("block", "at", "lang", "word").join(own, ["lang", "word"], "left").withColumn("rank", F.coalesce("rank", F.lit(0)))), rows.where(F.col("kind") == SEQUENCE)
     for _ in range(longest - 1):
         old, rows = rows, stored(paired(sequences.select("block", "at", "numbers"), ranks), "pair-blocks")
         discard(old)
