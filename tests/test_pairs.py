@@ -4,6 +4,7 @@ from difflib import SequenceMatcher
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tonearm.functions import similarity
 from tonearm.operators import names as nm
@@ -319,3 +320,14 @@ def test_high_thresholds_look_only_at_pairs_with_equal_hashes(spark):
         assert want and told(found) == want
     joins = [x for x in found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].split("\n") if "Join [" in x]
     assert joins and not any("Join [n#" in x for x in joins)  # not by count alone
+
+
+def test_pairs_come_by_bundles(spark):
+    """Within a cell a few folders of one side meet one of the other at a time: of 300 folders rows that follow each other hold few."""
+    files = spark.range(300).select(F.format_string("/m/f%04d", "id").alias("folder_path"), F.lit(1).alias("pos"), F.format_string("%d.mp3", "id").alias("file"))
+    met = p.same_count(files.withColumn("ord", F.struct(F.lit(0).alias("root_ord"), "folder_path")), "file")
+    got = [(r.f1, r.f2, r.file1[0], r.file2[0]) for r in met.collect()]
+    assert sorted(got) == [(f"/m/f{i:04d}", f"/m/f{j:04d}", f"{i}.mp3", f"{j}.mp3") for i in range(300) for j in range(i + 1, 300)]
+    for k in range(0, len(got) - 1000, 500):
+        for side in (0, 1):
+            assert len({row[side] for row in got[k : k + 1000]}) < 3 * p.BUNDLE
