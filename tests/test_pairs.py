@@ -331,3 +331,15 @@ def test_pairs_come_by_bundles(spark):
     for k in range(0, len(got) - 1000, 500):
         for side in (0, 1):
             assert len({row[side] for row in got[k : k + 1000]}) < 3 * p.BUNDLE
+
+
+def test_common_keys_are_told_in_order(spark):
+    """Equal lists and others, whose texts may look alike."""
+    rows = [("a", [["x", "b"], ["a, b"], []]), ("b", [["b", "x"], ["b", "a"], ["x"]]), ("c", [["x", "b"], ["a, b"], []])]
+    files = spark.createDataFrame([(f, f, k, dict.fromkeys([*own, "title"], "v")) for f, lists in rows for k, own in enumerate(lists, 1)], "folder_path string, ord string, pos int, tags map<string,string>")
+    keys = p.further_keys(F.col("tags"))
+    told = p.common_keys_told(p.same_count(files.withColumns({"keys": keys, "told": p.listed_keys(keys)}), "keys", "told"))
+    assert sorted(map(tuple, told.collect())) == [
+        ("a", "b", 1, "[b, x]"), ("a", "b", 2, "[]"), ("a", "b", 3, "[]"), ("a", "c", 1, "[b, x]"), ("a", "c", 2, "[a, b]"), ("a", "c", 3, "[]"),
+        ("b", "c", 1, "[b, x]"), ("b", "c", 2, "[]"), ("b", "c", 3, "[]"),
+    ]
