@@ -81,3 +81,14 @@ def test_shared_counts(spark):
     row = spark.createDataFrame([(["1:1:av", "2:1:av", "1:1:bw", "3:2:abx"], ["1:1:av", "2:1:av", "1:1:bW", "3:2:abx"])], "a array<string>, b array<string>")
     r = row.select(p.shared_counts(F.col("a"), F.col("b")).alias("c")).first().c
     assert (r.total, r.distinct, [tuple(x) for x in r.scores]) == (3, 2, [("a", 2), ("ab", 1)])
+
+
+def test_digits_of_a_report(spark):
+    values = [0.0, 1.0, -0.0, 0.004, 0.005, 0.015, 0.125, 0.995, 0.9999, 99.995, 100.0, None]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select(p.two_digits(F.col("x")).alias("own"), F.format_number(F.abs("x"), 2).alias("theirs")).collect()
+    assert [r.own for r in rows] == [r.theirs for r in rows] and rows[-1].own is None
+    row = spark.createDataFrame([("a", "b", *[0.5] * 7, {"genre": 1.0, "k": 0.25}, 50.0), ("a", "c", *[None] * 7, None, 100.0)], "f1 string, f2 string, " + ", ".join(f"{k} double" for k in p.WEIGHTS) + ", additional_metadata map<string,double>, weighted_score double")
+    got = {(r.f2, r.field): r.value for r in p.report(row).collect()}
+    assert got == {("b", k): "0.50" for k in p.WEIGHTS} | {("b", "tag genre"): "1.00", ("b", "tag k"): "0.25", ("b", "weighted_score"): "50.00", ("c", "weighted_score"): "100.00"}
+    plan = p.report(row)._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_arrays" not in plan and "transform_values" not in plan
